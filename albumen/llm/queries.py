@@ -9,6 +9,7 @@ _MODULES = {
     "op1_url_filters": "url_filter",
     "op6_chat_formatting": "chat",
     "op9_language_id": "langid",
+    "op10_sentencepiece": "pieces",
 }
 
 
