@@ -8,6 +8,7 @@ from importlib import import_module
 _MODULES = {
     "op1_url_filters": "url_filter",
     "op6_chat_formatting": "chat",
+    "op7_suffix_array_dedup": "suffix_dedup",
     "op9_language_id": "langid",
     "op10_sentencepiece": "pieces",
 }

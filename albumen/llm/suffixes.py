@@ -52,3 +52,94 @@ def anchors(data: np.ndarray, offs: np.ndarray, width: int = 100, k: int = K):
     sums = prefix_hash(data)
     ctx = mix(span_hash(sums, first, last + width) + (anchor - first).astype(U64))
     return row, anchor, first, last, h[anchor], ctx
+
+
+def suffix_order(contexts: list[bytes], width: int):
+    """Enhanced suffix array over every suffix of at least `width` bytes of the
+    contexts (each shorter than 2 * width). Returns (context of each suffix, start in
+    it, common prefix with the suffix before, byte to its left or -1), in suffix order."""
+    size = np.array([len(c) for c in contexts], dtype=np.int64)
+    most = int(size.max())
+    grid = np.zeros((len(contexts), 2 * most), dtype=np.uint8)
+    for i, c in enumerate(contexts):
+        grid[i, : len(c)] = np.frombuffer(c, dtype=np.uint8)
+    per = size - width + 1
+    ctx = np.repeat(np.arange(len(contexts)), per)
+    at = np.arange(len(ctx)) - np.repeat(np.cumsum(per) - per, per)
+    rows = np.lib.stride_tricks.sliding_window_view(grid, most, axis=1)[ctx, at]
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{most}").ravel(), kind="stable")
+    ctx, at, rows = ctx[order], at[order], rows[order]
+    rest = size[ctx] - at
+    lcp = np.zeros(len(ctx), dtype=np.int64)
+    same = rows[1:] == rows[:-1]
+    same[:, -1] &= False
+    common = np.argmin(same, axis=1)
+    full = (rows[1:, -1] == rows[:-1, -1]) & (common == most - 1)
+    lcp[1:] = np.minimum(np.minimum(common + full, rest[1:]), rest[:-1])
+    left = np.where(at > 0, grid[ctx, np.maximum(at - 1, 0)].astype(np.int64), -1)
+    return ctx, at, lcp, left
+
+
+def interval_tree(lcp: np.ndarray, left: np.ndarray, rank: np.ndarray, least: int):
+    """Stack-scan of the common-prefix intervals of length >= least. Yields for each
+    left-diverse one (lo, hi, length, first, others): positions lo..hi in suffix order
+    share `length` bytes, first is the position of least rank, and others are the
+    positions that are first in no interval below (each once, by its longest). An
+    interval whose suffixes all continue to the left with one byte lies within the
+    longer one that starts there, and is left out. Left -1 counts as diverse."""
+    n = len(lcp)
+    long = np.flatnonzero(lcp >= least)
+    if not len(long):
+        return
+    begins = long[np.concatenate(([True], long[1:] != long[:-1] + 1))] - 1
+    stops = long[np.concatenate((long[1:] != long[:-1] + 1, [True]))] + 1
+    for b, e in zip(begins.tolist(), stops.tolist(), strict=True):
+        ls = lcp[b + 1 : e].tolist() + [0]
+        lefts, ranks = left[b:e].tolist(), rank[b:e].tolist()
+        stack: list[list] = []  # [length, lo, first, left or -1, others]
+        for i, l in enumerate(ls):
+            lo, first, side = i, i, lefts[i]
+            while stack and stack[-1][0] > l:
+                top = stack.pop()
+                if ranks[first] < ranks[top[2]]:
+                    first, lost = first, top[2]
+                else:
+                    first, lost = top[2], first
+                top[4].append(lost)
+                side = side if side == top[3] else -1
+                lo = top[1]
+                if side == -1:
+                    yield b + lo, b + i, top[0], b + first, [b + x for x in top[4]]
+            if l < least:
+                continue
+            if stack and stack[-1][0] == l:
+                top = stack[-1]
+                if ranks[first] < ranks[top[2]]:
+                    top[4].append(top[2])
+                    top[2] = first
+                else:
+                    top[4].append(first)
+                if side != top[3]:
+                    top[3] = -1
+            else:
+                stack.append([l, lo, first, side, []])
+    assert n
+
+
+def bucket_repeats(contexts: list[bytes], doc: np.ndarray, start: np.ndarray, width: int):
+    """(maximal repeat groups, covered) of one bucket of contexts that begin at byte
+    `start` of document `doc`. A group is (length, docs, starts) with all its
+    occurrences; covered is (doc, begin, end) of every occurrence that is not the
+    first of its group, the longest for each suffix."""
+    ctx, at, lcp, left = suffix_order(contexts, width)
+    d, s = doc[ctx], start[ctx] + at
+    rank = np.empty(len(ctx), dtype=np.int64)
+    rank[np.lexsort((s, d))] = np.arange(len(ctx))
+    groups, lost, size = [], [], []
+    for lo, hi, length, _, others in interval_tree(lcp, left, rank, width):
+        groups.append((length, lo, hi))
+        lost += others
+        size += [length] * len(others)
+    lost = np.array(lost, dtype=np.int64)
+    size = np.array(size, dtype=np.int64)
+    return (d, s, groups), (d[lost], s[lost], s[lost] + size)
