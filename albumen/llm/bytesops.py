@@ -16,6 +16,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACES)] = True
+NOT_WORD = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -76,15 +77,15 @@ def runs(offs: np.ndarray, limit: int):
         i = j
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, first word of each row): words are runs of bytes other than
-    space, tab and line breaks, A-Z lower-cased; they never cross rows."""
+def words(data: np.ndarray, offs: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, first word of each row): words are runs of bytes outside `space`
+    (space, tab and line breaks; or NOT_WORD), A-Z lower-cased; they never cross rows."""
     n = len(data)
     rows = len(offs) - 1
     if n == 0:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(rows + 1, np.int64)
     low = LOWER[data]
-    solid = ~IS_SPACE[data]
+    solid = ~space[data]
     begin = np.empty(n, dtype=bool)
     begin[0] = True
     begin[1:] = ~solid[:-1]

@@ -13,9 +13,9 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
+from pyspark.sql.types import StructType
 
 SPACE = "▁"
 _SPACE = SPACE.encode()
@@ -202,43 +202,71 @@ class Encoder:
         return np.array([len(p.surface.encode()) for p in found], dtype=np.int64)
 
 
-def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = (), decode: bool = True, digest: bool = False) -> DataFrame:
-    """One row per input row: the columns of keep, then n_tokens, and with digest
-    ids_sha256, decoded_sha256 and covered_bytes, else ids, begins and ends (source
-    bytes of each piece) and decoded.
+_OUTPUTS = {
+    "n_tokens": pa.int64(),
+    "ids": pa.list_(pa.int32()),
+    "begins": pa.list_(pa.int64()),
+    "ends": pa.list_(pa.int64()),
+    "decoded": pa.string(),
+    "ids_sha256": pa.string(),
+    "decoded_sha256": pa.string(),
+    "covered_bytes": pa.int64(),
+}
+
+
+def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = (), outputs: tuple[str, ...] = ("n_tokens", "ids", "begins", "ends", "decoded")) -> DataFrame:
+    """One row per input row: the columns of keep, then those of outputs: n_tokens (all
+    ids), ids, begins and ends (source bytes of each piece), decoded, the digests
+    ids_sha256 (decimal ids joined by a space) and decoded_sha256, and covered_bytes
+    (source bytes under the pieces).
 
     Encoding is the library's with an end id only, without sampling; decoding is the
-    library's decode(ids) (null where decode is false). A null text is empty: one
-    end id, nothing decoded. The whole text is encoded, however long; a task holds
-    one Arrow batch of texts and the tokens of one text at a time for the digest."""
-    schema = StructType([df.schema[c] for c in keep]).add("n_tokens", LongType())
-    if digest:
-        schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string").add("covered_bytes", LongType())
-    else:
-        schema = schema.add("ids", ArrayType(IntegerType())).add("begins", ArrayType(LongType())).add("ends", ArrayType(LongType())).add("decoded", "string")
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    library's decode(ids). A null text is empty: one end id, nothing decoded. The whole
+    text is encoded, however long; a task holds one Arrow batch of texts and the tokens
+    of 200 of them. Repeated rows give repeated rows; there is no shuffle."""
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    schema = StructType([df.schema[c] for c in keep])
+    for c in outputs:
+        schema = schema.add(c, from_arrow_type(_OUTPUTS[c]))
+    names = list(schema.names)
+    decoding = any(c.startswith("decoded") for c in outputs)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(model)
-        for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                part = pdf.iloc[lo : lo + 500]
-                rows = []
-                for t in part[text]:
-                    ids, joined, offsets = enc.encode(t if isinstance(t, str) else "")
-                    decoded = enc.library.decode(ids) if decode else None
-                    if digest:
-                        back = None if decoded is None else hashlib.sha256(decoded.encode()).hexdigest()
-                        rows.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), back, int(offsets[-1] - offsets[0])))
-                    else:
-                        rows.append((len(ids), ids, offsets[:-1], offsets[1:], decoded))
-                out = pd.DataFrame(rows, columns=schema.names[len(keep) :])
-                yield pd.concat([part[list(keep)].reset_index(drop=True), out], axis=1)
-
-    return df.select(*keep, *([text] if text not in keep else [])).mapInPandas(work, schema)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 200):
+                batch = whole.slice(lo, 200)
+                out: dict[str, list] = {c: [] for c in outputs}
+                for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
+                    ids, joined, offsets = enc.encode(t or "")
+                    decoded = enc.library.decode(ids) if decoding else None
+                    for c in outputs:
+                        if c == "n_tokens":
+                            x = len(ids)
+                        elif c == "ids":
+                            x = np.array(ids, dtype=np.int32)
+                        elif c == "begins":
+                            x = offsets[:-1]
+                        elif c == "ends":
+                            x = offsets[1:]
+                        elif c == "decoded":
+                            x = decoded
+                        elif c == "ids_sha256":
+                            x = hashlib.sha256(joined.encode()).hexdigest()
+                        elif c == "decoded_sha256":
+                            x = hashlib.sha256(decoded.encode()).hexdigest()
+                        else:
+                            x = int(offsets[-1] - offsets[0])
+                        out[c].append(x)
+                cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(out[c], _OUTPUTS[c]) for c in outputs)], names=names)
+
+    return df.select(*keep, *([text] if text not in keep else [])).mapInArrow(work, schema)
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id",), digest=True)
+    return encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id",), outputs=("n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"))

@@ -7,6 +7,7 @@ from importlib import import_module
 # query name -> module of this subpackage
 _MODULES = {
     "op1_url_filters": "url_filter",
+    "op2_benchmark_decontamination": "decontaminate",
     "op3_minhash_near_dedup": "near_dedup",
     "op6_chat_formatting": "chat",
     "op7_suffix_array_dedup": "suffix_dedup",
