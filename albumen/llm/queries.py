@@ -9,6 +9,7 @@ _MODULES = {
     "op1_url_filters": "url_filter",
     "op2_benchmark_decontamination": "decontaminate",
     "op3_minhash_near_dedup": "near_dedup",
+    "op5_exact_top_k": "mtree",
     "op6_chat_formatting": "chat",
     "op7_suffix_array_dedup": "suffix_dedup",
     "op9_language_id": "langid",
