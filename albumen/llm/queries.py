@@ -9,9 +9,11 @@ _MODULES = {
     "op1_url_filters": "url_filter",
     "op2_benchmark_decontamination": "decontaminate",
     "op3_minhash_near_dedup": "near_dedup",
+    "op4_license_scans": "license_scan",
     "op5_exact_top_k": "mtree",
     "op6_chat_formatting": "chat",
     "op7_suffix_array_dedup": "suffix_dedup",
+    "op8_quality_classifier": "quality",
     "op9_language_id": "langid",
     "op10_sentencepiece": "pieces",
 }
