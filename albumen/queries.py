@@ -1,4 +1,937 @@
-"""Registered queries of the library's own operators and their SQL."""
+"""Registered queries of the library's own operators and the SQL that gives the same rows.
+Keys name the operator; the inventory rows that one covers are in README.md."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .fixtures import table, with_views
+from .functions import textcols as tc
+from .operators import catalog, geo, ingest, merge, names, replies, search, snapshots, stats
+from .plans import work
+from .sources import tables
+from .streaming import monitors
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (t -> DataFrame, t reads a table or view) under its name."""
+
+    def add(f):
+        name = f.__name__
+        QUERIES[name] = lambda spark, sf_dir: f(lambda t: table(spark, sf_dir, t))
+        if sql is not None:
+            ORACLES[name] = with_views(sql)
+        return f
+
+    return add
+
+
+# DuckDB forms of the list columns.
+P = "json_extract_string(persons, '$[*]')"
+T = "json_extract_string(tags, '$[*]')"
+
+
+def joined(c: str):
+    return F.array_join(F.col(c), "|").alias(c)
+
+
+# --- search and facets ---------------------------------------------------------
+
+
+@query(f"""
+WITH hit AS (SELECT *, substr(date, 1, 4) AS year FROM fx_assets WHERE media_type IN ('image', 'video')
+  AND substr(date, 1, 4) >= '1995' AND substr(date, 1, 4) <= '2020'
+  AND len(list_filter({P}, lambda x: contains(lower(x), 'person 1'))) > 0 AND list_contains({T}, 'outdoor')),
+s AS (SELECT count(*) AS total FROM hit)
+SELECT asset_id, date, year, {T}[1] AS scene, array_to_string({P}, '|') AS people, place_name AS location,
+  gps_lat IS NOT NULL AND gps_lon IS NOT NULL AS has_gps, state = 1 AS done, total,
+  CAST(greatest(1, ceil(total / 48.0)) AS BIGINT) AS pages
+FROM hit, s ORDER BY date DESC NULLS LAST, asset_id LIMIT 48""")
+def search_page(t):
+    a = search.search(t("fx_assets"), year_from="1995", year_to="2020", persons="person 1", scene="outdoor")
+    out = search.page(search.shape_hits(a), [F.col("date").desc_nulls_last(), F.col("asset_id")], 1, 48)
+    return out.select("asset_id", "date", "year", "scene", joined("people"), "location", "has_gps", "done", "total", "pages")
+
+
+@query("""SELECT asset_id, date FROM fx_assets WHERE substr(date, 1, 4) = '2001' AND state = 1""")
+def filter_year_enriched(t):
+    return search.search(t("fx_assets"), year="2001", done_only=True).select("asset_id", "date")
+
+
+@query("""SELECT asset_id FROM fx_assets WHERE CAST(substr(date, 1, 4) AS INTEGER) BETWEEN 1999 AND 2004 AND gps_lat IS NOT NULL AND gps_lon IS NOT NULL AND persons <> '[]'""")
+def filter_year_int_gps_people(t):
+    a = t("fx_assets").where(search.year_filter("date", year_from="1999", year_to="2004", lexical=False))
+    return a.where(search.has_coordinates() & search.not_empty("persons")).select("asset_id")
+
+
+@query("""SELECT asset_id FROM fx_assets WHERE persons ILIKE '%person 2%' AND persons ILIKE '%Person 1%'""")
+def filter_persons_compat(t):
+    return t("fx_assets").where(search.all_persons("persons", "person 2, ,Person 1", compat=True)).select("asset_id")
+
+
+@query(f"""SELECT asset_id FROM fx_assets WHERE len(list_filter({P}, lambda x: contains(lower(x), 'person 2'))) > 0 AND len(list_filter({P}, lambda x: contains(lower(x), 'person 1'))) > 0""")
+def filter_persons_all(t):
+    return t("fx_assets").where(search.all_persons("persons", "person 2, ,Person 1")).select("asset_id")
+
+
+@query("""SELECT asset_id FROM fx_assets WHERE description ILIKE '%ation%' OR tags ILIKE '%ation%' OR coalesce(place_name, '') ILIKE '%ation%'""")
+def filter_substring_any(t):
+    return t("fx_assets").where(search.any_contains(["description", "tags", "place_name"], "ation")).select("asset_id")
+
+
+@query("""SELECT asset_id, state, date FROM fx_assets WHERE media_type = 'image' AND state NOT IN (1, -1) ORDER BY date DESC NULLS LAST, asset_id LIMIT 100""")
+def work_queue_images(t):
+    return search.pending(t("fx_assets"), "state", (1, -1), "asset_id", "date", "media_type", ("image",), 100).select("asset_id", "state", "date")
+
+
+@query("""SELECT asset_id FROM fx_assets WHERE media_type = 'video' AND state NOT IN (1, 2)""")
+def work_queue_videos(t):
+    return search.pending(t("fx_assets"), "state", (1, 2), "asset_id", "date", "media_type", ("video",)).select("asset_id")
+
+
+@query("""SELECT asset_id FROM fx_assets a WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = a.asset_id) AND description ILIKE '%the%'""")
+def filter_with_related_row(t):
+    a = search.with_child(t("fx_assets"), t("labels"), "asset_id", "doc_id")
+    return a.where(search.any_contains(["description"], "the")).select("asset_id")
+
+
+@query("""SELECT asset_id FROM fx_assets WHERE (SELECT count(*) FROM fx_assets a WHERE a.asset_id NOT IN (SELECT doc_id FROM labels)) > 500 OR asset_id IN (SELECT doc_id FROM labels)""")
+def hide_rows_without_file(t):
+    files = t("labels").select(F.col("doc_id").alias("asset_id")).distinct()
+    return search.hide_missing(t("fx_assets"), files, "asset_id").select("asset_id")
+
+
+@query("""SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOURS""")
+def filter_recent(t):
+    e = t("events")
+    top = e.agg(F.max("ts").alias("now"))
+    return e.join(F.broadcast(top)).where(search.recent("ts", F.col("now"), 24)).select("event_id")
+
+
+@query("""SELECT asset_id, gps_lat, gps_lon, date FROM fx_assets WHERE gps_lat IS NOT NULL AND gps_lon IS NOT NULL AND asset_id IN (SELECT doc_id FROM labels)""")
+def map_points(t):
+    files = t("labels").select(F.col("doc_id").alias("asset_id"))
+    return search.map_points(t("fx_assets"), files).select("asset_id", "gps_lat", "gps_lon", "date")
+
+
+@query("""SELECT asset_id, date FROM fx_assets WHERE date < '2005-06-15' OR (date = '2005-06-15' AND asset_id > 100) OR date IS NULL ORDER BY date DESC NULLS LAST, asset_id LIMIT 48""")
+def keyset_page(t):
+    return search.page_after(t("fx_assets"), "date", "asset_id", "2005-06-15", 100).select("asset_id", "date")
+
+
+@query("""SELECT asset_id, state, persons FROM fx_assets WHERE asset_id = 42""")
+def detail_by_key(t):
+    return search.by_key(t("fx_assets"), "asset_id", 42).select("asset_id", "state", "persons")
+
+
+@query("""SELECT asset_id FROM fx_assets WHERE gps_lat IS NULL ORDER BY asset_id LIMIT 50""")
+def missing_coordinates(t):
+    return t("fx_assets").where(~search.has_coordinates()).select("asset_id").orderBy("asset_id").limit(50)
+
+
+# --- full text -------------------------------------------------------------------
+
+FOLD = f"translate(lower(text), '{search.ACCENTED}', '{search.PLAIN}')"
+TOKENS = f"list_filter(regexp_split_to_array({FOLD}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+POSTINGS = f"p AS (SELECT doc_id AS key, unnest(l) AS term, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, {TOKENS} AS l FROM documents))"
+
+
+def _postings(t):
+    return search.build_postings(t("documents"), "doc_id", ["text"])
+
+
+@query(f"""WITH {POSTINGS} SELECT term, count(*) AS n, count(DISTINCT key) AS docs FROM p GROUP BY term""")
+def fts_postings(t):
+    return _postings(t).groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("key").alias("docs"))
+
+
+@query(f"""WITH {POSTINGS} SELECT key FROM p WHERE term IN ('the', 'thin') GROUP BY key HAVING count(DISTINCT term) = 2 UNION SELECT key FROM p WHERE term = 'clown'""")
+def fts_match(t):
+    return search.match(_postings(t), "text:the Thin", ["clown", "THE"], ["text"])
+
+
+@query(f"""WITH {POSTINGS} SELECT DISTINCT a.key FROM p a JOIN p b ON a.key = b.key AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'""")
+def fts_phrase(t):
+    return search.phrase(_postings(t), "of-the")
+
+
+@query(f"""WITH {POSTINGS} SELECT count(DISTINCT key) AS matches FROM p WHERE term = 'with'""")
+def fts_match_count(t):
+    return search.match_count(search.match(_postings(t), "with"))
+
+
+@query(f"""
+WITH {POSTINGS}, len AS (SELECT key, count(*) AS len FROM p GROUP BY key),
+s AS (SELECT count(*) AS n, avg(len) AS al FROM len),
+tf AS (SELECT key, term, count(*) AS tf FROM p WHERE term IN ('the', 'with') GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
+SELECT key AS doc_id, round(score, 6) AS score FROM (
+  SELECT tf.key, -sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) AS score, count(*) AS c
+  FROM tf JOIN df USING (term) JOIN len USING (key), s GROUP BY tf.key) WHERE c = 2""")
+def fts_bm25(t):
+    return search.bm25(_postings(t), "the with").select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {POSTINGS} SELECT term, count(*) AS n FROM p WHERE key % 3 <> 0 GROUP BY term""")
+def fts_update(t):
+    d = t("documents")
+    deleted = d.where("doc_id % 3 = 0")
+    changed = d.where("doc_id % 3 = 1")
+    stale_index = search.build_postings(d.where("doc_id % 3 <> 2 or doc_id % 3 = 2").withColumn("text", F.when(F.col("doc_id") % 3 == 1, "old words").otherwise(F.col("text"))), "doc_id", ["text"])
+    return search.update_postings(stale_index, changed, "doc_id", ["text"], deleted).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id FROM documents WHERE text ILIKE '%(the%'""")
+def fts_substring_fallback(t):
+    return search.search_text(t("documents"), None, "(the", ["text"], "doc_id").select("doc_id")
+
+
+# --- summaries ---------------------------------------------------------------------
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (state = 1) AS enriched, count(*) FILTER (gps_lat IS NOT NULL AND gps_lon IS NOT NULL) AS with_gps, count(*) FILTER (persons <> '[]') AS with_people, min(substr(date, 1, 4)) AS min_year, max(substr(date, 1, 4)) AS max_year FROM fx_assets""")
+def library_summary(t):
+    return stats.library_summary(t("fx_assets"))
+
+
+@query(f"""SELECT value, count(*) AS n FROM (SELECT unnest({T}) AS value FROM fx_assets) WHERE value IN ('en', 'fr', 'outdoor', 'indoor') GROUP BY value ORDER BY n DESC, value LIMIT 12""")
+def top_tags(t):
+    return stats.top_values(t("fx_assets"), "tags", 12, ["en", "fr", "outdoor", "indoor"])
+
+
+@query(f"""SELECT value, count(*) AS n FROM (SELECT unnest({P}) AS value FROM fx_assets) GROUP BY value ORDER BY n DESC, value LIMIT 12""")
+def top_people(t):
+    return stats.top_values(t("fx_assets"), "persons", 12)
+
+
+@query("""SELECT substr(date, 1, 4) AS year, count(*) AS n FROM fx_assets WHERE date IS NOT NULL GROUP BY 1""")
+def count_by_year(t):
+    return stats.by_year(t("fx_assets"))
+
+
+@query("""SELECT DISTINCT substr(date, 1, 4) AS year FROM fx_assets WHERE date IS NOT NULL""")
+def distinct_years(t):
+    return stats.years(t("fx_assets"))
+
+
+@query(f"""SELECT name, count(*) AS n FROM (SELECT unnest(list_distinct(list_transform({P}, lambda x: trim(x)))) AS name FROM fx_assets) WHERE lower(name) IN (SELECT lower(name) FROM fx_vocab) GROUP BY name""")
+def people_in_vocabulary(t):
+    return stats.people_ranked(t("fx_assets"), vocab=t("fx_vocab"))
+
+
+@query(f"""SELECT DISTINCT unnest({P}) AS name FROM fx_assets""")
+def people_list(t):
+    return stats.people_list(t("fx_assets"))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (date IS NULL) AS undated, count(*) FILTER (place_name IS NOT NULL) AS placed FROM fx_assets""")
+def load_sanity(t):
+    return stats.sanity(t("fx_assets"), {"undated": F.col("date").isNull(), "placed": F.col("place_name").isNotNull()})
+
+
+@query("""SELECT year, n, CAST(round(100 * n / max(n) OVER ()) AS INTEGER) AS height FROM (SELECT substr(date, 1, 4) AS year, count(*) AS n FROM fx_assets WHERE date IS NOT NULL GROUP BY 1)""")
+def chart_heights(t):
+    return stats.bar_heights(stats.by_year(t("fx_assets")), "n")
+
+
+@query("""SELECT 'date' AS field, count(date) AS filled FROM fx_assets UNION ALL SELECT 'gps_lat', count(gps_lat) FROM fx_assets UNION ALL SELECT 'place_name', count(place_name) FROM fx_assets""")
+def field_coverage(t):
+    return stats.field_coverage(t("fx_assets"), ["date", "gps_lat", "place_name"])
+
+
+@query("""
+WITH c AS (SELECT 'p_brand' AS field, count(p_brand) AS base, count(p_brand) FILTER (p_partkey % 10 <> 0) AS prior, count(p_brand) FILTER (p_partkey % 10 <> 0) AS now FROM part
+  UNION ALL SELECT 'p_size', count(p_size), count(p_size) FILTER (p_size > 1), count(p_size) FROM part)
+SELECT field, base, prior, now, now / base AS ratio, now = prior AS unchanged, now / base >= 0.95 AND now = prior AS stable FROM c""")
+def coverage_stability(t):
+    p = t("part")
+    cut = p.withColumn("p_brand", F.when(F.col("p_partkey") % 10 != 0, F.col("p_brand")))
+    cover = lambda d: stats.field_coverage(d, ["p_brand", "p_size"])
+    return stats.coverage_stability(cover(p), cover(cut.withColumn("p_size", F.when(F.col("p_size") > 1, F.col("p_size")))), cover(cut))
+
+
+@query("""
+WITH e AS (SELECT *, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 0 END AS st, (SELECT max(ts) FROM events) AS now FROM events),
+c AS (SELECT count(*) AS total, count(*) FILTER (st = 1) AS done, count(*) FILTER (st = 2) AS skipped, count(*) FILTER (st = 0) AS pending, count(*) FILTER (st = 1 AND ts > now - INTERVAL 24 HOURS) AS last_day FROM e)
+SELECT *, CASE WHEN last_day > 0 THEN CAST(ceil(pending / last_day) AS BIGINT) END AS days_left FROM c""")
+def queue_status(t):
+    e = t("events")
+    e = e.join(F.broadcast(e.agg(F.max("ts").alias("now")))).withColumn("st", F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 2).otherwise(0))
+    return stats.queue_status(e, "st", "ts", F.col("now"), 1, (2,))
+
+
+@query("""SELECT count(*) FILTER (state = 1) AS done, count(*) FILTER (state = 0) AS pending, count(*) FILTER (state = 2) AS errored, count(*) FILTER (state = 0 AND place_name IS NOT NULL) AS pending_with_error FROM fx_assets""")
+def enrichment_progress(t):
+    return stats.progress(t("fx_assets"), "state", "place_name")
+
+
+@query("""
+WITH c AS (SELECT event_type, count(*) AS work, count(*) FILTER (value > 100000) AS ok, count(*) FILTER (value <= 100000) AS failed FROM events GROUP BY event_type)
+SELECT event_type, work, ok, failed, CASE WHEN work > 0 AND ok = 0 AND failed >= 3 THEN 'failed' ELSE 'ok' END AS verdict FROM c""")
+def run_verdicts(t):
+    c = t("events").groupBy("event_type").agg(F.count("*").alias("work"), F.count_if(F.col("value") > 100000).alias("ok"), F.count_if(F.col("value") <= 100000).alias("failed"))
+    return stats.run_verdict(c)
+
+
+@query("""SELECT l_returnflag, sum(l_linenumber) AS items, sum(l_suppkey) AS seconds, round(sum(l_linenumber) / sum(l_suppkey), 9) AS per_second, round(sum(l_suppkey) / sum(l_linenumber), 9) AS seconds_each FROM lineitem GROUP BY 1""")
+def run_throughput(t):
+    out = stats.throughput(t("lineitem"), "l_linenumber", "l_suppkey", ["l_returnflag"])
+    return out.withColumns({c: F.round(c, 9) for c in ("per_second", "seconds_each")})
+
+
+@query("""SELECT state AS value, count(*) AS n FROM fx_assets GROUP BY 1""")
+def state_histogram(t):
+    return stats.value_histogram(t("fx_assets"), "state")
+
+
+@query()
+def seeded_sample(t):
+    return stats.sample_rows(t("orders").select("o_orderkey"), 60, 7)
+
+
+# --- names ---------------------------------------------------------------------------
+
+
+
+def _people(t):
+    return t("fx_assets").withColumn("people", tc.json_list(F.col("persons")))
+
+
+SPELL = f"sp AS (SELECT name, lower(name) AS lc, count(*) AS n FROM (SELECT unnest({P}) AS name FROM fx_assets) GROUP BY name)"
+ALIAS = f"""{SPELL}, pick AS (SELECT lc, first(name ORDER BY n DESC, substr(name, 1, 1) = lower(substr(name, 1, 1)), name) AS best FROM sp GROUP BY lc),
+v AS (SELECT lower(name) AS lc, min(name) AS listed FROM fx_vocab GROUP BY 1),
+al AS (SELECT sp.name AS raw, coalesce(listed, best) AS canonical, n FROM sp JOIN pick USING (lc) LEFT JOIN v USING (lc) WHERE sp.name <> coalesce(listed, best))"""
+
+
+@query(f"WITH {ALIAS} SELECT raw, canonical, n FROM al")
+def build_aliases(t):
+    return names.build_aliases(_people(t), F.col("people"), t("fx_vocab"))
+
+
+@query(f"WITH {ALIAS} SELECT (SELECT CAST(count(*) AS BIGINT) FROM sp) AS spellings, (SELECT count(DISTINCT lc) FROM sp) AS names, (SELECT count(*) FROM (SELECT lc FROM sp GROUP BY lc HAVING count(*) > 1)) AS with_variants, (SELECT count(*) FROM al) AS aliases")
+def alias_summary(t):
+    return names.alias_summary(_people(t), F.col("people"), t("fx_vocab"))
+
+
+CANON = f"""{ALIAS}, item AS (SELECT asset_id, unnest(l) AS name, generate_subscripts(l, 1) AS pos FROM (SELECT asset_id, {P} AS l FROM fx_assets)),
+named AS (SELECT asset_id, pos, coalesce(canonical, name) AS name FROM item LEFT JOIN al ON lower(item.name) = lower(al.raw)),
+one AS (SELECT asset_id, lower(name) AS lc, min(pos) AS pos, first(name ORDER BY pos) AS name FROM named GROUP BY 1, 2),
+canon AS (SELECT asset_id, string_agg(name, '|' ORDER BY pos) AS people FROM one GROUP BY asset_id)"""
+
+
+@query(f"WITH {CANON} SELECT asset_id, coalesce(people, '') AS people FROM fx_assets LEFT JOIN canon USING (asset_id)")
+def canonical_names(t):
+    p = _people(t)
+    aliases = names.build_aliases(p, F.col("people"), t("fx_vocab")).select(F.lower("raw").alias("raw_lc"), "canonical")
+    return names.canonicalize(p, "asset_id", "people", aliases).select("asset_id", joined("people"))
+
+
+@query(f"WITH {CANON} SELECT asset_id, array_to_string({P}, '|') AS old, people AS new FROM fx_assets JOIN canon USING (asset_id) WHERE array_to_string({P}, '|') <> people ORDER BY asset_id LIMIT 15")
+def alias_backfill_preview(t):
+    p = _people(t)
+    aliases = names.build_aliases(p, F.col("people"), t("fx_vocab")).select(F.lower("raw").alias("raw_lc"), "canonical")
+    return names.backfill_preview(p, "asset_id", "people", aliases).select("asset_id", joined("old"), joined("new"))
+
+
+@query(f"""
+WITH v AS (SELECT lower(name) AS lc, min(name) AS listed FROM fx_vocab GROUP BY 1),
+said AS (SELECT asset_id, substr(date, 1, 4) AS y, lower(name) AS lc, listed FROM (SELECT asset_id, date, unnest({P}) AS name FROM fx_assets) s LEFT JOIN v ON lower(s.name) = v.lc),
+st AS (SELECT lc, count(*) AS n, min(y) AS first_year, max(y) AS last_year FROM said WHERE listed IS NULL GROUP BY lc HAVING count(*) >= 5),
+pr AS (SELECT a.lc, b.listed, count(*) AS c FROM said a JOIN said b USING (asset_id) WHERE a.listed IS NULL AND b.listed IS NOT NULL GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY lc ORDER BY c DESC, listed) AS r FROM pr),
+sw AS (SELECT lc, string_agg(listed || ' ' || c, ', ' ORDER BY r) AS seen_with FROM rk WHERE r <= 3 GROUP BY lc),
+sg AS (SELECT regexp_replace(lower(name), '[^a-z]', '', 'g') AS letters, min(name) AS suggestion FROM fx_vocab GROUP BY 1)
+SELECT st.lc AS name, n, first_year, last_year, seen_with, suggestion FROM st LEFT JOIN sw USING (lc) LEFT JOIN sg ON regexp_replace(st.lc, '[^a-z]', '', 'g') = sg.letters""")
+def review_names(t):
+    return names.review_names(_people(t), "asset_id", F.col("people"), "date", t("fx_vocab"), 5)
+
+
+@query("""
+WITH v AS (SELECT lower(name) AS lc, min(name) AS name FROM fx_vocab GROUP BY 1),
+q AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN concat('PERSON ', c_custkey % 20) WHEN c_custkey % 3 = 1 THEN concat('person ', c_custkey % 15, ' smith') ELSE c_name END AS name FROM customer)
+SELECT k, q.name, v.name AS match FROM q JOIN v ON lower(q.name) = v.lc
+UNION ALL SELECT k, q.name, min(v.name) FROM q JOIN v ON contains(lower(q.name), v.lc) OR contains(v.lc, lower(q.name)) WHERE lower(q.name) NOT IN (SELECT lc FROM v) GROUP BY 1, 2""")
+def resolve_names(t):
+    k = F.col("c_custkey")
+    q = t("customer").select(k.alias("k"), F.when(k % 3 == 0, F.concat(F.lit("PERSON "), (k % 20).cast("string"))).when(k % 3 == 1, F.concat(F.lit("person "), (k % 15).cast("string"), F.lit(" smith"))).otherwise(F.col("c_name")).alias("name"))
+    return names.resolve_names(q, "k", "name", t("fx_vocab"))
+
+
+@query()
+def resolve_query_log(t):
+    """Parsed queries made from conversations: years, people, scene and terms per row."""
+    c = t("conversations")
+    log = c.select(
+        F.concat_ws("-", "conv_id", "turn").alias("k"), "text", F.substring("text", 1, 60).alias("q"),
+        F.when(F.col("turn") % 2 == 0, (F.col("conv_id") % 40 + 1990).cast("string")).otherwise("19xx").alias("year"),
+        F.lit("1990").alias("year_from"), F.when(F.col("turn") % 3 == 0, "1999").otherwise("").alias("year_to"),
+        F.array(F.concat(F.lit("person "), (F.col("conv_id") % 30).cast("string"))).alias("persons"), F.split("text", " ").alias("terms"), F.col("role").alias("scene"),
+    )
+    out = names.resolve_query_log(log, "k", t("fx_vocab"), t("nation").select(F.lower("n_name").alias("name")).union(c.select("role").distinct()))
+    return out.select("k", "year", "year_from", "year_to", joined("persons"), "scene", F.size("terms").alias("n_terms"), "q")
+
+
+# --- snapshots ------------------------------------------------------------------------
+
+
+def _old_new(t):
+    key = tc.change_key(F.col("o_custkey"), F.col("o_orderstatus"))
+    return t("fx_orders_old").select("o_orderkey", key.alias("changekey")), t("orders").select("o_orderkey", key.alias("changekey"), F.date_format("o_orderdate", "yyyy").alias("year"))
+
+
+DIFF = "d AS (SELECT n.o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'new' ELSE 'changed' END AS kind, strftime(n.o_orderdate, '%Y') AS year FROM orders n LEFT JOIN fx_orders_old o USING (o_orderkey) WHERE o.o_orderkey IS NULL OR n.o_orderstatus IS DISTINCT FROM o.o_orderstatus OR n.o_custkey IS DISTINCT FROM o.o_custkey)"
+
+
+@query("""SELECT o.o_orderkey, strftime(o_orderdate, '%Y') AS year, coalesce(n, 0) AS lines, coalesce(r, 0) AS returns FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1) l ON l.l_orderkey = o.o_orderkey""")
+def build_manifest(t):
+    li = t("lineitem")
+    out = snapshots.build_manifest(t("orders"), "o_orderkey", F.date_format("o_orderdate", "yyyy"), ["o_orderstatus"], {"lines": (li, "l_orderkey"), "returns": (li.where("l_returnflag = 'R'"), "l_orderkey")})
+    return out.select("o_orderkey", "year", "lines", "returns")
+
+
+@query(f"WITH {DIFF} SELECT o_orderkey, kind FROM d")
+def diff_snapshots(t):
+    old, new = _old_new(t)
+    return snapshots.diff_snapshots(old, new, "o_orderkey")
+
+
+@query("""SELECT o_orderkey, 'deleted' AS kind FROM orders WHERE o_orderkey % 17 = 0""")
+def diff_deleted(t):
+    old, new = _old_new(t)
+    return snapshots.diff_snapshots(new, old, "o_orderkey", deleted=True).where("kind = 'deleted'")
+
+
+@query(f"WITH {DIFF} SELECT (SELECT count(*) FROM orders) AS assets, (SELECT count(*) FROM fx_orders_old) AS prior, (SELECT count(*) FROM d) AS changed")
+def diff_summary(t):
+    old, new = _old_new(t)
+    return snapshots.diff_summary(old, new, snapshots.diff_snapshots(old, new, "o_orderkey"))
+
+
+@query(f"WITH {DIFF} SELECT CASE WHEN year IN ('1994', '1995', '1996', '1997') THEN year END AS \"window\", count(*) AS n FROM d GROUP BY 1")
+def group_changed(t):
+    old, new = _old_new(t)
+    d = snapshots.diff_snapshots(old, new, "o_orderkey").join(new, "o_orderkey")
+    return snapshots.group_sizes(snapshots.group_changed(d, "o_orderkey", F.col("year"), ["pre1980", "1994", "1995", "1996", "1997"]))
+
+
+@query(f"WITH {DIFF}, f AS (SELECT o_orderkey FROM d ORDER BY 1 LIMIT 50) SELECT (SELECT count(*) FROM d) AS n, (SELECT string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY CAST(o_orderkey AS VARCHAR)) FROM f) || CASE WHEN (SELECT count(*) FROM d) > 50 THEN '…' ELSE '' END AS keys")
+def audit_line(t):
+    old, new = _old_new(t)
+    return snapshots.audit_line(snapshots.diff_snapshots(old, new, "o_orderkey"), "o_orderkey", F.lit("now")).select("n", "keys")
+
+
+# --- merges ------------------------------------------------------------------------------
+
+
+@query("""SELECT coalesce(b.asset_id, n.asset_id) AS asset_id, CASE WHEN b.asset_id IS NULL THEN n.cc ELSE coalesce(b.place_name, n.name) END AS place_name, coalesce(n.cc, b.place_source) AS place_source FROM fx_assets b FULL JOIN fx_places n USING (asset_id) WHERE b.asset_id IS NOT NULL UNION ALL SELECT asset_id, name, cc FROM fx_places WHERE asset_id NOT IN (SELECT asset_id FROM fx_assets)""")
+def upsert_fill_null(t):
+    base = t("fx_assets").select("asset_id", "place_name", "place_source")
+    new = t("fx_places").select("asset_id", F.col("name").alias("place_name"), F.col("cc").alias("place_source"))
+    return merge.upsert_fill_null(base, new, "asset_id", ["place_name"], ["place_source"])
+
+
+@query("""SELECT coalesce(b.asset_id, n.asset_id) AS asset_id, CASE WHEN n.asset_id IS NOT NULL THEN n.name ELSE b.place_name END AS place_name FROM fx_assets b FULL JOIN fx_places n ON b.asset_id = n.asset_id""")
+def upsert_overwrite(t):
+    return merge.upsert_overwrite(t("fx_assets").select("asset_id", "place_name"), t("fx_places").select("asset_id", F.col("name").alias("place_name")), "asset_id")
+
+
+PLACED = "ps AS (SELECT p.*, CASE WHEN a.asset_id IS NULL THEN 'unknown' WHEN a.place_source = 'manual' THEN 'protected' WHEN p.name = '' THEN 'empty' ELSE 'updated' END AS status FROM fx_places p LEFT JOIN fx_assets a USING (asset_id))"
+
+
+@query(f"WITH {PLACED} SELECT status, count(*) AS n FROM ps GROUP BY 1")
+def place_outcomes(t):
+    return stats.run_counters(merge.place_status(t("fx_assets"), t("fx_places"), "asset_id"), "status")
+
+
+@query(f"WITH {PLACED} SELECT a.asset_id, coalesce(ps.name, a.place_name) AS place_name, CASE WHEN ps.name IS NOT NULL THEN 'apple' ELSE a.place_source END AS place_source FROM fx_assets a LEFT JOIN (SELECT * FROM ps WHERE status = 'updated') ps USING (asset_id)")
+def merge_places(t):
+    return merge.merge_places(t("fx_assets"), t("fx_places"), "asset_id").select("asset_id", "place_name", "place_source")
+
+
+@query("""SELECT a.asset_id, CASE WHEN r.asset_id IS NOT NULL AND a.edited_fields = '[]' THEN r.description ELSE a.description END AS description, CASE WHEN r.asset_id IS NOT NULL THEN r.tags ELSE a.tags END AS tags, CASE WHEN r.asset_id IS NOT NULL THEN 1 ELSE a.state END AS state FROM fx_assets a LEFT JOIN fx_results r USING (asset_id)""")
+def merge_enrichment(t):
+    out = merge.merge_enrichment(t("fx_assets"), t("fx_results"), "asset_id", ["description", "tags"], {"state": F.lit(1)})
+    return out.select("asset_id", "description", "tags", "state")
+
+
+@query("""SELECT asset_id, CASE WHEN asset_id % 5 = 0 THEN substr(description, 1, 500) END AS error, state FROM fx_assets""")
+def merge_failures(t):
+    a = t("fx_assets")
+    bad = a.where("asset_id % 5 = 0").select("asset_id", F.col("description").alias("reason"))
+    return merge.merge_failures(a, bad, "asset_id").select("asset_id", "error", "state")
+
+
+@query("""SELECT asset_id, CASE WHEN asset_id % 5 = 0 THEN 'failed' ELSE description END AS description, CASE WHEN asset_id % 5 = 0 THEN 2 ELSE state END AS state FROM fx_assets""")
+def merge_failures_legacy(t):
+    a = t("fx_assets")
+    bad = a.where("asset_id % 5 = 0").select("asset_id", F.lit("failed").alias("reason"))
+    return merge.merge_failures(a, bad, "asset_id", into_description=True, state=2).select("asset_id", "description", "state")
+
+
+@query("""SELECT asset_id, CASE WHEN asset_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 2 ELSE state END AS state FROM fx_assets""")
+def mark_skipped(t):
+    skips = t("labels").where("toxic = 1").select(F.col("doc_id").alias("asset_id"))
+    return merge.mark_skipped(t("fx_assets"), skips, "asset_id").select("asset_id", "state")
+
+
+@query("""SELECT asset_id, CASE WHEN media_type = 'video' AND state = 0 THEN -1 ELSE state END AS state FROM fx_assets""")
+def move_video_state(t):
+    return merge.move_state(t("fx_assets"), F.col("media_type") == "video", 0, -1).select("asset_id", "state")
+
+
+EDITS = "e AS (SELECT * FROM fx_edits WHERE date <> '2001-02-30')"
+
+
+@query(f"""WITH {EDITS} SELECT a.asset_id, coalesce(e.date, a.date) AS date, CASE WHEN e.place_name IS NOT NULL THEN nullif(e.place_name, '') ELSE a.place_name END AS place_name,
+  CASE WHEN e.place_name = '' THEN NULL WHEN e.place_name IS NOT NULL THEN 'manual' ELSE a.place_source END AS place_source,
+  CASE WHEN e.asset_id IS NULL THEN a.edited_fields ELSE '[' || array_to_string(list_transform(list_sort(list_concat(CASE WHEN a.edited_fields = '[]' THEN [] ELSE ['description'] END, CASE WHEN e.place_name IS NULL THEN ['date'] ELSE ['date', 'place_name'] END)), lambda x: '"' || x || '"'), ',') || ']' END AS edited_fields
+FROM fx_assets a LEFT JOIN e USING (asset_id)""")
+def apply_edits(t):
+    good, _ = merge.apply_edits(t("fx_assets"), t("fx_edits"), "asset_id")
+    return good.select("asset_id", "date", "place_name", "place_source", "edited_fields")
+
+
+@query("""SELECT asset_id, 'bad date' AS reason FROM fx_edits WHERE date = '2001-02-30'""")
+def rejected_edits(t):
+    return merge.apply_edits(t("fx_assets"), t("fx_edits"), "asset_id")[1].select("asset_id", "reason")
+
+
+@query("""SELECT asset_id FROM fx_assets WHERE asset_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""")
+def delete_with_tombstones(t):
+    a = t("fx_assets")
+    gone = t("labels").where("quality = 0").select(F.col("doc_id").alias("asset_id"))
+    stones = a.where("false").select("asset_id", F.lit("x").alias("at"), F.lit("x").alias("reason"))
+    return merge.tombstone(a, gone, "asset_id", stones, F.lit("now"), "removed")[1].select("asset_id")
+
+
+@query("""SELECT e.asset_id, CASE WHEN e.date IS DISTINCT FROM a.date THEN e.date END AS date, CASE WHEN e.place_name IS DISTINCT FROM a.place_name THEN e.place_name END AS place_name FROM fx_edits e JOIN fx_assets a USING (asset_id) WHERE (e.date IS DISTINCT FROM a.date AND e.date IS NOT NULL) OR (e.place_name IS DISTINCT FROM a.place_name AND e.place_name IS NOT NULL)""")
+def changed_fields(t):
+    return merge.changed_fields(t("fx_assets"), t("fx_edits"), "asset_id")
+
+
+@query("""SELECT asset_id, state FROM (SELECT asset_id, CASE WHEN asset_id % 5 = 0 THEN 9 ELSE state END AS state FROM fx_assets)""")
+def latest_wins(t):
+    a = t("fx_assets").select("asset_id", "state", F.lit(1).alias("v"))
+    return merge.latest_wins([a, t("fx_results").select("asset_id", F.lit(9).alias("state"), F.lit(2).alias("v"))], "asset_id", "v").select("asset_id", "state")
+
+
+@query("""SELECT asset_id, place_name FROM fx_assets WHERE asset_id NOT IN (SELECT asset_id FROM fx_places) UNION ALL SELECT asset_id, name FROM fx_places""")
+def keyed_union(t):
+    return merge.right_wins(t("fx_assets").select("asset_id", "place_name"), t("fx_places").select("asset_id", F.col("name").alias("place_name")), "asset_id")
+
+
+@query("""SELECT asset_id, coalesce(gps_lat, 1.5) AS gps_lat, coalesce(gps_lon, 2.5) AS gps_lon FROM fx_assets WHERE gps_lat IS NOT NULL OR asset_id % 2 = 1""")
+def fill_coordinates(t):
+    a = t("fx_assets")
+    found = a.where("asset_id % 2 = 1").select("asset_id", F.lit(1.5).alias("gps_lat"), F.lit(2.5).alias("gps_lon"))
+    return merge.fill_coordinates(a, found, "asset_id").where("gps_lat is not null").select("asset_id", "gps_lat", "gps_lon")
+
+
+# --- geo ---------------------------------------------------------------------------------
+
+METRES = "sqrt(pow((p.gps_lat - o.gps_lat) * 111320.0, 2) + pow((p.gps_lon - o.gps_lon) * 111320.0 * cos(radians((p.gps_lat + o.gps_lat) / 2)), 2))"
+
+
+@query(f"""
+WITH l AS (SELECT gps_lat, gps_lon, min(asset_id) AS k, first(place_name ORDER BY asset_id) AS place_name FROM fx_assets WHERE place_name IS NOT NULL AND coalesce(place_source, '') <> 'nearby' AND gps_lat IS NOT NULL GROUP BY 1, 2),
+n AS (SELECT o.asset_id, first(p.place_name ORDER BY {METRES}, p.k) AS name FROM fx_assets o JOIN l p ON abs(p.gps_lat - o.gps_lat) < 0.002 AND {METRES} <= 100 WHERE o.place_name IS NULL GROUP BY 1)
+SELECT asset_id, coalesce(place_name, name) AS place_name, CASE WHEN place_name IS NULL AND name IS NOT NULL THEN 'nearby' ELSE place_source END AS place_source FROM fx_assets LEFT JOIN n USING (asset_id)""")
+def nearest_fill(t):
+    return geo.nearest_fill(t("fx_assets"), "asset_id", 100.0).select("asset_id", "place_name", "place_source")
+
+
+@query("""SELECT asset_id, CASE WHEN place_source IS DISTINCT FROM 'nearby' THEN place_name END AS place_name FROM fx_assets""")
+def revert_nearby(t):
+    return geo.revert_nearby(t("fx_assets")).select("asset_id", "place_name")
+
+
+ARC = "2 * asin(sqrt(least(1.0, pow(sin(radians(c.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - s.lon) / 2), 2))))"
+CELLS = "cells AS (SELECT substr(date, 1, 4) AS yr, round(gps_lat, 2) AS lat, round(gps_lon, 2) AS lon, count(*) AS cnt FROM fx_assets WHERE gps_lat IS NOT NULL AND date IS NOT NULL GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {CELLS} SELECT yr, lat, lon, cnt FROM cells WHERE cnt >= 2")
+def location_cells(t):
+    return geo.location_cells(t("fx_assets"), 2)
+
+
+@query(f"""
+WITH {CELLS}, s AS (SELECT DISTINCT lat, lon FROM cells),
+nr AS (SELECT s.lat, s.lon, first(c.city ORDER BY {ARC}, c.city) AS city, first(c.cc ORDER BY {ARC}, c.city) AS cc FROM s, fx_cities c GROUP BY 1, 2),
+ct AS (SELECT yr, cc, city, CAST(sum(cnt) AS BIGINT) AS n FROM cells JOIN nr USING (lat, lon) GROUP BY 1, 2, 3),
+rk AS (SELECT *, row_number() OVER (PARTITION BY yr, cc ORDER BY n DESC, city) AS r FROM ct),
+tp AS (SELECT yr, cc, string_agg(city, '|' ORDER BY r) AS top_cities FROM rk WHERE r <= 5 GROUP BY 1, 2)
+SELECT yr, cc, CAST(sum(n) AS BIGINT) AS n, top_cities, CAST(row_number() OVER (PARTITION BY yr ORDER BY sum(n) DESC, cc) AS INTEGER) AS rank FROM ct JOIN tp USING (yr, cc) GROUP BY yr, cc, top_cities""")
+def location_summary(t):
+    return geo.location_summary(geo.location_cells(t("fx_assets")), t("fx_cities"))
+
+
+@query("""SELECT round(gps_lat, 5) AS lat, round(gps_lon, 5) AS lon, count(*) AS n, array_to_string(list_sort(list(asset_id))[:200], '|') AS members, greatest(count(*) - 200, 0) AS more FROM fx_assets WHERE gps_lat IS NOT NULL GROUP BY 1, 2""")
+def colocated_points(t):
+    out = geo.colocate(t("fx_assets"), "asset_id")
+    return out.withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), "|"))
+
+
+@query("""
+WITH a AS (SELECT gps_lat, (gps_lon + 180.0) / 360.0 * 4096 AS px, (0.5 - ln((1 + sin(radians(greatest(least(gps_lat, 85.05112878), -85.05112878)))) / (1 - sin(radians(greatest(least(gps_lat, 85.05112878), -85.05112878))))) / (4 * pi())) * 4096 AS py FROM fx_assets WHERE gps_lat IS NOT NULL)
+SELECT CAST(floor(px / 40) AS BIGINT) AS gx, CAST(floor(py / 40) AS BIGINT) AS gy, count(*) AS n, round(avg(gps_lat), 6) AS lat, CASE WHEN count(*) > 100 THEN 'large' WHEN count(*) > 20 THEN 'medium' ELSE 'small' END AS size FROM a GROUP BY 1, 2""")
+def cluster_points(t):
+    return geo.cluster_points(t("fx_assets"), 4).select("gx", "gy", "n", F.round("lat", 6).alias("lat"), "size")
+
+
+# --- relational catalogue ----------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""")
+def star_join(t):
+    return catalog.star_join(t("orders"), t("customer").withColumn("n_nationkey", F.col("c_nationkey")), t("nation"), "o_custkey", "c_custkey", "n_nationkey").select("o_orderkey", "c_name", "n_name")
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_partkey, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey) AS rn FROM lineitem WHERE l_discount >= 0.05)
+SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), '|' ORDER BY rn) AS labels FROM r WHERE rn <= 8 GROUP BY 1""")
+def top_labels(t):
+    out = catalog.top_labels(t("lineitem").where("l_discount >= 0.05"), "l_orderkey", "l_partkey", "l_extendedprice", 8)
+    return out.select("l_orderkey", F.array_join(F.transform("labels", lambda x: x.cast("string")), "|").alias("labels"))
+
+
+@query("""SELECT l_orderkey, string_agg(l_shipmode, '|' ORDER BY o, l_shipmode) AS names FROM (SELECT l_orderkey, l_returnflag AS l_shipmode, min(l_linenumber) AS o FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
+def names_in_order(t):
+    out = catalog.names_in_order(t("lineitem"), "l_orderkey", "l_returnflag", "l_linenumber")
+    return out.select("l_orderkey", joined("names"))
+
+
+@query("""SELECT o_orderkey, string_agg(p_name, '|' ORDER BY p_name) AS names FROM (SELECT l_orderkey AS o_orderkey, p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 25) GROUP BY 1""")
+def related_names(t):
+    parents = t("part").where("p_size > 25").withColumnRenamed("p_partkey", "l_partkey")
+    links = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    return catalog.related_names(links, parents, "o_orderkey", "l_partkey", "p_name").select("o_orderkey", joined("names"))
+
+
+@query("""SELECT s_suppkey, coalesce(n, 0) AS members FROM supplier LEFT JOIN (SELECT l_suppkey, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_quantity > 49 GROUP BY 1) l ON l_suppkey = s_suppkey""")
+def membership_counts(t):
+    links = t("lineitem").where("l_quantity > 49").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey"))
+    return catalog.membership_counts(links, t("supplier").select("s_suppkey"), "l_orderkey", "s_suppkey")
+
+
+@query("""SELECT c_custkey, coalesce(r_name, 'scene_' || c_nationkey) AS label FROM customer LEFT JOIN region ON r_regionkey = c_nationkey""")
+def coded_labels(t):
+    dim = t("region").select(F.col("r_regionkey").alias("c_nationkey"), F.col("r_name").alias("label"))
+    return catalog.coded_labels(t("customer"), "c_nationkey", dim).select("c_custkey", "label")
+
+
+@query("""SELECT l_orderkey, l_linenumber, s_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND s_name <> ''""")
+def visible_faces(t):
+    faces = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("person"), F.when(F.col("l_returnflag") != "R", 1).alias("hidden"), F.when(F.col("l_linestatus") != "F", 1).alias("in_trash"))
+    return catalog.visible_faces(faces, t("supplier").withColumnRenamed("s_suppkey", "person"), "person", "s_name").select("l_orderkey", "l_linenumber", "s_name")
+
+
+@query("""
+WITH f AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '/m/A' || page_id || '.JPG' WHEN page_id % 3 = 1 THEN '/m/a' || page_id || '.jpg' ELSE '/m/A' || page_id || '.mov' END AS path FROM pages WHERE page_id % 7 <> 0)
+SELECT p.page_id, path, CASE WHEN path IS NULL THEN NULL WHEN p.page_id % 3 < 2 THEN p.page_id % 3 ELSE 2 END AS level FROM pages p LEFT JOIN f USING (page_id)""")
+def resolve_files(t):
+    k = F.col("page_id").cast("string")
+    p = t("pages").select("page_id", F.concat(F.lit("A"), k, F.lit(".JPG")).alias("filename"))
+    path = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/m/A"), k, F.lit(".JPG"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("/m/a"), k, F.lit(".jpg"))).otherwise(F.concat(F.lit("/m/A"), k, F.lit(".mov")))
+    return catalog.resolve_files(p, p.where("page_id % 7 <> 0").select(path.alias("path")), "page_id", "filename").select("page_id", "path", F.col("level").cast("int").alias("level"))
+
+
+@query("""SELECT path, stem FROM (SELECT stem, first(path ORDER BY NOT ext IN ('jpg', 'png'), path) AS path FROM (SELECT upper('s' || page_id % 50) AS stem, CASE page_id % 3 WHEN 0 THEN 'mov' WHEN 1 THEN 'jpg' ELSE 'png' END AS ext, '/m/' || page_id || '/s' || page_id % 50 || '.' || CASE page_id % 3 WHEN 0 THEN 'mov' WHEN 1 THEN 'jpg' ELSE 'png' END AS path FROM pages) GROUP BY stem)""")
+def preferred_file(t):
+    k = F.col("page_id")
+    ext = F.when(k % 3 == 0, "mov").when(k % 3 == 1, "jpg").otherwise("png")
+    s = F.concat(F.lit("s"), (k % 50).cast("string"))
+    files = t("pages").select(F.upper(s).alias("stem"), F.concat(F.lit("/m/"), k.cast("string"), F.lit("/"), s, F.lit("."), ext).alias("path"))
+    return ingest.preferred_file(files)
+
+
+@query("""SELECT asset_id, CASE WHEN asset_id % 4 = 0 THEN '["a","b"]' WHEN asset_id % 4 = 1 THEN '["a"]' ELSE 'oops' END AS tags, CASE WHEN asset_id % 4 = 0 THEN 'updated' WHEN asset_id % 4 = 1 THEN 'unchanged' ELSE 'unparseable' END AS status FROM fx_assets""")
+def clean_people_tags(t):
+    k = F.col("asset_id") % 4
+    a = t("fx_assets").select("asset_id", F.when(k == 0, '["a","People:3","b"]').when(k == 1, '["a"]').otherwise("oops").alias("tags"))
+    return catalog.clean_people_tags(a, "asset_id", "tags")
+
+
+@query("""SELECT asset_id, coalesce(nullif(concat_ws(', ', place_name, media_type), ''), '') AS label, substr(description, 1, 200) AS short FROM fx_assets""")
+def legacy_listing(t):
+    a = t("fx_assets").withColumns({"guess": F.lit(""), "city": F.col("place_name"), "country": F.col("media_type")})
+    return catalog.legacy_listing(a).select("asset_id", "label", "short")
+
+
+# --- metadata comparison -------------------------------------------------------------------
+
+
+def _part_maps(t):
+    p = t("part")
+    old = p.select("p_partkey", F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type")).alias("m"), F.col("p_size").cast("long").alias("bytes"))
+    brand = F.when(F.col("p_partkey") % 5 == 0, "other").otherwise(F.col("p_brand"))
+    new = p.select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.create_map(F.lit("brand"), brand)).otherwise(F.create_map(F.lit("brand"), brand, F.lit("type"), F.col("p_type"))).alias("m"))
+    return stats.compare_metadata(old, new, "p_partkey", "m", "bytes")
+
+
+@query("""SELECT p_partkey, p_partkey % 5 = 0 OR p_partkey % 7 = 0 AS changed, concat_ws('|', CASE WHEN p_partkey % 5 = 0 THEN 'brand' END, CASE WHEN p_partkey % 7 = 0 THEN 'type' END) AS diff_keys FROM part""")
+def compare_metadata(t):
+    return _part_maps(t).select("p_partkey", "changed", joined("diff_keys"))
+
+
+@query("""SELECT count(*) AS rows, count(*) FILTER (p_partkey % 5 = 0 OR p_partkey % 7 = 0) AS changed, CAST(sum(CASE WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN p_size ELSE 0 END) AS BIGINT) AS bytes, count(*) FILTER (p_partkey % 5 = 0 OR p_partkey % 7 = 0) / count(*) AS ratio FROM part""")
+def predicted_rewrites(t):
+    return stats.predicted_rewrites(_part_maps(t), "p_partkey", "bytes")
+
+
+@query("""SELECT field, n FROM (SELECT 'brand' AS field, count(*) AS n FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT 'type', count(*) FROM part WHERE p_partkey % 7 = 0)""")
+def differing_keys(t):
+    return stats.differing_keys(_part_maps(t))
+
+
+WORDS = "list_distinct(string_split(text, ' '))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, unnest({WORDS}) AS w FROM documents), b AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM benchmark)
+SELECT doc_id, count(*) AS n, min(w) AS first_word, max(w) AS last_word FROM d WHERE w NOT IN (SELECT w FROM b) GROUP BY doc_id""")
+def keywords_without_names(t):
+    d = t("documents").select("doc_id", F.split("text", " ").alias("words"), F.array().cast("array<string>").alias("people"))
+    b = t("benchmark").select(F.lit(None).cast("long").alias("doc_id"), F.array().cast("array<string>").alias("words"), F.split("text", " ").alias("people"))
+    out = stats.keywords_without_names(d.unionByName(b), "doc_id", "words", "people")
+    return out.select("doc_id", F.size("words").cast("long").alias("n"), F.array_min("words").alias("first_word"), F.array_max("words").alias("last_word"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN array_to_string(list_sort(list_distinct(['kept', lang, source])), '|') ELSE array_to_string(list_sort(list_distinct([lang, source])), '|') END AS words FROM documents""")
+def carry_forward_keywords(t):
+    d = t("documents")
+    stored = d.where("doc_id % 2 = 0").select("doc_id", F.array(F.lit("kept"), F.col("lang")).alias("words"))
+    return stats.carry_forward(d.select("doc_id", F.array("lang", "source").alias("words")), stored, "doc_id", "words").select("doc_id", joined("words"))
+
+
+@query("""SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def rows_without_file(t):
+    return stats.rows_without(t("documents"), t("labels"), "doc_id").select("doc_id")
+
+
+# --- scalar columns --------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, upper(regexp_extract(name, '^([0-9A-Fa-f]{8})', 1)) AS head, CASE WHEN ext = 'jpeg' THEN 'JPG' ELSE upper(ext) END AS ext, CASE WHEN ext IN ('mov', 'mp4') THEN 'video' ELSE 'image' END AS media FROM (
+  SELECT event_id, substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS name, CASE event_id % 4 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'mov' WHEN 2 THEN 'png' ELSE 'mp4' END AS ext FROM events)""")
+def scalar_names(t):
+    h = F.md5(F.col("event_id").cast("string"))
+    uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    k = F.col("event_id") % 4
+    ext = F.when(k == 0, ".jpeg").when(k == 1, "mov").when(k == 2, ".PNG").otherwise(".mp4")
+    return t("events").select("event_id", F.substring(tc.uuid_of(F.concat(uuid, F.lit(".x.json"))), 1, 8).alias("head"), tc.norm_ext(ext).alias("ext"), tc.media_class(ext).alias("media"))
+
+
+@query("""
+WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d, CASE WHEN o_orderkey % 3 = 0 THEN '+02:00' ELSE '' END AS off FROM orders)
+SELECT o_orderkey, d AS date, CASE WHEN d IS NOT NULL THEN '08:09:10' END AS time, d || 'T08:09:10' || off AS iso, '2001-02-03' || substr(d || 'T08:09:10' || off, 11) AS moved FROM s""")
+def scalar_dates(t):
+    k = F.col("o_orderkey")
+    text = F.when(k % 5 == 0, "2023:02:30 08:09:10").otherwise(F.concat(F.date_format("o_orderdate", "yyyy:MM:dd"), F.lit(" 08:09:10")))
+    off = F.when(k % 3 == 0, "+02:00")
+    out = t("orders").select("o_orderkey", tc.parse_exif_ts(text, off).alias("p"))
+    return out.select("o_orderkey", "p.date", "p.time", "p.iso", tc.retime_iso(F.col("p.iso"), F.lit("2001-02-03")).alias("moved"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS lat, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(-p_size AS DOUBLE) - 0.5 END AS lon, CASE WHEN p_partkey % 4 <> 0 THEN 'N' END AS lat_ref, CASE WHEN p_partkey % 4 <> 0 THEN 'W' END AS lon_ref FROM part""")
+def scalar_coordinates(t):
+    k, s = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    first = F.when(k == 1, F.concat(s, F.lit(" -"), s, F.lit(".5 12"))).when(k == 2, F.lit("999 1")).otherwise(F.lit("0 0"))
+    second = F.when(k >= 2, F.concat(F.lit("+"), s, F.lit("-"), s, F.lit(".5+9/")))
+    out = t("part").select("p_partkey", tc.parse_coord_text(first, second).alias("c")).select("p_partkey", "c.lat", "c.lon")
+    return out.withColumns({"lat_ref": tc.ref_letter(F.col("lat"), "N", "S"), "lon_ref": tc.ref_letter(F.col("lon"), "E", "W")})
+
+
+@query("""
+SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, date_diff('second', TIMESTAMP '2001-01-01', TIMESTAMP '2001-01-01' + to_seconds(event_id * 86400)) AS secs, CAST(year(TIMESTAMP '2001-01-01' + to_seconds(event_id * 86400)) AS VARCHAR) AS year FROM events""")
+def scalar_json_epoch(t):
+    x = F.col("event_id") * 86400
+    return t("events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "int").alias("k"), (F.unix_seconds(tc.seconds_2001(x)) - tc.EPOCH_2001).alias("secs"), tc.year_2001(x).alias("year"))
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Park, Town, MA' WHEN 1 THEN 'Town, Land' WHEN 2 THEN 'raw' ELSE 'Town, Land' END AS place, CASE WHEN c_custkey % 3 = 0 THEN 3 ELSE 0 END AS people, regexp_replace(lower(c_name), '[^a-z]', '', 'g') AS letters, 'Cafe (confidence: 13%)' AS guess, 'Cafe' AS bare FROM customer""")
+def scalar_display(t):
+    k = F.col("c_custkey") % 4
+    us = k == 0
+    aoi = F.when(us, "Park").when(k == 3, "TOWN").when(k == 1, " ")
+    city = F.when(k != 2, F.when(k == 3, F.lit("Town")).otherwise(F.lit("Town")))
+    place = tc.display_place(F.when(k == 3, F.lit("Town")).otherwise(aoi), F.when(k == 3, F.lit("town")).otherwise(city), F.lit("MA"), F.when(k != 2, "Land"), F.when(us, "US").otherwise("FR"), F.lit("raw"))
+    count = F.when(F.col("c_custkey") % 3 == 0, "3 people").otherwise("many")
+    guess = tc.location_guess(F.array(F.lit("Cafe"), F.lit(None)), F.lit("0.125"))
+    return t("customer").select("c_custkey", place.alias("place"), tc.leading_int(count).alias("people"), tc.letters_only(F.col("c_name")).alias("letters"), guess.alias("guess"), tc.without_confidence(guess).alias("bare"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || '-150144.jpg' AS share, CASE WHEN CAST(strftime(o_orderdate, '%Y') AS INTEGER) IN (1995, 1996) THEN strftime(o_orderdate, '%Y') END AS win, CASE WHEN CAST(strftime(o_orderdate, '%Y') AS INTEGER) IN (1995, 1996) THEN strftime(o_orderdate, '%Y') || '-01-01' END AS win_from FROM orders""")
+def scalar_windows(t):
+    y = F.date_format("o_orderdate", "yyyy")
+    w = tc.year_window(y, ["pre1980", "1995", "1996"])
+    share = tc.share_name(F.lit("KEY"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("15:01:44"), F.lit("jpg"))
+    return t("orders").select("o_orderkey", share.alias("share"), w.alias("win"), F.date_format(tc.window_bounds(w)["from_date"], "yyyy-MM-dd").alias("win_from"))
+
+
+@query("""SELECT doc_id, concat(lang, '|b c|', source) AS cleaned, concat('x|', source, '|x') AS minus FROM documents""")
+def scalar_lists(t):
+    a = F.array(F.concat(F.lit("  "), F.col("lang")), F.lit("b \t c"), F.lit("B C"), F.lit(" "), F.col("source"))
+    m = F.array(F.lit("x"), F.upper(F.concat(F.lit(" "), F.col("lang"))), F.col("source"), F.lit("x"))
+    return t("documents").select("doc_id", F.array_join(tc.clean_list(a), "|").alias("cleaned"), F.array_join(tc.minus_ci(m, F.array("lang")), "|").alias("minus"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'Parse Errors' END AS cleaned, CASE WHEN doc_id % 3 = 0 THEN 'none' ELSE 'parse error' END AS legacy, 'banana trip' AS without_names FROM documents""")
+def scalar_texts(t):
+    k = F.col("doc_id") % 3 == 0
+    q = F.lit("banana, Ana trip , SMITH")
+    return t("documents").select("doc_id", tc.clean_text(F.when(k, F.lit(" Parse Error ")).otherwise(F.lit("Parse Errors"))).alias("cleaned"), tc.text_or(F.when(k, F.lit("bad")).otherwise(F.lit("parse error")), F.lit("none"), ["bad"]).alias("legacy"), F.regexp_replace(tc.without_words(q, F.array(F.lit("Ana Smith"))), ",", "").alias("without_names"))
+
+
+@query("""SELECT asset_id, CASE WHEN date IS NULL THEN '' ELSE 'Date taken: ' || date || chr(10) END || CASE WHEN place_name IS NOT NULL THEN 'place' WHEN gps_lat IS NOT NULL THEN 'gps' ELSE '' END AS head FROM fx_assets""")
+def context_lines(t):
+    c = replies.build_context(t("fx_assets"))
+    kind = F.when(F.contains("context", F.lit("Location (")), "place").when(F.contains("context", F.lit("GPS coordinates: ")), "gps").otherwise("")
+    return c.select("asset_id", F.concat(F.when(F.col("context").startswith("Date taken"), F.concat(F.regexp_extract("context", "^(Date taken: [^\n]+)", 1), F.lit("\n"))).otherwise(""), kind).alias("head"))
+
+
+@query("""SELECT asset_id, CASE WHEN gps_lat = 0 OR gps_lat IS NULL THEN 7.0 ELSE gps_lat END AS lat, CASE WHEN gps_lat IS NOT NULL AND gps_lat <> 0 THEN 'both' ELSE 'exif' END AS src FROM fx_assets""")
+def coordinate_sources(t):
+    lat = tc.no_sentinel(F.col("gps_lat"))
+    return t("fx_assets").select("asset_id", tc.fill_falsy(lat, F.lit(7.0)).alias("lat"), tc.source_label(lat, F.lit(7.0), "apple", "exif").alias("src"))
+
+
+# --- replies ---------------------------------------------------------------------------------
+
+REPLY = """concat('{"description":"', CASE WHEN doc_id % 5 = 1 THEN 'a "big" dog' ELSE 'plain' END, '","tags":["x",', doc_id % 7, ',{"tag":"', source, '"},["n","x"],true],"mood":"', lang, '","setting":"indoor","people":{"count":"', doc_id % 4, ' people"},"notable_features":"feature","estimated_location":{"specific_place":"Cafe","country":"', lang, '","confidence":', doc_id % 10, '}}', CASE WHEN doc_id % 5 = 2 THEN ' trailing {words' ELSE '' END)"""
+
+
+def _replies(t):
+    text = F.expr(REPLY.replace("doc_id % 7", "cast(doc_id % 7 as string)"))
+    fenced = F.when(F.col("doc_id") % 5 == 3, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).when(F.col("doc_id") % 5 == 4, F.lit("no object here")).otherwise(text)
+    return replies.salvage_json(t("documents").select("doc_id", fenced.alias("reply")), "reply")
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'requoted' WHEN 3 THEN 'carved' WHEN 4 THEN 'failed' ELSE 'parsed' END AS stage FROM documents""")
+def salvage_replies(t):
+    return _replies(t).select("doc_id", "stage")
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 5 WHEN 4 THEN NULL WHEN 1 THEN 'a "big" dog' ELSE 'plain' END AS description,
+  CASE WHEN doc_id % 5 = 4 THEN '' ELSE concat_ws('|', 'x', doc_id % 7, source, 'n', lang, CASE WHEN doc_id % 4 > 0 THEN concat('people:', doc_id % 4) END, 'feature', 'video') END AS tags,
+  CASE WHEN doc_id % 5 <> 4 THEN concat('Cafe, ', lang, ' (confidence: ', doc_id % 10 * 100, '%)') END AS location_guess FROM documents""")
+def flatten_replies(t):
+    out = replies.flatten_reply(_replies(t), "json", ("video",))
+    return out.select("doc_id", "description", joined("tags"), "location_guess")
+
+
+@query()
+def enrich_conversations(t):
+    """A stub model over conversation turns: some replies need a second try, some raise."""
+
+    def model(texts: list[str], attempt: int) -> list[str]:
+        out = []
+        for x in texts:
+            if len(x) % 11 == 0:
+                raise ValueError("no answer")
+            out.append('{"description": "' + str(len(x)) + '"}' if len(x) % 3 or attempt > 1 else "cut {")
+        return out
+
+    rows = t("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("k"), F.col("text").alias("context"))
+    return replies.enrich(rows, "k", "context", model).select("k", "json", "stage", "attempts", "error")
+
+
+# --- work plans --------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, CAST(k AS INTEGER) AS k, round(CASE WHEN value > 0 THEN value * (k + 0.5) / 4 ELSE k END, 6) AS "offset" FROM events, (SELECT unnest([0, 1, 2, 3]) AS k)""")
+def sample_offsets(t):
+    return work.sample_offsets(t("events"), "event_id", "value", 4).withColumn("offset", F.round("offset", 6))
+
+
+@query("""SELECT doc_id, doc_id % 7 = 0 AS is_video FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY 2, 1 LIMIT 200""")
+def rendition_queue(t):
+    return work.rendition_queue(t("documents"), t("labels"), "doc_id", F.col("doc_id") % 7 == 0, 200).select("doc_id", "is_video")
+
+
+@query("""SELECT p_partkey, greatest(1, CAST(floor(p_size * 100 * least(1000.0 / (p_size * 100), 1000.0 / 2000, 1.0)) AS INTEGER)) AS width, greatest(1, CAST(floor(2000 * least(1000.0 / (p_size * 100), 1000.0 / 2000, 1.0)) AS INTEGER)) AS height FROM part""")
+def rendition_sizes(t):
+    return t("part").select("p_partkey", work.rendition_size(F.col("p_size") * 100, F.lit(2000), 1000).alias("r")).select("p_partkey", "r.width", "r.height")
+
+
+# --- sources --------------------------------------------------------------------------------------
+
+
+@query("""SELECT c_custkey, c_name, CAST(NULL AS VARCHAR) AS place_name FROM customer""")
+def ensure_columns(t):
+    from pyspark.sql.types import StringType, StructType
+
+    need = StructType().add("c_custkey", "long").add("place_name", StringType())
+    return tables.ensure_columns(t("customer").select("c_custkey", "c_name"), need)[0]
+
+
+@query("""SELECT 'nation' AS "table", count(*) AS rows, 'n_name' AS "column", count(n_name) AS filled FROM nation UNION ALL SELECT 'orders', count(*), 'o_custkey', count(o_custkey) FROM orders""")
+def profile_tables(t):
+    out = tables.profile_tables({"nation": t("nation").select("n_name"), "orders": t("orders").select("o_custkey")})
+    return out.select("table", "rows", "column", "filled")
+
+
+@query("""
+WITH l AS (SELECT lower(trim(c_name)) AS raw_lc, concat('Name ', c_custkey % 100) AS canonical, 0 AS rank FROM customer UNION ALL SELECT lower(trim(c_name)), concat('Curated ', c_custkey), 1 FROM customer WHERE c_custkey % 3 = 0)
+SELECT raw_lc, first(canonical ORDER BY rank DESC) AS canonical FROM l GROUP BY 1""")
+def flatten_aliases(t):
+    c = t("customer")
+    low = c.select(F.concat(F.lit(" "), F.col("c_name")).alias("raw"), F.concat(F.lit("Name "), (F.col("c_custkey") % 100).cast("string")).alias("canonical"), F.lit(0).alias("rank"))
+    high = c.where("c_custkey % 3 = 0").select(F.col("c_name").alias("raw"), F.concat(F.lit("Curated "), F.col("c_custkey").cast("string")).alias("canonical"), F.lit(1).alias("rank"))
+    return tables.flatten_aliases(low.unionByName(high))
+
+
+@query("""SELECT c_name AS name, c_custkey AS count FROM customer WHERE c_custkey % 4 <> 0""")
+def parse_vocabulary(t):
+    c = t("customer")
+    k = F.col("c_custkey")
+    line = F.when(k % 4 == 0, "_UNKNOWN_: 3").otherwise(F.concat(F.lit(' "'), F.col("c_name"), F.lit('": '), k.cast("string"), F.lit(",")))
+    return tables.parse_vocab_lines(c.select(k.alias("line"), line.alias("value")))
+
+
+@query("""SELECT '| ' || n_name || ' | ' || n_regionkey || ' |' AS line FROM nation""")
+def report_lines(t):
+    return tables.report_lines(t("nation"), ["n_name", "n_regionkey"], ["n_nationkey"])
+
+
+@query("""SELECT doc_id, list_sort([lang, source])[1] AS first_label FROM documents""")
+def coverage_dump(t):
+    d = t("documents").select("doc_id", F.array("source", "lang").alias("labels"))
+    return tables.coverage_dump(d, "doc_id", ["labels"]).select("doc_id", F.col("labels")[0].alias("first_label"))
+
+
+# --- streams, in their batch forms ---------------------------------------------------------------
+
+
+@query("""SELECT user_id, last, CAST(floor(us / 1000000) AS BIGINT) AS seconds FROM (SELECT user_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS last, date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts), ts) AS us FROM events) WHERE us > 3600000000""")
+def heartbeat_gaps(t):
+    return monitors.heartbeat_gaps(t("events"), "user_id", "ts", 3600)
+
+
+@query("""SELECT user_id, max(ts) AS last FROM events GROUP BY 1 HAVING date_diff('second', max(ts), (SELECT max(ts) FROM events)) > 21600""")
+def stale_keys(t):
+    e = t("events")
+    last = e.groupBy("user_id").agg(F.max("ts").alias("last")).join(F.broadcast(e.agg(F.max("ts").alias("now"))))
+    return last.where(F.unix_seconds(F.col("now").cast("timestamp")) - F.unix_seconds(F.col("last").cast("timestamp")) > 21600).select("user_id", "last")
+
+
+@query("""
+WITH l AS (SELECT user_id, max(ts) AS ts, arg_max(event_type, ts) AS kind FROM events GROUP BY 1)
+SELECT user_id, ts AS since FROM l WHERE kind = 'click' AND date_diff('second', ts, TIMESTAMP '2030-01-01') > 14400""")
+def stuck_holders(t):
+    return monitors.stuck_holders(t("events"), "user_id", "ts", F.col("event_type") == "click", "2030-01-01 00:00:00", 14400).select("user_id", "since")
+
+
+@query("""
+WITH f AS (SELECT user_id, ts, value > 50 AS f, sum(CASE WHEN value > 50 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS ep FROM events),
+g AS (SELECT user_id, ep, ts, floor(date_diff('microsecond', min(ts) OVER (PARTITION BY user_id, ep), ts) / 86400000000) AS slot FROM f WHERE f)
+SELECT user_id, min(ts) AS ts FROM g GROUP BY user_id, ep, slot""")
+def alert_episodes(t):
+    return monitors.alert_episodes(t("events"), "user_id", "ts", F.col("value") > 50, 86400)
