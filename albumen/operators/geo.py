@@ -58,7 +58,7 @@ def revert_nearby(df: DataFrame) -> DataFrame:
     return df.withColumns({"place_name": F.when(~borrowed, F.col("place_name")), "place_source": F.when(~borrowed, F.col("place_source"))})
 
 
-def nearest_lookup(points: DataFrame, gazetteer: DataFrame, lat: str, lon: str, carried: list[str], sizes: tuple[float, ...] = (1.0, 4.0, 16.0, 64.0)) -> DataFrame:
+def nearest_lookup(points: DataFrame, gazetteer: DataFrame, lat: str, lon: str, carried: list[str], sizes: tuple[float, ...] = (1.0, 8.0, 32.0)) -> DataFrame:
     """points with the nearest gazetteer entry of each distinct coordinate, by great-circle
     distance. Rings widen: a ring's answer stands where it is nearer than anything outside
     the ring can be; what is left after the last ring is compared with the whole gazetteer.
@@ -78,12 +78,12 @@ def nearest_lookup(points: DataFrame, gazetteer: DataFrame, lat: str, lon: str,
         ring = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda y: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda x: F.struct(y.alias("y"), x.alias("x"))))))
         asked = left.withColumn("r", ring).select("a", "o", (tc.cell(F.col("a"), size) + F.col("r.y")).alias("cy"), (tc.cell(F.col("o"), size) + F.col("r.x")).alias("cx"))
         held = towns.withColumns({"cy": tc.cell(F.col("ta"), size), "cx": tc.cell(F.col("to"), size)})
-        best = asked.join(held, ["cy", "cx"]).withColumn("d", arc()).groupBy("a", "o").agg(F.min(F.struct("d", "e")).alias("b"))
+        best = asked.join(held, ["cy", "cx"], "left").withColumn("d", arc()).groupBy("a", "o").agg(F.min(F.when(F.col("d").isNotNull(), F.struct("d", "e"))).alias("b"))
         # Anything outside the 3 x 3 cells is at least one cell away in latitude or longitude.
         far = F.least(F.radians(F.lit(size)), F.asin(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.cos(F.radians(F.least(F.lit(90.0), F.abs("a") + 2 * size))) * F.sin(F.radians(F.lit(size)))))))
-        sure = best.where(F.col("b.d") <= far)
-        done = sure if done is None else done.unionByName(sure)
-        left = left.join(sure.select("a", "o"), ["a", "o"], "left_anti")
+        best = best.withColumn("sure", F.coalesce(F.col("b.d") <= far, F.lit(False)))
+        done = best.where("sure").drop("sure") if done is None else done.unionByName(best.where("sure").drop("sure"))
+        left = best.where("not sure").select("a", "o")
     rest = left.crossJoin(F.broadcast(towns)) if _small(gazetteer) else left.join(towns)
     rest = rest.withColumn("d", arc()).groupBy("a", "o").agg(F.min(F.struct("d", "e")).alias("b"))
     found = done.unionByName(rest).select(F.col("a").alias(lat), F.col("o").alias(lon), *[F.col(f"b.e.v_{c}").alias(c) for c in carried])

@@ -139,7 +139,8 @@ def flatten_reply(df: DataFrame, json_col: str = "json", extra: tuple[str, ...]
     """Add description, tags (list) and location_guess of each reply. Tags: those given, the
     class fields that tell something, people:N, notable features, then extra; distinct in
     order. A reply that isn't an object has nulls and no tags."""
-    v = F.try_parse_json(F.col(json_col))
+    df = df.withColumn("__v", F.try_parse_json(F.col(json_col)))
+    v = F.col("__v")
     get = lambda p: F.try_variant_get(v, p, "variant")
     classes = F.filter(F.array(*[scalar_text(get(f"$.{c}")) for c in CLASS_FIELDS]), lambda t: t.isNotNull() & ~t.isin(*UNTOLD))
     people = tc.leading_int(F.try_variant_get(v, "$.people.count", "string"))
@@ -156,7 +157,7 @@ def flatten_reply(df: DataFrame, json_col: str = "json", extra: tuple[str, ...]
             "tags": F.when(ok, tags).otherwise(F.array().cast("array<string>")),
             "location_guess": F.when(ok, tc.location_guess(spot, confidence)),
         }
-    )
+    ).drop("__v")
 
 
 def enrich(df: DataFrame, key: str, context: str, model: Callable[[list[str], int], list[str]], attempts: int = 2) -> DataFrame:

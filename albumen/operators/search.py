@@ -243,12 +243,24 @@ def match(postings: DataFrame, q: str, expand: Sequence[str] = (), columns: Iter
     more = [t for t in expand if _tokens(t) and t.lower() not in seen]
     if not words and not more:
         return None
+    single = lambda t: len(_tokens(t)) == 1
+    is_word = lambda c, t: (F.col("term") == _tokens(t)[0]) & (F.lit(True) if c is None else F.col("col") == c)
+    plain, plain_more = [w for w in words if single(w[1])], [t for t in more if single(t)]
     found = None
+    if plain or plain_more:  # all one-word terms in one pass over the postings
+        wanted = sorted({_tokens(t)[0] for t in [w[1] for w in plain] + plain_more})
+        every = reduce(lambda a, b: a & b, [F.bool_or(is_word(c, t)) for c, t in plain], F.lit(True))
+        some = reduce(lambda a, b: a | b, [F.bool_or(is_word(None, t)) for t in plain_more], F.lit(False))
+        flags = postings.where(F.col("term").isin(*wanted)).groupBy("key").agg(every.alias("every"), some.alias("some"))
+        found = flags.where("every").select("key") if plain else None
+        extra = flags.where("some").select("key") if plain_more else None
+    else:
+        extra = None
     for col, text in words:
-        hit = phrase(postings, text, col)
-        found = hit if found is None else found.join(hit, "key", "left_semi")
-    for text in more:
-        hit = phrase(postings, text)
+        if not single(text):
+            hit = phrase(postings, text, col)
+            found = hit if found is None else found.join(hit, "key", "left_semi")
+    for hit in ([extra] if extra is not None else []) + [phrase(postings, t) for t in more if not single(t)]:
         found = hit if found is None else found.unionByName(hit).distinct()
     return found
 
@@ -261,15 +273,16 @@ def bm25(postings: DataFrame, q: str) -> DataFrame:
     """(key, score) of the keys that hold all words; lower is better. A key's length counts
     all its columns; words are tokens of q."""
     words = list(dict.fromkeys(_tokens(q)))
-    lengths = postings.groupBy("key").agg(F.count("*").alias("len"))
-    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    tf = postings.where(F.col("term").isin(*words)).groupBy("key", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    joined = tf.join(F.broadcast(df), "term").join(lengths, "key").join(F.broadcast(stats))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
-    part = idf * F.col("tf") * (K1 + 1) / norm
-    return joined.groupBy("key").agg((-F.sum(part)).alias("score"), F.count("*").alias("found")).where(F.col("found") == len(words)).drop("found")
+    tf = {w: f"tf{i}" for i, w in enumerate(words)}
+    per = postings.groupBy("key").agg(F.count("*").alias("len"), *[F.count_if(F.col("term") == w).alias(c) for w, c in tf.items()])
+    df = {w: f"df{i}" for i, w in enumerate(words)}
+    stats = per.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(tf[w]) > 0).alias(c) for w, c in df.items()])
+    hits = reduce(lambda a, b: a & b, [F.col(c) > 0 for c in tf.values()], F.lit(bool(words)))
+    length = 1 - B + B * F.col("len") / F.col("avg_len")
+    idf = lambda w: F.log((F.col("n_docs") - F.col(df[w]) + 0.5) / (F.col(df[w]) + 0.5) + 1.0)
+    parts = [idf(w) * F.col(tf[w]) * (K1 + 1) / (F.col(tf[w]) + K1 * length) for w in words]
+    score = reduce(lambda a, b: a + b, parts, F.lit(0.0))
+    return per.where(hits).join(F.broadcast(stats)).select("key", (-score).alias("score"))
 
 
 def search_text(df: DataFrame, postings: DataFrame | None, q: str, cols: Sequence[str], key: str, mode: str = "match") -> DataFrame:
