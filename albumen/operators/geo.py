@@ -112,7 +112,7 @@ def location_summary(cells: DataFrame, gazetteer: DataFrame, names: DataFrame |
     total = city.groupBy("yr", "cc").agg(F.sum("n").alias("n"))
     out = total.join(top, ["yr", "cc"])
     if names is not None:
-        out = out.join(F.broadcast(names), "cc", "left").withColumn("country", F.coalesce("country", "cc"))
+        out = out.join(names, "cc", "left").withColumn("country", F.coalesce("country", "cc"))
     rank = F.row_number().over(Window.partitionBy("yr").orderBy(F.desc("n"), "cc"))
     return out.withColumn("rank", rank)
 

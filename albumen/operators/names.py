@@ -73,15 +73,23 @@ def review_names(df: DataFrame, key: str, names: Column, date: str, vocab: DataF
 
 def resolve_names(queries: DataFrame, key: str, name: str, vocab: DataFrame) -> DataFrame:
     """(key, name, match): the listed name that equals it in any case, else the first listed
-    name of which either holds the other. Containment compares with the vocabulary, which
-    must be a checked dimension."""
-    listed = vocab.groupBy(F.lower("name").alias("v_lc")).agg(F.min("name").alias("v_name"))
+    name of which either holds the other. Containment is an equi-join of one side with all
+    parts of the other (names are short), so neither side need be small."""
+    listed = vocab.groupBy(F.lower("name").alias("v_lc")).agg(F.min("name").alias("v_name")).where("v_lc != ''")
     asked = queries.select(key, F.col(name).alias("name")).where("trim(name) != ''").withColumn("lc", F.lower(tc.strip(F.col("name"))))
     exact = asked.join(listed, F.col("lc") == F.col("v_lc")).select(key, "name", F.col("v_name").alias("match"))
     rest = asked.join(listed, F.col("lc") == F.col("v_lc"), "left_anti")
-    part = rest.join(F.broadcast(listed), F.contains("lc", "v_lc") | F.contains("v_lc", "lc"))
-    part = part.groupBy(key, "name").agg(F.min("v_name").alias("match"))
-    return exact.unionByName(part)
+    wanted = rest.select("lc").distinct()
+    held = wanted.withColumn("part", F.explode(parts_of(F.col("lc")))).join(listed, F.col("part") == F.col("v_lc")).select("lc", "v_name")
+    holds = listed.withColumn("part", F.explode(parts_of(F.col("v_lc")))).join(wanted, F.col("part") == F.col("lc")).select("lc", "v_name")
+    best = held.unionByName(holds).groupBy("lc").agg(F.min("v_name").alias("match"))
+    return exact.unionByName(rest.join(best, "lc").select(key, "name", "match"))
+
+
+def parts_of(c: Column) -> Column:
+    """All distinct substrings of a short text."""
+    n = F.length(c)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(c, i, k)))))
 
 
 def first_name_matches(queries: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:

@@ -54,6 +54,37 @@ def stale(df: DataFrame, key: str, ts: str, now, gap_seconds: int) -> DataFrame:
     return last.where(F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("last").cast("timestamp")) > gap_seconds)
 
 
+def stuck_monitor(df: DataFrame, key: str, ts: str, is_open: str, limit_seconds: int, delay: str = "0 seconds") -> DataFrame:
+    """Stream of (key, since, seconds): a holder was open for longer than the limit, told when
+    it closes (with the time held) or when the watermark passes the limit (without). df: key,
+    ts and is_open (boolean); a second open event keeps the first one's time."""
+    rows_in = df.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(is_open).alias("open")).withWatermark("ts", delay)
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        since = state.get[0] if state.exists else None
+        rows = []
+        if state.hasTimedOut:
+            rows.append((group[0], pd.Timestamp(since, unit="us"), None))
+            since = None
+        else:
+            for t, opened in sorted((int(t.value // 1000), bool(o)) for pdf in batches for t, o in zip(pdf["ts"], pdf["open"], strict=True)):
+                if opened:
+                    since = t if since is None else since
+                elif since is not None:
+                    if t - since > limit_seconds * 1_000_000:
+                        rows.append((group[0], pd.Timestamp(since, unit="us"), (t - since) // 1_000_000))
+                    since = None
+        if since is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((since,))
+            state.setTimeoutTimestamp(max(since // 1000 + limit_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=["key", "since", "seconds"]).astype({"seconds": "Int64"})
+
+    return rows_in.groupBy("key").applyInPandasWithState(step, "key string, since timestamp, seconds long", "since long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def stuck_holders(df: DataFrame, key: str, ts: str, is_open, now, limit_seconds: int) -> DataFrame:
     """Holders whose last event is an open one older than the limit."""
     last = df.groupBy(key).agg(F.max_by(F.struct(F.col(ts).alias("ts"), is_open.alias("open")), ts).alias("e"))

@@ -390,6 +390,13 @@ def test_alert_stream(spark, tmp_path):
     assert sorted(r["ts"] for r in monitors.alert_episodes(df, "k", "ts", F.col("f"), 86400).collect()) == [at(0), at(25), at(27)]
 
 
+def test_stuck_stream(spark, tmp_path):
+    at = lambda h: T0 + timedelta(hours=h)
+    parts = [[("a", at(0), True), ("b", at(0), True)], [("b", at(1), False), ("a", at(2), True)], [("a", at(6), False)]]
+    got = _replay(spark, tmp_path, parts, "k string, ts timestamp, o boolean", lambda d: monitors.stuck_monitor(d, "k", "ts", "o", 4 * 3600, "1 day"))
+    assert [(r["key"], r["since"], r["seconds"]) for r in got] == [("a", at(0), 6 * 3600)]
+
+
 def test_stale(spark):
     df = spark.createDataFrame([Row(k="a", ts=T0), Row(k="b", ts=T0 + timedelta(hours=5))])
     assert [r["k"] for r in monitors.stale(df, "k", "ts", "2024-01-01 06:30:00", 6 * 3600).collect()] == ["a"]
