@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesops import U64, mix, runs, shingles, string_bytes, words
@@ -17,7 +17,7 @@ from .scratch import tidy, written
 BANDS, ROWS = 32, 4  # a pair at similarity 0.8 misses all bands with odds of 5e-8
 SLACK = 0.2  # of the signature's estimate below the threshold: over 5 standard errors
 PIVOTS = 4
-RUN = 1 << 20
+RUN = 1 << 18
 
 
 def universal_hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +98,7 @@ def bands(sketches: DataFrame) -> DataFrame:
 
 
 def _agree(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b, na, nb, sa, sb) whose sizes and signatures allow the similarity."""
+    """Pairs (a, b, sa, sb) whose signatures allow the similarity."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,6 +111,39 @@ def _agree(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
 
 
+def _grams(docs: DataFrame, k: int) -> DataFrame:
+    """(g, doc): every shingle of every document as a row."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, sets in _sets(b.column(1), k):
+                doc = np.repeat(b.column(0).slice(i, len(sets)).to_numpy(), [len(x) for x in sets])
+                yield pa.RecordBatch.from_pydict({"g": pa.array(np.concatenate(sets).view(np.int64)), "doc": pa.array(doc)})
+
+    return docs.mapInArrow(work, "g long, doc long")
+
+
+def _across(apart: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs of documents in different parts, one of them outside some bucket's largest
+    part, that may reach the similarity. apart: doc, n, part, few.
+
+    By prefix filtering: with the shingles of each set in one order, rarest first, a pair
+    whose sets need an intersection of `need` has one in common among the first
+    n - need + 1 of each. What a large group of near copies shares comes last in that
+    order, so its outliers meet only where they share rare shingles."""
+    grams = _grams(texts.join(apart.select("doc"), "doc", "left_semi"), k)
+    grams = written(grams, "grams")
+    freq = grams.groupBy("g").agg(F.count("*").alias("f"))
+    first = Window.partitionBy("doc").orderBy("f", "g")
+    ranked = grams.join(freq, "g").join(apart, "doc").withColumn("r", F.row_number().over(first))
+    prefix = written(ranked.where("f > 1").where(100 * (F.col("n") - F.col("r") + 1) >= percent * F.col("n")).drop("f"), "prefix")
+    side = lambda x: prefix.select("g", *[F.col(c).alias(f"{c}{x}") for c in ("doc", "n", "r", "part", "few")])
+    need = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+    met = side("a").where("fewa").join(side("b"), "g").where("parta != partb and (not fewb or doca < docb)")
+    met = met.where((F.col("ra") <= F.col("na") - need + 1) & (F.col("rb") <= F.col("nb") - need + 1))
+    return met.select(F.least("doca", "docb").alias("a"), F.greatest("doca", "docb").alias("b")).distinct()
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union."""
 
@@ -163,18 +196,15 @@ def link(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     links = _verified(tried, reps, texts, k, percent)
     parts = written(connected_components(links, "a", "b"), "parts")
 
-    # Members that are still apart in a bucket: all pairs across its parts, of which one
-    # is outside its largest part, that were not tried yet and whose sizes allow a link.
+    # Members that are still apart in a bucket are compared across its parts, but for pairs
+    # within its largest part and those tried above.
     where = met.where("size > 2").select("bucket", "doc").join(parts, F.col("doc") == F.col("node"), "left")
     where = where.select("bucket", "doc", F.coalesce("component", "doc").alias("part"))
     sized = where.groupBy("bucket", "part").agg(F.count("*").alias("c"))
     main = sized.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("part", "c").alias("main")).where("parts > 1").drop("parts")
-    apart = where.join(main, "bucket").join(reps, "doc")
-    apart = written(apart, "apart")
-    few = apart.where("part != main").select("bucket", F.col("doc").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    many = apart.select("bucket", F.col("doc").alias("b"), F.col("part").alias("pb"), F.col("main").alias("mb"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    cross = few.join(many, "bucket").where("pa != pb and (pb = mb or a < b)").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    more = _agree(cross, percent / 100 - SLACK).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    apart = where.join(main, "bucket").groupBy("doc", "part").agg(F.max(F.col("part") != F.col("main")).alias("few"))
+    apart = written(apart.join(reps.select("doc", "n"), "doc"), "apart")
+    more = _across(apart, texts, k, percent)
     more = written(more.join(tried, ["a", "b"], "left_anti"), "more")
     if more.limit(1).count():
         links = links.unionByName(_verified(more, reps, texts, k, percent))
