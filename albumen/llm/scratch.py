@@ -29,19 +29,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
 
 
 @contextmanager
 def tidy(spark: SparkSession):
-    """Within the block, a finished write's shuffle files are removed at once
-    instead of when the driver next collects garbage."""
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    """Within the block, a finished write's shuffle files are removed at once instead of
+    when the driver next collects garbage, and Python gets small batches, since rows may
+    hold whole sets."""
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
