@@ -26,7 +26,7 @@ from .suffixes import anchors, bucket_repeats
 
 WIDTH = 100
 RUN = 192 << 10  # bytes handled at once, so that a run stays in the processor's cache
-BUCKET = 4096  # distinct contexts of one anchor that one bucket may hold
+BUCKET = 2048  # distinct contexts of one anchor that one bucket may hold
 SKETCH_BITS = 27  # fixed size of a membership sketch: 16 MB at any input size
 
 

@@ -270,7 +270,7 @@ def removal_rows():
     return rows
 
 
-@pytest.mark.parametrize(("bucket", "run"), [(256, 192 << 10), (2, 700)])
+@pytest.mark.parametrize(("bucket", "run"), [(2048, 192 << 10), (2, 700)])
 def test_suffix_dedup(spark, monkeypatch, bucket, run):
     monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
     monkeypatch.setattr(suffix_dedup, "RUN", run)
