@@ -133,12 +133,17 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", notices: tup
         hashes.append(words(data, np.array([0, len(data)]), NOT_WORD)[0])
     schema = "doc_id long, license string, coverage double, begin_word long, end_word long, n_licenses int"
 
+    least_of = [max(1, int(np.ceil(coverage * len(x))) - (len(x) - len(np.unique(x)))) for x in hashes]
+
     def judge(h: np.ndarray, places: np.ndarray) -> tuple:
         found = []
-        for name, notice in zip(names, hashes, strict=True):
+        held = np.bincount(np.searchsorted(known, h[places]), minlength=len(known)) > 0
+        distinct = member @ held
+        for name, notice, least, have in zip(names, hashes, least_of, distinct.tolist(), strict=True):
+            if have < least:
+                continue
             n = len(notice)
             reach = int(n * STRETCH) + 1
-            least = max(1, int(np.ceil(coverage * n)) - (n - len(np.unique(notice))))
             best = (0, 0, 0)
             for a, b in candidates(places, notice, h, least, reach):
                 hit = densest(align(h[a:b].tolist(), notice.tolist()), reach)
@@ -152,6 +157,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", notices: tup
         return name, -share, best[1], best[2], len(found)
 
     known = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+    member = np.array([np.isin(known, x) for x in hashes], dtype=np.int64).reshape(len(hashes), len(known))
     rare = np.zeros(1 << 16, dtype=bool)
     rare[(known >> np.uint64(48)).astype(np.int64)] = True
 
