@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .scratch import tidy, written
 
-PIVOTS = 64  # routing objects of the top level, sent to every task
-SUBTREE = 4096  # vectors that one subtree aims at
-PAGE = 32  # entries of a node
+PIVOTS = 16  # routing objects of the top level, sent to every task
+SUBTREE = 8192  # vectors that one subtree aims at
+PAGE = 256  # entries of a node
 BLOCK = 2048  # queries that a task searches together
 SLACK = 1e-6
 
@@ -114,6 +114,9 @@ def search(root: Node, ids: np.ndarray, whole: np.ndarray, points: np.ndarray, q
             continue
         done += len(rows)
         scores = whole[rows] @ q
+        if len(best) == k:
+            better = scores >= best[0][0]
+            rows, scores = rows[better], scores[better]
         for s, i in zip(scores.tolist(), ids[rows].tolist(), strict=True):
             if i == own:
                 continue
@@ -162,7 +165,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         by_dim.setdefault(len(r["v"]), []).append(r["v"])
     by_dim = {d: lifted(np.unique(np.array(v, dtype=np.int64).reshape(len(v), d), axis=0), most) for d, v in by_dim.items()}
     routing = spark.sparkContext.broadcast(by_dim)
-    parts = max(1, -(-size["n"] // (PIVOTS * SUBTREE // 4)))
+    parts = max(1, -(-size["n"] // (PIVOTS * SUBTREE)))
 
     def nearest(v: pd.Series, query: bool) -> tuple[np.ndarray, np.ndarray]:
         out, far = np.zeros(len(v), np.int64), np.zeros(len(v))
