@@ -23,7 +23,7 @@ VIEWS = {
        ELSE concat('["person ', CAST(doc_id % 23 AS VARCHAR(9)), '", "Person ', CAST((doc_id + 1) % 23 AS VARCHAR(9)), '"]')
   END AS persons,
   concat('["', lang, '", "', source, '", "', CASE WHEN doc_id % 2 = 0 THEN 'outdoor' ELSE 'indoor' END, '"]') AS tags,
-  substr(text, 1, 400) AS description,
+  text AS description,
   CASE WHEN doc_id % 7 = 0 AND doc_id % 5 = 3 THEN 2 WHEN doc_id % 7 = 0 AND doc_id % 5 = 4 THEN -1
        WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END AS state,
   CASE WHEN doc_id % 9 = 0 THEN '["description"]' ELSE '[]' END AS edited_fields,

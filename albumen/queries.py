@@ -368,7 +368,7 @@ def resolve_query_log(t):
     """Parsed queries made from conversations: years, people, scene and terms per row."""
     c = t("conversations")
     log = c.select(
-        F.concat_ws("-", "conv_id", "turn").alias("k"), "text", F.substring("text", 1, 60).alias("q"),
+        F.concat_ws("-", "conv_id", "turn").alias("k"), "text", F.col("text").alias("q"),
         F.when(F.col("turn") % 2 == 0, (F.col("conv_id") % 40 + 1990).cast("string")).otherwise("19xx").alias("year"),
         F.lit("1990").alias("year_from"), F.when(F.col("turn") % 3 == 0, "1999").otherwise("").alias("year_to"),
         F.array(F.concat(F.lit("person "), (F.col("conv_id") % 30).cast("string"))).alias("persons"), F.split("text", " ").alias("terms"), F.col("role").alias("scene"),
