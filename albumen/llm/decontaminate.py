@@ -4,7 +4,9 @@ around each hit is verified with substitutions allowed."""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 from .bytesops import NOT_WORD, U64, mix, runs, string_bytes, words
 
 # Positions that a seed reads (1) or ignores (0). Together they hit every
-# 13-token overlap with up to two substitutions (a test tries them all).
-MASKS = ("111001011", "11010010011")
+# stretch of 13 to 25 tokens of which MATCH are equal, wherever its substitutions are (a
+# test tries them all), and so every longer one: cut into parts of 13 tokens or more, one
+# of them has that share too.
+MASKS = ("1101111", "11101000011", "1010010101001")
 OVERLAP = 13  # tokens of an overlap that counts; all of them where the item has fewer
 MATCH = 0.8  # of them that are equal
 SEEDS = 4_000_000  # of test seeds that one pass over the documents carries
@@ -43,29 +47,49 @@ def seeds(h: np.ndarray, mask: str) -> np.ndarray:
     return mix(acc)
 
 
+def spare(n: int, match: float) -> int:
+    """Substitutions that a stretch of n tokens may have."""
+    return n - ceil(match * n - 1e-9)
+
+
+def masks_of(n: int, overlap: int = OVERLAP, match: float = MATCH) -> tuple[str, ...]:
+    """Masks that together hit every stretch by which an item of n tokens may count.
+
+    An item under `overlap` tokens counts as a whole, with equal ends: its inner places are
+    dealt to two groups more than it may have substitutions, and each mask ignores as many
+    groups as those. Of values below the fixed ones, all that is sure is a run of tokens."""
+    if n >= overlap:
+        if overlap >= OVERLAP and match >= MATCH:
+            return MASKS
+        sizes = range(overlap, 2 * overlap)
+    elif (k := max(0, min(spare(n, match), n - 2))) <= 3:
+        groups = np.array_split(np.arange(1, n - 1), k + 2) if n > 2 else [[]] * (k + 2)
+        gone = [{int(x) for g in some for x in g} for some in itertools.combinations(groups, k)]
+        return tuple(sorted({"".join("01"[i not in g] for i in range(n)) for g in gone}))
+    else:
+        sizes = range(n, n + 1)
+    return ("1" * max(1, min(ceil((m - spare(m, match)) / (spare(m, match) + 1)) for m in sizes)),)
+
+
 class TestSet:
     """Test items' tokens and their sorted seeds, small enough to send to every task."""
 
-    def __init__(self, ids: list[int], items: list[np.ndarray]):
+    def __init__(self, ids: list[int], items: list[np.ndarray], overlap: int = OVERLAP, match: float = MATCH):
         self.ids = np.array(ids, dtype=np.int64)
         self.size = np.array([len(x) for x in items], dtype=np.int64)
         self.at = np.cumsum(self.size) - self.size
         self.flat = np.concatenate(items) if items else np.zeros(0, U64)
         self.seeds = []
-        for mask in MASKS:
-            found = [(s, np.full(len(s), i), np.arange(len(s))) for i, x in enumerate(items) if len(s := seeds(x, mask))]
+        users: dict[str, list[int]] = {}
+        for i, x in enumerate(items):
+            for mask in masks_of(len(x), overlap, match):
+                users.setdefault(mask, []).append(i)
+        for mask, some in sorted(users.items()):
+            found = [(s, np.full(len(s), i), np.arange(len(s))) for i in some if len(s := seeds(items[i], mask))]
             if found:
                 s, i, q = (np.concatenate(z) for z in zip(*found, strict=True))
                 order = np.argsort(s, kind="stable")
                 self.seeds.append((mask, s[order], i[order], q[order]))
-        # Items too short for every mask: one whole-item seed for each length.
-        short = sorted({int(n) for n in self.size if n < min(map(len, MASKS))})
-        for n in short:
-            some = [i for i in range(len(items)) if self.size[i] == n and n]
-            if some:
-                s = np.concatenate([seeds(items[i], "1" * n) for i in some])
-                order = np.argsort(s, kind="stable")
-                self.seeds.append(("1" * n, s[order], np.array(some)[order], np.zeros(len(some), np.int64)))
         self.filters = []
         for _, s, _, _ in self.seeds:
             bits = np.zeros(1 << 22, dtype=bool)
@@ -84,26 +108,24 @@ def aligned(doc: np.ndarray, item: np.ndarray, diagonal: int, overlap: int, matc
     same = doc[lo + diagonal : hi + diagonal] == item[lo:hi]
     sums = np.concatenate(([0], np.cumsum(same)))
     gain = sums - match * np.arange(len(sums))
-    # longest i < j with gain[j] >= gain[i]: least prefix minima against largest suffix maxima
-    low = np.minimum.accumulate(gain)
-    high = np.maximum.accumulate(gain[::-1])[::-1]
-    i = j = 0
-    best = None
+    # longest i < j with gain[j] >= gain[i]: least prefix minima against largest suffix
+    # maxima, of the places where an equal token begins and those where one ends
+    low = np.minimum.accumulate(np.where(np.append(same, False), gain, np.inf))
+    high = np.maximum.accumulate(np.where(np.append(False, same), gain, -np.inf)[::-1])[::-1]
+    i = j = size = 0
     while j < len(gain):
         if high[j] >= low[i] - 1e-9:
-            if best is None or j - i > best[1] - best[0]:
-                best = (i, j)
+            size = max(size, j - i)
             j += 1
-        else:
+        elif i < j:
             i += 1
-    if best is None:
+        else:
+            i, j = i + 1, j + 1
+    if size < max(least, 1):
         return None
-    i, j = best
-    while i < j and not same[i]:
-        i += 1
-    while j > i and not same[j - 1]:
-        j -= 1
-    return (j - i, int(sums[j] - sums[i])) if j - i >= least else None
+    held = sums[size:] - sums[:-size]
+    fits = same[: len(held)] & same[size - 1 :] & (held >= match * size - 1e-9)
+    return size, int(held[fits].max())
 
 
 def overlaps(test: TestSet, h: np.ndarray, first: np.ndarray, overlap: int, match: float) -> dict[int, tuple[int, int, int]]:
@@ -142,7 +164,7 @@ def overlaps(test: TestSet, h: np.ndarray, first: np.ndarray, overlap: int, matc
     return out
 
 
-def test_sets(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[TestSet]:
+def test_sets(benchmark: DataFrame, item_id: str, text: str, limit: int, overlap: int, match: float) -> Iterator[TestSet]:
     """The test items in parts whose seeds number at most `limit`, read part by part."""
     ids: list[int] = []
     items: list[np.ndarray] = []
@@ -154,12 +176,12 @@ def test_sets(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iter
             continue
         ids.append(-1 if r["i"] is None else r["i"])
         items.append(h)
-        n += len(h) * len(MASKS)
+        n += sum(max(0, len(h) - len(m) + 1) for m in masks_of(len(h), overlap, match))
         if n >= limit:
-            yield TestSet(ids, items)
+            yield TestSet(ids, items, overlap, match)
             ids, items, n = [], [], 0
     if ids:
-        yield TestSet(ids, items)
+        yield TestSet(ids, items, overlap, match)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", overlap: int = OVERLAP, match: float = MATCH, limit: int = SEEDS) -> DataFrame:
@@ -190,7 +212,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
         return base.mapInArrow(work, schema)
 
-    parts = [one(t) for t in test_sets(benchmark, item_id, item_text, limit)]
+    parts = [one(t) for t in test_sets(benchmark, item_id, item_text, limit, overlap, match)]
     if not parts:
         found = base.select("doc_id", *(F.lit(None).cast("long").alias(c) for c in ("item_id", "overlap", "equal")))
     elif len(parts) == 1:
