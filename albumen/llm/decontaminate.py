@@ -12,8 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from .bytesops import NOT_WORD, U64, mix, runs, string_bytes, words
+from .scratch import written
 
 # Positions that a seed reads (1) or ignores (0). Together they hit every
 # stretch of 13 to 25 tokens of which MATCH are equal, wherever its substitutions are (a
@@ -192,39 +194,51 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     `match` are equal. Its longest one is told; ties go to more equal tokens, then the
     smaller item_id. Whole texts are read; null or empty texts on either side match
     nothing; a test item without an id is told as -1. Repeated rows each get their row.
-    Test sets beyond `limit` seeds go in several passes over the documents, so what is
-    sent to the tasks has a fixed bound; then rows that share a doc_id are told alike.
     Documents are not shuffled."""
-    schema = "doc_id long, item_id long, overlap long, equal long"
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return flagged(plain, benchmark, ("doc_id",), "text", item_id, item_text, overlap, match, limit)
 
-    def one(test: TestSet) -> DataFrame:
+
+def flagged(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], text: str = "text", item_id: str = "item_id", item_text: str = "text", overlap: int = OVERLAP, match: float = MATCH, limit: int = SEEDS) -> DataFrame:
+    """The columns `keep` of each row with contaminated, item_id, overlap and equal beside
+    them, judged row by row. Test sets beyond `limit` seeds go in several passes over the
+    documents, numbered by row for that, so what is sent to the tasks has a fixed bound."""
+    found = ("item_id", "overlap", "equal")
+
+    def one(base: DataFrame, test: TestSet, keep: tuple[str, ...]) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(test)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows: list[tuple] = [(None, None, None)] * b.num_rows
-                for i, h, first in tokens(b.column(1)):
+                for i, h, first in tokens(b.column(b.schema.get_field_index(text))):
                     for row, hit in overlaps(shared.value, h, first, overlap, match).items():
                         rows[i + row] = hit
-                cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "item_id", "overlap", "equal"])
-
-        return base.mapInArrow(work, schema)
-
-    parts = [one(t) for t in test_sets(benchmark, item_id, item_text, limit, overlap, match)]
+                cols = [b.column(b.schema.get_field_index(c)) for c in keep]
+                cols += [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, *found])
+
+        sent = base.select(*dict.fromkeys((*keep, text)))
+        schema = StructType([sent.schema[c] for c in keep])
+        for c in found:
+            schema = schema.add(c, LongType())
+        return sent.mapInArrow(work, schema)
+
+    sets = test_sets(benchmark, item_id, item_text, limit, overlap, match)
+    parts = list(itertools.islice(sets, 2))
     if not parts:
-        found = base.select("doc_id", *(F.lit(None).cast("long").alias(c) for c in ("item_id", "overlap", "equal")))
+        out = docs.select(*keep, *(F.lit(None).cast("long").alias(c) for c in found))
     elif len(parts) == 1:
-        found = parts[0]
+        out = one(docs, parts[0], keep)
     else:
-        hits = parts[0]
-        for p in parts[1:]:
-            hits = hits.unionByName(p)
+        base = written(docs.select(*dict.fromkeys((*keep, text))).withColumn("__row", F.monotonically_increasing_id()), "rows")
+        hits = None
+        for t in itertools.chain(parts, sets):
+            p = one(base, t, ("__row",)).where("overlap is not null")
+            hits = p if hits is None else hits.unionByName(p)
         best = F.max(F.struct("overlap", "equal", (-F.col("item_id")).alias("less"))).alias("b")
-        hits = hits.where("overlap is not null").groupBy(F.col("doc_id").alias("hit")).agg(best)
-        found = base.select("doc_id").join(hits, F.col("doc_id").eqNullSafe(F.col("hit")), "left").select("doc_id", (-F.col("b.less")).alias("item_id"), "b.overlap", "b.equal")
-    return found.select("doc_id", F.col("overlap").isNotNull().alias("contaminated"), "item_id", "overlap", "equal")
+        out = base.join(hits.groupBy("__row").agg(best), "__row", "left").select(*keep, (-F.col("b.less")).alias("item_id"), "b.overlap", "b.equal")
+    return out.select(*keep, F.col("overlap").isNotNull().alias("contaminated"), *found)
 
 
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

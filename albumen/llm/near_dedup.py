@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .bytesops import U64, mix, runs, shingles, string_bytes, words
 from .components import connected_components
-from .scratch import tidy, written
+from .scratch import numbered, tidy, written
 
 BANDS, ROWS = 32, 4  # a pair at similarity 0.8 misses all bands with odds of 5e-8
 SLACK = 0.2  # of the signature's estimate below the threshold: over 5 standard errors
@@ -231,14 +231,40 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     plain = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null")
     if plain.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         plain = written(plain.groupBy("doc").agg(F.min("text").alias("text")), "unique")
-    with tidy(df.sparkSession):
-        sketches, parts = link(plain, k, percent)
+    return _decided(plain, k, percent).withColumnsRenamed({"doc": "doc_id", "component": "component_id"})
+
+
+def _decided(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc, n_shingles, component, kept) of docs: (doc long unique not null, text)."""
+    with tidy(docs.sparkSession):
+        sketches, parts = link(docs, k, percent)
         parts = written(parts, "components")
     out = sketches.select("doc", "n").join(parts, F.col("doc") == F.col("node"), "left")
     component = F.coalesce("component", "doc")
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc")).alias("kept"))
+    return out.select("doc", F.col("n").alias("n_shingles"), component.alias("component"), (component == F.col("doc")).alias("kept"))
+
+
+def near_duplicate_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """near_duplicates for any table: one row per row of df. Rows that share a doc_id, or
+    have none, are documents of their own, in the order of doc_id (none last) and text;
+    the first of each group is kept, and its doc_id is the component_id (null where no
+    row of the group has one)."""
+    base, odd = numbered(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", nulls_last=True)
+    out = _decided(base.select(F.col("__doc").alias("doc"), "text"), k, percent)
+    if not odd:
+        return out.withColumnsRenamed({"doc": "doc_id", "component": "component_id"})
+    mine = base.select(F.col("__doc").alias("doc"), "doc_id")
+    head = base.select(F.col("__doc").alias("component"), F.col("doc_id").alias("component_id"))
+    return out.join(mine, "doc").join(head, "component").select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def without_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df that near_duplicate_rows keeps, as they are."""
+    base, _ = numbered(df, doc_id, text, nulls_last=True)
+    out = _decided(base.select(F.col("__doc").alias("doc"), F.col(text).alias("text")), k, percent)
+    return base.join(out.where("kept").select(F.col("doc").alias("__doc")), "__doc", "left_semi").select(*df.columns)
 
 
 def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs, k=2, percent=80)
+    return near_duplicate_rows(docs, k=2, percent=80)

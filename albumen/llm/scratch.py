@@ -7,6 +7,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -29,6 +30,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, doc_id: str, text: str, nulls_last: bool = False) -> tuple[DataFrame, bool]:
+    """df with a unique column __doc in the order of doc_id (equal ones by text): doc_id
+    itself where it is unique and not null, else a written row number; and is it a number."""
+    ids = df.select(F.col(doc_id).cast("long").alias("i"))
+    odd = ids.groupBy("i").agg(F.count("*").alias("n")).where("n > 1 or i is null").limit(1).count()
+    if not odd:
+        return df.withColumn("__doc", F.col(doc_id).cast("long")), False
+    at = F.col(doc_id).asc_nulls_last() if nulls_last else F.col(doc_id).asc_nulls_first()
+    ordered = df.repartitionByRange(at, F.col(text)).sortWithinPartitions(at, F.col(text))
+    return written(ordered.withColumn("__doc", F.monotonically_increasing_id()), "numbered"), True
+
+
 _SETTINGS = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bytesops import U64, mix, prefix_hash, runs, span_hash, string_bytes
-from .scratch import tidy, written
+from .scratch import numbered, tidy, written
 from .suffixes import anchors, bucket_repeats
 
 WIDTH = 100
@@ -226,17 +226,6 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[new], e[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(s) - 1]))]
 
 
-def _numbered(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """df with a unique column doc in the order of doc_id (nulls first, equal ones by
-    text): doc_id itself where it is unique and not null, else a written row number."""
-    ids = df.select(F.col(doc_id).cast("long").alias("i"))
-    odd = ids.groupBy("i").agg(F.count("*").alias("n")).where("n > 1 or i is null").limit(1).count()
-    if not odd:
-        return df.withColumn("__doc", F.col(doc_id).cast("long"))
-    ordered = df.repartitionByRange(doc_id, text).sortWithinPartitions(doc_id, text)
-    return written(ordered.withColumn("__doc", F.monotonically_increasing_id()), "numbered")
-
-
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, kept: str = "kept", repair: bool = False) -> DataFrame:
     """df with n_bytes, n_removed, n_spans (maximal removed runs) and, as binary
     column `kept`, the remaining bytes of each text, joined.
@@ -251,7 +240,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     spark = df.sparkSession
     added = ("n_bytes", "n_removed", "n_spans", kept)
     with tidy(spark):
-        base = _numbered(df.drop(*(c for c in added if c != text)), doc_id, text)
+        base, _ = numbered(df.drop(*(c for c in added if c != text)), doc_id, text)
         docs = base.select(F.col("__doc").alias("doc"), F.col(text).alias("text"))
         copies, contexts = repeated_contexts(docs, width)
         spans = copies.unionByName(bucket_spans(contexts, width)).unionByName(window_spans(contexts, width))

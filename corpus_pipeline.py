@@ -21,9 +21,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at 0.8 on five-word shingles stays: the least doc_id."""
-    kept = near_dedup.near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group at 0.8 on five-word shingles stays: the least doc_id
+    (then those without one), of equal ones the least text."""
+    return near_dedup.without_near_duplicates(docs.select(*COLUMNS), k=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark passage."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = decontaminate.contamination(docs, benchmark).where("contaminated").select("doc_id")
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    return decontaminate.flagged(docs, benchmark, COLUMNS).where("not contaminated").select(*COLUMNS)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
