@@ -60,8 +60,10 @@ def revert_nearby(df: DataFrame) -> DataFrame:
 
 def nearest_lookup(points: DataFrame, gazetteer: DataFrame, lat: str, lon: str, carried: list[str], sizes: tuple[float, ...] = (1.0, 8.0, 32.0)) -> DataFrame:
     """points with the nearest gazetteer entry of each distinct coordinate, by great-circle
-    distance. Rings widen: a ring's answer stands where it is nearer than anything outside
-    the ring can be; what is left after the last ring is compared with the whole gazetteer.
+    distance. Cells are cubes of the unit sphere's space, so nothing ends at the poles or at
+    180 degrees; a ring is a spot's cube and those around it. Rings of `sizes` degrees widen:
+    an answer stands where it is nearer than anything outside the ring can be; the last
+    ring holds the whole sphere and is asked only by spots with nothing nearer.
     gazetteer: lat, lon and the carried columns, of which the first breaks ties."""
     spots = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(lat).alias("a"), F.col(lon).alias("o")).distinct()
     entry = F.struct(*[F.col(c).alias(f"v_{c}") for c in carried]).alias("e")
@@ -72,28 +74,29 @@ def nearest_lookup(points: DataFrame, gazetteer: DataFrame, lat: str, lon: str,
         h = F.pow(F.sin(d(F.col("ta") - F.col("a")) / 2), 2) + F.cos(d(F.col("a"))) * F.cos(d(F.col("ta"))) * F.pow(F.sin(d(F.col("to") - F.col("o")) / 2), 2)
         return 2 * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
-    done = None
-    left = spots
-    for size in sizes:
-        ring = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda y: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda x: F.struct(y.alias("y"), x.alias("x"))))))
-        asked = left.withColumn("r", ring).select("a", "o", (tc.cell(F.col("a"), size) + F.col("r.y")).alias("cy"), (tc.cell(F.col("o"), size) + F.col("r.x")).alias("cx"))
-        held = towns.withColumns({"cy": tc.cell(F.col("ta"), size), "cx": tc.cell(F.col("to"), size)})
-        best = asked.join(held, ["cy", "cx"], "left").withColumn("d", arc()).groupBy("a", "o").agg(F.min(F.when(F.col("d").isNotNull(), F.struct("d", "e"))).alias("b"))
-        # Anything outside the 3 x 3 cells is at least one cell away in latitude or longitude.
-        far = F.least(F.radians(F.lit(size)), F.asin(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.cos(F.radians(F.least(F.lit(90.0), F.abs("a") + 2 * size))) * F.sin(F.radians(F.lit(size)))))))
-        best = best.withColumn("sure", F.coalesce(F.col("b.d") <= far, F.lit(False)))
-        done = best.where("sure").drop("sure") if done is None else done.unionByName(best.where("sure").drop("sure"))
-        left = best.where("not sure").select("a", "o")
-    rest = left.crossJoin(F.broadcast(towns)) if _small(gazetteer) else left.join(towns)
-    rest = rest.withColumn("d", arc()).groupBy("a", "o").agg(F.min(F.struct("d", "e")).alias("b"))
-    found = done.unionByName(rest).select(F.col("a").alias(lat), F.col("o").alias(lon), *[F.col(f"b.e.v_{c}").alias(c) for c in carried])
+    def cube(a: str, o: str, side: float) -> list[Column]:
+        up, along = F.radians(F.col(a)), F.radians(F.col(o))
+        return [F.floor(v / side).cast("long").alias(n) for n, v in (("x", F.cos(up) * F.cos(along)), ("y", F.cos(up) * F.sin(along)), ("z", F.sin(up)))]
+
+    state = spots
+    for side in (*(2 * math.sin(math.radians(min(s, 180.0)) / 2) for s in sizes), 2.0):
+        mine = cube("a", "o", side)
+        steps = F.array(*[F.struct(*[(c + d).alias(n) for c, d, n in zip(mine, (i, j, k), "xyz", strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+        new = F.when(F.col("d").isNotNull(), F.struct("d", "e"))
+        if "sure" in state.columns:
+            # Spots that are sure keep their answer; they ask for a cube that doesn't exist.
+            none = F.struct(F.xxhash64("a", "o").alias("x"), F.lit(1 << 40).alias("y"), F.lit(0).cast("long").alias("z"))
+            steps = F.when(F.col("sure"), F.array(none)).otherwise(steps)
+            new = F.when(F.col("sure"), F.col("b")).otherwise(new)
+        asked = state.withColumn("r", F.explode(steps)).select(*state.columns, "r.x", "r.y", "r.z")
+        best = asked.join(towns.select("*", *cube("ta", "to", side)), ["x", "y", "z"], "left").withColumn("d", arc())
+        # Anything outside the ring is farther than a side away, in a straight line.
+        near = 2 * F.sin(F.col("b.d") / 2) <= side * (1 - 1e-9)
+        state = best.groupBy("a", "o").agg(F.min(new).alias("b")).withColumn("sure", F.coalesce(near, F.lit(False)))
+    found = state.where("b is not null").select(F.col("a").alias(lat), F.col("o").alias(lon), *[F.col(f"b.e.v_{c}").alias(c) for c in carried])
     return points.join(found, [lat, lon], "left")
 
 
-def _small(df: DataFrame, rows: int = 500_000) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
 def location_cells(df: DataFrame, least: int = 1, digits: int = 2) -> DataFrame:
     """Rows per year and rounded coordinate, those with at least `least`."""
     out = df.where("gps_lat is not null and gps_lon is not null and date is not null")
