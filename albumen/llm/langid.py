@@ -5,6 +5,7 @@ suffix automaton; the language with the fewest normalised phrases wins."""
 from __future__ import annotations
 
 import math
+import random
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,156 +14,235 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from .bytesops import runs, string_bytes
 
-BLOCK = 512  # characters; no phrase goes on beyond a block's end
+BLOCK = 512  # symbols of a text that are parsed beside other blocks; results don't depend on it
+CHARS = 24_000  # characters of training text a language
+SLOTS = 64  # texts that they are taken from
+UNKNOWN = 20.0  # bits of a letter that a language's training text lacks: one of all code points
 _GAP = 1  # symbol of everything that isn't a letter
 _OTHER = 0  # letters that no training text has
 
 
-class SuffixAutomaton:
-    """Of a sequence of symbols; states are rows of a dense table."""
-
-    def __init__(self, symbols: list[int], size: int):
-        nxt: list[dict[int, int]] = [{}]
-        link, length = [-1], [0]
-        last = 0
-        for c in symbols:
-            cur = len(nxt)
-            nxt.append({})
-            link.append(-1)
-            length.append(length[last] + 1)
-            p = last
-            while p != -1 and c not in nxt[p]:
-                nxt[p][c] = cur
-                p = link[p]
-            if p == -1:
-                link[cur] = 0
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of a sequence's suffix automaton; state 0 is the root."""
+    nxt: list[dict[int, int]] = [{}]
+    link, length = [-1], [0]
+    last = 0
+    for c in symbols:
+        cur = len(nxt)
+        nxt.append({})
+        link.append(-1)
+        length.append(length[last] + 1)
+        p = last
+        while p != -1 and c not in nxt[p]:
+            nxt[p][c] = cur
+            p = link[p]
+        if p == -1:
+            link[cur] = 0
+        else:
+            q = nxt[p][c]
+            if length[p] + 1 == length[q]:
+                link[cur] = q
             else:
-                q = nxt[p][c]
-                if length[p] + 1 == length[q]:
-                    link[cur] = q
-                else:
-                    twin = len(nxt)
-                    nxt.append(dict(nxt[q]))
-                    link.append(link[q])
-                    length.append(length[p] + 1)
-                    while p != -1 and nxt[p].get(c) == q:
-                        nxt[p][c] = twin
-                        p = link[p]
-                    link[q] = link[cur] = twin
-            last = cur
-        self.table = np.full((len(nxt), size), -1, dtype=np.int32)
-        for state, out in enumerate(nxt):
-            for c, target in out.items():
-                self.table[state, c] = target
-
-    def walk(self) -> np.ndarray:
-        """Flat table of the greedy parse: entry [state * size + symbol] is twice
-        the next state's row offset, plus 1 where a phrase ends before symbol."""
-        n, size = self.table.shape
-        root = np.where(self.table[0] < 0, 0, self.table[0])
-        out = np.where(self.table >= 0, self.table.astype(np.int64) * size * 2, root.astype(np.int64)[None, :] * size * 2 + 1)
-        return out.astype(np.int32).ravel()
+                twin = len(nxt)
+                nxt.append(dict(nxt[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p != -1 and nxt[p].get(c) == q:
+                    nxt[p][c] = twin
+                    p = link[p]
+                link[q] = link[cur] = twin
+        last = cur
+    return nxt
+
+
+def comb(nxt: list[dict[int, int]], size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sparse transitions as one row that all states share: a state is a place b, and its
+    transition on c is at b + c where owner[b + c] == b. Places are tried at random until
+    a state's transitions fall on free cells, so memory follows the transitions and not
+    the alphabet. Returns (owner, target, root)."""
+    room = 4 * sum(map(len, nxt)) + 2 * len(nxt) + 64
+    rng = random.Random(1)
+    owner = np.full(room + size, -1, dtype=np.int32)
+    used, taken, place = bytearray(room + size), set(), []
+    for out in nxt:
+        while True:
+            b = rng.randrange(room)
+            if b not in taken and not any(used[b + c] for c in out):
+                break
+        taken.add(b)
+        place.append(b)
+        for c in out:
+            used[b + c] = 1
+    target = np.zeros(room + size, dtype=np.int32)
+    for b, out in zip(place, nxt, strict=True):
+        for c, state in out.items():
+            owner[b + c], target[b + c] = b, place[state]
+    return owner, target, place[0]
 
 
 @dataclass
 class Model:
     langs: list[str]
-    letters: str  # known letters; symbol of letters[i] is i + 2
-    tables: np.ndarray  # all languages' walks, one after the other
-    roots: np.ndarray
+    letters: str  # known letters of any language; symbol of letters[i] is i + 2
+    owner: np.ndarray  # all languages' combs, one after the other
+    target: np.ndarray
+    roots: np.ndarray  # the root's place, per language
+    first: np.ndarray  # per language and symbol: the place that the root goes to, or the root's
+    known: np.ndarray  # per language and symbol: has the root a transition
     bits: np.ndarray  # per phrase: log2 of the training length
 
 
-def fold(text: str) -> str:
-    return text.lower()
-
-
 def symbols_of(text: str, letters: dict[str, int]) -> list[int]:
-    """Known letters by their number, other letters 0, any run of the rest one gap."""
+    """Letters by their number (others 0), any run of the rest one gap."""
     out = [_GAP]
-    for ch in fold(text):
+    for ch in text.lower():
         s = letters.get(ch, _OTHER) if ch.isalpha() else _GAP
         if s != _GAP or out[-1] != _GAP:
             out.append(s)
     return out
 
 
-def fit(samples: dict[str, list[str]], chars: int) -> Model:
-    """One automaton per language over at most `chars` characters of its texts,
-    the same length for all languages where they have it."""
+def fit(samples: dict[str, list[str]]) -> Model:
+    """One automaton per language over all of its texts; no letter is left out."""
     langs = sorted(samples)
-    joined = {}
-    for lang in langs:
-        text = "\n".join(samples[lang])[:chars]
-        joined[lang] = text
-    letters = "".join(sorted({ch for t in joined.values() for ch in fold(t) if ch.isalpha()})[:510])
+    joined = {lang: "\n".join(samples[lang]) for lang in langs}
+    letters = "".join(sorted({ch for t in joined.values() for ch in t.lower() if ch.isalpha()}))
     number = {ch: i + 2 for i, ch in enumerate(letters)}
     size = len(letters) + 2
-    tables, roots, bits, at = [], [], [], 0
-    for lang in langs:
+    owners, targets, roots, bits, at = [], [], [], [], 0
+    first, known = np.zeros((len(langs), size), np.int32), np.zeros((len(langs), size), bool)
+    for k, lang in enumerate(langs):
         seq = symbols_of(joined[lang], number)
-        walk = SuffixAutomaton([s for s in seq if s != _OTHER] or [_GAP], size).walk()
-        tables.append(walk + np.int32(2 * at))
-        roots.append(at)
+        nxt = automaton(seq)
+        owner, target, root = comb(nxt, size)
+        owners.append(np.where(owner < 0, -1, owner + at))
+        targets.append(target + at)
+        roots.append(root + at)
+        first[k] = root + at
+        for c in nxt[0]:
+            first[k, c], known[k, c] = target[root + c] + at, True
         bits.append(math.log2(max(2, len(seq))))
-        at += len(walk)
-    flat = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-    return Model(langs, letters, flat, np.array(roots, np.int64), np.array(bits))
-
-
-def _symbol_table(model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Per code point of the basic plane: symbol after folding, and is it a letter."""
-    sym = np.full(0x10000, _GAP, dtype=np.int32)
-    letter = np.zeros(0x10000, dtype=bool)
-    number = {ch: i + 2 for i, ch in enumerate(model.letters)}
-    for cp in range(0x10000):
-        ch = chr(cp)
-        if unicodedata.category(ch)[0] == "L":
-            letter[cp] = True
-            low = ch.lower()
-            sym[cp] = number.get(low[0], _OTHER)
-    return sym, letter
-
-
-def phrases(model: Model, sym: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Phrases of each block and language; blocks are [start, start + length) of
-    sym. All blocks take a step together, longest first, so that those at their
-    end drop off."""
+        at += len(owner)
+    flat = lambda x: np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32)
+    return Model(langs, letters, flat(owners), flat(targets), np.array(roots, np.int32), first, known, np.array(bits))
+
+
+class _Alphabet:
+    """Symbol of every code point after folding, and is it a letter."""
+
+    def __init__(self, model: Model):
+        self.number = {ch: i + 2 for i, ch in enumerate(model.letters)}
+        self.symbol = np.full(0x10000, _GAP, dtype=np.int32)
+        self.letter = np.zeros(0x10000, dtype=bool)
+        for cp in range(0x10000):
+            if unicodedata.category(chr(cp))[0] == "L":
+                self.letter[cp] = True
+                self.symbol[cp] = self._of(chr(cp))
+
+    def _of(self, ch: str) -> int:
+        return self.number.get(ch.lower()[0], _OTHER)
+
+    def read(self, cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.where(cps < 0x10000, cps, 0).astype(np.int64)
+        symbol, letter = self.symbol[plain], self.letter[plain]
+        for cp in np.unique(cps[cps >= 0x10000]).tolist():
+            if chr(cp).isalpha():
+                symbol[cps == cp], letter[cps == cp] = self._of(chr(cp)), True
+        return symbol, letter
+
+
+def _step(model: Model, lang: np.ndarray, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(next state, does a phrase end before c)."""
+    at = state + c
+    goes = model.owner[at] == state
+    return np.where(goes, model.target[at], model.first[lang, c]), ~goes
+
+
+def _blocks(model: Model, sym: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keep: bool):
+    """Parse blocks side by side, each from the root, longest first so that those at their
+    end drop off. Returns (last state, phrase ends) per language and block and, with keep,
+    both after every symbol."""
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     n, k = len(starts), len(model.langs)
-    state = np.tile((2 * model.roots).astype(np.int32)[:, None], (1, n))
-    count = np.zeros((k, n), dtype=np.int32)
-    live = n
-    for t in range(int(lengths[0]) if n else 0):
+    lang = np.arange(k)[:, None]
+    state = np.repeat(model.roots[:, None], n, axis=1)
+    ends = np.zeros((k, n), dtype=np.int32)
+    most, live = int(lengths[0]) if n else 0, n
+    path = (np.zeros((most, k, n), np.int32), np.zeros((most, k, n), np.int16)) if keep else None
+    for t in range(most):
         while live and lengths[live - 1] <= t:
             live -= 1
-        step = model.tables[(state[:, :live] >> 1) + sym[starts[:live] + t]]
-        count[:, :live] += step & 1
-        state[:, :live] = step
-    count += 1
-    out = np.empty_like(count)
-    out[:, order] = count
-    return out
+        state[:, :live], over = _step(model, lang, state[:, :live], sym[starts[:live] + t][None, :])
+        ends[:, :live] += over
+        if path:
+            path[0][t, :, :live], path[1][t, :, :live] = state[:, :live], ends[:, :live]
+    back = np.empty(n, dtype=np.int64)
+    back[order] = np.arange(n)
+    return state[:, back], ends[:, back], path and (path[0][:, :, back], path[1][:, :, back])
 
 
-def predict_column(model: Model, tables: tuple[np.ndarray, np.ndarray], column: pa.Array) -> tuple[list[str], np.ndarray]:
-    sym_of, letter_of = tables
+def phrases(model: Model, sym: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Phrases of the greedy parse of each text and language; texts are [start, start +
+    length) of sym.
+
+    A long text's blocks are parsed side by side as if each began a phrase. Then each is
+    parsed again from the state in which the block before it ended, until both parses are
+    in one state: from there on they agree. A block whose parses never meet ends in
+    another state, and the next one is parsed once more from that."""
+    k, n = len(model.langs), len(starts)
+    head = np.minimum(lengths, BLOCK)
+    last, ends, _ = _blocks(model, sym, starts, head, False)
+    total = ends + (lengths > 0)
+    more = np.maximum(0, -(-lengths // BLOCK) - 1)
+    if not more.sum():
+        return total
+    row = np.repeat(np.arange(n), more)
+    nth = 1 + np.arange(len(row)) - np.repeat(np.cumsum(more) - more, more)
+    begin = starts[row] + nth * BLOCK
+    size = np.minimum(BLOCK, starts[row] + lengths[row] - begin)
+    out, own, (states, counts) = _blocks(model, sym, begin, size, True)
+    plain_out, plain_own = out.copy(), own.copy()
+    into = np.where(nth == 1, last[:, row], np.concatenate((last[:, :1], out[:, :-1]), axis=1))
+    lang, block = (x.ravel() for x in np.indices(into.shape))
+    while len(lang):
+        s, c, t = into[lang, block], np.zeros(len(lang), np.int32), 0
+        before = out[lang, block]
+        out[lang, block], own[lang, block] = plain_out[lang, block], plain_own[lang, block]
+        g, b = lang, block
+        while len(g):
+            s, over = _step(model, g, s, sym[begin[b] + t])
+            c = c + over
+            met, done = s == states[t, g, b], size[b] == t + 1
+            own[g[met], b[met]] = c[met] + plain_own[g[met], b[met]] - counts[t, g[met], b[met]]
+            end = done & ~met
+            own[g[end], b[end]], out[g[end], b[end]] = c[end], s[end]
+            on = ~(met | done)
+            g, b, s, c, t = g[on], b[on], s[on], c[on], t + 1
+        moved = (out[lang, block] != before) & (block + 1 < len(row))
+        lang, block = lang[moved], block[moved] + 1
+        same = row[block] == row[block - 1]
+        lang, block = lang[same], block[same]
+        into[lang, block] = out[lang, block - 1]
+    for g in range(k):
+        total[g] += np.bincount(row, weights=own[g], minlength=n).astype(total.dtype)
+    return total
+
+
+def predict_column(model: Model, alphabet: _Alphabet, column: pa.Array) -> tuple[list[str], np.ndarray]:
     data, offs = string_bytes(column)
     langs, scores = [], []
-    for i, j in runs(offs, 1 << 19):
+    k = len(model.langs)
+    for i, j in runs(offs, (1 << 21) // max(4, k)):
         raw = bytes(data[offs[i] : offs[j]])
         cps = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
         lead = (np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80
         edges = np.concatenate(([0], np.cumsum(lead)))[offs[i : j + 1] - offs[i]]
-        plain = np.where(cps < 0x10000, cps, 0xFFFF).astype(np.int64)
-        sym, letter = sym_of[plain], letter_of[plain]
-        for x in np.flatnonzero(cps >= 0x10000).tolist():
-            if chr(cps[x]).isalpha():
-                sym[x], letter[x] = _OTHER, True
+        sym, letter = alphabet.read(cps)
         has = np.concatenate(([0], np.cumsum(letter)))
         has = has[edges[1:]] - has[edges[:-1]]
         keep = np.ones(len(sym), dtype=bool)
@@ -170,17 +250,12 @@ def predict_column(model: Model, tables: tuple[np.ndarray, np.ndarray], column:
         keep[edges[:-1][edges[:-1] < len(sym)]] = True
         kept = np.concatenate(([0], np.cumsum(keep)))[edges]
         sym = sym[keep]
-        sizes = np.diff(kept)
-        blocks = -(-sizes // BLOCK)
-        row = np.repeat(np.arange(j - i), blocks)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        starts = kept[row] + nth * BLOCK
-        lengths = np.minimum(BLOCK, kept[row + 1] - starts)
-        counts = phrases(model, sym, starts, lengths)
-        total = np.stack([np.bincount(row, weights=c, minlength=j - i) for c in counts]) if len(model.langs) else np.zeros((0, j - i))
-        cost = total * model.bits[:, None]
+        cost = phrases(model, sym, kept[:-1], np.diff(kept)) * model.bits[:, None]
+        for g in range(k):
+            missing = np.concatenate(([0], np.cumsum(~model.known[g][sym])))[kept]
+            cost[g] += UNKNOWN * np.diff(missing)
         for r in range(j - i):
-            if not has[r] or not len(model.langs):
+            if not has[r] or not k:
                 langs.append("und")
                 scores.append(0.0)
                 continue
@@ -191,51 +266,47 @@ def predict_column(model: Model, tables: tuple[np.ndarray, np.ndarray], column:
     return langs, np.array(scores)
 
 
-def sample(df: DataFrame, text: str, lang: str, per_lang: int) -> dict[str, list[str]]:
-    """At most per_lang texts of each label, by the hash order of the texts."""
-    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.substring(F.col(text), 1, 4000).alias("t"), F.xxhash64(F.col(text)).alias("h"))
-    best = rows.groupBy("l").agg(F.min_by("t", "h").alias("t")) if per_lang == 1 else _spread(rows, per_lang)
+def sample(df: DataFrame, text: str, lang: str, chars: int, slots: int) -> dict[str, list[str]]:
+    """At most about `chars` characters of each label, in equal shares of at most `slots`
+    texts: those of the least hash in each slot of hashes. A share begins at a place that
+    the text's hash gives, so neither a text's beginning nor its letters are favoured."""
+    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h"))
+    picked = rows.groupBy("l", F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min("h").alias("h"))
+    share = picked.groupBy("l").agg(F.ceil(F.lit(chars) / F.count("*")).cast("int").alias("share"))
+    found = rows.join(picked.join(share, "l").select("l", "h", "share"), ["l", "h"])
+    spare = F.greatest(F.length("t") - F.col("share"), F.lit(0))
+    piece = F.col("t").substr((F.pmod(F.xxhash64("h"), spare + 1) + 1).cast("int"), F.col("share"))
     out: dict[str, list[str]] = {}
-    for r in best.orderBy("l", "t").toLocalIterator():
+    for r in found.groupBy("l", "h").agg(F.min(piece).alias("t")).orderBy("l", "h").toLocalIterator():
         out.setdefault(r["l"], []).append(r["t"])
     return out
 
 
-def _spread(rows: DataFrame, n: int) -> DataFrame:
-    """n texts a label at most: the least hash of each of n slots, so that a hot
-    label is reduced before it is shuffled."""
-    return rows.groupBy("l", F.pmod("h", F.lit(n)).alias("slot")).agg(F.min_by("t", "h").alias("t")).select("l", "t")
-
-
-def train(df: DataFrame, text: str = "text", lang: str = "lang", chars: int = 24000, per_lang: int = 64) -> Model:
-    """Fit on a bounded sample: per_lang slots a label hold one text each (its first
-    4,000 characters), and each automaton takes `chars` characters of them in the
-    order of their text. Rows without a text or label take no part; with no rows the
-    model has no language."""
-    return fit(sample(df, text, lang, per_lang), chars)
+def train(df: DataFrame, text: str = "text", lang: str = "lang", chars: int = CHARS, slots: int = SLOTS) -> Model:
+    """Fit on a bounded sample of labelled rows: `chars` characters a language out of
+    `slots` texts, an equal share of each. Rows without a text or label take no part; with
+    no rows the model has no language."""
+    return fit(sample(df, text, lang, chars, slots))
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add lang_pred and score to every row; other columns of those names are replaced.
 
-    The whole text is parsed, in blocks of 512 symbols at whose ends phrases end.
-    A language's cost is its phrases times the log2 of its training length; the
-    least cost wins, ties go to the first language by name. score is the winner's
-    share of 2 ** -cost, from 0 to 1. A null text, or one without a letter, is
-    `und` with score 0, as is everything under a model without languages.
-    Letters are folded to lower case; all else is a gap. No shuffle."""
+    The whole text is one parse. A language's cost is its phrases times the log2 of its
+    training length, and UNKNOWN bits for each letter that its training text lacks; the
+    least cost wins, ties go to the first language by name. score is the winner's share of
+    2 ** -cost, from 0 to 1. A null text, or one without a letter, is `und` with score 0,
+    as is everything under a model without languages. Letters are folded to lower case;
+    all else is a gap. Repeated rows each get their row. No shuffle."""
     plain = df.drop("lang_pred", "score")
-    schema = plain.schema.simpleString()[len("struct<") : -1]
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
     schema = StructType(list(plain.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
     shared = plain.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        tables = _symbol_table(m)
+        alphabet = _Alphabet(m)
         for b in batches:
-            langs, scores = predict_column(m, tables, b.column(b.schema.get_field_index(text)))
+            langs, scores = predict_column(m, alphabet, b.column(b.schema.get_field_index(text)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     return plain.mapInArrow(work, schema)

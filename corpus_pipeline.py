@@ -15,8 +15,11 @@ TOKENIZER = "piece_bpe_32k.model"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language (no text, or no letter in it)."""
+    """Drop documents without a language: no text, or no letter in it. Where no row has a
+    label to learn from, all with a letter stay."""
     model = langid.train(docs.where(~langid.held_out("doc_id")))
+    if not model.langs:
+        return docs.where("text rlike '\\\\p{L}'").select(*COLUMNS)
     return langid.identify(docs, model).where("lang_pred != 'und'").select(*COLUMNS)
 
 

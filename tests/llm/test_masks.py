@@ -54,3 +54,18 @@ def test_a_stretch_beside_a_longer_trimmed_one():
     item = list(range(1, 60))
     doc = [99] * 3 + item[3:15] + [99] * 20 + item[35:39] + [99] + item[40:44] + [99] + item[45:48] + [99] * 11
     assert hit(doc, item) == brute_overlap(doc, item) == (13, 11)
+
+
+@pytest.mark.parametrize("pairs", [4, 1 << 12])
+def test_repeated_tokens(monkeypatch, pairs):
+    """Few different tokens, so that nearly all diagonals are hit."""
+    monkeypatch.setattr(d, "PAIRS", pairs)
+    rng = random.Random(5)
+    for _ in range(200):
+        item, doc = ([rng.randrange(3) for _ in range(rng.randrange(1, 34))] for _ in range(2))
+        assert hit(doc, item) == brute_overlap(doc, item)
+
+
+def test_many_equal_tokens():
+    assert hit([5] * 20_000, [5] * 20_000) == (20_000, 20_000)
+    assert hit([5] * 20_000, [5] * 9_000 + [6] + [5] * 9_000) == (18_001, 18_000)

@@ -171,13 +171,75 @@ def test_components(spark):
 def test_license_scan(spark):
     rng = random.Random(4)
     noise = " ".join(rng.choice(["the", "under", "version", "sea", "this", "work"]) for _ in range(3000))
-    rows = [(1, f"{noise} Licensed under the\nApache License, version 2.0. {noise}"), (2, "released UNDER the MIT license"), (3, noise), (4, None), (5, ""), (6, "License MIT the under Released"), (7, "This work is licensed under the GNU General Public License version 3 or so"), (2, "released UNDER the MIT license")]
-    got = license_scan.scan(docs(spark, rows)).collect()
-    assert len(got) == 8
-    assert {r["doc_id"]: r["license"] for r in got} == {1: "Apache-2.0", 2: "MIT", 3: None, 4: None, 5: None, 6: None, 7: "GPL-3.0"}
+    rows = [(1, f"{noise} Licensed under the\nApache License, version 2.0. {noise}"), (2, "released UNDER the MIT license"), (3, noise), (4, None), (5, ""), (6, "License MIT the under Released"), (7, "This work is licensed under the GNU General Public License version 3 or so"), (2, "released UNDER the MIT license"), (None, "released under the MIT license")]
+    got = license_scan.scan(docs(spark, rows).withColumn("license", F.lit("x"))).collect()
+    assert len(got) == 9
+    assert {r["doc_id"]: r["license"] for r in got} == {1: "Apache-2.0", 2: "MIT", 3: None, 4: None, 5: None, 6: None, 7: "GPL-3.0", None: "MIT"}
     assert license_scan.scan(docs(spark, [])).count() == 0
 
 
+def licenses(spark, texts):
+    return {r["doc_id"]: (r["license"], r["coverage"]) for r in license_scan.scan(docs(spark, list(enumerate(texts)))).collect()}
+
+
+def test_license_repeats_and_variants(spark):
+    gpl = "This work is licensed under the GNU {} License, version {}"
+    texts = {
+        "the under Released under the MIT License Released under the MIT License under the": "MIT",
+        "the file is Released under the MIT License and Released under the MIT License see the file": "MIT",
+        "x of the code. Licensed under the Apache License, Version 2.0 Licensed under the Apache License, Version 2.0 See the notes": "Apache-2.0",
+        f"the work {gpl.format('General Public', 3)} {gpl.format('General Public', 3)} this public work": "GPL-3.0",
+        gpl.format("General Public", 2): "GPL-2.0",
+        gpl.format("Lesser General Public", 3): "LGPL-3.0",
+        gpl.format("General Public", 7): None,
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "CC-BY-NC-4.0",
+    }
+    assert {t: v[0] for t, v in zip(texts, licenses(spark, texts).values(), strict=True)} == texts
+
+
+def test_license_texts_stand_out(spark):
+    """Every notice whole, doubled and between stray words of its own, is found whole."""
+    texts = [f"the of {t} under the {t} of a {t}" for _, t in license_scan.NOTICES]
+    got = licenses(spark, texts)
+    for i, (name, t) in enumerate(license_scan.NOTICES):
+        longer = {n for n, x in license_scan.NOTICES if len(x) > len(t) and t in x}
+        assert got[i][1] == 1.0 and got[i][0] in {name, *longer}, (name, got[i])
+
+
+def common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_license_coverage_against_brute_force():
+    """Never more than the longest common subsequence of any stretch; found wherever words
+    are put between or some are lost, up to the coverage."""
+    rng = random.Random(6)
+    for n in (5, 12, 30, 60):
+        notice = [f"w{chr(97 + x // 26)}{chr(97 + x % 26)}" for x in (rng.randrange(4 * n) for _ in range(n))]  # a digit would be needed
+        t = license_scan.Template("x", " ".join(notice), 0.8)
+        for _ in range(40):
+            body = [w for w in notice if rng.random() > 0.08]
+            for _ in range(rng.randrange(n // 5 + 1)):
+                body.insert(rng.randrange(len(body) + 1), rng.choice(("za", "zb", "zc")))
+            text = [rng.choice(notice) for _ in range(rng.randrange(20))] + body * rng.randrange(1, 3) + [rng.choice(notice) for _ in range(20)]
+            raw = np.frombuffer(" ".join(text).encode(), dtype=np.uint8)
+            h = license_scan.words(raw, np.array([0, len(raw)]), license_scan.NOT_WORD)[0]
+            got = t.best(h, np.flatnonzero(np.isin(h, t.words)))
+            bound = max(common(text[a : a + t.reach], notice) for a in range(len(text)))
+            assert (got[0] if got else 0) <= bound
+            if body == notice:
+                assert got and got[0] == n
+            elif bound >= 0.95 * n:
+                assert got, (notice, text)
+
+
 def test_patience_alignment():
     assert license_scan.increasing([5, 1, 2, 9, 3]) == [1, 2, 4]
     rng = random.Random(9)
@@ -336,21 +398,50 @@ def test_quality(spark):
 # --- 9 -------------------------------------------------------------------------
 
 
-def test_suffix_automaton_parse():
+def brute_parse(train, seq):
+    """Phrases of the greedy parse, by looking into the training text."""
+    inside, text = ("".join(chr(256 + s) for s in x) for x in (train, seq))
+    n, i = 1, 0
+    for j in range(len(text)):
+        if text[i : j + 1] not in inside:
+            n, i = n + 1, (j if text[j] in inside else j + 1)
+    return n
+
+
+@pytest.mark.parametrize("letters", [3, 3000])
+@pytest.mark.parametrize("block", [512, 7, 1])
+def test_suffix_automaton_parse(monkeypatch, letters, block):
+    """Long texts too: a phrase goes on where a block ends. No alphabet is too large."""
+    monkeypatch.setattr(langid, "BLOCK", block)
     rng = random.Random(2)
-    train = "".join(rng.choice("abc") for _ in range(300))
-    m = langid.fit({"x": [train]}, 1000)
+    known = [chr(0x4E00 + i) for i in range(letters)]
+    train = "".join(rng.choice(known) for _ in range(400 if letters == 3 else 6000))
+    m = langid.fit({"x": [train], "y": [train[::-1]]})
     number = {ch: i + 2 for i, ch in enumerate(m.letters)}
-    for _ in range(50):
-        t = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 60)))
-        seq = [number.get(c, 0) for c in t]
-        inside = "".join(chr(48 + s) for s in langid.symbols_of(train, number))
-        text, n, i = "".join(chr(48 + s) for s in seq), 1, 0
-        for j in range(len(text)):
-            if text[i : j + 1] not in inside:
-                n, i = n + 1, (j if text[j] in inside else j + 1)
-        got = langid.phrases(m, np.array(seq, dtype=np.int32), np.array([0]), np.array([len(seq)]))[0, 0]
-        assert got == n
+    texts = []
+    for n in (1, 5, 511, 512, 513, 1024, 1025, 3000):
+        a = rng.randrange(len(train))
+        texts.append([number.get(rng.choice([*known, "q"]) if rng.random() < 0.2 else train[(a + z) % len(train)], 0) for z in range(n)])
+    size = np.array([len(t) for t in texts])
+    got = langid.phrases(m, np.array(sum(texts, []), dtype=np.int32), np.cumsum(size) - size, size)
+    assert got.tolist() == [[brute_parse(langid.symbols_of(t, number), x) for x in texts] for t in (train, train[::-1])]
+
+
+def test_no_letter_is_left_out(spark):
+    """A language of thousands of letters beside one of few; a tiny one does not win by it."""
+    rng = random.Random(3)
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    text = "".join(rng.choice(han) for _ in range(6000))
+    rows = [(1, text, "zh"), (2, "the cat sat on the mat and the dog ran", "en"), (3, "12", "xx")]
+    m = langid.train(docs(spark, rows, "doc_id long, text string, lang string"))
+    asked = [(0, text[2000:2400]), (1, "the dog sat"), (2, text[-100:])]
+    assert [r["lang_pred"] for r in langid.identify(docs(spark, asked), m).orderBy("doc_id").collect()] == ["zh", "en", "zh"]
+
+
+def test_sample_takes_a_share_of_every_slot(spark):
+    rows = [(i, f"{i:04d}" + chr(97 + i % 26) * 5000, "en") for i in range(40)] + [(99, None, "en"), (98, "x", None)]
+    got = langid.sample(docs(spark, rows, "doc_id long, text string, lang string"), "text", "lang", 900, 16)["en"]
+    assert 10 <= len(got) <= 16 and len({len(t) for t in got}) == 1 and 900 <= sum(map(len, got)) < 900 + 16
 
 
 def test_language_id(spark, data):
