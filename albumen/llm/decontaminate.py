@@ -26,6 +26,7 @@ OVERLAP = 13  # tokens of an overlap that counts; all of them where the item has
 MATCH = 0.8  # of them that are equal
 SEEDS = 4_000_000  # of test seeds that one pass over the documents carries
 RUN = 1 << 18
+PAIRS = 1 << 12  # of equal seeds that are paired one by one
 
 
 def tokens(column: pa.Array):
@@ -94,75 +95,95 @@ class TestSet:
                 self.seeds.append((mask, s[order], i[order], q[order]))
         self.filters = []
         for _, s, _, _ in self.seeds:
-            bits = np.zeros(1 << 22, dtype=bool)
-            bits[(s >> U64(42)).astype(np.int64)] = True
+            bits = np.zeros(1 << min(22, max(12, 4 + len(s).bit_length())), dtype=bool)
+            bits[(s >> U64(64 - len(bits).bit_length() + 1)).astype(np.int64)] = True
             self.filters.append(bits)
 
 
-def aligned(doc: np.ndarray, item: np.ndarray, diagonal: int, overlap: int, match: float) -> tuple[int, int] | None:
+def aligned(doc: np.ndarray, item: np.ndarray, diagonal: int, overlap: int, match: float, floor: int = 0) -> tuple[int, int] | None:
     """(length, equal tokens) of the longest stretch on a diagonal (place in doc minus
     place in item) that begins and ends with equal tokens, of which the share `match`
-    are equal; None where none has min(overlap, tokens of the item)."""
+    are equal; None where none has min(overlap, tokens of the item) and `floor` tokens."""
     lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
-    least = min(overlap, len(item))
+    least = max(min(overlap, len(item)), floor, 1)
     if hi - lo < least:
         return None
     same = doc[lo + diagonal : hi + diagonal] == item[lo:hi]
     sums = np.concatenate(([0], np.cumsum(same)))
+    if sums[-1] < match * least - 1e-9:
+        return None
     gain = sums - match * np.arange(len(sums))
-    # longest i < j with gain[j] >= gain[i]: least prefix minima against largest suffix
-    # maxima, of the places where an equal token begins and those where one ends
-    low = np.minimum.accumulate(np.where(np.append(same, False), gain, np.inf))
-    high = np.maximum.accumulate(np.where(np.append(False, same), gain, -np.inf)[::-1])[::-1]
-    i = j = size = 0
-    while j < len(gain):
-        if high[j] >= low[i] - 1e-9:
-            size = max(size, j - i)
-            j += 1
-        elif i < j:
-            i += 1
-        else:
-            i, j = i + 1, j + 1
-    if size < max(least, 1):
+    # the longest i < j with gain[j] >= gain[i]: for each end j of an equal token, the
+    # first i whose prefix minimum, of places where an equal token begins, is low enough
+    low = np.minimum.accumulate(np.where(same, gain[:-1], np.inf))
+    ends = np.flatnonzero(same) + 1
+    begins = np.searchsorted(-low, -(gain[ends] + 1e-9), side="left")
+    size = int((ends - begins).max())
+    if size < least:
         return None
     held = sums[size:] - sums[:-size]
     fits = same[: len(held)] & same[size - 1 :] & (held >= match * size - 1e-9)
     return size, int(held[fits].max())
 
 
-def overlaps(test: TestSet, h: np.ndarray, first: np.ndarray, overlap: int, match: float) -> dict[int, tuple[int, int, int]]:
-    """row -> (item id, length, equal tokens) of each row's longest verified overlap (ties:
-    more equal tokens, then the smaller item id)."""
-    keys: list[np.ndarray] = []
+def _differences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The distinct values of x - y for x in p, y in q, without holding all pairs."""
+    if len(p) * len(q) <= PAIRS:
+        return np.unique(p[:, None] - q[None, :])
+    few, many = (p, -q) if len(p) <= len(q) else (-q, p)
+    base = int(many.min())
+    there = np.zeros(int(many.max()) - base + 1, dtype=bool)
+    there[many - base] = True
+    mark = np.zeros(len(there) + int(few.max() - few.min()), dtype=bool)
+    for x in np.unique(few - few.min()).tolist():
+        mark[x : x + len(there)] |= there
+    return np.flatnonzero(mark) + base + int(few.min())
+
+
+def _diagonals(test: TestSet, h: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    """(row, item) -> the distinct diagonals on which some seed of theirs is equal."""
+    found: dict[tuple[int, int], list[np.ndarray]] = {}
     for (mask, s, item, q), bits in zip(test.seeds, test.filters, strict=True):
         mine = seeds(h, mask)
         if not len(mine):
             continue
-        at = np.flatnonzero(bits[(mine >> U64(42)).astype(np.int64)])
+        at = np.flatnonzero(bits[(mine >> U64(64 - len(bits).bit_length() + 1)).astype(np.int64)])
         lo = np.searchsorted(s, mine[at], "left")
         hi = np.searchsorted(s, mine[at], "right")
-        n = hi - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        if not len(at):
-            continue
-        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        place = np.repeat(at, n)
-        row = np.searchsorted(first, place, side="right") - 1
-        inside = place + len(mask) <= first[row + 1]
-        found = np.stack([row, item[which], place - first[row] - q[which]], axis=1)[inside]
-        keys.append(np.unique(found, axis=0))
+        row = np.searchsorted(first, at, side="right") - 1
+        ok = (hi > lo) & (at + len(mask) <= first[row + 1])
+        at, lo, hi, row = at[ok], lo[ok], hi[ok], row[ok]
+        # one group a row and seed: its places there against its places in each item
+        order = np.lexsort((at, lo, row))
+        at, lo, hi, row = at[order], lo[order], hi[order], row[order]
+        cut = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (lo[1:] != lo[:-1]), [True]))) if len(at) else np.zeros(1, np.int64)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            r, places = int(row[a]), at[a:b] - first[row[a]]
+            mine_q, mine_i = q[lo[a] : hi[a]], item[lo[a] : hi[a]]
+            edge = np.flatnonzero(np.concatenate(([True], mine_i[1:] != mine_i[:-1], [True])))
+            for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                found.setdefault((r, int(mine_i[x])), []).append(_differences(places, mine_q[x:y]))
+    return {k: np.unique(np.concatenate(v)) for k, v in found.items()}
+
+
+def overlaps(test: TestSet, h: np.ndarray, first: np.ndarray, overlap: int, match: float) -> dict[int, tuple[int, int, int]]:
+    """row -> (item id, length, equal tokens) of each row's longest verified overlap (ties:
+    more equal tokens, then the smaller item id). Diagonals are verified longest first;
+    those that can't hold a stretch as long as the row's best are passed over."""
     out: dict[int, tuple[int, int, int]] = {}
-    if not keys:
-        return out
-    for row, item, diagonal in np.unique(np.concatenate(keys), axis=0).tolist():
+    for (row, item), diagonals in _diagonals(test, h, first).items():
         doc = h[first[row] : first[row + 1]]
         mine = test.flat[test.at[item] : test.at[item] + test.size[item]]
-        hit = aligned(doc, mine, diagonal, overlap, match)
-        if hit:
-            new = (int(test.ids[item]), *hit)
+        room = np.minimum(len(mine), len(doc) - diagonals) - np.maximum(0, -diagonals)
+        for i in np.argsort(-room, kind="stable").tolist():
             old = out.get(row)
-            if old is None or (-new[1], -new[2], new[0]) < (-old[1], -old[2], old[0]):
-                out[row] = new
+            if old and room[i] < old[1]:
+                break
+            hit = aligned(doc, mine, int(diagonals[i]), overlap, match, old[1] if old else 0)
+            if hit:
+                new = (int(test.ids[item]), *hit)
+                if old is None or (-new[1], -new[2], new[0]) < (-old[1], -old[2], old[0]):
+                    out[row] = new
     return out
 
 
@@ -201,11 +222,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def flagged(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], text: str = "text", item_id: str = "item_id", item_text: str = "text", overlap: int = OVERLAP, match: float = MATCH, limit: int = SEEDS) -> DataFrame:
     """The columns `keep` of each row with contaminated, item_id, overlap and equal beside
-    them, judged row by row. Test sets beyond `limit` seeds go in several passes over the
+    them (in place of columns so named), judged row by row. Test sets beyond `limit` seeds go in several passes over the
     documents, numbered by row for that, so what is sent to the tasks has a fixed bound."""
     found = ("item_id", "overlap", "equal")
+    keep = tuple(c for c in keep if c not in (*found, "contaminated"))
 
-    def one(base: DataFrame, test: TestSet, keep: tuple[str, ...]) -> DataFrame:
+    def one(base: DataFrame, test: TestSet, keep: tuple[str, ...]) -> tuple[DataFrame, object]:
         shared = docs.sparkSession.sparkContext.broadcast(test)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,20 +244,22 @@ def flagged(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], text:
         schema = StructType([sent.schema[c] for c in keep])
         for c in found:
             schema = schema.add(c, LongType())
-        return sent.mapInArrow(work, schema)
+        return sent.mapInArrow(work, schema), shared
 
     sets = test_sets(benchmark, item_id, item_text, limit, overlap, match)
     parts = list(itertools.islice(sets, 2))
     if not parts:
         out = docs.select(*keep, *(F.lit(None).cast("long").alias(c) for c in found))
     elif len(parts) == 1:
-        out = one(docs, parts[0], keep)
+        out = one(docs, parts[0], keep)[0]
     else:
         base = written(docs.select(*dict.fromkeys((*keep, text))).withColumn("__row", F.monotonically_increasing_id()), "rows")
         hits = None
-        for t in itertools.chain(parts, sets):
-            p = one(base, t, ("__row",)).where("overlap is not null")
-            hits = p if hits is None else hits.unionByName(p)
+        for t in itertools.chain(parts, sets):  # one test set is held at a time
+            mine, shared = one(base, t, ("__row",))
+            mine = written(mine.where("overlap is not null"), "hits")
+            shared.destroy()
+            hits = mine if hits is None else hits.unionByName(mine)
         best = F.max(F.struct("overlap", "equal", (-F.col("item_id")).alias("less"))).alias("b")
         out = base.join(hits.groupBy("__row").agg(best), "__row", "left").select(*keep, (-F.col("b.less")).alias("item_id"), "b.overlap", "b.equal")
     return out.select(*keep, F.col("overlap").isNotNull().alias("contaminated"), *found)
