@@ -13,22 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import NOT_WORD, runs, string_bytes, words
-
-# Short notices by which texts name their license (name, notice).
-NOTICES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-)
+from .bytesops import NOT_WORD, U64, mix, runs, string_bytes, words
+from .license_texts import NOTICES, VARIANTS
+
 COVERAGE = 0.9
 STRETCH = 1.5  # a match may lie in at most so many template lengths of text
+SHORT = 40  # words of a template up to which every place of its first words is tried
+GAP = 4096  # cells of a gap without anchors that is still aligned
 RUN = 1 << 20
 
 
@@ -53,6 +44,46 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _grams(x: list[int], size: int) -> list[tuple[int, ...]]:
+    return [tuple(x[i : i + size]) for i in range(len(x) - size + 1)]
+
+
+def _anchors(text: list[int], notice: list[int]) -> list[tuple[int, int]]:
+    """Longest increasing sequence of places of words that occur once in both; where no
+    word does, of runs of two or three words; in a small gap without those either, the
+    longest common subsequence."""
+    for size in (1, 2, 3):
+        t, n = _grams(text, size), _grams(notice, size)
+        once, mine = Counter(t), Counter(n)
+        place = {w: i for i, w in enumerate(t) if once[w] == 1}
+        pairs = [(place[w], j) for j, w in enumerate(n) if mine[w] == 1 and w in place]
+        if pairs:
+            kept = [pairs[i] for i in increasing([p for p, _ in pairs])]
+            out = [kept[0]]
+            for p, q in ((p + k, q + k) for p, q in kept for k in range(size)):
+                if p > out[-1][0] and q > out[-1][1]:
+                    out.append((p, q))
+            return out
+    return _common(text, notice) if len(text) * len(notice) <= GAP else []
+
+
+def _common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def align(text: list[int], notice: list[int]) -> list[tuple[int, int]]:
     """Pairs (place in text, place in notice) of equal words, increasing in both."""
     out: list[tuple[int, int]] = []
@@ -67,11 +98,7 @@ def align(text: list[int], notice: list[int]) -> list[tuple[int, int]]:
             out.append((b, d))
         if a >= b or c >= d:
             continue
-        once = Counter(text[a:b])
-        mine = Counter(notice[c:d])
-        place = {w: i for i, w in enumerate(text[a:b], a) if once[w] == 1}
-        anchors = [(place[w], j) for j, w in enumerate(notice[c:d], c) if mine[w] == 1 and w in place]
-        kept = [anchors[i] for i in increasing([p for p, _ in anchors])]
+        kept = [(a + p, c + q) for p, q in _anchors(text[a:b], notice[c:d])]
         if not kept:
             continue
         out += kept
@@ -82,84 +109,114 @@ def align(text: list[int], notice: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def densest(pairs: list[tuple[int, int]], reach: int) -> tuple[int, int, int]:
-    """(pairs, first place, end) of the most pairs within `reach` words of text."""
-    best, i = (0, 0, 0), 0
-    for j, (p, _) in enumerate(pairs):
-        while p - pairs[i][0] >= reach:
-            i += 1
-        if j - i + 1 > best[0]:
-            best = (j - i + 1, pairs[i][0], p + 1)
-    return best
-
-
-def candidates(places: np.ndarray, notice: np.ndarray, h: np.ndarray, least: int, reach: int):
-    """Stretches of text, as word places, that hold `least` distinct words of the notice
-    within `reach` words; others can't reach the coverage. Overlapping ones are joined."""
-    at = places[np.isin(h[places], notice)]
-    spans: list[list[int]] = []
-    held: Counter = Counter()
-    i = 0
-    for j, p in enumerate(at.tolist()):
-        held[int(h[p])] += 1
-        while p - at[i] >= reach:
-            w = int(h[at[i]])
-            held[w] -= 1
-            if not held[w]:
-                del held[w]
-            i += 1
-        if len(held) >= least:
-            a, b = max(0, int(at[i])), p + 1
-            if spans and a < spans[-1][1]:
-                spans[-1][1] = b
-            else:
-                spans.append([a, b])
-    return spans
+class Template:
+    """A notice as word hashes, and where in a text a match of it may begin."""
+
+    def __init__(self, name: str, text: str, coverage: float):
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        self.name = name
+        self.words = words(data, np.array([0, len(data)]), NOT_WORD)[0]
+        self.list = self.words.tolist()
+        n = len(self.list)
+        self.need = max(1, int(np.ceil(coverage * n - 1e-9)))
+        self.reach = int(n * STRETCH) + 1
+        self.least = max(1, self.need - (n - len(np.unique(self.words))))  # distinct words
+        self.firsts = np.unique(self.words[: n - self.need + 1])
+        self.pairs = mix(self.words[:-1] * U64(31) + self.words[1:]) if n > 1 else self.words[:0]
+        tokens = "".join(c if c.isascii() and c.isalnum() or not c.isascii() else " " for c in text.lower()).split()
+        fixed = [any(c.isdigit() for c in t) or t in VARIANTS for t in tokens]
+        self.fixed = {q for q, x in enumerate(fixed) if x}
+        self.foreign = {_hash(v) for v in VARIANTS if v not in tokens}
+
+    def starts(self, h: np.ndarray, places: np.ndarray) -> list[int]:
+        """Places where a match can begin. A match holds `need` words in order within
+        `reach`, so it begins with one of the first words, and enough distinct words of
+        the notice follow. A long notice's matches share runs of two words with it,
+        which tell its place: those whose places agree are followed."""
+        at = places[np.isin(h[places], self.words)]
+        if len(self.list) > SHORT:
+            mine = mix(h[:-1] * U64(31) + h[1:])
+            order = np.argsort(self.pairs, kind="stable")
+            lo, hi = (np.searchsorted(self.pairs[order], mine, side) for side in ("left", "right"))
+            p = np.repeat(np.arange(len(mine)), hi - lo)
+            q = order[np.repeat(lo, hi - lo) + np.arange(len(p)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
+            shift, votes = np.unique(p - q, return_counts=True)
+            sums = np.concatenate(([0], np.cumsum(votes)))
+            end = np.searchsorted(shift, shift + len(self.list) // 2, side="right")
+            ok = np.flatnonzero(sums[end] - sums[:-1] >= len(self.list) // 4)
+            best: dict[int, int] = {}
+            for i in ok.tolist():
+                g = int(shift[i]) // max(1, len(self.list) // 8)
+                if g not in best or votes[i] > votes[best[g]]:
+                    best[g] = i
+            return sorted({max(0, int(shift[i])) for i in best.values()})
+        out, held, j = [], Counter(), 0
+        w = h[at].tolist()
+        first = np.isin(h[at], self.firsts).tolist()
+        spots = at.tolist()
+        for i, p in enumerate(spots):
+            while j < len(spots) and spots[j] - p < self.reach:
+                held[w[j]] += 1
+                j += 1
+            if first[i] and len(held) >= self.least:
+                out.append(p)
+            held[w[i]] -= 1
+            if not held[w[i]]:
+                del held[w[i]]
+        return out
+
+    def best(self, h: np.ndarray, places: np.ndarray) -> tuple[int, int, int] | None:
+        """(matched words, first place, end) of the best match, the first of equal ones."""
+        best = None
+        for a in self.starts(h, places):
+            text = h[a : a + self.reach].tolist()
+            pairs = align(text, self.list)
+            if len(pairs) < self.need or best and len(pairs) <= best[0] or not self.fixed <= {q for _, q in pairs}:
+                continue
+            begin, end = pairs[0][0], pairs[-1][0] + 1
+            if not self.foreign.isdisjoint(text[begin:end]):
+                continue
+            best = (len(pairs), a + begin, a + end)
+            if len(pairs) == len(self.list):
+                break
+        return best
+
+
+def _hash(word: str) -> int:
+    data = np.frombuffer(word.encode(), dtype=np.uint8)
+    return int(words(data, np.array([0, len(data)]), NOT_WORD)[0][0])
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", notices: tuple[tuple[str, str], ...] = NOTICES, coverage: float = COVERAGE) -> DataFrame:
-    """One row per document row: doc_id, license (best covered notice, ties to the first by
-    name; null where none reaches `coverage`), coverage (share of its words found in order,
-    0 where none does), begin_word and end_word of the place, n_licenses.
+    """One row per document row: doc_id, license (best covered notice, ties to the longer and
+    then the first by name; null where none reaches `coverage`), coverage (share of its words found in order,
+    0 where none does), begin_word and end_word of the place, n_licenses (by name).
 
     Words are ASCII letters and digits and all else beyond ASCII, in lower case. Whole texts
-    are read; a stretch is aligned wherever it holds enough distinct words of a notice close
-    together, so a notice in a long text is found as in a short one. Null and empty texts
-    have no license; rows that repeat each get their row. No shuffle."""
-    names = [n for n, _ in notices]
-    hashes = []
-    for _, t in notices:
-        data = np.frombuffer(t.encode(), dtype=np.uint8)
-        hashes.append(words(data, np.array([0, len(data)]), NOT_WORD)[0])
+    are read. Each place where a notice may begin is aligned on its own, so a notice that is
+    repeated, or lies in a long text, is found as in a short one. A notice's numbers and the
+    words that tell its variants apart must all be found, and none of another variant may
+    lie between. Null and empty texts have no license; a null doc_id stays null; rows that
+    repeat each get their row. Other columns are not read. No shuffle."""
     schema = "doc_id long, license string, coverage double, begin_word long, end_word long, n_licenses int"
-
-    least_of = [max(1, int(np.ceil(coverage * len(x))) - (len(x) - len(np.unique(x)))) for x in hashes]
+    templates = [t for name, x in notices if len((t := Template(name, x, coverage)).list)]
+    hashes = [t.words for t in templates]
 
     def judge(h: np.ndarray, places: np.ndarray) -> tuple:
         found = []
         held = np.bincount(np.searchsorted(known, h[places]), minlength=len(known)) > 0
-        distinct = member @ held
-        for name, notice, least, have in zip(names, hashes, least_of, distinct.tolist(), strict=True):
-            if have < least:
-                continue
-            n = len(notice)
-            reach = int(n * STRETCH) + 1
-            best = (0, 0, 0)
-            for a, b in candidates(places, notice, h, least, reach):
-                hit = densest(align(h[a:b].tolist(), notice.tolist()), reach)
-                if hit[0] > best[0]:
-                    best = (hit[0], a + hit[1], a + hit[2])
-            if n and best[0] >= coverage * n - 1e-9:
-                found.append((-best[0] / n, name, best))
+        for t, have in zip(templates, (member @ held).tolist(), strict=True):
+            if have >= t.least and (best := t.best(h, places)):
+                found.append((-best[0] / len(t.list), -len(t.list), t.name, best))
         if not found:
             return None, 0.0, None, None, 0
-        share, name, best = min(found)
-        return name, -share, best[1], best[2], len(found)
+        share, _, name, best = min(found)
+        return name, -share, best[1], best[2], len({x[2] for x in found})
 
-    known = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+    known = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, U64)
     member = np.array([np.isin(known, x) for x in hashes], dtype=np.int64).reshape(len(hashes), len(known))
     rare = np.zeros(1 << 16, dtype=bool)
-    rare[(known >> np.uint64(48)).astype(np.int64)] = True
+    rare[(known >> U64(48)).astype(np.int64)] = True
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,7 +224,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", notices: tup
             rows: list[tuple] = [(None, 0.0, None, None, 0)] * b.num_rows
             for i, j in runs(offs, RUN):
                 h, _, first = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], NOT_WORD)
-                maybe = np.flatnonzero(rare[(h >> np.uint64(48)).astype(np.int64)])
+                maybe = np.flatnonzero(rare[(h >> U64(48)).astype(np.int64)])
                 maybe = maybe[np.isin(h[maybe], known)]
                 cut = np.searchsorted(maybe, first)
                 for r in np.flatnonzero(np.diff(cut)).tolist():
