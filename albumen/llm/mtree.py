@@ -8,6 +8,7 @@ squared distance is |q|^2 + M - 2 q.x."""
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,19 +22,22 @@ from .scratch import tidy, written
 PIVOTS = 16  # routing objects of the top level, sent to every task
 SUBTREE = 8192  # vectors that one subtree aims at
 PAGE = 256  # entries of a node
-BLOCK = 2048  # queries that a task searches together
+BLOCK = 2048  # queries that one row carries to a subtree
+EXACT = 2.0**53  # squared lengths below which products of floats are exact
 SLACK = 1e-6
 
 
 @dataclass
 class Node:
-    """Entries: children (routing objects with radii) or rows of the vectors."""
+    """Entries: children (routing objects with radii), or the vectors of a page: `at` is
+    where they begin in the tree's arrays."""
 
     pivot: np.ndarray
     radius: float
     to_parent: float
-    rows: np.ndarray | None = None
-    to_pivot: np.ndarray | None = None  # of the rows, ascending
+    rows: np.ndarray | None = None  # of the vectors as given, while the tree is built
+    at: int = -1
+    to_pivot: np.ndarray | None = None  # of the vectors, ascending
     children: list[Node] = field(default_factory=list)
     pivots: np.ndarray | None = None
     radii: np.ndarray | None = None
@@ -79,51 +83,76 @@ def build(points: np.ndarray, rows: np.ndarray, pivot: np.ndarray, to_parent: fl
     return node
 
 
-def search(root: Node, ids: np.ndarray, whole: np.ndarray, points: np.ndarray, q: np.ndarray, own: int, k: int, most: float, floor: float) -> tuple[list[tuple[int, int]], int]:
+@dataclass
+class Tree:
+    """A subtree whose vectors lie page by page, so that a page is one slice."""
+
+    root: Node
+    ids: np.ndarray
+    vectors: np.ndarray
+
+
+def planted(ids: np.ndarray, vectors: np.ndarray, most: float) -> Tree:
+    points = lifted(vectors, most)
+    root = build(points, np.arange(len(ids)), points[0], 0.0)
+    order, at, todo = [], 0, [root]
+    while todo:
+        node = todo.pop()
+        if node.rows is not None:
+            node.at, at = at, at + len(node.rows)
+            order.append(node.rows)
+            node.rows = None
+        todo += node.children
+    rows = np.concatenate(order)
+    return Tree(root, ids[rows], vectors[rows])
+
+
+def search(tree: Tree, q: np.ndarray, own: int, k: int, most: float, floor: float) -> tuple[list[tuple[int, int]], int]:
     """(the k best (score, -id) of a subtree for an integer query, distances computed);
     floor: a score that k rows elsewhere are known to reach. Nodes are taken nearest
     bound first; a node or row is skipped, without its distance, where the stored
     distances to the parent already put it beyond the k-th best."""
     q2 = float((q.astype(np.float64) ** 2).sum())
     lift = np.append(q.astype(np.float64), 0.0)
+    q = q.astype(tree.vectors.dtype)
     best: list[tuple[int, int]] = []
     limit = np.sqrt(max(0.0, q2 + most - 2 * floor)) * (1 + SLACK) + SLACK if np.isfinite(floor) else np.inf
-    d0 = float(np.sqrt(((lift - root.pivot) ** 2).sum()))
-    heap = [(max(0.0, d0 - root.radius), 0, d0, root)]
+    d0 = float(np.sqrt(((lift - tree.root.pivot) ** 2).sum()))
+    heap = [(max(0.0, d0 - tree.root.radius), 0, d0, tree.root)]
     count, done = 1, 1
     while heap:
         bound, _, d, node = heapq.heappop(heap)
         if bound > limit:
             break
-        if node.rows is None:
+        if node.children:
             maybe = np.flatnonzero(np.abs(d - node.parent_distances) - node.radii <= limit)
             if not len(maybe):
                 continue
             ds = np.sqrt(((node.pivots[maybe] - lift) ** 2).sum(axis=1))
             done += len(maybe)
-            for i, x in zip(maybe.tolist(), ds.tolist(), strict=True):
-                low = max(0.0, x - node.radii[i])
-                if low <= limit:
-                    heapq.heappush(heap, (low, count, x, node.children[i]))
+            low = np.maximum(0.0, ds - node.radii[maybe])
+            for i, x, y in zip(maybe.tolist(), ds.tolist(), low.tolist(), strict=True):
+                if y <= limit:
+                    heapq.heappush(heap, (y, count, x, node.children[i]))
                     count += 1
             continue
-        a, b = np.searchsorted(node.to_pivot, [d - limit, d + limit])
+        a = int(np.searchsorted(node.to_pivot, d - limit))
         b = int(np.searchsorted(node.to_pivot, d + limit, side="right"))
-        rows = node.rows[a:b]
-        if not len(rows):
+        if a == b:
             continue
-        done += len(rows)
-        scores = whole[rows] @ q
-        if len(best) == k:
-            better = scores >= best[0][0]
-            rows, scores = rows[better], scores[better]
-        for s, i in zip(scores.tolist(), ids[rows].tolist(), strict=True):
+        done += b - a
+        scores = tree.vectors[node.at + a : node.at + b] @ q
+        least = best[0][0] if len(best) == k else floor
+        if len(scores) > k + 1:  # one of them may be the query's own
+            least = max(least, float(np.partition(scores, -k - 1)[-k - 1]))
+        good = np.flatnonzero(scores >= least)
+        for s, i in zip(scores[good].tolist(), tree.ids[node.at + a + good].tolist(), strict=True):
             if i == own:
                 continue
             if len(best) < k:
-                heapq.heappush(best, (s, -i))
+                heapq.heappush(best, (int(s), -i))
             elif (s, -i) > best[0]:
-                heapq.heapreplace(best, (s, -i))
+                heapq.heapreplace(best, (int(s), -i))
         if len(best) == k:
             kth = q2 + most - 2 * max(best[0][0], floor)
             limit = min(limit, np.sqrt(max(0.0, kth)) * (1 + SLACK) + SLACK)
@@ -141,26 +170,27 @@ def quantised(df: DataFrame, id: str, vector: str, scale: int) -> DataFrame:
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """vectors, queries: (id long, v array<long>). Returns query_id, rank, vec_id, score:
-    for each query the k rows of other ids with the largest inner product (all of them, if
-    fewer), ties to the smaller id. Vectors of another length than the query's take no
-    part; repeated rows are candidates of their own, a query given twice is one (its least
-    vector). Empty inputs give no rows.
+    for each query row the k rows of other ids with the largest inner product (all of them,
+    if fewer), ties to the smaller id. Vectors of another length than the query's take no
+    part; repeated rows are candidates of their own, and a repeated query row has its own
+    result. Empty inputs give no rows.
 
     Vectors are dealt to subtrees by their nearest of a fixed number of routing objects
-    and, within those, by number, so that a hot one is split; each subtree is one M-tree of
-    bounded size. Queries first search the subtrees of their nearest routing object; their
-    k-th score so far then decides by the covering radii which other subtrees are opened."""
+    and, within those, by number, so that a hot one is split. Each subtree is built once,
+    one M-tree of bounded size, and written. Queries travel in blocks: first to the subtrees
+    of their nearest routing object; their k-th score so far then decides by the covering
+    radii which other subtrees are opened. A task holds one subtree and one block."""
     spark = vectors.sparkSession
     vectors = vectors.withColumn("dim", F.size("v"))
-    queries = queries.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    queries = queries.withColumn("dim", F.size("v"))
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    size = vectors.agg(F.count("*").alias("n"), F.max(norm).alias("most"), F.max("dim").alias("dim")).first()
-    schema = "query_id long, vec_id long, score long"
+    size = vectors.agg(F.count("*").alias("n"), F.max(norm).alias("most")).first()
     if not size["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     most = float(size["most"])
+    exact = max(most, float(queries.agg(F.max(norm)).first()[0] or 0)) < EXACT
     picked = vectors.orderBy(F.xxhash64("id", "v"), "id").limit(PIVOTS).select("v").collect()
-    by_dim: dict[int, np.ndarray] = {}
+    by_dim: dict[int, list] = {}
     for r in picked:
         by_dim.setdefault(len(r["v"]), []).append(r["v"])
     by_dim = {d: lifted(np.unique(np.array(v, dtype=np.int64).reshape(len(v), d), axis=0), most) for d, v in by_dim.items()}
@@ -187,46 +217,68 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             pivot, far = nearest(pdf["v"], False)
             yield pdf.assign(pivot=pivot, far=far)
 
-    salt = F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int")
-    dealt = vectors.mapInPandas(deal, "id long, v array<long>, dim int, pivot long, far double").withColumn("part", salt)
-    key = ["dim", "pivot", "part", "block"]
-
-    def searched(trees: DataFrame, pairs: DataFrame) -> DataFrame:
-        """pairs: (dim, pivot, id, v, floor) of queries by routing object; every part of
-        it is a subtree. Queries of a subtree go in blocks of a bounded number."""
-        asks = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-        held = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-        def both(tree: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            rows: list[tuple] = []
-            if len(tree) and len(asked):
-                whole = np.array(tree["v"].tolist(), dtype=np.int64)
-                points = lifted(whole, most)
-                ids = tree["id"].to_numpy()
-                root = build(points, np.arange(len(tree)), points[0], 0.0)
-                for q, v, floor in zip(asked["id"], asked["v"], asked["floor"], strict=True):
-                    found, _ = search(root, ids, whole, points, np.array(v, dtype=np.int64), q, k, most, float("-inf") if pd.isna(floor) else float(floor))
-                    rows += [(q, -i, s) for s, i in found]
-            return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"], dtype="int64")
-
-        return held.groupBy(key).cogroup(asks.groupBy(key)).applyInPandas(both, schema)
+    def plant(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["v"].tolist(), dtype=np.int64).reshape(len(pdf), -1)
+        tree = planted(pdf["id"].to_numpy(), x.astype(np.float64) if exact else x, most)
+        if exact and np.abs(x).max(initial=0) < 1 << 31:
+            tree.vectors = tree.vectors.astype(np.int32)
+        return pdf.iloc[:1][["dim", "pivot", "part"]].assign(radius=pdf["far"].max(), data=pickle.dumps(tree))
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pivot, _ = nearest(pdf["v"], True)
             yield pdf.assign(pivot=pivot)
 
+    def blocks(asks: pd.DataFrame) -> pd.DataFrame:
+        """Queries (dim, pivot, row, id, v, floor) as one row a routing object and BLOCK."""
+        rows = []
+        for (dim, pivot), some in asks.groupby(["dim", "pivot"]):
+            for lo in range(0, len(some), BLOCK):
+                c = some.iloc[lo : lo + BLOCK]
+                q = np.array(c["v"].tolist(), dtype=np.int64).reshape(len(c), dim)
+                rows.append((dim, pivot, pickle.dumps((c["row"].to_numpy(), c["id"].to_numpy(), q, c["floor"].to_numpy(dtype=float)))))
+        return pd.DataFrame(rows, columns=["dim", "pivot", "data"])
+
+    def searched(asks: DataFrame) -> DataFrame:
+        """Every block against each subtree of its routing object: the subtree comes first
+        in its task, then its blocks one after the other."""
+        sent = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("kind", F.lit(1))
+        both = trees.select("dim", "pivot", "part", "data", F.lit(0).alias("kind")).unionByName(sent)
+        key = ["dim", "pivot", "part"]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            place, tree = None, None
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    here = (r.dim, r.pivot, r.part)
+                    if r.kind == 0:
+                        place, tree = here, pickle.loads(r.data)
+                        if exact:
+                            tree.vectors = tree.vectors.astype(np.float64)
+                    elif here == place:
+                        rows: list[tuple] = []
+                        for row, own, q, floor in zip(*pickle.loads(r.data), strict=True):
+                            found, _ = search(tree, q, own, k, most, float("-inf") if np.isnan(floor) else floor)
+                            rows += [(row, own, -i, s) for s, i in found]
+                        yield pd.DataFrame(rows, columns=["row", "query_id", "vec_id", "score"], dtype="int64")
+
+        return both.repartition(*key).sortWithinPartitions(*key, "kind").mapInPandas(run, "row long, query_id long, vec_id long, score long")
+
     with tidy(spark):
-        trees = written(dealt, "trees")
-        near = written(queries.mapInPandas(routed, "id long, v array<long>, dim int, pivot long"), "queries")
-        blocks = max(1, -(-near.count() // BLOCK))
-        home = near.withColumn("floor", F.lit(None).cast("double"))
-        first = written(searched(trees, home), "first")
-        kth = first.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("score"), False), 1, k).alias("s"))
-        floors = kth.where(F.size("s") == k).select(F.col("query_id").alias("id"), F.element_at("s", k).cast("double").alias("floor"))
-        known = written(near.join(floors, "id", "left"), "floors")
-        radii = trees.groupBy("dim", "pivot").agg(F.max("far").alias("radius"))
-        radii = written(radii.groupBy("dim").agg(F.collect_list(F.struct("pivot", "radius")).alias("radii")), "radii")
+        salt = F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int")
+        dealt = vectors.mapInPandas(deal, "id long, v array<long>, dim int, pivot long, far double").withColumn("part", salt)
+        trees = written(dealt.groupBy("dim", "pivot", "part").applyInPandas(plant, "dim int, pivot long, part int, radius double, data binary"), "trees")
+        near = written(queries.mapInPandas(routed, "id long, v array<long>, dim int, pivot long").withColumn("row", F.monotonically_increasing_id()), "queries")
+
+        def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield blocks(pdf.assign(floor=np.nan))
+
+        first = written(searched(near.mapInPandas(home, "dim int, pivot long, data binary")), "first")
+        kth = first.groupBy("row").agg(F.slice(F.sort_array(F.collect_list("score"), False), 1, k).alias("s"))
+        floors = kth.where(F.size("s") == k).select("row", F.element_at("s", k).cast("double").alias("floor"))
+        radii = trees.groupBy("dim", "pivot").agg(F.max("radius").alias("radius"))
+        radii = radii.groupBy("dim").agg(F.collect_list(F.struct("pivot", "radius")).alias("radii"))  # at most PIVOTS a length
 
         def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -238,12 +290,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     limit = np.inf if pd.isna(r.floor) else np.sqrt(max(0.0, (q * q).sum() + most - 2 * r.floor)) * (1 + SLACK) + SLACK
                     for t in r.radii:
                         if t["pivot"] != r.pivot and d[t["pivot"]] - t["radius"] <= limit:
-                            rows.append((r.dim, t["pivot"], r.id, r.v, r.floor))
-                yield pd.DataFrame(rows, columns=["dim", "pivot", "id", "v", "floor"])
+                            rows.append((r.dim, t["pivot"], r.row, r.id, r.v, r.floor))
+                yield blocks(pd.DataFrame(rows, columns=["dim", "pivot", "row", "id", "v", "floor"]))
 
-        rest = known.join(radii, "dim").mapInPandas(opened, "dim int, pivot long, id long, v array<long>, floor double")
-        found = written(first.unionByName(searched(trees, rest)), "found")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        rest = near.join(floors, "row", "left").join(radii, "dim").mapInPandas(opened, "dim int, pivot long, data binary")
+        found = written(first.unionByName(searched(rest)), "found")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

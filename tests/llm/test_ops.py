@@ -271,15 +271,25 @@ def test_top_k(spark):
             want[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
     assert {k: sorted(x) for k, x in got.items()} == {k: x for k, x in want.items() if x}
     assert mtree.top_k(v.limit(0), v.limit(0), 5).count() == 0
+    assert mtree.top_k(v, v.limit(0), 5).count() == 0
+    one = v.where("id = 50")
+    twice = mtree.top_k(v.union(one), one.union(one), 5).select("rank", "vec_id", "score").collect()  # each query row has its result
+    assert sorted(map(tuple, twice)) == sorted(2 * got[50])
+
+
+def test_top_k_of_large_numbers(spark):
+    rows = [(i, [i * 10**8, -(10**9) + i]) for i in range(60)]
+    v = spark.createDataFrame(rows, "id long, v array<long>")
+    got = [(r["vec_id"], r["score"]) for r in mtree.top_k(v, v.where("id = 7"), 3).orderBy("rank").collect()]
+    want = sorted(((-sum(a * b for a, b in zip(rows[7][1], e)), i) for i, e in rows if i != 7))[:3]
+    assert got == [(i, -s) for s, i in want]
 
 
 def test_tree_skips_distances():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(loc=c * 40, size=(400, 4)) for c in range(8)]).round().astype(np.int64)
     most = float((x * x).sum(axis=1).max())
-    pts = mtree.lifted(x, most)
-    root = mtree.build(pts, np.arange(len(x)), pts[0], 0.0)
-    best, done = mtree.search(root, np.arange(len(x)), x, pts, x[3100], 3100, 5, most, float("-inf"))
+    best, done = mtree.search(mtree.planted(np.arange(len(x)), x.astype(float), most), x[3100], 3100, 5, most, float("-inf"))
     want = sorted(((int(a @ x[3100]), -i) for i, a in enumerate(x) if i != 3100), reverse=True)[:5]
     assert sorted(best, reverse=True) == want and done < len(x)
 
