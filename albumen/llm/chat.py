@@ -7,6 +7,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -70,25 +71,23 @@ def loss_pieces(starts: np.ndarray, ends: np.ndarray, t0: np.ndarray, t1: np.nda
         if i >= j or s >= e:
             continue
         mask[i:j] = t1[i:j] > t0[i:j]
-        at = s
-        for a, b in zip(t0[i:j].tolist(), t1[i:j].tolist(), strict=True):
-            a, b = max(a, at), min(b, e)
-            if b > a:
-                if out and out[-1][1] == a and a > s:
-                    out[-1] = (out[-1][0], b)
-                else:
-                    out.append((a, b))
-                at = b
+        b = np.minimum(done[i:j], e)
+        a = np.maximum(t0[i:j], np.concatenate(([s], b[:-1])))  # what earlier tokens gave is left out
+        some = b > a
+        a, b = a[some], b[some]
+        new = np.flatnonzero(a[1:] != b[:-1]) + 1
+        out += zip(a[np.concatenate(([0], new))].tolist() if len(a) else (), b[np.concatenate((new - 1, [len(b) - 1]))].tolist() if len(a) else (), strict=True)
     return mask, out
 
 
 def conversations_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, list[tuple[str, str]]]]:
-    """Whole conversations from sorted rows; one conversation is held at a time."""
+    """Whole conversations from sorted rows; one conversation is held at a time. A row
+    without a conv_id is a conversation of its own."""
     key, turns, some = None, [], False
     for pdf in batches:
         for conv, role, text in zip(pdf["conv_id"], pdf["role"], pdf["text"], strict=True):
             conv = None if pd.isna(conv) else int(conv)
-            if some and conv != key:
+            if some and (conv is None or conv != key):
                 yield key, turns
                 turns = []
             key, some = conv, True
@@ -98,13 +97,13 @@ def conversations_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object,
 
 
 def format_conversations(df: DataFrame, tokenizer: str, loss_role: str = "assistant", batch: int = 64) -> DataFrame:
-    """One row per conv_id: n_turns, formatted (text), n_tokens, n_loss_tokens,
+    """One row per conversation: conv_id, n_turns, formatted (text), n_tokens, n_loss_tokens,
     input_ids, loss_mask (per token) and loss_spans (characters of formatted under
     the mask).
 
     Rows of a conversation follow turn, then role and text where turns tie; nulls
-    come first. A null role or text is empty; rows with a null conv_id are one
-    conversation. Repeated rows stay as turns of their own. Other columns are not
+    come first. A null role or text is empty; a row with a null conv_id is a conversation
+    of its own. Repeated rows stay as turns of their own. Other columns are not
     read. Each conversation is rendered whole, which one task must hold; tasks hold
     one batch of conversations at a time. tokenizer is a byte-level tokenizers file
     that every executor can read."""
@@ -122,7 +121,7 @@ def format_conversations(df: DataFrame, tokenizer: str, loss_role: str = "assist
             codes = tok.encode_batch([r.text for _, r in held], add_special_tokens=False)
             rows = []
             for (conv, r), code in zip(held, codes, strict=True):
-                spans = np.array(code.offsets, dtype=np.int64).reshape(-1, 2)
+                spans = np.fromiter(chain.from_iterable(code.offsets), np.int64, 2 * len(code)).reshape(-1, 2)
                 ours = np.array([x == loss_role for x in r.roles], dtype=bool)
                 mask, pieces = loss_pieces(r.starts[ours], r.ends[ours], spans[:, 0], spans[:, 1])
                 rows.append((conv, len(r.roles), r.text, len(mask), int(mask.sum()), code.ids, mask.tolist(), [{"start": a, "end": b} for a, b in pieces]))
@@ -138,7 +137,8 @@ def format_conversations(df: DataFrame, tokenizer: str, loss_role: str = "assist
             yield flush()
 
     rows = df.select(F.col("conv_id").cast("long"), "turn", "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(work, schema)
+    lone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    return rows.repartition("conv_id", lone).sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(work, schema)
 
 
 def _sha(text: str) -> str:

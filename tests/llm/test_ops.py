@@ -314,6 +314,33 @@ def test_chat(spark):
     assert chat.format_conversations(df.limit(0), P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_rows_without_a_conversation(spark):
+    rows = [(None, t % 3, "user", "same") for t in range(60)] + [(1, 0, "user", "same")]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), P.path("byte_bpe_50k.json")).collect()
+    assert sorted((r["conv_id"] or 0, r["n_turns"]) for r in out) == [(0, 1)] * 60 + [(1, 1)]
+
+
+def test_loss_pieces_against_marks():
+    """Tokens that overlap, leave gaps or are empty: each character under a token once."""
+    rng = random.Random(12)
+    for _ in range(300):
+        at, spans, tokens = 0, [], []
+        for _ in range(4):
+            a = at + rng.randrange(4)
+            at = a + rng.randrange(5)
+            spans.append((a, at))
+        t = 0
+        while t < at + 3:
+            b = t + rng.randrange(4)
+            tokens += [(t, b)] * rng.randrange(1, 3)
+            t = max(t, b - rng.randrange(2)) + (rng.random() < 0.2) + (b == t)
+        (s, e), (t0, t1) = (np.array(x, dtype=np.int64).T for x in (spans, tokens))
+        mask, pieces = chat.loss_pieces(s, e, t0, t1)
+        inside = {c for a, b in spans for c in range(a, b)} & {c for a, b in tokens for c in range(a, b)}
+        assert [c for a, b in pieces for c in range(a, b)] == sorted(inside)
+        assert mask.tolist() == [any(max(a, x) < min(b, y) for x, y in spans) for a, b in tokens]
+
+
 def test_chat_query(spark, data):
     q = chat.op6_chat_formatting(spark, data).where("conv_id = -7").first()
     text = "\\### Assistant: </turn> ok"
