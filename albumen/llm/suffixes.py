@@ -54,28 +54,27 @@ def anchors(data: np.ndarray, offs: np.ndarray, width: int = 100, k: int = K):
     return row, anchor, first, last, h[anchor], ctx
 
 
-def suffix_order(contexts: list[bytes], width: int):
-    """Enhanced suffix array over every suffix of at least `width` bytes of the
-    contexts (each shorter than 2 * width). Returns (context of each suffix, start in
-    it, common prefix with the suffix before, byte to its left or -1), in suffix order."""
+def suffix_order(contexts: list[bytes], begin: np.ndarray, per: np.ndarray, depth: int):
+    """Enhanced suffix array over `per` suffixes of each context, from place `begin` on,
+    compared by at most `depth` bytes. Returns (context of each suffix, start in it, common
+    prefix with the suffix before, byte to its left or -1), in suffix order."""
     size = np.array([len(c) for c in contexts], dtype=np.int64)
-    most = int(size.max())
-    grid = np.zeros((len(contexts), 2 * most), dtype=np.uint8)
+    grid = np.zeros((len(contexts), int(size.max()) + depth), dtype=np.uint8)
     for i, c in enumerate(contexts):
         grid[i, : len(c)] = np.frombuffer(c, dtype=np.uint8)
-    per = size - width + 1
     ctx = np.repeat(np.arange(len(contexts)), per)
-    at = np.arange(len(ctx)) - np.repeat(np.cumsum(per) - per, per)
-    rows = np.lib.stride_tricks.sliding_window_view(grid, most, axis=1)[ctx, at]
-    order = np.argsort(np.ascontiguousarray(rows).view(f"S{most}").ravel(), kind="stable")
-    ctx, at, rows = ctx[order], at[order], rows[order]
-    rest = size[ctx] - at
+    at = begin[ctx] + np.arange(len(ctx)) - np.repeat(np.cumsum(per) - per, per)
+    rows = np.lib.stride_tricks.sliding_window_view(grid, depth, axis=1)[ctx, at]
+    rest = np.minimum(size[ctx] - at, depth)
+    # bytes past a context's end count as zeros; of suffixes that are equal so, the shorter
+    # one comes first, which puts every prefix next to what it begins
+    order = np.argsort(rest, kind="stable")
+    order = order[np.argsort(np.ascontiguousarray(rows[order]).view(f"S{depth}").ravel(), kind="stable")]
+    ctx, at, rows, rest = ctx[order], at[order], rows[order], rest[order]
     lcp = np.zeros(len(ctx), dtype=np.int64)
     same = rows[1:] == rows[:-1]
-    same[:, -1] &= False
-    common = np.argmin(same, axis=1)
-    full = (rows[1:, -1] == rows[:-1, -1]) & (common == most - 1)
-    lcp[1:] = np.minimum(np.minimum(common + full, rest[1:]), rest[:-1])
+    common = np.where(same.all(axis=1), depth, np.argmin(same, axis=1))
+    lcp[1:] = np.minimum(np.minimum(common, rest[1:]), rest[:-1])
     left = np.where(at > 0, grid[ctx, np.maximum(at - 1, 0)].astype(np.int64), -1)
     return ctx, at, lcp, left
 
@@ -126,20 +125,59 @@ def interval_tree(lcp: np.ndarray, left: np.ndarray, rank: np.ndarray, least: in
     assert n
 
 
-def bucket_repeats(contexts: list[bytes], doc: np.ndarray, start: np.ndarray, width: int):
-    """(maximal repeat groups, covered) of one bucket of contexts that begin at byte
-    `start` of document `doc`. A group is (length, docs, starts) with all its
-    occurrences; covered is (doc, begin, end) of every occurrence that is not the
-    first of its group, the longest for each suffix."""
-    ctx, at, lcp, left = suffix_order(contexts, width)
+def _ranks(d: np.ndarray, s: np.ndarray) -> np.ndarray:
+    rank = np.empty(len(d), dtype=np.int64)
+    rank[np.lexsort((s, d))] = np.arange(len(d))
+    return rank
+
+
+def bucket_repeats(contexts: list[bytes], doc: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of contexts that begin at byte `start` of document `doc`: (doc, begin, end) of every
+    occurrence that is not the first of its repeat, the longest for each suffix."""
+    size = np.array([len(c) for c in contexts], dtype=np.int64)
+    ctx, at, lcp, left = suffix_order(contexts, np.zeros(len(size), np.int64), size - width + 1, int(size.max()))
     d, s = doc[ctx], start[ctx] + at
-    rank = np.empty(len(ctx), dtype=np.int64)
-    rank[np.lexsort((s, d))] = np.arange(len(ctx))
-    groups, lost, size = [], [], []
-    for lo, hi, length, _, others in interval_tree(lcp, left, rank, width):
-        groups.append((length, lo, hi))
+    lost, length = [], []
+    for _, _, n, _, others in interval_tree(lcp, left, _ranks(d, s), width):
         lost += others
-        size += [length] * len(others)
-    lost = np.array(lost, dtype=np.int64)
-    size = np.array(size, dtype=np.int64)
-    return (d, s, groups), (d[lost], s[lost], s[lost] + size)
+        length += [n] * len(others)
+    at = np.array(lost, dtype=np.int64)
+    return d[at], s[at], s[at] + np.array(length, dtype=np.int64)
+
+
+def tree_groups(contexts: list[bytes], skip: np.ndarray, span: np.ndarray, n: np.ndarray, doc: np.ndarray, start: np.ndarray, least: int, most: int):
+    """The left-diverse intervals of one part, of lengths from least to most (which stands
+    for all longer ones): (length, contexts, shifts, doc and start of the first occurrence).
+    A context's suffixes are those at its byte `skip` and the next `span`; the first of them
+    is byte `start` of document `doc`. One that occurs n > 1 times is taken twice."""
+    twice = np.repeat(np.arange(len(contexts)), np.minimum(n, 2))
+    ctx, at, lcp, left = suffix_order([contexts[i] for i in twice], skip[twice].astype(np.int64), span[twice].astype(np.int64) + 1, most)
+    row = twice[ctx]
+    shift = at - skip[row]
+    d, s = doc[row], start[row] + shift
+    for lo, hi, length, first, _ in interval_tree(lcp, left, _ranks(d, s), least):
+        pairs = np.unique(np.stack([row[lo : hi + 1], shift[lo : hi + 1]], axis=1), axis=0)
+        yield length, pairs[:, 0], pairs[:, 1], int(d[first]), int(s[first])
+
+
+def fingerprints(contexts: list[bytes], skip: np.ndarray, span: np.ndarray, least: int, most: int) -> dict[str, np.ndarray]:
+    """Of every suffix of tree_groups' kind and every length from least to most that it
+    has: row, shift, length, two hashes of its bytes (g1, g2), and the bytes to its left and
+    right, -1 at a document's edge."""
+    out: dict[str, list[np.ndarray]] = {c: [] for c in ("row", "shift", "length", "g1", "g2", "left", "right")}
+    for i, c in enumerate(contexts):
+        data = np.frombuffer(c, dtype=np.uint8)
+        one, two = prefix_hash(data), prefix_hash(data ^ np.uint8(0xA5))
+        padded = np.concatenate(([-1], data.astype(np.int32), [-1]))  # place p of data is p + 1 here
+        for j in range(int(span[i]) + 1):
+            a = int(skip[i]) + j
+            length = np.arange(least, min(most, len(data) - a) + 1)
+            begin = np.full(len(length), a)
+            out["row"].append(np.full(len(length), i))
+            out["shift"].append(np.full(len(length), j))
+            out["length"].append(length)
+            out["g1"].append(span_hash(one, begin, begin + length).view(np.int64))
+            out["g2"].append(span_hash(two, begin, begin + length).view(np.int64))
+            out["left"].append(np.full(len(length), padded[a], dtype=np.int32))
+            out["right"].append(padded[a + length + 1].astype(np.int32))
+    return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}

@@ -393,14 +393,63 @@ def test_suffix_dedup_repair(spark):
     assert set(r[2]) <= {"b", "é"} and len(r[2]) < 5
 
 
-def test_repeat_groups(spark):
+def brute_groups_of_bytes(rows, width):
+    """(length, doc, start) sets of all maximal repeats, by growing every repeated string."""
+    texts = {d: (t or "").encode() for d, t in rows}
+    found = {}
+    todo = {}
+    for d, raw in texts.items():
+        for i in range(len(raw) - width + 1):
+            todo.setdefault(raw[i : i + width], []).append((d, i))
+    todo = {w: o for w, o in todo.items() if len(o) > 1}
+    while todo:
+        longer = {}
+        for w, occ in todo.items():
+            n = len(w)
+            edge = lambda d, i: texts[d][i] if 0 <= i < len(texts[d]) else (d, i)
+            left, right = ({edge(d, i + k) for d, i in occ} for k in (-1, n))
+            if len(left) > 1 and len(right) > 1:
+                found[(n, *min(occ))] = sorted(occ)
+            for d, i in occ:
+                if i + n < len(texts[d]):
+                    longer.setdefault(w + texts[d][i + n : i + n + 1], []).append((d, i))
+        todo = {w: o for w, o in longer.items() if len(o) > 1}
+    return found
+
+
+def group_rows(kind):
     rng = random.Random(5)
-    p = "".join(rng.choice("abcdefgh") for _ in range(130))
-    rows = [(i, f"{i}<{p}>{i}") for i in range(4)]
-    g = suffix_dedup.repeat_groups(docs(spark, rows)).collect()
-    full = {(r["doc"], r["start"], r["length"]) for r in g}
-    assert g and all(rows[d][1][s : s + n] in p or "<" in rows[d][1][s : s + n] for d, s, n in full)
-    assert {d for d, _, _ in full} == {0, 1, 2, 3}
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    if kind == "equal":
+        t = letters(600)
+        return [(i, t) for i in range(4)] + [(9, letters(100)), (10, None), (11, "")]
+    if kind == "passage":
+        p = letters(600)
+        return [(i, letters(rng.randrange(40)) + p + letters(rng.randrange(40))) for i in range(4)] + [(8, p[:300]), (9, "x" + p[100:])]
+    if kind == "hot":
+        p = letters(130)
+        return [(i, letters(3) + p[: rng.randrange(90, 131)] + letters(rng.randrange(30))) for i in range(40)]
+    return [(0, "ab" * 130), (1, "\0" * 140 + "a"), (2, "\0" * 130), (3, "x" * 99), (4, "xyz" * 70 + "q"), (5, "é" * 70)]
+
+
+@pytest.mark.parametrize("bucket", [2, 2048])
+@pytest.mark.parametrize("kind", ["equal", "passage", "hot", "periods"])
+def test_repeat_groups(spark, monkeypatch, bucket, kind):
+    monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+    rows = group_rows(kind)
+    got = {}
+    for r in suffix_dedup.repeat_groups(docs(spark, rows)).collect():
+        got.setdefault((r["length"], r["first_doc"], r["first_start"]), []).append((r["doc"], r["start"]))
+    assert {k: sorted(v) for k, v in got.items()} == brute_groups_of_bytes(rows, 100)
+
+
+def test_repeats_without_a_sketch(spark, monkeypatch):
+    """More repeated anchors than a sketch may hold are joined, to the same result."""
+    monkeypatch.setattr(suffix_dedup, "KEYS", 0)
+    rows = removal_rows()
+    want = suffix_dedup.brute_force(rows)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], sha(bytes(r["kept"]))) for r in suffix_dedup.remove_repeats(docs(spark, rows)).collect()}
+    assert got == want
 
 
 # --- 8 -------------------------------------------------------------------------
