@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 UUID = r"^([0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12})"
 VIDEO_EXTENSIONS = ("MOV", "MP4", "M4V", "AVI", "MKV", "3GP")
 EXTENSION_ALIASES = {"JPEG": "JPG"}
-VIDEO_DATE = r"^(\d{4}:\d{2}:\d{2} \d{2}:\d{2}:\d{2})([+-]\d{2}:\d{2})?$"
-COORD_PLAIN = r"^\s*([+-]?\d+(?:\.\d+)?)\s+([+-]?\d+(?:\.\d+)?)(?:\s+[+-]?\d+(?:\.\d+)?)?\s*$"
-COORD_ISO = r"^([+-]\d+(?:\.\d+)?)([+-]\d+(?:\.\d+)?)(?:[+-]\d+(?:\.\d+)?)?/?$"
 PLACEHOLDERS = ("parse error", "file not found", "image encode failed", "")
 EPOCH_2001 = 978307200
 MAX_ITEMS, MAX_CHARS = 60, 120
@@ -34,8 +31,9 @@ def uuid_of(name: Column) -> Column:
     return F.nullif(F.upper(F.regexp_extract(name, UUID, 1)), F.lit(""))
 
 
-def is_uuid(c: Column) -> Column:
-    return F.coalesce(c.rlike(UUID + "$"), F.lit(False))
+def is_key(c: Column) -> Column:
+    """Has it the shape of a key: 8 to 36 hex digits and dashes."""
+    return F.coalesce(F.length(c).between(8, 36) & (F.translate(F.lower(c), "0123456789abcdef-", "") == ""), F.lit(False))
 
 
 def norm_ext(ext: Column) -> Column:
@@ -61,10 +59,20 @@ def first_present(*cols: Column) -> Column:
     return F.coalesce(*cols)
 
 
+def _shape(c: Column) -> Column:
+    """Every digit as a 9, so that a form can be compared as text."""
+    return F.translate(c, "012345678", "999999999")
+
+
 def video_date(*cols: Column) -> Column:
-    """First value of the shape date, time and optional offset: struct(text, offset)."""
-    tries = [F.when(c.rlike(VIDEO_DATE), F.struct(F.regexp_extract(c, VIDEO_DATE, 1).alias("text"), F.nullif(F.regexp_extract(c, VIDEO_DATE, 2), F.lit("")).alias("offset"))) for c in cols]
-    return F.coalesce(*tries)
+    """First value of the form date, time and optional offset: struct(text, offset)."""
+
+    def one(c: Column) -> Column:
+        text, offset = F.substring(c, 1, 19), F.substring(c, 20, 1 << 30)
+        fits = (_shape(text) == "9999:99:99 99:99:99") & _shape(offset).isin("", "+99:99", "-99:99")
+        return F.when(fits, F.struct(text.alias("text"), F.nullif(offset, F.lit("")).alias("offset")))
+
+    return F.coalesce(*map(one, cols))
 
 
 def parse_exif_ts(text: Column, offset: Column) -> Column:
@@ -85,11 +93,24 @@ def ref_letter(value: Column, positive: str, negative: str) -> Column:
     return F.when(value >= 0, positive).when(value < 0, negative)
 
 
+def _decimal(c: Column) -> Column:
+    """A sign, digits and perhaps a fraction as a number; null for any other form."""
+    bare = F.when(F.substring(c, 1, 1).isin("+", "-"), F.substring(c, 2, 1 << 30)).otherwise(c)
+    dot = F.instr(bare, ".")
+    fits = (F.translate(bare, "0123456789", "").isin("", ".")) & (bare != "") & (dot != 1) & (dot < F.length(bare))
+    return F.when(fits, c.try_cast("double"))
+
+
 def _coord(text: Column) -> Column:
+    """Two or three numbers with white space between, or each with its sign and nothing
+    between (a slash may end those)."""
     t = strip(text)
-    pick = lambda i: F.coalesce(F.nullif(F.regexp_extract(t, COORD_PLAIN, i), F.lit("")), F.nullif(F.regexp_extract(t, COORD_ISO, i), F.lit("")))
-    lat, lon = pick(1).try_cast("double"), pick(2).try_cast("double")
-    ok = lat.between(-90, 90) & lon.between(-180, 180) & ~((lat == 0) & (lon == 0))
+    signed = F.substring(t, 1, 1).isin("+", "-") & ~t.rlike(r"\s")
+    spread = strip(F.regexp_replace(F.when(t.endswith("/"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t), "([+-])", " $1"))
+    parts = F.split(F.when(signed, spread).otherwise(t), r"\s+")
+    numbers = F.transform(parts, _decimal)
+    lat, lon = (F.try_element_at(numbers, F.lit(i)) for i in (1, 2))
+    ok = F.size(parts).between(2, 3) & ~F.exists(numbers, lambda x: x.isNull()) & lat.between(-90, 90) & lon.between(-180, 180) & ~((lat == 0) & (lon == 0))
     return F.when(ok, F.struct(lat.alias("lat"), lon.alias("lon")))
 
 
@@ -165,6 +186,11 @@ def year_of(date: Column) -> Column:
     return F.substring(date, 1, 4)
 
 
+def date_parts(ts: Column) -> Column:
+    """struct(year, month, day) of a timestamp, as numbers."""
+    return F.struct(F.year(ts).alias("year"), F.month(ts).alias("month"), F.dayofmonth(ts).alias("day"))
+
+
 def seconds_2001(x: Column) -> Column:
     """Seconds since 2001 (UTC) as a timestamp."""
     return F.timestamp_seconds(x + F.lit(EPOCH_2001))
@@ -185,10 +211,11 @@ def leading_int(c: Column) -> Column:
 
 
 def location_guess(parts: Column, confidence: Column) -> Column:
-    """"a, b (confidence: 80%)"; without the suffix where the confidence isn't a number."""
+    """"a, b (confidence: 80%)", halves to the even percent; without the suffix where the
+    confidence isn't a number."""
     text = F.nullif(F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), ", "), F.lit(""))
     number = F.coalesce(confidence, F.lit("0")).try_cast("double")
-    return F.when(number.isNull(), text).otherwise(F.concat(text, F.lit(" (confidence: "), F.format_string("%.0f%%", number * 100), F.lit(")")))
+    return F.when(number.isNull(), text).otherwise(F.concat(text, F.lit(" (confidence: "), F.format_string("%.0f%%", F.bround(number * 100)), F.lit(")")))
 
 
 def without_confidence(c: Column) -> Column:
@@ -243,13 +270,16 @@ def without_words(text: Column, names: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(gone, r"\s+", " "), r"^[ ,-]+|[ ,-]+$", "")
 
 
-def context_text(date: Column, place: Column, lat: Column, lon: Column, people: Column) -> Column:
-    """Context lines of one row for a model."""
-    where = F.when(place.isNotNull(), F.concat(F.lit("Location (from the camera's geotag — authoritative, do not name a different place): "), place)).when(
-        lat.isNotNull() & lon.isNotNull(), F.format_string("GPS coordinates: %.4f, %.4f", lat, lon)
-    )
-    lines = F.concat_ws("\n", F.concat(F.lit("Date taken: "), F.nullif(date, F.lit(""))), where, F.when(F.size(people) > 0, F.concat(F.lit("People identified by owner: "), F.array_join(people, ", "))))
-    return F.when(lines == "", F.lit("(no prior metadata)")).otherwise(lines)
+CONTEXT_LABELS = {"date": "Date: ", "place": "Place: ", "point": "Coordinates: ", "people": "People: ", "none": "(nothing known)"}
+
+
+def context_text(date: Column, place: Column, lat: Column, lon: Column, people: Column, labels: dict[str, str] = CONTEXT_LABELS) -> Column:
+    """Context lines of one row for a model: its date, its place or else its coordinates,
+    and its people, each after its label."""
+    at = F.when(lat.isNotNull() & lon.isNotNull(), F.format_string("%.4f, %.4f", lat, lon))
+    told = {"date": F.nullif(date, F.lit("")), "place": place, "point": F.when(place.isNull(), at), "people": F.when(F.size(people) > 0, F.array_join(people, ", "))}
+    lines = F.concat_ws("\n", *[F.concat(F.lit(labels[k]), v) for k, v in told.items()])
+    return F.coalesce(F.nullif(lines, F.lit("")), F.lit(labels["none"]))
 
 
 def listing_label(guess: Column, city: Column, country: Column) -> Column:

@@ -25,6 +25,13 @@ def top_labels(df: DataFrame, key: str, label: str, confidence: str, n: int = 8,
     return lists.select(key, F.transform("t", lambda x: x["label"]).alias("labels"), F.transform("t", lambda x: x["confidence"]).alias("confidences"))
 
 
+def bridged(labels: DataFrame, bridge: DataFrame, assets: DataFrame, label_key: str, asset_key: str, kind: Column | None = None) -> DataFrame:
+    """Labels with the asset that a bridge leads them to (inner on both sides), those of one
+    kind where it is given. bridge: label_key and asset_key."""
+    kept = labels if kind is None else labels.where(kind)
+    return kept.join(bridge.select(label_key, asset_key), label_key).join(assets.select(asset_key), asset_key)
+
+
 def names_in_order(links: DataFrame, key: str, name: str, order: str) -> DataFrame:
     """Distinct names per key, first seen first."""
     first = links.where(F.col(name).isNotNull()).groupBy(key, name).agg(F.min(order).alias("o"))

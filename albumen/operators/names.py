@@ -8,16 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import textcols as tc
 
 
-def canonicalize(df: DataFrame, key: str, col: str, aliases: DataFrame, small: bool = False) -> DataFrame:
+def canonicalize(df: DataFrame, key: str, col: str, aliases: DataFrame) -> DataFrame:
     """Names of a list column through an alias table (raw_lc, canonical): trimmed, blanks
-    dropped, first spelling of each kept in order. key must be unique. small: the table is
-    a checked handful, and goes into the expression instead of a join."""
-    if small:
-        rows = aliases.collect()
-        table = F.create_map(*[F.lit(x) for r in rows for x in (r["raw_lc"], r["canonical"])]) if rows else None
-        names = F.filter(F.transform(F.col(col), tc.strip), lambda x: x.isNotNull() & (x != ""))
-        mapped = names if table is None else F.transform(names, lambda x: F.coalesce(F.try_element_at(table, F.lower(x)), x))
-        return df.withColumn(col, tc.ordered_ci_distinct(mapped))
+    dropped, first spelling of each kept in order. key must be unique."""
     items = df.select(key, F.posexplode(col).alias("pos", "raw")).withColumn("raw", tc.strip(F.col("raw"))).where("raw is not null and raw != ''")
     named = items.join(aliases, F.lower("raw") == F.col("raw_lc"), "left").withColumn("name", F.coalesce("canonical", "raw"))
     first = named.groupBy(key, F.lower("name").alias("lc")).agg(F.min(F.struct("pos", "name")).alias("f"))
@@ -73,23 +66,25 @@ def review_names(df: DataFrame, key: str, names: Column, date: str, vocab: DataF
 
 def resolve_names(queries: DataFrame, key: str, name: str, vocab: DataFrame) -> DataFrame:
     """(key, name, match): the listed name that equals it in any case, else the first listed
-    name of which either holds the other. Containment is an equi-join of one side with all
-    parts of the other (names are short), so neither side need be small."""
+    name of which either holds the other. Containment is an equi-join of one side with the
+    other's parts, cut to the lengths that the first side has, so neither side need be small
+    and a long text has its length times the number of those."""
     listed = vocab.groupBy(F.lower("name").alias("v_lc")).agg(F.min("name").alias("v_name")).where("v_lc != ''")
     asked = queries.select(key, F.col(name).alias("name")).where("trim(name) != ''").withColumn("lc", F.lower(tc.strip(F.col("name"))))
     exact = asked.join(listed, F.col("lc") == F.col("v_lc")).select(key, "name", F.col("v_name").alias("match"))
     rest = asked.join(listed, F.col("lc") == F.col("v_lc"), "left_anti")
     wanted = rest.select("lc").distinct()
-    held = wanted.withColumn("part", F.explode(parts_of(F.col("lc")))).join(listed, F.col("part") == F.col("v_lc")).select("lc", "v_name")
-    holds = listed.withColumn("part", F.explode(parts_of(F.col("v_lc")))).join(wanted, F.col("part") == F.col("lc")).select("lc", "v_name")
+    lengths = lambda d, c: F.broadcast(d.agg(F.array_sort(F.collect_set(F.length(c))).alias("sizes")))  # noqa: E731 - one row
+    held = wanted.join(lengths(listed, "v_lc")).withColumn("part", F.explode(parts_of(F.col("lc"), F.col("sizes")))).join(listed, F.col("part") == F.col("v_lc")).select("lc", "v_name")
+    holds = listed.join(lengths(wanted, "lc")).withColumn("part", F.explode(parts_of(F.col("v_lc"), F.col("sizes")))).join(wanted, F.col("part") == F.col("lc")).select("lc", "v_name")
     best = held.unionByName(holds).groupBy("lc").agg(F.min("v_name").alias("match"))
     return exact.unionByName(rest.join(best, "lc").select(key, "name", "match"))
 
 
-def parts_of(c: Column) -> Column:
-    """All distinct substrings of a short text."""
-    n = F.length(c)
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(c, i, k)))))
+def parts_of(c: Column, sizes: Column) -> Column:
+    """The distinct parts of a text that have one of the given lengths."""
+    fit = F.filter(sizes, lambda k: k.between(1, F.length(c)))
+    return F.array_distinct(F.flatten(F.transform(fit, lambda k: F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substr(c, i, k)))))
 
 
 def first_name_matches(queries: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:

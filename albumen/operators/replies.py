@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,109 +18,84 @@ CLASS_FIELDS = ("scene_type", "setting", "mood", "time_of_day", "weather")
 UNTOLD = ("other", "unknown", "indoor")
 
 
-def _inside(text: str, start: int) -> int:
-    """End of the object that opens at start, strings skipped; -1 where it never closes."""
-    depth, at, quoted = 0, start, False
-    while at < len(text):
-        c = text[at]
-        if quoted:
-            if c == "\\":
-                at += 1
-            elif c == '"':
-                quoted = False
-        elif c == '"':
-            quoted = True
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
-            if not depth:
-                return at + 1
-        at += 1
-    return -1
-
-
-def _loads(text: str):
-    try:
-        return json.loads(text, strict=False)
-    except ValueError:
-        return None
-
-
-def carve(reply: str) -> str:
-    """The JSON object of a reply: fences off, then the first closed object if it parses,
-    else from the first to the last brace."""
-    text = reply.strip()
-    for part in text.split("```") if "```" in text else ():
-        part = part.strip().removeprefix("json").strip()
-        if part.startswith("{"):
-            text = part
-            break
-    begin = text.find("{")
-    end = _inside(text, begin) if begin >= 0 else -1
-    if end > 0 and _loads(text[begin:end]) is not None:
-        return text[begin:end]
-    if not text.startswith("{") and begin >= 0 and text.rfind("}") > begin:
-        text = text[begin : text.rfind("}") + 1]
-    return text
+# A fenced block that holds an object; a string up to the quote after which JSON goes on;
+# and inside of one, escapes (left alone) and bare quotes.
+_FENCED = re.compile(r"```(?:json)?\s*(\{.*?)\s*(?:```|\Z)", re.DOTALL)
+_STRING = re.compile(r'"((?:\\.|[^"\\]|"(?!\s*(?:[:,}\]]|\Z)))*)"', re.DOTALL)
+_QUOTE = re.compile(r'(\\.)|"', re.DOTALL)
+_DECODER = json.JSONDecoder(strict=False)
+
+
+def _object(text: str) -> dict | None:
+    """The object at the first brace, whatever follows it; else all up to the last brace."""
+    begin, end = text.find("{"), text.rfind("}") + 1
+    for attempt in (lambda: _DECODER.raw_decode(text, begin)[0], lambda: _DECODER.decode(text[begin:end])):
+        try:
+            if begin >= 0 and isinstance(found := attempt(), dict):
+                return found
+        except ValueError:
+            pass
+    return None
 
 
 def requote(text: str) -> str:
-    """Escape quotes inside strings: one that is not followed by : , } ] or the end."""
-    pieces, quoted, at = [], False, 0
-    while at < len(text):
-        c = text[at]
-        if quoted and c == "\\":
-            pieces.append(text[at : at + 2])
-            at += 2
-            continue
-        if c == '"':
-            if quoted and (text[at + 1 :].lstrip(" \t\r\n")[:1] or "}") not in ":,}]":
-                c = '\\"'
-            else:
-                quoted = not quoted
-        pieces.append(c)
-        at += 1
-    return "".join(pieces)
-
-
-def _salvaged(reply: str | None) -> tuple[str | None, str]:
-    if not reply or not reply.strip():
+    """Escape quotes inside strings: those after which neither : , } ] nor the end comes."""
+    return _STRING.sub(lambda m: '"' + _QUOTE.sub(lambda q: q[1] or '\\"', m[1]) + '"', text)
+
+
+def _salvaged(reply: str | None) -> tuple[str | None, str | None]:
+    if reply is None:
+        return None, None
+    if not reply.strip():
         return None, "empty"
-    text = carve(reply)
+    fenced = _FENCED.search(reply)
+    text = fenced[1] if fenced else reply
     for stage, candidate in (("carved", text), ("requoted", requote(text))):
-        found = _loads(candidate)
-        if isinstance(found, dict):
+        if (found := _object(candidate)) is not None:
             return json.dumps(found, ensure_ascii=False), stage
     return None, "failed"
 
 
-def salvage_json(df: DataFrame, col: str) -> DataFrame:
+def salvage_json(df: DataFrame, col: str, parsed: str | None = None) -> DataFrame:
     """Add json (an object's text, or null) and stage: `parsed` natively (the first object,
-    whatever follows it), else `carved` or
-    `requoted` by a scanner that sees only the rows that need it, else `failed` or `empty`."""
+    whatever follows it), else `carved` or `requoted` by a scanner that sees only the texts
+    that need it, else `failed` or `empty`; and, where `parsed` names a column, the object as
+    a variant. One pass over the rows."""
     text = tc.strip(F.col(col))
-    parsed = F.try_parse_json(text)
-    good = text.startswith("{") & parsed.isNotNull()
+    good = F.coalesce(text.startswith("{") & F.col("__v").isNotNull(), F.lit(False))
 
     def scan(replies: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_salvaged(r) for r in replies], columns=["json", "stage"])
 
     scanned = F.pandas_udf(scan, "json string, stage string")
-    out = df.withColumn("__ok", F.coalesce(good, F.lit(False)))
-    clean = out.where("__ok").withColumns({"json": F.to_json(F.try_parse_json(tc.strip(F.col(col)))), "stage": F.lit("parsed")})
-    damaged = out.where("not __ok").withColumn("__s", scanned(F.col(col))).withColumns({"json": F.col("__s.json"), "stage": F.col("__s.stage")}).drop("__s")
-    return clean.unionByName(damaged).drop("__ok")
+    out = df.withColumn("__v", F.try_parse_json(text))
+    out = out.withColumn("__s", scanned(F.when(~good, F.coalesce(F.col(col), F.lit("")))))
+    out = out.withColumns({"json": F.when(good, F.to_json("__v")).otherwise(F.col("__s.json")), "stage": F.when(good, "parsed").otherwise(F.col("__s.stage"))})
+    if parsed:
+        out = out.withColumn(parsed, F.when(good, F.col("__v")).otherwise(F.try_parse_json("__s.json")))
+    return out.drop("__v", "__s")
 
 
-def scalar_text(v: Column, nested: bool = True) -> Column:
-    """A variant element as text: strings trimmed and numbers; an object by its first known
-    key; true, false, null and the rest dropped."""
-    kind = F.schema_of_variant(v)
-    plain = F.when(kind == "STRING", F.nullif(tc.strip(F.try_variant_get(v, "$", "string")), F.lit(""))).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, "$", "string"))
-    if not nested:
-        return plain
-    inner = [F.try_variant_get(v, f"$.{k}", "variant") for k in TAG_KEYS]
-    first = F.coalesce(*inner)
-    return F.when(kind.startswith("OBJECT"), scalar_text(first, False)).otherwise(plain)
+DEEP = 8  # objects inside objects that a text is looked for in
+
+
+def scalar_text(v: Column) -> Column:
+    """A variant element as text: strings trimmed and numbers; an object by the first of its
+    known keys that is there, which may be an object again; true, false, null and the rest
+    dropped."""
+
+    def inside(x: Column) -> Column:
+        first = F.coalesce(*[F.try_variant_get(x, f"$.{k}", "variant") for k in TAG_KEYS])
+        return F.when(F.schema_of_variant(x).startswith("OBJECT"), first).otherwise(x)
+
+    for _ in range(DEEP):  # a list of one binds the element, so that the expression stays small
+        v = F.try_element_at(F.transform(F.array(v), inside), F.lit(1))
+
+    def plain(x: Column) -> Column:
+        kind = F.schema_of_variant(x)
+        return F.when(kind == "STRING", F.nullif(tc.strip(F.try_variant_get(x, "$", "string")), F.lit(""))).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(x, "$", "string"))
+
+    return F.try_element_at(F.transform(F.array(v), plain), F.lit(1))
 
 
 def text_list(v: Column) -> Column:
@@ -135,11 +111,12 @@ def text_list(v: Column) -> Column:
     return F.coalesce(F.filter(texts, lambda t: t.isNotNull()), F.array().cast("array<string>"))
 
 
-def flatten_reply(df: DataFrame, json_col: str = "json", extra: tuple[str, ...] = ()) -> DataFrame:
+def flatten_reply(df: DataFrame, json_col: str = "json", extra: tuple[str, ...] = (), parsed: str | None = None) -> DataFrame:
     """Add description, tags (list) and location_guess of each reply. Tags: those given, the
     class fields that tell something, people:N, notable features, then extra; distinct in
-    order. A reply that isn't an object has nulls and no tags."""
-    df = df.withColumn("__v", F.try_parse_json(F.col(json_col)))
+    order. A reply that isn't an object has nulls and no tags. parsed: a column that holds the
+    reply as a variant already."""
+    df = df.withColumn("__v", F.col(parsed) if parsed else F.try_parse_json(F.col(json_col)))
     v = F.col("__v")
     get = lambda p: F.try_variant_get(v, p, "variant")
     classes = F.filter(F.array(*[scalar_text(get(f"$.{c}")) for c in CLASS_FIELDS]), lambda t: t.isNotNull() & ~t.isin(*UNTOLD))
@@ -205,6 +182,6 @@ def enrich_until(queue: Callable[[], DataFrame], run: Callable[[DataFrame], None
     return n
 
 
-def build_context(df: DataFrame) -> DataFrame:
+def build_context(df: DataFrame, labels: dict[str, str] = tc.CONTEXT_LABELS) -> DataFrame:
     """Context text per row, for the model."""
-    return df.withColumn("context", tc.context_text(F.col("date"), F.col("place_name"), F.col("gps_lat"), F.col("gps_lon"), tc.json_list(F.col("persons"))))
+    return df.withColumn("context", tc.context_text(F.col("date"), F.col("place_name"), F.col("gps_lat"), F.col("gps_lon"), tc.json_list(F.col("persons")), labels))

@@ -70,6 +70,29 @@ def pending(df: DataFrame, state: str, done: Iterable[int], key: str, date: str,
     return out.limit(limit) if limit is not None else out
 
 
+def legacy_pending(df: DataFrame, state: str, date: str, key: str, errored: bool = False, year_from: int | None = None, year_to: int | None = None, movie: Column | None = None, has_file: Column | None = None, limit: int | None = None) -> DataFrame:
+    """The older work queue, newest first: pending rows that aren't movies, or pending and
+    errored ones, with a file and within years."""
+    open_rows = F.col(state).isin(0, 2) if errored else (F.col(state) == 0) & (~movie if movie is not None else F.lit(True))
+    bounds = (None if y is None else str(y) for y in (year_from, year_to))
+    out = df.where(open_rows).where(year_filter(date, None, *bounds, lexical=False))
+    if has_file is not None:
+        out = out.where(has_file)
+    out = out.orderBy(F.col(date).desc_nulls_last(), key)
+    return out.limit(limit) if limit is not None else out
+
+
+def facets(df: DataFrame, favourite: Column | None = None, done: Column | None = None, file: Column | None = None, screenshot: Column | None = None, year: Column | None = None) -> DataFrame:
+    """The older filters; those given must hold, and a screenshot must not be one."""
+    tests = [favourite, done, None if file is None else file.isNotNull(), None if screenshot is None else ~screenshot, year]
+    return df.where(reduce(lambda a, b: a & b, [t for t in tests if t is not None], F.lit(True)))
+
+
+def oldest_first(df: DataFrame, date: str, key: str, year: int, limit: int = 20) -> DataFrame:
+    """A year's rows, oldest first."""
+    return df.where(year_filter(date, str(year), lexical=False)).orderBy(date, key).limit(limit)
+
+
 def recent(ts: str, now: Column, hours: int) -> Column:
     return F.col(ts) > now - F.expr(f"INTERVAL {hours} HOURS")
 
@@ -285,9 +308,26 @@ def bm25(postings: DataFrame, q: str) -> DataFrame:
     return per.where(hits).join(F.broadcast(stats)).select("key", (-score).alias("score"))
 
 
+def accepted(q: str) -> bool:
+    """Can it be read as a match expression: quotes and brackets closed, no operator without
+    both sides, something to look for."""
+    bare, depth = q.split('"')[::2], 0
+    if q.count('"') % 2:
+        return False
+    words = " ".join(bare)
+    for c in words:
+        depth += {"(": 1, ")": -1}.get(c, 0)
+        if depth < 0:
+            return False
+    parts = words.split() if q.count('"') == 0 else []
+    dangling = bool(parts) and (parts[0] in ("AND", "OR") or parts[-1] in ("AND", "OR", "NOT"))
+    return not depth and not dangling and bool(_tokens(q))
+
+
 def search_text(df: DataFrame, postings: DataFrame | None, q: str, cols: Sequence[str], key: str, mode: str = "match") -> DataFrame:
-    """Text search on an index, or by substrings where there is none or mode asks for it."""
-    if mode == "substring" or postings is None:
+    """Text search on an index; by substrings where there is none, mode asks for it, or the
+    expression can't be read. A blank query keeps all rows."""
+    if mode == "substring" or postings is None or q.strip() and not accepted(q):
         return df.where(any_contains(cols, q))
     found = match(postings, q, columns=cols)
     return df if found is None else df.join(found.withColumnRenamed("key", key), key, "left_semi")

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import textcols as tc
-from .search import has_coordinates, in_vocabulary, not_empty
+from .search import has_coordinates, in_vocabulary, media_in, not_empty
 
 
-def library_summary(df: DataFrame) -> DataFrame:
-    """All headline counts in one pass."""
+def library_summary(df: DataFrame, media: str | None = "media_type") -> DataFrame:
+    """All headline counts of the images and videos (of all rows where media is None), in one
+    pass."""
+    if media:
+        df = df.where(media_in(media))
     year = F.nullif(tc.year_of(F.col("date")), F.lit(""))
     return df.agg(
         F.count("*").alias("total"),
@@ -35,6 +38,45 @@ def top_values(df: DataFrame, array: str, n: int | None = 12, vocab: Sequence[st
     return out.orderBy(F.desc("n"), "value").limit(n) if n is not None else out
 
 
+def top_tags(df: DataFrame, vocab: Sequence[str], n: int | None = 12, tags: str = "tags", media: str = "media_type", state: str = "state") -> DataFrame:
+    """The most frequent tags of a vocabulary, on images and videos that are enriched."""
+    return top_values(df.where(media_in(media) & (F.col(state) == 1)), tags, n, vocab)
+
+
+def top_counts(df: DataFrame, col: str, n: int | None = 8) -> DataFrame:
+    """The most frequent values of a column that are neither null nor empty."""
+    out = df.where(F.nullif(F.col(col), F.lit("")).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
+    return out.limit(n) if n is not None else out
+
+
+def legacy_summary(df: DataFrame, video: Column, done: Column, faces: Column, year: Column) -> DataFrame:
+    """Headline numbers of the older tables: photos, videos, enriched photos and their share
+    in percent, photos with faces, and the span of years."""
+    photo = ~video
+    out = df.agg(
+        F.count_if(photo).alias("photos"),
+        F.count_if(video).alias("videos"),
+        F.count_if(photo & done).alias("enriched"),
+        F.count_if(photo & faces).alias("with_faces"),
+        F.min(year).alias("min_year"),
+        F.max(year).alias("max_year"),
+    )
+    return out.withColumn("percent", F.round(F.try_divide(100 * F.col("enriched"), "photos"), 1))
+
+
+def people_by_faces(people: DataFrame, name: str, faces: str) -> DataFrame:
+    """Named people with their stored number of faces, most first."""
+    return people.select(F.col(name).alias("name"), F.col(faces).alias("faces")).orderBy(F.desc("faces"), "name")
+
+
+def face_totals(people: DataFrame, faces: DataFrame, person: str, name: str) -> DataFrame:
+    """One row: people, those with a name, faces, and faces of a known person."""
+    named = F.nullif(F.col(name), F.lit("")).isNotNull()
+    known = faces.join(people.where(named).select(person), person, "left_semi").agg(F.count("*").alias("named_faces"))
+    total = faces.agg(F.count("*").alias("faces"))
+    return people.agg(F.count("*").alias("people"), F.count_if(named).alias("named")).join(F.broadcast(total)).join(F.broadcast(known))
+
+
 def by_year(df: DataFrame, date: str = "date") -> DataFrame:
     return df.where(F.nullif(F.col(date), F.lit("")).isNotNull()).groupBy(tc.year_of(F.col(date)).alias("year")).agg(F.count("*").alias("n")).orderBy("year")
 
@@ -121,9 +163,9 @@ def value_histogram(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
 
 
-def sample_rows(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """n rows by a seeded order."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def sample_rows(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+    """n rows in the order of a hash of key and seed, whatever the partitioning."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(n)
 
 
 def carry_forward(current: DataFrame, stored: DataFrame, key: str, words: str) -> DataFrame:

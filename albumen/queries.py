@@ -107,6 +107,41 @@ def hide_rows_without_file(t):
     return search.hide_missing(t("fx_assets"), files, "asset_id").select("asset_id")
 
 
+@query("""SELECT asset_id FROM fx_assets WHERE asset_id % 100 <> 7""")
+def hide_few_rows_without_file(t):
+    """Few enough lack a file that they are hidden."""
+    a = t("fx_assets")
+    return search.hide_missing(a, a.where("asset_id % 100 <> 7").select("asset_id"), "asset_id").select("asset_id")
+
+
+@query("""SELECT asset_id, state FROM fx_assets WHERE state IN (0, 2) AND place_name IS NOT NULL AND CAST(substr(date, 1, 4) AS INTEGER) BETWEEN 1995 AND 2015 ORDER BY date DESC, asset_id LIMIT 200""")
+def legacy_queue_errored(t):
+    out = search.legacy_pending(t("fx_assets"), "state", "date", "asset_id", True, 1995, 2015, has_file=F.col("place_name").isNotNull(), limit=200)
+    return out.select("asset_id", "state")
+
+
+@query("""SELECT asset_id FROM fx_assets WHERE state = 0 AND media_type <> 'video' AND place_name IS NOT NULL ORDER BY date DESC NULLS LAST, asset_id LIMIT 200""")
+def legacy_queue(t):
+    return search.legacy_pending(t("fx_assets"), "state", "date", "asset_id", movie=F.col("media_type") == "video", has_file=F.col("place_name").isNotNull(), limit=200).select("asset_id")
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber > 1 AND l_suppkey % 3 <> 0 AND l_quantity >= 5 AND year(l_shipdate) = 1996""")
+def legacy_facets(t):
+    c = F.col
+    out = search.facets(t("lineitem"), c("l_returnflag") == "R", c("l_linenumber") > 1, F.when(c("l_suppkey") % 3 != 0, "path"), c("l_quantity") < 5, F.year("l_shipdate") == 1996)
+    return out.select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT asset_id, date FROM fx_assets WHERE CAST(substr(date, 1, 4) AS INTEGER) = 2003 ORDER BY date, asset_id LIMIT 20""")
+def oldest_of_year(t):
+    return search.oldest_first(t("fx_assets"), "date", "asset_id", 2003).select("asset_id", "date")
+
+
+@query("""SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_orderkey LIMIT 100""")
+def available_first(t):
+    return catalog.available_first(t("orders"), "o_orderpriority", "o_orderkey").select("o_orderkey", "o_orderpriority").limit(100)
+
+
 @query("""SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOURS""")
 def filter_recent(t):
     e = t("events")
@@ -178,18 +213,38 @@ def fts_bm25(t):
     return search.bm25(_postings(t), "the with").select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {POSTINGS} SELECT term, count(*) AS n FROM p WHERE key % 3 <> 0 GROUP BY term""")
+@query(f"""WITH {POSTINGS} SELECT term, count(*) AS n, count(DISTINCT key) AS docs FROM p WHERE key % 4 <> 0 GROUP BY term""")
 def fts_update(t):
+    """Of an index without the keys 2 of 4 and with old texts of the keys 1 of 4: those are
+    inserted, these updated, and the keys 0 of 4 deleted."""
     d = t("documents")
-    deleted = d.where("doc_id % 3 = 0")
-    changed = d.where("doc_id % 3 = 1")
-    stale_index = search.build_postings(d.where("doc_id % 3 <> 2 or doc_id % 3 = 2").withColumn("text", F.when(F.col("doc_id") % 3 == 1, "old words").otherwise(F.col("text"))), "doc_id", ["text"])
-    return search.update_postings(stale_index, changed, "doc_id", ["text"], deleted).groupBy("term").agg(F.count("*").alias("n"))
+    old = d.where("doc_id % 4 <> 2").withColumn("text", F.when(F.col("doc_id") % 4 == 1, "old words").otherwise(F.col("text")))
+    changed, deleted = d.where("doc_id % 4 in (1, 2)"), d.where("doc_id % 4 = 0")
+    out = search.update_postings(search.build_postings(old, "doc_id", ["text"]), changed, "doc_id", ["text"], deleted)
+    return out.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("key").alias("docs"))
 
 
-@query("""SELECT doc_id FROM documents WHERE text ILIKE '%(the%'""")
+@query("""SELECT page_id FROM pages WHERE html ILIKE '%<a href="/the%'""")
 def fts_substring_fallback(t):
-    return search.search_text(t("documents"), None, "(the", ["text"], "doc_id").select("doc_id")
+    """An open quote makes no match expression, so the text is looked for as it is."""
+    p = t("pages")
+    return search.search_text(p, search.build_postings(p, "page_id", ["html"]), '<a href="/the', ["html"], "page_id").select("page_id")
+
+
+@query(f"""WITH {POSTINGS} SELECT doc_id, lang, length(text) AS chars FROM documents WHERE doc_id IN (SELECT key FROM p WHERE term = 'with') AND doc_id IN (SELECT key FROM p WHERE term = 'from')""")
+def fts_joined_rows(t):
+    d = t("documents")
+    return search.search_text(d, _postings(t), "With from", ["text"], "doc_id").select("doc_id", "lang", F.length("text").cast("long").alias("chars"))
+
+
+@query(f"""
+WITH {POSTINGS}, len AS (SELECT key, count(*) AS len FROM p GROUP BY key),
+s AS (SELECT count(*) AS n, avg(len) AS al FROM len),
+tf AS (SELECT key, count(*) AS tf FROM p WHERE term = 'from' GROUP BY key), df AS (SELECT count(*) AS df FROM tf)
+SELECT key AS doc_id, lang FROM (SELECT tf.key, ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al)) AS score FROM tf JOIN len USING (key), s, df)
+JOIN documents ON doc_id = key ORDER BY score DESC, doc_id LIMIT 48""")
+def relevance_page(t):
+    return search.top_matches(t("documents"), _postings(t), "from", "doc_id").select("doc_id", "lang")
 
 
 # --- summaries ---------------------------------------------------------------------
@@ -200,9 +255,32 @@ def library_summary(t):
     return stats.library_summary(t("fx_assets"))
 
 
-@query(f"""SELECT value, count(*) AS n FROM (SELECT unnest({T}) AS value FROM fx_assets) WHERE value IN ('en', 'fr', 'outdoor', 'indoor') GROUP BY value ORDER BY n DESC, value LIMIT 12""")
+@query(f"""SELECT value, count(*) AS n FROM (SELECT unnest({T}) AS value FROM fx_assets WHERE media_type IN ('image', 'video') AND state = 1) WHERE value IN ('en', 'fr', 'outdoor', 'indoor') GROUP BY value ORDER BY n DESC, value LIMIT 12""")
 def top_tags(t):
-    return stats.top_values(t("fx_assets"), "tags", 12, ["en", "fr", "outdoor", "indoor"])
+    return stats.top_tags(t("fx_assets"), ["en", "fr", "outdoor", "indoor"])
+
+
+@query("""SELECT source AS value, count(*) AS n FROM documents WHERE source <> '' GROUP BY 1 ORDER BY n DESC, value LIMIT 8""")
+def top_counts(t):
+    return stats.top_counts(t("documents"), "source")
+
+
+@query("""
+SELECT count(*) FILTER (media_type <> 'video') AS photos, count(*) FILTER (media_type = 'video') AS videos, count(*) FILTER (media_type <> 'video' AND state = 1) AS enriched, count(*) FILTER (media_type <> 'video' AND persons <> '[]') AS with_faces,
+  min(CAST(substr(date, 1, 4) AS INTEGER)) AS min_year, max(CAST(substr(date, 1, 4) AS INTEGER)) AS max_year, round(100 * count(*) FILTER (media_type <> 'video' AND state = 1) / count(*) FILTER (media_type <> 'video'), 1) AS percent FROM fx_assets""")
+def legacy_summary(t):
+    return stats.legacy_summary(t("fx_assets"), F.col("media_type") == "video", F.col("state") == 1, search.not_empty("persons"), tc.year_of(F.col("date")).try_cast("int"))
+
+
+@query("""SELECT p_name AS name, p_size AS faces FROM part""")
+def people_by_faces(t):
+    return stats.people_by_faces(t("part"), "p_name", "p_size")
+
+
+@query("""SELECT (SELECT count(*) FROM supplier) AS people, (SELECT count(*) FROM supplier WHERE s_suppkey % 5 <> 0) AS named, (SELECT count(*) FROM lineitem) AS faces, (SELECT count(*) FROM lineitem WHERE l_suppkey % 5 <> 0) AS named_faces""")
+def face_totals(t):
+    people = t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.when(F.col("s_suppkey") % 5 != 0, F.col("s_name")).alias("name"))
+    return stats.face_totals(people, t("lineitem"), "l_suppkey", "name")
 
 
 @query(f"""SELECT value, count(*) AS n FROM (SELECT unnest({P}) AS value FROM fx_assets) GROUP BY value ORDER BY n DESC, value LIMIT 12""")
@@ -290,9 +368,9 @@ def state_histogram(t):
     return stats.value_histogram(t("fx_assets"), "state")
 
 
-@query()
+@query("""SELECT o_orderkey FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '|7'), o_orderkey LIMIT 60""")
 def seeded_sample(t):
-    return stats.sample_rows(t("orders").select("o_orderkey"), 60, 7)
+    return stats.sample_rows(t("orders").select("o_orderkey"), 60, 7, "o_orderkey")
 
 
 # --- names ---------------------------------------------------------------------------
@@ -363,17 +441,35 @@ def resolve_names(t):
     return names.resolve_names(q, "k", "name", t("fx_vocab"))
 
 
-@query()
+# The listed people of the query log: the vocabulary, and one whose first name is unique.
+LOGGED = "vl AS (SELECT name FROM fx_vocab UNION ALL SELECT 'Sur Lamer')"
+
+
+@query(f"""
+WITH {LOGGED}, v AS (SELECT lower(name) AS lc, min(name) AS name FROM vl GROUP BY 1),
+g AS (SELECT concat_ws('-', conv_id, turn) AS k, coalesce(text, '') AS text, role, turn, conv_id, CASE WHEN turn % 2 = 0 THEN concat('person ', conv_id % 30) ELSE 'nobody' END AS person FROM conversations),
+ex AS (SELECT k, v.name AS match FROM g JOIN v ON lower(person) = lc),
+pt AS (SELECT k, min(v.name) AS match FROM g JOIN v ON contains(lower(person), lc) OR contains(lc, lower(person)) WHERE k NOT IN (SELECT k FROM ex) GROUP BY 1),
+nm AS (SELECT * FROM ex UNION ALL SELECT * FROM pt),
+fn AS (SELECT DISTINCT k, 'Sur Lamer' AS match FROM (SELECT k, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM g) WHERE lower(regexp_replace(w, '^[,.!?;:]+|[,.!?;:]+$', '', 'g')) = 'sur' AND k NOT IN (SELECT k FROM nm)),
+al AS (SELECT k, match FROM nm UNION ALL SELECT k, match FROM fn)
+SELECT g.k, CASE WHEN turn % 2 = 0 THEN CAST(conv_id % 40 + 1990 AS VARCHAR) ELSE '' END AS year,
+  CASE WHEN turn % 2 = 1 AND turn % 3 = 0 THEN '1990' ELSE '' END AS year_from, CASE WHEN turn % 2 = 1 AND turn % 3 = 0 THEN '1999' ELSE '' END AS year_to,
+  coalesce(match, '') AS persons, lower(role) AS scene, CAST(least(8, len(list_filter(string_split(text, ' '), lambda x: trim(x, ' \n\t') <> ''))) AS INTEGER) AS n_terms,
+  regexp_replace(regexp_replace(regexp_replace(CASE WHEN match IS NULL THEN q ELSE regexp_replace(regexp_replace(q, '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || string_split(match, ' ')[1] || '($|[^\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g'), '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || string_split(match, ' ')[2] || '($|[^\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g') END, chr(1) || '(?s).', '', 'g'), '\\s+', ' ', 'g'), '^[ ,-]+|[ ,-]+$', '', 'g') AS q
+FROM (SELECT *, regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '([^\\p{{L}}\\p{{N}}_])', '\\1' || chr(1) || '\\1', 'g') AS q FROM g) g LEFT JOIN al USING (k)""")
 def resolve_query_log(t):
     """Parsed queries made from conversations: years, people, scene and terms per row."""
     c = t("conversations")
+    even = F.col("turn") % 2 == 0
     log = c.select(
         F.concat_ws("-", "conv_id", "turn").alias("k"), "text", F.col("text").alias("q"),
-        F.when(F.col("turn") % 2 == 0, (F.col("conv_id") % 40 + 1990).cast("string")).otherwise("19xx").alias("year"),
+        F.when(even, (F.col("conv_id") % 40 + 1990).cast("string")).otherwise("19xx").alias("year"),
         F.lit("1990").alias("year_from"), F.when(F.col("turn") % 3 == 0, "1999").otherwise("").alias("year_to"),
-        F.array(F.concat(F.lit("person "), (F.col("conv_id") % 30).cast("string"))).alias("persons"), F.split("text", " ").alias("terms"), F.col("role").alias("scene"),
+        F.array(F.when(even, F.concat(F.lit("person "), (F.col("conv_id") % 30).cast("string"))).otherwise("nobody")).alias("persons"), F.split("text", " ").alias("terms"), F.col("role").alias("scene"),
     )
-    out = names.resolve_query_log(log, "k", t("fx_vocab"), t("nation").select(F.lower("n_name").alias("name")).union(c.select("role").distinct()))
+    vocab = t("fx_vocab").union(t("fx_vocab").limit(1).select(F.lit("Sur Lamer")))
+    out = names.resolve_query_log(log, "k", vocab, t("nation").select(F.lower("n_name").alias("name")).union(c.select("role").distinct()))
     return out.select("k", "year", "year_from", "year_to", joined("persons"), "scene", F.size("terms").alias("n_terms"), "q")
 
 
@@ -571,6 +667,17 @@ def location_summary(t):
     return geo.location_summary(geo.location_cells(t("fx_assets")), t("fx_cities"))
 
 
+@query("""
+WITH one AS (SELECT substr(date, 1, 4) AS yr, round(gps_lat, 2) AS lat, round(gps_lon, 2) AS lon, count(*) AS cnt FROM fx_assets WHERE gps_lat IS NOT NULL AND date IS NOT NULL GROUP BY 1, 2, 3),
+s AS (SELECT DISTINCT lat, lon FROM one),
+nr AS (SELECT s.lat, s.lon, first(c.cc ORDER BY 2 * asin(sqrt(least(1.0, pow(sin(radians(c.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - s.lon) / 2), 2)))), c.city) AS cc FROM s, fx_cities c GROUP BY 1, 2)
+SELECT yr, cc, coalesce(r_name, cc) AS country, CAST(sum(cnt) AS BIGINT) AS n FROM one JOIN nr USING (lat, lon) LEFT JOIN region ON cc = concat('C', r_regionkey) AND r_regionkey < 3 GROUP BY 1, 2, 3""")
+def location_countries(t):
+    """Country names where the code is listed, else the code."""
+    listed = t("region").where("r_regionkey < 3").select(F.concat(F.lit("C"), F.col("r_regionkey").cast("string")).alias("cc"), F.col("r_name").alias("country"))
+    return geo.location_summary(geo.location_cells(t("fx_assets")), t("fx_cities"), listed).select("yr", "cc", "country", "n")
+
+
 @query("""SELECT round(gps_lat, 5) AS lat, round(gps_lon, 5) AS lon, count(*) AS n, array_to_string(list_sort(list(asset_id))[:200], '|') AS members, greatest(count(*) - 200, 0) AS more FROM fx_assets WHERE gps_lat IS NOT NULL GROUP BY 1, 2""")
 def colocated_points(t):
     out = geo.colocate(t("fx_assets"), "asset_id")
@@ -578,10 +685,10 @@ def colocated_points(t):
 
 
 @query("""
-WITH a AS (SELECT gps_lat, (gps_lon + 180.0) / 360.0 * 4096 AS px, (0.5 - ln((1 + sin(radians(greatest(least(gps_lat, 85.05112878), -85.05112878)))) / (1 - sin(radians(greatest(least(gps_lat, 85.05112878), -85.05112878))))) / (4 * pi())) * 4096 AS py FROM fx_assets WHERE gps_lat IS NOT NULL)
-SELECT CAST(floor(px / 40) AS BIGINT) AS gx, CAST(floor(py / 40) AS BIGINT) AS gy, count(*) AS n, round(avg(gps_lat), 6) AS lat, CASE WHEN count(*) > 100 THEN 'large' WHEN count(*) > 20 THEN 'medium' ELSE 'small' END AS size FROM a GROUP BY 1, 2""")
+WITH a AS (SELECT gps_lat, gps_lon, (gps_lon + 180.0) / 360.0 * 4096 AS px, (0.5 - ln((1 + sin(radians(greatest(least(gps_lat, 85.05112878), -85.05112878)))) / (1 - sin(radians(greatest(least(gps_lat, 85.05112878), -85.05112878))))) / (4 * pi())) * 4096 AS py FROM fx_assets WHERE gps_lat IS NOT NULL)
+SELECT CAST(floor(px / 40) AS BIGINT) AS gx, CAST(floor(py / 40) AS BIGINT) AS gy, count(*) AS n, round(avg(gps_lat), 6) AS lat, round(avg(gps_lon), 6) AS lon, CASE WHEN count(*) > 100 THEN 'large' WHEN count(*) > 20 THEN 'medium' ELSE 'small' END AS size FROM a GROUP BY 1, 2""")
 def cluster_points(t):
-    return geo.cluster_points(t("fx_assets"), 4).select("gx", "gy", "n", F.round("lat", 6).alias("lat"), "size")
+    return geo.cluster_points(t("fx_assets"), 4).select("gx", "gy", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "size")
 
 
 # --- relational catalogue ----------------------------------------------------------------
@@ -593,11 +700,25 @@ def star_join(t):
 
 
 @query("""
-WITH r AS (SELECT l_orderkey, l_partkey, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey) AS rn FROM lineitem WHERE l_discount >= 0.05)
-SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), '|' ORDER BY rn) AS labels FROM r WHERE rn <= 8 GROUP BY 1""")
+WITH r AS (SELECT l_orderkey, l_partkey, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey) AS rn FROM lineitem WHERE l_extendedprice >= 30000)
+SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), '|' ORDER BY rn) AS labels, string_agg(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR), '|' ORDER BY rn) AS cents FROM r WHERE rn <= 8 GROUP BY 1""")
 def top_labels(t):
-    out = catalog.top_labels(t("lineitem").where("l_discount >= 0.05"), "l_orderkey", "l_partkey", "l_extendedprice", 8)
-    return out.select("l_orderkey", F.array_join(F.transform("labels", lambda x: x.cast("string")), "|").alias("labels"))
+    out = catalog.top_labels(t("lineitem"), "l_orderkey", "l_partkey", "l_extendedprice", 8, least=30000.0)
+    cents = F.transform("confidences", lambda x: F.round(x * 100).cast("long").cast("string"))
+    return out.select("l_orderkey", F.array_join(F.transform("labels", lambda x: x.cast("string")), "|").alias("labels"), F.array_join(cents, "|").alias("cents"))
+
+
+@query("""
+WITH b AS (SELECT o_custkey, l_partkey, max(l_extendedprice) AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_returnflag = 'N' GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY c DESC, l_partkey) AS rn FROM b WHERE c >= 30000)
+SELECT o_custkey, string_agg(CAST(l_partkey AS VARCHAR), '|' ORDER BY rn) AS labels FROM r WHERE rn <= 8 GROUP BY 1""")
+def bridged_labels(t):
+    """Labels of one class that reach their asset through a bridge table."""
+    bridge = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    both = catalog.bridged(t("lineitem"), bridge, t("customer").select(F.col("c_custkey").alias("o_custkey")), "l_orderkey", "o_custkey", F.col("l_returnflag") == "N")
+    best = both.groupBy("o_custkey", "l_partkey").agg(F.max("l_extendedprice").alias("c"))
+    out = catalog.top_labels(best, "o_custkey", "l_partkey", "c", 8, least=30000.0)
+    return out.select("o_custkey", F.array_join(F.transform("labels", lambda x: x.cast("string")), "|").alias("labels"))
 
 
 @query("""SELECT l_orderkey, string_agg(l_shipmode, '|' ORDER BY o, l_shipmode) AS names FROM (SELECT l_orderkey, l_returnflag AS l_shipmode, min(l_linenumber) AS o FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
@@ -755,7 +876,7 @@ def scalar_json_epoch(t):
 
 
 @query("""
-SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Park, Town, MA' WHEN 1 THEN 'Town, Land' WHEN 2 THEN 'raw' ELSE 'Town, Land' END AS place, CASE WHEN c_custkey % 3 = 0 THEN 3 ELSE 0 END AS people, regexp_replace(lower(c_name), '[^a-z]', '', 'g') AS letters, 'Cafe (confidence: 13%)' AS guess, 'Cafe' AS bare FROM customer""")
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Park, Town, MA' WHEN 1 THEN 'Town, Land' WHEN 2 THEN 'raw' ELSE 'Town, Land' END AS place, CASE WHEN c_custkey % 3 = 0 THEN 3 ELSE 0 END AS people, regexp_replace(lower(c_name), '[^a-z]', '', 'g') AS letters, concat('Cafe (confidence: ', CAST(round_even(c_custkey % 9 * 12.5, 0) AS INTEGER), '%)') AS guess, 'Cafe' AS bare FROM customer""")
 def scalar_display(t):
     k = F.col("c_custkey") % 4
     us = k == 0
@@ -763,7 +884,7 @@ def scalar_display(t):
     city = F.when(k != 2, F.when(k == 3, F.lit("Town")).otherwise(F.lit("Town")))
     place = tc.display_place(F.when(k == 3, F.lit("Town")).otherwise(aoi), F.when(k == 3, F.lit("town")).otherwise(city), F.lit("MA"), F.when(k != 2, "Land"), F.when(us, "US").otherwise("FR"), F.lit("raw"))
     count = F.when(F.col("c_custkey") % 3 == 0, "3 people").otherwise("many")
-    guess = tc.location_guess(F.array(F.lit("Cafe"), F.lit(None)), F.lit("0.125"))
+    guess = tc.location_guess(F.array(F.lit("Cafe"), F.lit(None)), (F.col("c_custkey") % 9 / 8).cast("string"))
     return t("customer").select("c_custkey", place.alias("place"), tc.leading_int(count).alias("people"), tc.letters_only(F.col("c_name")).alias("letters"), guess.alias("guess"), tc.without_confidence(guess).alias("bare"))
 
 
@@ -789,11 +910,21 @@ def scalar_texts(t):
     return t("documents").select("doc_id", tc.clean_text(F.when(k, F.lit(" Parse Error ")).otherwise(F.lit("Parse Errors"))).alias("cleaned"), tc.text_or(F.when(k, F.lit("bad")).otherwise(F.lit("parse error")), F.lit("none"), ["bad"]).alias("legacy"), F.regexp_replace(tc.without_words(q, F.array(F.lit("Ana Smith"))), ",", "").alias("without_names"))
 
 
-@query("""SELECT asset_id, CASE WHEN date IS NULL THEN '' ELSE 'Date taken: ' || date || chr(10) END || CASE WHEN place_name IS NOT NULL THEN 'place' WHEN gps_lat IS NOT NULL THEN 'gps' ELSE '' END AS head FROM fx_assets""")
+@query(f"""SELECT asset_id, coalesce(nullif(concat_ws(chr(10), 'Date: ' || date, 'Place: ' || place_name, CASE WHEN place_name IS NULL AND gps_lat IS NOT NULL THEN 'Coordinates: ' || printf('%.4f, %.4f', gps_lat, gps_lon) END, CASE WHEN persons <> '[]' THEN 'People: ' || array_to_string({P}, ', ') END), ''), '(nothing known)') AS context FROM fx_assets""")
 def context_lines(t):
-    c = replies.build_context(t("fx_assets"))
-    kind = F.when(F.contains("context", F.lit("Location (")), "place").when(F.contains("context", F.lit("GPS coordinates: ")), "gps").otherwise("")
-    return c.select("asset_id", F.concat(F.when(F.col("context").startswith("Date taken"), F.concat(F.regexp_extract("context", "^(Date taken: [^\n]+)", 1), F.lit("\n"))).otherwise(""), kind).alias("head"))
+    return replies.build_context(t("fx_assets")).select("asset_id", "context")
+
+
+@query("""SELECT o_orderkey, year(o_orderdate) AS year, month(o_orderdate) AS month, day(o_orderdate) AS day FROM orders""")
+def date_parts(t):
+    return t("orders").select("o_orderkey", tc.date_parts(F.col("o_orderdate")).alias("d")).select("o_orderkey", F.col("d.year").cast("long").alias("year"), F.col("d.month").cast("long").alias("month"), F.col("d.day").cast("long").alias("day"))
+
+
+@query("""SELECT event_id, regexp_matches(CASE event_id % 5 WHEN 0 THEN md5(CAST(event_id AS VARCHAR)) WHEN 1 THEN substr(md5(CAST(event_id AS VARCHAR)), 1, CAST(event_id % 16 AS INTEGER)) WHEN 2 THEN event_type WHEN 3 THEN 'ABCD-0123-' || event_id ELSE md5(CAST(event_id AS VARCHAR)) || '-abcdef' END, '^[0-9A-Fa-f-]{8,36}$') AS ok FROM events""")
+def valid_keys(t):
+    k, h = F.col("event_id"), F.md5(F.col("event_id").cast("string"))
+    shown = F.when(k % 5 == 0, h).when(k % 5 == 1, F.substring(h, F.lit(1), (k % 16).cast("int"))).when(k % 5 == 2, F.col("event_type")).when(k % 5 == 3, F.concat(F.lit("ABCD-0123-"), k.cast("string"))).otherwise(F.concat(h, F.lit("-abcdef")))
+    return t("events").select("event_id", tc.is_key(shown).alias("ok"))
 
 
 @query("""SELECT asset_id, CASE WHEN gps_lat = 0 OR gps_lat IS NULL THEN 7.0 ELSE gps_lat END AS lat, CASE WHEN gps_lat IS NOT NULL AND gps_lat <> 0 THEN 'both' ELSE 'exif' END AS src FROM fx_assets""")
@@ -810,7 +941,7 @@ REPLY = """concat('{"description":"', CASE WHEN doc_id % 5 = 1 THEN 'a "big" dog
 def _replies(t):
     text = F.expr(REPLY.replace("doc_id % 7", "cast(doc_id % 7 as string)"))
     fenced = F.when(F.col("doc_id") % 5 == 3, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).when(F.col("doc_id") % 5 == 4, F.lit("no object here")).otherwise(text)
-    return replies.salvage_json(t("documents").select("doc_id", fenced.alias("reply")), "reply")
+    return replies.salvage_json(t("documents").select("doc_id", fenced.alias("reply")), "reply", "parsed")
 
 
 @query("""SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'requoted' WHEN 3 THEN 'carved' WHEN 4 THEN 'failed' ELSE 'parsed' END AS stage FROM documents""")
@@ -823,11 +954,14 @@ SELECT doc_id, CASE doc_id % 5 WHEN 4 THEN NULL WHEN 1 THEN 'a "big" dog' ELSE '
   CASE WHEN doc_id % 5 = 4 THEN '' ELSE concat_ws('|', 'x', doc_id % 7, source, 'n', lang, CASE WHEN doc_id % 4 > 0 THEN concat('people:', doc_id % 4) END, 'feature', 'video') END AS tags,
   CASE WHEN doc_id % 5 <> 4 THEN concat('Cafe, ', lang, ' (confidence: ', doc_id % 10 * 100, '%)') END AS location_guess FROM documents""")
 def flatten_replies(t):
-    out = replies.flatten_reply(_replies(t), "json", ("video",))
+    out = replies.flatten_reply(_replies(t), "json", ("video",), "parsed")
     return out.select("doc_id", "description", joined("tags"), "location_guess")
 
 
-@query()
+@query("""
+WITH c AS (SELECT concat_ws('-', conv_id, turn) AS k, length(text) AS n FROM conversations WHERE text IS NOT NULL)
+SELECT k, CASE WHEN n % 11 <> 0 THEN '{"description": "' || n || '"}' END AS json, CASE WHEN n % 11 = 0 THEN 'error' ELSE 'carved' END AS stage,
+  CAST(CASE WHEN n % 11 <> 0 AND n % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts, CASE WHEN n % 11 = 0 THEN 'ValueError: no answer' END AS error FROM c""")
 def enrich_conversations(t):
     """A stub model over conversation turns: some replies need a second try, some raise."""
 
@@ -839,10 +973,67 @@ def enrich_conversations(t):
             out.append('{"description": "' + str(len(x)) + '"}' if len(x) % 3 or attempt > 1 else "cut {")
         return out
 
-    rows = t("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("k"), F.col("text").alias("context"))
+    rows = t("conversations").where("text is not null").select(F.concat_ws("-", "conv_id", "turn").alias("k"), F.col("text").alias("context"))
     return replies.enrich(rows, "k", "context", model).select("k", "json", "stage", "attempts", "error")
 
 
+# --- sidecars --------------------------------------------------------------------------------
+
+# A record per event: every key that is read in each of its forms, by the event's number.
+RECORD = """concat('[{',
+  CASE event_id % 4 WHEN 0 THEN '"EXIF:DateTimeOriginal":"2020:01:02 03:04:05","EXIF:OffsetTimeOriginal":"+01:00",'
+    WHEN 1 THEN concat('"EXIF:DateTimeOriginal":"","EXIF:CreateDate":"', 1990 + event_id % 30, ':02:03 04:05:06","EXIF:OffsetTime":"-02:30",')
+    WHEN 2 THEN '"QuickTime:CreationDate":"junk","QuickTime:CreateDate":"2022:03:04 05:06:07-08:00",' ELSE '"QuickTime:CreateDate":"2022:03:04",' END,
+  CASE event_id % 3 WHEN 0 THEN '"EXIF:GPSLatitude":10.5,"EXIF:GPSLatitudeRef":"S","EXIF:GPSLongitude":20.25,"EXIF:GPSLongitudeRef":"E",'
+    WHEN 1 THEN '"Keys:GPSCoordinates":"1.5 -2.5 30",' ELSE '"Keys:GPSCoordinates":"0 0","UserData:GPSCoordinates":"+3.5-4.5+9/",' END,
+  CASE event_id % 2 WHEN 0 THEN '"XMP:PersonInImage":"Ann Lee","XMP:Subject":["ann lee","sea"],' ELSE '"XMP:PersonInImage":["Ann Lee"," ann lee","Bob",""],"IPTC:Keywords":"beach",' END,
+  '"XMP-mwg-rs:RegionInfo":{"RegionList":[{"Type":"Face","Name":"Ann","Area":{"X":0.5}},{"Type":"Pet","Name":"Rex","Area":{}}]},"n":', event_id, '}]')"""
+
+
+def _sidecars(t):
+    h = F.md5(F.col("event_id").cast("string"))
+    uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    ext = F.when(F.col("event_id") % 5 == 0, "mov").otherwise("jpeg")
+    e = t("events").withColumn("raw", F.expr(RECORD))
+    e = e.withColumn("name", F.when(F.col("event_id") % 50 == 49, "odd.json").otherwise(F.concat(uuid, F.lit("."), ext, F.lit(".json"))))
+    raw = F.when(F.col("event_id") % 50 == 48, "[]").otherwise(F.col("raw"))
+    return ingest.with_record(e.select("event_id", "name", F.concat(F.lit("/m/"), F.col("event_id").cast("string")).alias("path"), tc.uuid_of(F.col("name")).alias("uuid"), raw.alias("raw")))
+
+
+@query("""
+SELECT concat('/m/', event_id) AS sidecar_path, CASE WHEN event_id % 5 = 0 THEN 'video' ELSE 'image' END AS media_type, CASE WHEN event_id % 5 = 0 THEN 'MOV' ELSE 'JPG' END AS file_ext,
+  CASE event_id % 4 WHEN 0 THEN '2020-01-02T03:04:05+01:00' WHEN 1 THEN concat(1990 + event_id % 30, '-02-03T04:05:06-02:30') WHEN 2 THEN '2022-03-04T05:06:07-08:00' END AS datetime_original,
+  CASE event_id % 3 WHEN 0 THEN -10.5 WHEN 1 THEN 1.5 ELSE 3.5 END AS gps_lat, CASE event_id % 3 WHEN 0 THEN 20.25 WHEN 1 THEN -2.5 ELSE -4.5 END AS gps_lon, CASE event_id % 3 WHEN 0 THEN 'S' ELSE 'N' END AS gps_lat_ref,
+  CASE event_id % 2 WHEN 0 THEN 'Ann Lee' ELSE 'Ann Lee|Bob' END AS persons, CASE event_id % 2 WHEN 0 THEN 'sea' ELSE 'beach' END AS scene_labels, 'Ann 0.5' AS faces
+FROM events WHERE event_id % 50 < 48""")
+def decode_sidecars(t):
+    out = ingest.decode_sidecars(_sidecars(t))
+    faces = F.array_join(F.transform("face_regions", lambda r: F.concat(r["name"], F.lit(" "), F.try_element_at(r["area"], F.lit("X")).cast("string"))), "|")
+    return out.select("sidecar_path", "media_type", "file_ext", "datetime_original", "gps_lat", "gps_lon", "gps_lat_ref", joined("persons"), joined("scene_labels"), faces.alias("faces"))
+
+
+@query("""SELECT concat('/m/', event_id) AS path, CASE WHEN event_id % 50 = 49 THEN 'no uuid' ELSE 'no record' END AS reason FROM events WHERE event_id % 50 >= 48""")
+def rejected_sidecars(t):
+    return ingest.rejected(_sidecars(t))
+
+
+@query("""SELECT page_id FROM pages WHERE page_id % 3 <> 0 AND page_id % 5 <> 0 AND page_id % 7 <> 0""")
+def sidecars_to_ingest(t):
+    """Records with their media file, not deleted before and not ingested already."""
+    p = t("pages").select("page_id", F.concat(F.lit("/m/"), F.col("page_id").cast("string"), F.lit(".jpg.json")).alias("path"))
+    files = p.where("page_id % 3 <> 0").select(F.regexp_replace("path", r"\.json$", "").alias("path"))
+    return ingest.exclude_keys(ingest.with_media(p, files), "page_id", p.where("page_id % 5 = 0"), p.where("page_id % 7 = 0")).select("page_id")
+
+
+@query("""SELECT asset_id, CASE WHEN asset_id % 3 = 0 THEN 'missing' WHEN asset_id % 3 = 1 THEN 'unreadable' WHEN asset_id % 2 = 0 THEN 'no value' ELSE 'found' END AS status, CASE WHEN asset_id % 3 = 2 AND asset_id % 2 = 1 THEN CAST(asset_id AS DOUBLE) END AS found FROM fx_assets WHERE gps_lat IS NULL OR place_name IS NULL""")
+def backfill_missing(t):
+    a = t("fx_assets").where("gps_lat is null or place_name is null").select("asset_id")
+    k = F.col("asset_id")
+    raw = F.when(k % 3 == 1, "oops").when(k % 2 == 0, "{}").otherwise(F.concat(F.lit('{"EXIF:GPSLatitude": '), k.cast("string"), F.lit("}")))
+    stored = ingest.with_record(a.where("asset_id % 3 <> 0").select(k.alias("uuid"), raw.alias("raw")))
+    return ingest.backfill_missing(a, stored, "asset_id", ingest.key("EXIF:GPSLatitude", "double")).select("asset_id", "status", "found")
+
+
 # --- work plans --------------------------------------------------------------------------------
 
 
@@ -918,8 +1109,8 @@ def heartbeat_gaps(t):
 @query("""SELECT user_id, max(ts) AS last FROM events GROUP BY 1 HAVING date_diff('second', max(ts), (SELECT max(ts) FROM events)) > 21600""")
 def stale_keys(t):
     e = t("events")
-    last = e.groupBy("user_id").agg(F.max("ts").alias("last")).join(F.broadcast(e.agg(F.max("ts").alias("now"))))
-    return last.where(F.unix_seconds(F.col("now").cast("timestamp")) - F.unix_seconds(F.col("last").cast("timestamp")) > 21600).select("user_id", "last")
+    now = e.agg(F.max("ts").alias("now"))
+    return monitors.stale(e.join(F.broadcast(now)), "user_id", "ts", F.max("now"), 21600).select("user_id", "last")
 
 
 @query("""
@@ -930,8 +1121,11 @@ def stuck_holders(t):
 
 
 @query("""
-WITH f AS (SELECT user_id, ts, value > 50 AS f, sum(CASE WHEN value > 50 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS ep FROM events),
-g AS (SELECT user_id, ep, ts, floor(date_diff('microsecond', min(ts) OVER (PARTITION BY user_id, ep), ts) / 86400000000) AS slot FROM f WHERE f)
-SELECT user_id, min(ts) AS ts FROM g GROUP BY user_id, ep, slot""")
+WITH RECURSIVE o AS (SELECT user_id, ts, value > 50 AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts, value > 50) AS rn FROM events WHERE value IS NOT NULL),
+e AS (SELECT user_id, ts, f, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY rn) AS ep FROM o),
+fire AS (SELECT user_id, ep, ts FROM e WHERE f),
+sent AS (SELECT user_id, ep, min(ts) AS ts FROM fire GROUP BY 1, 2
+  UNION ALL SELECT s.user_id, s.ep, min(n.ts) FROM sent s JOIN fire n ON n.user_id = s.user_id AND n.ep = s.ep AND n.ts >= s.ts + INTERVAL 24 HOURS GROUP BY 1, 2)
+SELECT user_id, ts FROM sent""")
 def alert_episodes(t):
     return monitors.alert_episodes(t("events"), "user_id", "ts", F.col("value") > 50, 86400)

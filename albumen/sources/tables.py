@@ -153,9 +153,18 @@ def write_json(df: DataFrame, path: str, searched: bool | None = None, compresse
     df.write.json(path, compression="gzip" if compressed else None)
 
 
-def write_aliases(generated: DataFrame, path: str) -> None:
-    """The generated layer alone, sorted; the curated one is a table of its own."""
-    generated.select("raw", "canonical").orderBy("raw").write.json(path)
+def write_aliases(generated: DataFrame, path: str, curated: DataFrame | None = None) -> None:
+    """The document that read_aliases reads: the curated layer as it is and the generated one
+    (both raw, canonical; an empty layer where not given), sorted. The document is one JSON
+    text, which one row holds."""
+
+    def layer(df: DataFrame | None, name: str) -> DataFrame:
+        df = generated.limit(0) if df is None else df
+        one = df.where("raw is not null").groupBy("raw").agg(F.max("canonical").alias("canonical"))
+        return one.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("raw", "canonical")))).alias(name))
+
+    doc = layer(curated, "curated").join(F.broadcast(layer(generated, "generated")))
+    doc.select(F.to_json(F.struct("curated", "generated"))).coalesce(1).write.text(path)
 
 
 def write_vocabulary(vocab: DataFrame, path: str) -> None:

@@ -123,12 +123,25 @@ def sent_alerts(events: list[tuple[int, bool]], last: int | None, every_seconds:
 
 
 def alert_episodes(df: DataFrame, key: str, ts: str, firing, every_seconds: int) -> DataFrame:
-    """Batch form: firing rows that go out, as (key, ts). An episode is a run of firing rows;
-    within one, an alert goes out in each span of every_seconds that starts at its first."""
-    w = Window.partitionBy(key).orderBy(ts)
-    out = df.select(key, ts, firing.alias("f"))
-    out = out.withColumn("episode", F.sum(F.when(F.col("f"), 0).otherwise(1)).over(w)).where("f")
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    first = F.min(us).over(Window.partitionBy(key, "episode"))
-    slot = F.floor((us - first) / F.lit(every_seconds * 1_000_000))
-    return out.withColumn("slot", slot).groupBy(key, "episode", "slot").agg(F.min(ts).alias(ts)).select(key, ts)
+    """Batch form: firing rows that go out, as (key, ts). The first of an episode goes out, and
+    then the first that is every_seconds or more after the last one that did; a row that
+    isn't firing ends the episode (of rows at one time it comes first). Rows stream through
+    their key's task in order; only the last alert is held."""
+    rows = df.select(F.col(key), F.col(ts).cast("timestamp").alias(ts), firing.alias("__f")).where(F.col(ts).isNotNull() & F.col("__f").isNotNull())
+    rows = rows.withColumn("__us", F.unix_micros(ts)).repartition(key).sortWithinPartitions(key, ts, "__f")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, last = None, None
+        for pdf in batches:
+            keys, fires, us = pdf[key].tolist(), pdf["__f"].tolist(), pdf["__us"].tolist()
+            sent = []
+            for i, (k, fire, t) in enumerate(zip(keys, fires, us, strict=True)):
+                if i == 0 and held is None or k != held:
+                    held, last = k, None
+                out, last = sent_alerts([(t, fire)], last, every_seconds)
+                if out:
+                    sent.append(i)
+            yield pdf.iloc[sent][[key, ts]]
+
+    out = rows.mapInPandas(work, f"{key} {rows.schema[key].dataType.simpleString()}, {ts} timestamp")
+    return out.select(key, F.col(ts).cast(df.schema[ts].dataType).alias(ts))
