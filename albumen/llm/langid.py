@@ -21,9 +21,11 @@ from .bytesops import runs, string_bytes
 BLOCK = 512  # symbols of a text that are parsed beside other blocks; results don't depend on it
 CHARS = 24_000  # characters of training text a language
 SLOTS = 64  # texts that they are taken from
+BROADCAST = 1 << 17  # chosen texts, by hash, that are sent to every task
 UNKNOWN = 20.0  # bits of a letter that a language's training text lacks: one of all code points
 _GAP = 1  # symbol of everything that isn't a letter
 _OTHER = 0  # letters that no training text has
+_PLACE = np.int64((1 << 32) - 1)
 
 
 def automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -59,37 +61,36 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
-def comb(nxt: list[dict[int, int]], size: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sparse transitions as one row that all states share: a state is a place b, and its
-    transition on c is at b + c where owner[b + c] == b. Places are tried at random until
-    a state's transitions fall on free cells, so memory follows the transitions and not
-    the alphabet. Returns (owner, target, root)."""
-    room = 4 * sum(map(len, nxt)) + 2 * len(nxt) + 64
+def comb(nxt: list[dict[int, int]], size: int) -> tuple[np.ndarray, int]:
+    """Sparse transitions as one row of cells that all states share: a state is a place b,
+    and its transition on c is cell b + c, which holds b and the place to go to. Places are
+    tried at random, those of states with most transitions first, until all of a state's
+    fall on free cells; so memory follows the transitions and not the alphabet. Returns
+    (cells, root)."""
+    room = max(2 * sum(map(len, nxt)), 2 * len(nxt)) + 64
     rng = random.Random(1)
-    owner = np.full(room + size, -1, dtype=np.int32)
-    used, taken, place = bytearray(room + size), set(), []
-    for out in nxt:
+    used, taken, place = bytearray(room + size), set(), [0] * len(nxt)
+    for state in sorted(range(len(nxt)), key=lambda i: -len(nxt[i])):
         while True:
-            b = rng.randrange(room)
-            if b not in taken and not any(used[b + c] for c in out):
+            b = int(rng.random() * room)
+            if b not in taken and not any(used[b + c] for c in nxt[state]):
                 break
         taken.add(b)
-        place.append(b)
-        for c in out:
+        place[state] = b
+        for c in nxt[state]:
             used[b + c] = 1
-    target = np.zeros(room + size, dtype=np.int32)
+    cells = np.full(room + size, -1, dtype=np.int64)
     for b, out in zip(place, nxt, strict=True):
         for c, state in out.items():
-            owner[b + c], target[b + c] = b, place[state]
-    return owner, target, place[0]
+            cells[b + c] = (b << 32) | place[state]
+    return cells, place[0]
 
 
 @dataclass
 class Model:
     langs: list[str]
     letters: str  # known letters of any language; symbol of letters[i] is i + 2
-    owner: np.ndarray  # all languages' combs, one after the other
-    target: np.ndarray
+    cells: np.ndarray  # all languages' combs, one after the other
     roots: np.ndarray  # the root's place, per language
     first: np.ndarray  # per language and symbol: the place that the root goes to, or the root's
     known: np.ndarray  # per language and symbol: has the root a transition
@@ -113,22 +114,20 @@ def fit(samples: dict[str, list[str]]) -> Model:
     letters = "".join(sorted({ch for t in joined.values() for ch in t.lower() if ch.isalpha()}))
     number = {ch: i + 2 for i, ch in enumerate(letters)}
     size = len(letters) + 2
-    owners, targets, roots, bits, at = [], [], [], [], 0
-    first, known = np.zeros((len(langs), size), np.int32), np.zeros((len(langs), size), bool)
+    combs, roots, bits, at = [], [], [], 0
+    first, known = np.zeros((len(langs), size), np.int64), np.zeros((len(langs), size), bool)
     for k, lang in enumerate(langs):
         seq = symbols_of(joined[lang], number)
         nxt = automaton(seq)
-        owner, target, root = comb(nxt, size)
-        owners.append(np.where(owner < 0, -1, owner + at))
-        targets.append(target + at)
-        roots.append(root + at)
+        cells, root = comb(nxt, size)
         first[k] = root + at
         for c in nxt[0]:
-            first[k, c], known[k, c] = target[root + c] + at, True
+            first[k, c], known[k, c] = (cells[root + c] & _PLACE) + at, True
+        combs.append(np.where(cells < 0, -1, cells + (at << 32) + at))
+        roots.append(root + at)
         bits.append(math.log2(max(2, len(seq))))
-        at += len(owner)
-    flat = lambda x: np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32)
-    return Model(langs, letters, flat(owners), flat(targets), np.array(roots, np.int32), first, known, np.array(bits))
+        at += len(cells)
+    return Model(langs, letters, np.concatenate(combs) if combs else np.zeros(0, np.int64), np.array(roots, np.int64), first, known, np.array(bits))
 
 
 class _Alphabet:
@@ -136,7 +135,7 @@ class _Alphabet:
 
     def __init__(self, model: Model):
         self.number = {ch: i + 2 for i, ch in enumerate(model.letters)}
-        self.symbol = np.full(0x10000, _GAP, dtype=np.int32)
+        self.symbol = np.full(0x10000, _GAP, dtype=np.int64)
         self.letter = np.zeros(0x10000, dtype=bool)
         for cp in range(0x10000):
             if unicodedata.category(chr(cp))[0] == "L":
@@ -156,34 +155,38 @@ class _Alphabet:
 
 
 def _step(model: Model, lang: np.ndarray, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(next state, does a phrase end before c)."""
-    at = state + c
-    goes = model.owner[at] == state
-    return np.where(goes, model.target[at], model.first[lang, c]), ~goes
+    """(next state, does a phrase end before c), of flat arrays."""
+    cell = model.cells.take(state + c)
+    over = (cell >> 32) != state
+    cell &= _PLACE
+    at = np.flatnonzero(over)
+    cell[at] = model.first[lang[at], c[at]]
+    return cell, over
 
 
 def _blocks(model: Model, sym: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keep: bool):
     """Parse blocks side by side, each from the root, longest first so that those at their
     end drop off. Returns (last state, phrase ends) per language and block and, with keep,
-    both after every symbol."""
+    both after every symbol, and the place of each block in those."""
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     n, k = len(starts), len(model.langs)
-    lang = np.arange(k)[:, None]
     state = np.repeat(model.roots[:, None], n, axis=1)
     ends = np.zeros((k, n), dtype=np.int32)
     most, live = int(lengths[0]) if n else 0, n
-    path = (np.zeros((most, k, n), np.int32), np.zeros((most, k, n), np.int16)) if keep else None
+    path = (np.empty((most, k, n), np.int32), np.empty((most, k, n), np.int16)) if keep else None
     for t in range(most):
         while live and lengths[live - 1] <= t:
             live -= 1
-        state[:, :live], over = _step(model, lang, state[:, :live], sym[starts[:live] + t][None, :])
-        ends[:, :live] += over
+        lang = np.repeat(np.arange(k), live)
+        step, over = _step(model, lang, state[:, :live].ravel(), np.tile(sym[starts[:live] + t], k))
+        state[:, :live] = step.reshape(k, live)
+        ends[:, :live] += over.reshape(k, live)
         if path:
             path[0][t, :, :live], path[1][t, :, :live] = state[:, :live], ends[:, :live]
     back = np.empty(n, dtype=np.int64)
     back[order] = np.arange(n)
-    return state[:, back], ends[:, back], path and (path[0][:, :, back], path[1][:, :, back])
+    return state[:, back], ends[:, back], path and (*path, back)
 
 
 def phrases(model: Model, sym: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -205,7 +208,7 @@ def phrases(model: Model, sym: np.ndarray, starts: np.ndarray, lengths: np.ndarr
     nth = 1 + np.arange(len(row)) - np.repeat(np.cumsum(more) - more, more)
     begin = starts[row] + nth * BLOCK
     size = np.minimum(BLOCK, starts[row] + lengths[row] - begin)
-    out, own, (states, counts) = _blocks(model, sym, begin, size, True)
+    out, own, (states, counts, spot) = _blocks(model, sym, begin, size, True)
     plain_out, plain_own = out.copy(), own.copy()
     into = np.where(nth == 1, last[:, row], np.concatenate((last[:, :1], out[:, :-1]), axis=1))
     lang, block = (x.ravel() for x in np.indices(into.shape))
@@ -217,8 +220,8 @@ def phrases(model: Model, sym: np.ndarray, starts: np.ndarray, lengths: np.ndarr
         while len(g):
             s, over = _step(model, g, s, sym[begin[b] + t])
             c = c + over
-            met, done = s == states[t, g, b], size[b] == t + 1
-            own[g[met], b[met]] = c[met] + plain_own[g[met], b[met]] - counts[t, g[met], b[met]]
+            met, done = s == states[t][g, spot[b]], size[b] == t + 1
+            own[g[met], b[met]] = c[met] + plain_own[g[met], b[met]] - counts[t][g[met], spot[b[met]]]
             end = done & ~met
             own[g[end], b[end]], out[g[end], b[end]] = c[end], s[end]
             on = ~(met | done)
@@ -273,7 +276,10 @@ def sample(df: DataFrame, text: str, lang: str, chars: int, slots: int) -> dict[
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h"))
     picked = rows.groupBy("l", F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min("h").alias("h"))
     share = picked.groupBy("l").agg(F.ceil(F.lit(chars) / F.count("*")).cast("int").alias("share"))
-    found = rows.join(picked.join(share, "l").select("l", "h", "share"), ["l", "h"])
+    chosen = picked.join(share, "l").select("l", "h", "share")
+    if chosen.count() <= BROADCAST:  # no text is shuffled then; copies of one are reduced first
+        chosen = F.broadcast(chosen)
+    found = rows.join(chosen, ["l", "h"])
     spare = F.greatest(F.length("t") - F.col("share"), F.lit(0))
     piece = F.col("t").substr((F.pmod(F.xxhash64("h"), spare + 1) + 1).cast("int"), F.col("share"))
     out: dict[str, list[str]] = {}

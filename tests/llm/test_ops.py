@@ -509,7 +509,7 @@ def test_suffix_automaton_parse(monkeypatch, letters, block):
         a = rng.randrange(len(train))
         texts.append([number.get(rng.choice([*known, "q"]) if rng.random() < 0.2 else train[(a + z) % len(train)], 0) for z in range(n)])
     size = np.array([len(t) for t in texts])
-    got = langid.phrases(m, np.array(sum(texts, []), dtype=np.int32), np.cumsum(size) - size, size)
+    got = langid.phrases(m, np.array(sum(texts, []), dtype=np.int64), np.cumsum(size) - size, size)
     assert got.tolist() == [[brute_parse(langid.symbols_of(t, number), x) for x in texts] for t in (train, train[::-1])]
 
 
