@@ -41,13 +41,25 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df).count() == 13 and url_filter.filter_urls(df.limit(0)).count() == 0
 
 
-def test_url_oracle(spark, data):
+def test_url_weights(spark):
+    """Two terms of little weight don't reject, nor does one of much; escapes don't hide."""
+    urls = ["http://a.b/click/promo", "http://a.b/casino", "http://a.b/casino/casino", "http://a.b/casino/promo", "http://a.b/%63%61sino-%70oker", "http://a.b/my%70orn", "http://a.b/my%2Dporn", "http://a.b/%zzporn%", "http://a.b/click/promo/free"]
+    got = {r["page_id"]: (r["verdict"], r["soft_terms"], r["soft_weight"]) for r in url_filter.filter_urls(docs(spark, list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert [got[i][0] for i in range(9)] == ["allow", "allow", "allow", "block", "block", "allow", "block", "allow", "block"]
+    assert got[0][1:] == (2, 2) and got[2][1:] == (1, 2) and got[4][1:] == (2, 4)
+    assert url_filter.filter_urls(docs(spark, [(1, urls[3])], "page_id long, url string"), soft_limit=4).first()["verdict"] == "allow"
+
+
+def test_url_oracle(spark, data, tmp_path):
     import duckdb
 
-    c = duckdb.connect()
-    c.sql(f"create view pages as select * from '{data}/pages.parquet'")
-    want = sorted(map(tuple, c.sql(url_filter.oracle()).fetchall()), key=str)
-    assert sorted(map(tuple, url_filter.op1_url_filters(spark, data).collect()), key=str) == want
+    odd = [(1, "http://x.org/%70orn/A"), (2, "x%2"), (3, "%61ds.ads/track%ff"), (4, None), (5, ""), (6, "http://a.example.com/en/%43asino-win?FREE"), (7, "%%41dult x")]
+    docs(spark, odd, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    for path, files in ((data, f"{data}/pages.parquet"), (str(tmp_path), f"{tmp_path}/pages.parquet/*.parquet")):
+        c = duckdb.connect()
+        c.sql(f"create view pages as select * from '{files}'")
+        want = sorted(map(tuple, c.sql(url_filter.oracle()).fetchall()), key=str)
+        assert sorted(map(tuple, url_filter.op1_url_filters(spark, path).collect()), key=str) == want
 
 
 # --- 2 -------------------------------------------------------------------------
