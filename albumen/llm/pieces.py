@@ -172,9 +172,10 @@ class Encoder:
             self.table[part] = hit
         return hit
 
-    def encode(self, text: str) -> tuple[list[int], str, np.ndarray]:
+    def encode(self, text: str, spans: bool = True) -> tuple[list[int], str, np.ndarray | None]:
         """(ids with the end id, the same joined by spaces, byte offsets): piece i
-        is source bytes [offsets[i], offsets[i + 1]); the end id is empty."""
+        is source bytes [offsets[i], offsets[i + 1]); the end id is empty. Without spans
+        the offsets are not worked out."""
         raw, src = self.normalizer(text)
         normal = raw.decode("utf-8")
         if self.cuts:
@@ -185,16 +186,20 @@ class Encoder:
         else:
             ids = self.parts.encode(normal)
             joined = " ".join(map(str, ids))
+        offsets = self._offsets(normal, ids, src) if spans else None
+        ids.append(self.eos)
+        return ids, f"{joined} {self.eos}" if joined else str(self.eos), offsets
+
+    def _offsets(self, normal: str, ids: list[int], src: np.ndarray) -> np.ndarray:
         flat = np.array(ids, dtype=np.int64)
         widths = self.known[flat]
-        if self.unk in ids:
+        if (flat == self.unk).any():
             widths = self._unknown_widths(normal)
         ends = np.concatenate(([0], np.cumsum(widths)))
         offsets = np.append(src[ends], src[-1])
         if len(offsets) > 1:
             offsets[0] = src[0]
-        ids.append(self.eos)
-        return ids, f"{joined} {self.eos}" if joined else str(self.eos), offsets
+        return offsets
 
     def _unknown_widths(self, normal: str) -> np.ndarray:
         """Unknown characters have no width in the vocabulary: ask for surfaces."""
@@ -215,7 +220,8 @@ _OUTPUTS = {
 
 
 def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = (), outputs: tuple[str, ...] = ("n_tokens", "ids", "begins", "ends", "decoded")) -> DataFrame:
-    """One row per input row: the columns of keep, then those of outputs: n_tokens (all
+    """One row per input row: the columns of keep (but those named like an output), then those
+    of outputs: n_tokens (all
     ids), ids, begins and ends (source bytes of each piece), decoded, the digests
     ids_sha256 (decimal ids joined by a space) and decoded_sha256, and covered_bytes
     (source bytes under the pieces).
@@ -226,6 +232,8 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...]
     of 200 of them. Repeated rows give repeated rows; there is no shuffle."""
     from pyspark.sql.pandas.types import from_arrow_type
 
+    keep = tuple(c for c in keep if c not in outputs)
+    spans = any(c in outputs for c in ("begins", "ends", "covered_bytes"))
     schema = StructType([df.schema[c] for c in keep])
     for c in outputs:
         schema = schema.add(c, from_arrow_type(_OUTPUTS[c]))
@@ -239,7 +247,7 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...]
                 batch = whole.slice(lo, 200)
                 out: dict[str, list] = {c: [] for c in outputs}
                 for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                    ids, joined, offsets = enc.encode(t or "")
+                    ids, joined, offsets = enc.encode(t or "", spans)
                     decoded = enc.library.decode(ids) if decoding else None
                     for c in outputs:
                         if c == "n_tokens":

@@ -624,6 +624,8 @@ def test_sentencepiece(spark, data):
         raw = t.encode()
         assert b"".join(raw[a:b] for a, b in zip(r["begins"], r["ends"], strict=True)) == raw
     assert pieces.encode(df.limit(0), P.path("piece_bpe_32k.model")).count() == 0
+    clash = pieces.encode(df, P.path("piece_bpe_32k.model"), keep=("doc_id", "ids"), outputs=("ids", "n_tokens"))
+    assert clash.columns == ["doc_id", "ids", "n_tokens"] and sorted(r["n_tokens"] for r in clash.collect()) == sorted(r["n_tokens"] for r in got)
 
 
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity"])
