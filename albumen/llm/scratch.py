@@ -13,11 +13,15 @@ _LOCAL: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where that is unset (tests on
-    one machine) a folder of this process."""
+    """The shared folder that spark.checkpoint.dir names. Where that is unset, a session
+    on one machine (tests) gets a folder of its process, and a cluster is refused: a folder
+    of one machine would lose rows there. Tables written stay until the folder is
+    cleared, since a later action may still read them."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="albumen-"))
 
 
