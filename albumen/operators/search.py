@@ -206,8 +206,10 @@ def terms(c: Column) -> Column:
 
 
 def build_postings(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """(key, col, pos, term) of every token; null columns have none. Write it partitioned by
-    col and bucketed by term to serve many queries."""
+    """(key, col, pos, term) of every token; null columns have none. write_postings keeps
+    them to serve many queries."""
+    if len(cols) == 1:
+        return df.select(F.col(key).alias("key"), F.lit(cols[0]).alias("col"), F.posexplode(terms(F.col(cols[0]))).alias("pos", "term"))
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), terms(F.col(c)).alias("terms")) for c in cols]))
     return df.select(F.col(key).alias("key"), cells.alias("c")).select("key", "c.col", F.posexplode("c.terms").alias("pos", "term"))
 
@@ -292,14 +294,28 @@ def match_count(found: DataFrame) -> DataFrame:
     return found.agg(F.count_distinct("key").alias("matches"))
 
 
-def bm25(postings: DataFrame, q: str) -> DataFrame:
+def text_lengths(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """(key, len): tokens of all columns of a row; a table to keep beside the postings."""
+    total = reduce(lambda a, b: a + b, [F.coalesce(F.size(terms(F.col(c))), F.lit(0)) for c in cols])
+    return df.select(F.col(key).alias("key"), total.cast("long").alias("len")).where("len > 0")
+
+
+def bm25(postings: DataFrame, q: str, lengths: DataFrame | None = None) -> DataFrame:
     """(key, score) of the keys that hold all words; lower is better. A key's length counts
-    all its columns; words are tokens of q."""
+    all its columns; words are tokens of q. With a table of lengths (key, len) only the
+    words' own postings are grouped; without one, all are, to learn the lengths."""
     words = list(dict.fromkeys(_tokens(q)))
     tf = {w: f"tf{i}" for i, w in enumerate(words)}
-    per = postings.groupBy("key").agg(F.count("*").alias("len"), *[F.count_if(F.col("term") == w).alias(c) for w, c in tf.items()])
+    counts = [F.count_if(F.col("term") == w).alias(c) for w, c in tf.items()]
+    held = lambda c: F.count_if(F.col(c) > 0).cast("double")
+    if lengths is None:
+        per = postings.groupBy("key").agg(F.count("*").alias("len"), *counts)
+        size = per.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    else:
+        per = postings.where(F.col("term").isin(*words)).groupBy("key").agg(F.count("*").alias("__n"), *counts).drop("__n").join(lengths, "key")
+        size = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     df = {w: f"df{i}" for i, w in enumerate(words)}
-    stats = per.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(tf[w]) > 0).alias(c) for w, c in df.items()])
+    stats = per.agg(F.count("*").alias("__n"), *[held(tf[w]).alias(c) for w, c in df.items()]).drop("__n").join(F.broadcast(size))
     hits = reduce(lambda a, b: a & b, [F.col(c) > 0 for c in tf.values()], F.lit(bool(words)))
     length = 1 - B + B * F.col("len") / F.col("avg_len")
     idf = lambda w: F.log((F.col("n_docs") - F.col(df[w]) + 0.5) / (F.col(df[w]) + 0.5) + 1.0)
@@ -333,9 +349,18 @@ def search_text(df: DataFrame, postings: DataFrame | None, q: str, cols: Sequenc
     return df if found is None else df.join(found.withColumnRenamed("key", key), key, "left_semi")
 
 
-def top_matches(df: DataFrame, postings: DataFrame, q: str, key: str, size: int = 48) -> DataFrame:
-    """Relevance-ordered page."""
-    return df.join(bm25(postings, q).withColumnRenamed("key", key), key).orderBy("score", key).limit(size)
+def top_matches(df: DataFrame, postings: DataFrame, q: str, key: str, size: int = 48, lengths: DataFrame | None = None) -> DataFrame:
+    """Relevance-ordered page: ranked by key and score alone, then joined to its rows."""
+    best = bm25(postings, q, lengths).orderBy("score", "key").limit(size).withColumnRenamed("key", key)
+    return df.join(F.broadcast(best), key).orderBy("score", key)
+
+
+def write_postings(postings: DataFrame, table: str, buckets: int = 64) -> None:
+    """Keep postings as a table bucketed and sorted by term, so that a query for a few words
+    reads their buckets alone."""
+    postings.write.bucketBy(buckets, "term").sortBy("term", "key").mode("overwrite").saveAsTable(table)
+
+
 
 
 def ranked_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:

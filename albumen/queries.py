@@ -210,7 +210,7 @@ SELECT key AS doc_id, round(score, 6) AS score FROM (
   SELECT tf.key, -sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) AS score, count(*) AS c
   FROM tf JOIN df USING (term) JOIN len USING (key), s GROUP BY tf.key) WHERE c = 2""")
 def fts_bm25(t):
-    return search.bm25(_postings(t), "the with").select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+    return search.bm25(_postings(t), "the with", search.text_lengths(t("documents"), "doc_id", ["text"])).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {POSTINGS} SELECT term, count(*) AS n, count(DISTINCT key) AS docs FROM p WHERE key % 4 <> 0 GROUP BY term""")
@@ -244,7 +244,7 @@ tf AS (SELECT key, count(*) AS tf FROM p WHERE term = 'from' GROUP BY key), df A
 SELECT key AS doc_id, lang FROM (SELECT tf.key, ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al)) AS score FROM tf JOIN len USING (key), s, df)
 JOIN documents ON doc_id = key ORDER BY score DESC, doc_id LIMIT 48""")
 def relevance_page(t):
-    return search.top_matches(t("documents"), _postings(t), "from", "doc_id").select("doc_id", "lang")
+    return search.top_matches(t("documents"), _postings(t), "from", "doc_id", lengths=search.text_lengths(t("documents"), "doc_id", ["text"])).select("doc_id", "lang")
 
 
 # --- summaries ---------------------------------------------------------------------

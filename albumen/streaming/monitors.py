@@ -41,11 +41,16 @@ def heartbeat_monitor(df: DataFrame, key: str, ts: str, gap_seconds: int, delay:
 
 
 def heartbeat_gaps(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
-    """Batch form: every silence that ended."""
-    w = Window.partitionBy(key).orderBy(ts)
+    """Batch form: every silence that ended. A key's rows are dealt by day, so that one that
+    beats without end is split; days meet by their first and last beats."""
+    rows = df.select(key, ts).where(F.col(ts).isNotNull()).withColumn("__day", F.to_date(ts))
+    within = rows.withColumn("last", F.lag(ts).over(Window.partitionBy(key, "__day").orderBy(ts)))
+    days = rows.groupBy(key, "__day").agg(F.min(ts).alias(ts), F.max(ts).alias("__end"))
+    across = days.withColumn("last", F.lag("__end").over(Window.partitionBy(key).orderBy("__day")))
+    both = within.select(key, "last", ts).unionByName(across.select(key, "last", ts)).where("last is not null")
     at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    out = df.select(key, ts).withColumn("last", F.lag(ts).over(w)).withColumn("us", at(ts) - at("last"))
-    return out.where(F.col("us") > gap_seconds * 1_000_000).select(key, "last", F.floor(F.col("us") / 1_000_000).cast("long").alias("seconds"))
+    us = at(ts) - at("last")
+    return both.where(us > gap_seconds * 1_000_000).select(key, "last", F.floor(us / 1_000_000).cast("long").alias("seconds"))
 
 
 def stale(df: DataFrame, key: str, ts: str, now, gap_seconds: int) -> DataFrame:

@@ -473,3 +473,27 @@ def test_parts_of_a_long_name(spark):
     asked = spark.createDataFrame([(1, "x" * 20_000 + "ana"), (2, "lee")], "k int, name string")
     got = {r["k"]: r["match"] for r in names.resolve_names(asked, "k", "name", vocab).collect()}
     assert got == {1: "Ana", 2: "Bob Lee"}
+
+
+def test_gaps_over_days(spark):
+    """Beats are dealt by day; silences over midnight, over days and within a day are told."""
+    t0 = datetime(2024, 1, 1, 22)
+    hours = [0, 1, 3, 30, 31, 100, 100]
+    df = spark.createDataFrame([("a", t0 + timedelta(hours=h)) for h in hours] + [("b", t0), (None, t0), (None, t0 + timedelta(hours=5))], "k string, ts timestamp")
+    got = sorted(((r["k"] or "", r["seconds"] // 3600) for r in monitors.heartbeat_gaps(df, "k", "ts", 3600).collect()))
+    assert got == [("", 5), ("a", 2), ("a", 27), ("a", 69)]
+
+
+def test_kept_postings_serve_queries(spark):
+    df = spark.createDataFrame([(1, "sea view"), (2, "sea sea shore"), (3, None), (4, "hill")], "k int, t string")
+    search.write_postings(search.build_postings(df, "k", ["t"]), "kept_postings", 4)
+    try:
+        kept = spark.table("kept_postings")
+        assert sorted(r["key"] for r in search.match(kept, "sea").collect()) == [1, 2]
+        lengths = search.text_lengths(df, "k", ["t"])
+        assert {r["key"]: r["len"] for r in lengths.collect()} == {1: 2, 2: 3, 4: 1}
+        one, two = (sorted((r["key"], round(r["score"], 9)) for r in search.bm25(kept, "sea", x).collect()) for x in (None, lengths))
+        assert one == two and [k for k, _ in one] == [1, 2]
+        assert search.bm25(kept, "nothing", lengths).count() == 0
+    finally:
+        spark.sql("DROP TABLE IF EXISTS kept_postings")
