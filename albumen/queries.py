@@ -771,11 +771,16 @@ def preferred_file(t):
     return ingest.preferred_file(files)
 
 
-@query("""SELECT asset_id, CASE WHEN asset_id % 4 = 0 THEN '["a","b"]' WHEN asset_id % 4 = 1 THEN '["a"]' ELSE 'oops' END AS tags, CASE WHEN asset_id % 4 = 0 THEN 'updated' WHEN asset_id % 4 = 1 THEN 'unchanged' ELSE 'unparseable' END AS status FROM fx_assets""")
+@query("""
+WITH a AS (SELECT doc_id AS asset_id, CASE WHEN doc_id % 7 = 0 THEN 'oops' ELSE concat('["', lang, '",', CASE WHEN doc_id % 3 = 0 THEN concat('"People:', doc_id % 9, '",') ELSE '' END, CASE WHEN doc_id % 4 = 0 THEN '"people: x",' ELSE '' END, '"', source, '"]') END AS tags FROM documents),
+c AS (SELECT *, CASE WHEN asset_id % 7 <> 0 THEN json_extract_string(tags, '$[*]') END AS l FROM a)
+SELECT asset_id, CASE WHEN l IS NULL THEN tags ELSE '["' || array_to_string(list_filter(l, lambda x: NOT starts_with(lower(x), 'people:')), '","') || '"]' END AS tags,
+  CASE WHEN l IS NULL THEN 'unparseable' WHEN len(list_filter(l, lambda x: starts_with(lower(x), 'people:'))) > 0 THEN 'updated' ELSE 'unchanged' END AS status FROM c""")
 def clean_people_tags(t):
-    k = F.col("asset_id") % 4
-    a = t("fx_assets").select("asset_id", F.when(k == 0, '["a","People:3","b"]').when(k == 1, '["a"]').otherwise("oops").alias("tags"))
-    return catalog.clean_people_tags(a, "asset_id", "tags")
+    k = F.col("doc_id")
+    some = F.array(F.col("lang"), F.when(k % 3 == 0, F.concat(F.lit("People:"), (k % 9).cast("string"))), F.when(k % 4 == 0, "people: x"), F.col("source"))
+    tags = F.when(k % 7 == 0, "oops").otherwise(F.to_json(F.array_compact(some)))
+    return catalog.clean_people_tags(t("documents").select(k.alias("asset_id"), tags.alias("tags")), "asset_id", "tags")
 
 
 @query("""SELECT asset_id, coalesce(nullif(concat_ws(', ', place_name, media_type), ''), '') AS label, substr(description, 1, 200) AS short FROM fx_assets""")
@@ -848,14 +853,15 @@ def scalar_names(t):
 
 
 @query("""
-WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d, CASE WHEN o_orderkey % 3 = 0 THEN '+02:00' ELSE '' END AS off FROM orders)
-SELECT o_orderkey, d AS date, CASE WHEN d IS NOT NULL THEN '08:09:10' END AS time, d || 'T08:09:10' || off AS iso, '2001-02-03' || substr(d || 'T08:09:10' || off, 11) AS moved FROM s""")
+WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d, printf('%02d:%02d:%02d', o_orderkey % 24, o_orderkey % 60, o_orderkey * 7 % 60) AS c, CASE WHEN o_orderkey % 3 = 0 THEN '+02:00' ELSE '' END AS off FROM orders)
+SELECT o_orderkey, d AS date, CASE WHEN d IS NOT NULL THEN c END AS time, d || 'T' || c || off AS iso, strftime(o_orderdate + INTERVAL 9 DAYS, '%Y-%m-%d') || substr(d || 'T' || c || off, 11) AS moved FROM s JOIN orders USING (o_orderkey)""")
 def scalar_dates(t):
     k = F.col("o_orderkey")
-    text = F.when(k % 5 == 0, "2023:02:30 08:09:10").otherwise(F.concat(F.date_format("o_orderdate", "yyyy:MM:dd"), F.lit(" 08:09:10")))
-    off = F.when(k % 3 == 0, "+02:00")
-    out = t("orders").select("o_orderkey", tc.parse_exif_ts(text, off).alias("p"))
-    return out.select("o_orderkey", "p.date", "p.time", "p.iso", tc.retime_iso(F.col("p.iso"), F.lit("2001-02-03")).alias("moved"))
+    clock = F.format_string("%02d:%02d:%02d", (k % 24).cast("int"), (k % 60).cast("int"), (k * 7 % 60).cast("int"))
+    text = F.concat(F.when(k % 5 == 0, "2023:02:30").otherwise(F.date_format("o_orderdate", "yyyy:MM:dd")), F.lit(" "), clock)
+    out = t("orders").select("o_orderkey", "o_orderdate", tc.parse_exif_ts(text, F.when(k % 3 == 0, "+02:00")).alias("p"))
+    moved = F.date_format(F.date_add("o_orderdate", 9), "yyyy-MM-dd")
+    return out.select("o_orderkey", "p.date", "p.time", "p.iso", tc.retime_iso(F.col("p.iso"), moved).alias("moved"))
 
 
 @query("""
@@ -896,18 +902,26 @@ def scalar_windows(t):
     return t("orders").select("o_orderkey", share.alias("share"), w.alias("win"), F.date_format(tc.window_bounds(w)["from_date"], "yyyy-MM-dd").alias("win_from"))
 
 
-@query("""SELECT doc_id, concat(lang, '|b c|', source) AS cleaned, concat('x|', source, '|x') AS minus FROM documents""")
+@query("""
+WITH w AS (SELECT doc_id, string_split(text, ' ') AS a FROM documents),
+c AS (SELECT doc_id, a, list_filter(list_transform(a[1:60], lambda x: substr(regexp_replace(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), 1, 120)), lambda x: x <> '') AS l, list_transform(a[3:9], lambda x: lower(regexp_replace(x, '^\\s+|\\s+$', '', 'g'))) AS gone FROM w),
+k AS (SELECT *, list_transform(l, lambda x: lower(x)) AS low FROM c)
+SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(low, lower(x)) = i), '|') AS cleaned,
+  array_to_string(list_filter(a, lambda x: NOT list_contains(gone, lower(regexp_replace(x, '^\\s+|\\s+$', '', 'g')))), '|') AS minus FROM k""")
 def scalar_lists(t):
-    a = F.array(F.concat(F.lit("  "), F.col("lang")), F.lit("b \t c"), F.lit("B C"), F.lit(" "), F.col("source"))
-    m = F.array(F.lit("x"), F.upper(F.concat(F.lit(" "), F.col("lang"))), F.col("source"), F.lit("x"))
-    return t("documents").select("doc_id", F.array_join(tc.clean_list(a), "|").alias("cleaned"), F.array_join(tc.minus_ci(m, F.array("lang")), "|").alias("minus"))
+    a = F.split("text", " ")
+    return t("documents").select("doc_id", F.array_join(tc.clean_list(a), "|").alias("cleaned"), F.array_join(tc.minus_ci(a, F.slice(a, 3, 7)), "|").alias("minus"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'Parse Errors' END AS cleaned, CASE WHEN doc_id % 3 = 0 THEN 'none' ELSE 'parse error' END AS legacy, 'banana trip' AS without_names FROM documents""")
+@query("""
+WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ' Parse Error ' WHEN 1 THEN '' WHEN 2 THEN 'Parse Errors' ELSE text END AS x, source, regexp_replace(text, '([^\\p{L}\\p{N}_])', '\\1' || chr(1) || '\\1', 'g') AS q FROM documents WHERE text IS NOT NULL),
+g AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(q, '(?i)(^|[^\\p{L}\\p{N}_])the($|[^\\p{L}\\p{N}_])', '\\1\\2', 'g'), '(?i)(^|[^\\p{L}\\p{N}_])of($|[^\\p{L}\\p{N}_])', '\\1\\2', 'g'), chr(1) || '(?s).', '', 'g') AS r FROM d)
+SELECT doc_id, CASE WHEN doc_id % 4 > 1 THEN x END AS cleaned, CASE WHEN x = 'Parse Errors' THEN source ELSE x END AS legacy, regexp_replace(regexp_replace(r, '\\s+', ' ', 'g'), '^[ ,-]+|[ ,-]+$', '', 'g') AS without_names FROM g""")
 def scalar_texts(t):
-    k = F.col("doc_id") % 3 == 0
-    q = F.lit("banana, Ana trip , SMITH")
-    return t("documents").select("doc_id", tc.clean_text(F.when(k, F.lit(" Parse Error ")).otherwise(F.lit("Parse Errors"))).alias("cleaned"), tc.text_or(F.when(k, F.lit("bad")).otherwise(F.lit("parse error")), F.lit("none"), ["bad"]).alias("legacy"), F.regexp_replace(tc.without_words(q, F.array(F.lit("Ana Smith"))), ",", "").alias("without_names"))
+    k = F.col("doc_id") % 4
+    x = F.when(k == 0, " Parse Error ").when(k == 1, "").when(k == 2, "Parse Errors").otherwise(F.col("text"))
+    names_gone = tc.without_words(F.col("text"), F.array(F.lit("The Of")))
+    return t("documents").where("text is not null").select("doc_id", tc.clean_text(x).alias("cleaned"), tc.text_or(x, F.col("source"), ["Parse Errors"]).alias("legacy"), names_gone.alias("without_names"))
 
 
 @query(f"""SELECT asset_id, coalesce(nullif(concat_ws(chr(10), 'Date: ' || date, 'Place: ' || place_name, CASE WHEN place_name IS NULL AND gps_lat IS NOT NULL THEN 'Coordinates: ' || printf('%.4f, %.4f', gps_lat, gps_lon) END, CASE WHEN persons <> '[]' THEN 'People: ' || array_to_string({P}, ', ') END), ''), '(nothing known)') AS context FROM fx_assets""")
