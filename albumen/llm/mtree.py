@@ -21,7 +21,7 @@ from .scratch import tidy, written
 
 PIVOTS = 16  # routing objects of the top level, sent to every task
 SUBTREE = 8192  # vectors that one subtree aims at
-PAGE = 256  # entries of a node
+PAGE = 1024  # entries of a node
 BLOCK = 2048  # queries that one row carries to a subtree
 EXACT = 2.0**53  # squared lengths below which products of floats are exact
 SLACK = 1e-6
