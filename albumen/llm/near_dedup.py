@@ -17,6 +17,7 @@ from .scratch import numbered, tidy, written
 BANDS, ROWS = 32, 4  # a pair at similarity 0.8 misses all bands with odds of 5e-8
 SLACK = 0.2  # of the signature's estimate below the threshold: over 5 standard errors
 PIVOTS = 4
+SALTS = 8
 RUN = 1 << 18
 
 
@@ -174,13 +175,21 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
     return written(_confirm(likely, sets, percent), "links")
 
 
+def _salted(rows: DataFrame, told: DataFrame, key: list[str], how: str) -> DataFrame:
+    """rows joined with what is told of each key, SALTS copies of which go round, so that the
+    rows of a hot key (equal sets, a common band) are spread. rows: doc and key."""
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")
+    copies = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")  # they compress well, and would be taken for small
+    return rows.withColumn("salt", salt).join(copies, [*key, "salt"], how).drop("salt")
+
+
 def link(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """docs: (doc long unique not null, text). Returns (sketches of all documents,
     (node, component) of every document that is linked to another)."""
     sketches = written(sketch(docs, k), "sketches")
     full = sketches.where("sig is not null")
-    same = full.groupBy("k1", "k2").agg(F.min("doc").alias("rep"))
-    same = written(full.select("doc", "k1", "k2").join(same, ["k1", "k2"]).select("doc", "rep"), "same")
+    same = full.groupBy("k1", "k2").agg(F.min("doc").alias("rep"), F.count("*").alias("c")).where("c > 1")
+    same = written(_salted(full.select("doc", "k1", "k2"), same.select("k1", "k2", "rep"), ["k1", "k2"], "left").select("doc", F.coalesce("rep", "doc").alias("rep")), "same")
     reps = full.join(same.where("doc = rep").select("doc"), "doc", "left_semi").select("doc", "n", "sig")
     reps = written(reps, "reps")
     texts = docs.join(reps.select("doc"), "doc", "left_semi")
@@ -190,7 +199,7 @@ def link(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     orders = [F.min(F.struct(F.xxhash64("doc", F.lit(i)).alias("h"), F.col("doc"))).alias(f"p{i}") for i in range(PIVOTS - 1)]
     pivots = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc").alias("least"), *orders).where("size > 1")
     pivots = pivots.select("bucket", "size", F.array("least", *[f"p{i}.doc" for i in range(PIVOTS - 1)]).alias("pivots"))
-    met = written(members.join(pivots, "bucket"), "buckets")
+    met = written(_salted(members, pivots, ["bucket"], "inner"), "buckets")
     tried = met.select("doc", F.explode(F.array_distinct("pivots")).alias("p")).where("doc != p")
     tried = written(tried.select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b")).distinct(), "tried")
     links = _verified(tried, reps, texts, k, percent)
