@@ -49,14 +49,15 @@ def numbered(df: DataFrame, doc_id: str, text: str, nulls_last: bool = False) ->
 _SETTINGS = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
 @contextmanager
 def tidy(spark: SparkSession):
     """Within the block, a finished write's shuffle files are removed at once instead of
-    when the driver next collects garbage, and Python gets small batches, since rows may
-    hold whole sets."""
+    when the driver next collects garbage, and Python gets batches of few rows and bytes,
+    since rows may hold whole sets."""
     before = {k: spark.conf.get(k, None) for k in _SETTINGS}
     for k, v in _SETTINGS.items():
         spark.conf.set(k, v)
