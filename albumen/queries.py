@@ -3,6 +3,7 @@ Keys name the operator; the inventory rows that one covers are in README.md."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1134,12 +1135,184 @@ def stuck_holders(t):
     return monitors.stuck_holders(t("events"), "user_id", "ts", F.col("event_type") == "click", "2030-01-01 00:00:00", 14400).select("user_id", "since")
 
 
-@query("""
+ALERTS = """
 WITH RECURSIVE o AS (SELECT user_id, ts, value > 50 AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts, value > 50) AS rn FROM events WHERE value IS NOT NULL),
 e AS (SELECT user_id, ts, f, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY rn) AS ep FROM o),
 fire AS (SELECT user_id, ep, ts FROM e WHERE f),
 sent AS (SELECT user_id, ep, min(ts) AS ts FROM fire GROUP BY 1, 2
   UNION ALL SELECT s.user_id, s.ep, min(n.ts) FROM sent s JOIN fire n ON n.user_id = s.user_id AND n.ep = s.ep AND n.ts >= s.ts + INTERVAL 24 HOURS GROUP BY 1, 2)
-SELECT user_id, ts FROM sent""")
+"""
+
+
+@query(ALERTS + "SELECT user_id, ts FROM sent")
 def alert_episodes(t):
     return monitors.alert_episodes(t("events"), "user_id", "ts", F.col("value") > 50, 86400)
+
+
+# --- files written and read back -------------------------------------------------------------
+
+
+def _place(t, name: str) -> tuple[SparkSession, str]:
+    """A new folder of the warehouse, which all executors share."""
+    spark = t("nation").sparkSession
+    return spark, f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/albumen-{name}-{uuid.uuid4().hex}"
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS uuid, strftime(o_orderdate, '%Y') AS year, o_orderstatus || '|' || o_custkey AS changekey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS filename FROM orders WHERE o_orderkey % 7 <> 0""")
+def manifest_files(t):
+    """Lines of two fields are dropped, those of three have no file name."""
+    spark, path = _place(t, "manifest")
+    c = [F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy"), F.concat("o_orderstatus", F.lit("|"), F.col("o_custkey").cast("string")), F.col("o_orderpriority")]
+    line = F.when(F.col("o_orderkey") % 7 == 0, F.concat_ws("\t", *c[:2])).when(F.col("o_orderkey") % 3 == 0, F.concat_ws("\t", *c[:3])).otherwise(F.concat_ws("\t", *c))
+    t("orders").select(line).write.text(path)
+    assert tables.read_manifest(spark, path + "-none").isEmpty()
+    return tables.read_manifest(spark, path)
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS uuid, strftime(o_orderdate, '%Y') AS year FROM orders""")
+def changed_files(t):
+    spark, path = _place(t, "changed")
+    tables.write_changed(t("orders").select(F.col("o_orderkey").alias("uuid"), F.date_format("o_orderdate", "yyyy").alias("year")), path)
+    return spark.read.schema("uuid string, year string").csv(path, sep="\t")
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS uuid, CASE WHEN n_nationkey % 2 = 0 THEN 'New ' || n_name ELSE n_name END AS name, CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE CAST(n_regionkey AS VARCHAR) END AS cc FROM nation""")
+def place_dump_files(t):
+    """A dump and a later one of some rows: blanks are null, rows without a name don't count."""
+    spark, path = _place(t, "places")
+    n = F.col("n_nationkey")
+    row = lambda name, cc: F.struct(n.cast("string").alias("uuid"), name.alias("name"), cc.alias("cc"), F.lit("").alias("city"))
+    old = t("nation").agg(F.to_json(F.collect_list(row(F.col("n_name"), F.col("n_regionkey").cast("string")))))
+    new = t("nation").agg(F.to_json(F.collect_list(row(F.when(n % 2 == 0, F.concat(F.lit("New "), F.col("n_name"))).otherwise(" "), F.lit("")))))
+    for df, name in ((old, "old"), (new, "new")):
+        df.coalesce(1).write.text(f"{path}/{name}")
+    both = tables.merge_place_dump(tables.read_place_dump(spark, f"{path}/old"), tables.read_place_dump(spark, f"{path}/new"))
+    return both.where("city is null").select("uuid", "name", "cc")
+
+
+@query("""SELECT lower(c_name) AS raw_lc, CASE WHEN c_custkey % 3 = 0 THEN 'Curated ' || c_custkey ELSE 'Name ' || c_custkey % 100 END AS canonical FROM customer""")
+def alias_files(t):
+    """The alias document is read back, curated entries before generated ones."""
+    spark, path = _place(t, "aliases")
+    c = t("customer")
+    generated = c.select(F.col("c_name").alias("raw"), F.concat(F.lit("Name "), (F.col("c_custkey") % 100).cast("string")).alias("canonical"))
+    curated = c.where("c_custkey % 3 = 0").select(F.upper("c_name").alias("raw"), F.concat(F.lit("Curated "), F.col("c_custkey").cast("string")).alias("canonical"))
+    tables.write_aliases(generated, path, curated)
+    return tables.read_aliases(spark, path)
+
+
+@query("""SELECT c_name AS name, c_custkey AS count FROM customer WHERE c_custkey % 4 <> 0""")
+def vocabulary_files(t):
+    """A vocabulary text is read, replaces the old one and is written for readers of JSON."""
+    spark, path = _place(t, "vocabulary")
+    k = F.col("c_custkey")
+    line = F.when(k % 4 == 0, "_UNKNOWN_: 3").otherwise(F.concat(F.lit(' "'), F.col("c_name"), F.lit('": '), k.cast("string"), F.lit(",")))
+    t("customer").select(line).write.text(f"{path}/text")
+    tables.write_vocabulary(merge.replace_vocabulary(tables.read_vocab_text(spark, f"{path}/text")), f"{path}/json")
+    return spark.read.schema("name string, count long").json(f"{path}/json")
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS uuid, 'm/' || p_partkey || '.jpg' AS filepath, CAST(p_size AS BIGINT) AS dest_size, p_type AS exifdata FROM part WHERE p_partkey % 5 <> 0""")
+def metadata_dump_files(t):
+    spark, path = _place(t, "metadata")
+    k = F.col("p_partkey").cast("string")
+    ext = F.when(F.col("p_partkey") % 5 == 0, ".JSON").otherwise(".jpg")
+    tables.write_json(t("part").select(k.alias("uuid"), F.concat(F.lit("m/"), k, ext).alias("filepath"), F.col("p_size").alias("dest_size"), F.col("p_type").alias("exifdata")), path, compressed=True)
+    return tables.read_metadata_dump(spark, path)
+
+
+@query("""SELECT c_custkey, c_name FROM customer ORDER BY c_custkey DESC LIMIT 500""")
+def search_export_files(t):
+    """A search's export has its first 500 rows."""
+    spark, path = _place(t, "export")
+    tables.write_json(t("customer").select("c_custkey", "c_name").orderBy(F.desc("c_custkey")), path, searched=True)
+    return spark.read.schema("c_custkey long, c_name string").json(path)
+
+
+@query("""SELECT '| ' || n_name || ' | ' || n_regionkey || ' |' AS value FROM nation""")
+def report_files(t):
+    spark, path = _place(t, "report")
+    tables.write_report(t("nation"), path, ["n_name", "n_regionkey"], ["n_nationkey"])
+    return spark.read.text(path)
+
+
+@query("""SELECT event_type, n, run FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1), (SELECT unnest([1, 2]) AS run)""")
+def run_log_files(t):
+    spark, path = _place(t, "runs")
+    for run in (1, 2):
+        tables.append_run_log(stats.run_counters(t("events"), "event_type").withColumn("run", F.lit(run)), path)
+    return spark.read.parquet(path)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN lang ELSE lang || '|' || source END AS words FROM documents WHERE doc_id % 3 <> 0""")
+def keyword_map_files(t):
+    spark, path = _place(t, "keywords")
+    words = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 4 == 0, F.array("lang")).otherwise(F.array("lang", "source"))
+    tables.write_keyword_map(t("documents").select("doc_id", words.alias("words")), "doc_id", "words", path)
+    return spark.read.schema("doc_id long, words array<string>").json(path).select("doc_id", joined("words"))
+
+
+@query("""SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 17 <> 0""")
+def promoted_snapshot(t):
+    """Of three versions the second is promoted: readers see it, not the newer one."""
+    spark, path = _place(t, "snapshot")
+    old, new = t("fx_orders_old"), t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    assert snapshots.read_snapshot(spark, path) is None
+    found = [snapshots.write_snapshot(d, path) for d in (old, new.where("o_orderkey % 17 <> 0"), new)]
+    snapshots.promote(spark, path, found[0])
+    snapshots.promote(spark, path, found[1])
+    return snapshots.read_snapshot(spark, path).select("o_orderkey", "o_orderstatus")
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'""")
+def live_rows(t):
+    return tables.read_live(t("orders").withColumn("trashed", F.when(F.col("o_orderstatus") == "F", 0).otherwise(1)), "trashed").select("o_orderkey", "o_totalprice")
+
+
+@query("""SELECT doc_id AS asset_id, doc_id % 4 = 0 AS is_new FROM documents WHERE doc_id % 4 = 0 OR doc_id % 10 = 3""")
+def tombstones(t):
+    """Old stones stay, new ones are added once."""
+    a = t("fx_assets").select("asset_id")
+    old = a.where("asset_id % 10 = 3").withColumns({"at": F.lit("then"), "reason": F.lit("old")})
+    gone = a.where("asset_id % 4 = 0").unionByName(a.where("asset_id % 20 = 8"))
+    stones, _ = merge.tombstone(a, gone, "asset_id", old, F.lit("now"), "new")
+    return stones.select("asset_id", (F.col("reason") == "new").alias("is_new"))
+
+
+# --- streams -----------------------------------------------------------------------------------
+
+
+def _streamed(t, name: str, build) -> DataFrame:
+    """The events as a stream of files through a monitor, its output read back."""
+    spark, path = _place(t, name)
+    t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("user_id long, ts timestamp, event_type string, value double").parquet(f"{path}/in")
+    out = build(stream)
+    run = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(last) AS last_us, CAST(floor(us / 1000000) AS BIGINT) AS seconds FROM (SELECT user_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS last, date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts), ts) AS us FROM events) WHERE us > 86400000000""")
+def stream_heartbeats(t):
+    """Silences of over a day that ended."""
+    out = _streamed(t, "beats", lambda d: monitors.heartbeat_monitor(d, "user_id", "ts", 86400, "90 days"))
+    return out.where("seconds is not null").select("key", F.unix_micros("last").alias("last_us"), "seconds")
+
+
+@query("""
+WITH o AS (SELECT user_id, ts, event_type = 'click' AS opened, sum(CASE WHEN event_type = 'click' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_type = 'click' ROWS UNBOUNDED PRECEDING) AS run FROM events),
+r AS (SELECT user_id, run, min(ts) AS since FROM o WHERE opened GROUP BY 1, 2),
+c AS (SELECT r.user_id, since, (SELECT min(ts) FROM o WHERE o.user_id = r.user_id AND NOT opened AND o.run = r.run + 1) AS closed FROM r)
+SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(since) AS since_us, CAST(floor((epoch_us(closed) - epoch_us(since)) / 1000000) AS BIGINT) AS seconds FROM c WHERE closed IS NOT NULL AND epoch_us(closed) - epoch_us(since) > 43200000000""")
+def stream_stuck_holders(t):
+    """Holders that were open for over 12 hours and have closed."""
+    out = _streamed(t, "stuck", lambda d: monitors.stuck_monitor(d.withColumn("o", F.col("event_type") == "click"), "user_id", "ts", "o", 43200, "90 days"))
+    return out.where("seconds is not null").select("key", F.unix_micros("since").alias("since_us"), "seconds")
+
+
+@query(ALERTS + "SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS us FROM sent")
+def stream_alerts(t):
+    """The stream form sends what the batch form does."""
+    out = _streamed(t, "alerts", lambda d: monitors.suppress_alerts(d.where("value is not null").withColumn("f", F.col("value") > 50), "user_id", "ts", "f", 86400, "90 days"))
+    return out.select("key", F.unix_micros("ts").alias("us"))
