@@ -211,7 +211,7 @@ def link(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     where = where.select("bucket", "doc", F.coalesce("component", "doc").alias("part"))
     sized = where.groupBy("bucket", "part").agg(F.count("*").alias("c"))
     main = sized.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("part", "c").alias("main")).where("parts > 1").drop("parts")
-    apart = where.join(main, "bucket").groupBy("doc", "part").agg(F.max(F.col("part") != F.col("main")).alias("few"))
+    apart = _salted(where, main, ["bucket"], "inner").groupBy("doc", "part").agg(F.max(F.col("part") != F.col("main")).alias("few"))
     apart = written(apart.join(reps.select("doc", "n"), "doc"), "apart")
     more = _across(apart, texts, k, percent)
     more = written(more.join(tried, ["a", "b"], "left_anti"), "more")
