@@ -76,7 +76,7 @@ def salvage_json(df: DataFrame, col: str, parsed: str | None = None) -> DataFram
     return out.drop("__v", "__s")
 
 
-DEEP = 8  # objects inside objects that a text is looked for in
+DEEP = 4  # objects inside objects that a text is looked for in
 
 
 def scalar_text(v: Column) -> Column:

@@ -307,15 +307,15 @@ def bm25(postings: DataFrame, q: str, lengths: DataFrame | None = None) -> DataF
     words = list(dict.fromkeys(_tokens(q)))
     tf = {w: f"tf{i}" for i, w in enumerate(words)}
     counts = [F.count_if(F.col("term") == w).alias(c) for w, c in tf.items()]
-    held = lambda c: F.count_if(F.col(c) > 0).cast("double")
+    df = {w: f"df{i}" for i, w in enumerate(words)}
+    size = [F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")]
+    held = [F.count_if(F.col(tf[w]) > 0).cast("double").alias(c) for w, c in df.items()]
     if lengths is None:
         per = postings.groupBy("key").agg(F.count("*").alias("len"), *counts)
-        size = per.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+        stats = per.agg(*size, *held)
     else:
         per = postings.where(F.col("term").isin(*words)).groupBy("key").agg(F.count("*").alias("__n"), *counts).drop("__n").join(lengths, "key")
-        size = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    df = {w: f"df{i}" for i, w in enumerate(words)}
-    stats = per.agg(F.count("*").alias("__n"), *[held(tf[w]).alias(c) for w, c in df.items()]).drop("__n").join(F.broadcast(size))
+        stats = per.agg(F.count("*").alias("__n"), *held).drop("__n").join(F.broadcast(lengths.agg(*size)))
     hits = reduce(lambda a, b: a & b, [F.col(c) > 0 for c in tf.values()], F.lit(bool(words)))
     length = 1 - B + B * F.col("len") / F.col("avg_len")
     idf = lambda w: F.log((F.col("n_docs") - F.col(df[w]) + 0.5) / (F.col(df[w]) + 0.5) + 1.0)
