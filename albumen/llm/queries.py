@@ -16,6 +16,7 @@ _MODULES = {
     "op8_quality_classifier": "quality",
     "op9_language_id": "langid",
     "op10_sentencepiece": "pieces",
+    "op11_packing": "packing",
     "op12_ranked_search": "ranked_search",
     "op13_vector_codes": "vector_codes",
 }
