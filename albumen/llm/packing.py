@@ -62,8 +62,6 @@ class Encoder:
         self.flat, self.used = np.zeros(4096, np.int32), 0
 
     def _learn(self, parts: list[str]) -> None:
-        if len(self.table) > self.KEEP:
-            self._clear()
         codes = [c.ids for c in self.library.encode_batch_fast(parts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, codes), np.int64, len(codes))
         first, total = len(self.table), int(sizes.sum())
@@ -79,11 +77,11 @@ class Encoder:
 
     def _window(self, text: str) -> np.ndarray:
         parts = self.part.findall(text)
+        if len(self.table) > self.KEEP:
+            self._clear()
         new = set(parts).difference(self.table)
         if new:
-            self._learn(sorted(new))
-            if not self.table.keys() >= set(parts):  # the table was emptied
-                self._learn(sorted(set(parts).difference(self.table)))
+            self._learn(list(new))
         at = np.fromiter(map(self.table.__getitem__, parts), np.int64, len(parts))
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)

@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from . import scratch
 
@@ -290,7 +290,7 @@ def search(items: DataFrame, docs: DataFrame, item_id: str = "item_id", item_tex
             found = scratch.written(found, "ranked")  # later blocks don't hold this one's plan
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return spark.createDataFrame([], StructType([StructField("item_id", field.dataType)]).add("rank", "int").add("doc_id", "long").add("score", "long"))
+        return spark.createDataFrame([], StructType([StructField("item_id", field.dataType)]).add("rank", IntegerType()).add("doc_id", LongType()).add("score", LongType()))
     return out
 
 
