@@ -3,6 +3,8 @@ bounded run of bytes, so a task's memory follows the run and not the table."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -53,6 +55,29 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(U64))
 
 
+LONG_WORD = 512
+_LANE = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=U64)
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words data[start:end]. Each eight bytes go through a finaliser before the
+    next ones come in, so that no structure of the letters (as the Thue-Morse word has for sums
+    of powers) makes two words meet; words of over LONG_WORD bytes are digested one by one."""
+    size = end - start
+    h = size.astype(U64) * U64(_BASE)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    lanes = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
+    live = np.flatnonzero(size <= LONG_WORD)
+    at, left = start[live], size[live]
+    while len(live):
+        h[live] = mix(h[live] ^ (lanes[at] & _LANE[np.minimum(left, 8)])) + U64(_BASE)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty run of bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -97,7 +122,7 @@ def words(data: np.ndarray, offs: np.ndarray, space: np.ndarray = IS_SPACE) -> t
     stop[offs[1:][offs[1:] > 0] - 1] = True
     stop &= solid
     ws, we = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    h = span_hash(prefix_hash(low), ws, we)
+    h = word_hash(low, ws, we)
     first = np.searchsorted(ws, offs)
     row = np.repeat(np.arange(rows), np.diff(first))
     return h, row, first
