@@ -50,6 +50,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
         # plain words and what closes them are parts of their own: no token joins the two
         mark = r"!-/:-@\[-`{-~"
         self.part = re.compile(f" ?[A-Za-z]+(?=[{_WS}{mark}]|$)|[{mark}]+(?=[{_WS}]|$)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
@@ -62,7 +63,10 @@ class Encoder:
         self.flat, self.used = np.zeros(4096, np.int32), 0
 
     def _learn(self, parts: list[str]) -> None:
-        codes = [c.ids for c in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+        plain = [p.lstrip(" ").isalpha() and p.isascii() for p in parts]
+        other = iter(self.library.encode_batch_fast([p for p, easy in zip(parts, plain, strict=True) if not easy], add_special_tokens=False))
+        # plain words are one piece of the model, whose letter for the space is Ġ: no need of the library's other steps
+        codes = [[t.id for t in self.model.tokenize(p.replace(" ", "Ġ"))] if easy else next(other).ids for p, easy in zip(parts, plain, strict=True)]
         sizes = np.fromiter(map(len, codes), np.int64, len(codes))
         first, total = len(self.table), int(sizes.sum())
         while first + len(parts) > len(self.starts):
@@ -79,10 +83,11 @@ class Encoder:
         parts = self.part.findall(text)
         if len(self.table) > self.KEEP:
             self._clear()
-        new = set(parts).difference(self.table)
-        if new:
-            self._learn(list(new))
-        at = np.fromiter(map(self.table.__getitem__, parts), np.int64, len(parts))
+        at = list(map(self.table.get, parts))
+        if None in at:
+            self._learn(list({p for p, i in zip(parts, at, strict=True) if i is None}))
+            at = list(map(self.table.get, parts))
+        at = np.array(at, dtype=np.int64)
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         return self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
