@@ -4,6 +4,7 @@ what is left packed greedily."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -39,12 +40,18 @@ class Encoder:
     """Ids of a byte-level tokenizers file, equal to encode(text, add_special_tokens=False)
     with special strings as ordinary text. The library never joins a word to white space
     after it, so texts are cut before word spaces, and each distinct part is encoded by the
-    library once; the table of parts is emptied when it has over KEEP."""
+    library once; the table of parts is emptied when it has over KEEP.
+
+    Where the file's merges are in the order of their ids and every token is reached by merging
+    its own letters, merging any two neighbours that form a token, least id first, gives the
+    same ids (whatever it merged first that the file's pairs don't would be a token that its
+    own letters don't reach). tiktoken does that at a fraction of the time, and is used
+    for texts of letters whose classes have long been settled, without endless white space."""
 
     KEEP = 1_000_000
     WINDOW = 1 << 20  # characters of a text that are cut at once
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, quick: bool = True):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
@@ -55,8 +62,33 @@ class Encoder:
         mark = r"!-/:-@\[-`{-~"
         self.part = re.compile(f" ?[A-Za-z]+(?=[{_WS}{mark}]|$)|[{mark}]+(?=[{_WS}]|$)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
         self.break_ = re.compile(f"(?<=[^{_WS}]) (?=[^{_WS}])")
+        self.odd = re.compile(f"[^\x00-\u052f]|[{_WS}]{{1000}}")
+        self.quick = self._equal_ranks(path) if quick else None
         self._clear()
 
+    def _equal_ranks(self, path: str):
+        """The quick encoder, where the file proves that it is equal; else None."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before, model = spec["pre_tokenizer"], spec["model"]
+        plain = (before or {}).get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"] and spec["normalizer"] is None
+        if not plain or model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            return None
+        added = {a["content"] for a in spec["added_tokens"]}
+        vocab = {w: i for w, i in model["vocab"].items() if w not in added}
+        merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if merged != sorted(set(merged)) or len(vocab) != len(merged) + 256:
+            return None
+        if any([t.id for t in self.model.tokenize(w)] != [i] for w, i in vocab.items()):
+            return None
+        # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letter = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        return tiktoken.Encoding("same", pat_str=pattern, mergeable_ranks={bytes(letter[c] for c in w): i for w, i in vocab.items()}, special_tokens={})
+
     def _clear(self) -> None:
         self.table: dict[str, int] = {}
         self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
@@ -99,13 +131,18 @@ class Encoder:
             if at + self.WINDOW < end:
                 cut = self.break_.search(text, at + self.WINDOW)
                 end = cut.start() if cut else end
-            out.append(self._window(text[at:end]))
+            window = text[at:end]
+            if self.quick is not None and not self.odd.search(window):
+                out.append(np.array(self.quick.encode_ordinary(window), dtype=np.int32))
+            else:
+                out.append(self._window(window))
             at = end
         return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
-def encoded(df: DataFrame, tokenizer: str, doc_id: str, text: str, window: int, end_id: int) -> DataFrame:
-    """(chunk, rest, rank, fulls, doc_id, n, ids) of each document: a chunk is what one task
+def encoded(df: DataFrame, tokenizer: str, doc_id: str, text: str, window: int, end_id: int, whole: bool = True) -> DataFrame:
+    """(chunk, rest, rank, fulls, doc_id, n, crcs of its whole windows, ids: all, or those of the
+    rest alone) of each document: a chunk is what one task
     read, rest is n modulo the window, rank the number of earlier documents of the chunk with
     an equal rest, fulls the number of whole windows of its earlier documents."""
 
@@ -117,7 +154,7 @@ def encoded(df: DataFrame, tokenizer: str, doc_id: str, text: str, window: int,
         seen = np.zeros(window, np.int64)
         fulls = 0
         for batch in batches:
-            rests, ranks, before, sizes, ids = [], [], [], [], []
+            rests, ranks, before, sizes, crcs, ids = [], [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 one = np.append(encode(t), np.int32(end_id)) if t else np.array([end_id], np.int32)
                 rest = len(one) % window
@@ -127,14 +164,15 @@ def encoded(df: DataFrame, tokenizer: str, doc_id: str, text: str, window: int,
                 seen[rest] += 1
                 fulls += len(one) // window
                 sizes.append(len(one))
-                ids.append(one)
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                crcs.append([zlib.crc32(one[a : a + window].astype("<u4").tobytes()) for a in range(0, len(one) - window + 1, window)])
+                ids.append(one if whole else one[len(one) - rest :])
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-            cols = [pa.array([chunk] * len(sizes), pa.int32()), pa.array(rests, pa.int32()), *(pa.array(x, pa.int64()) for x in (ranks, before)), batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)]
-            yield pa.RecordBatch.from_arrays(cols, names=["chunk", "rest", "rank", "fulls", "doc_id", "n", "ids"])
+            cols = [pa.array([chunk] * len(sizes), pa.int32()), pa.array(rests, pa.int32()), *(pa.array(x, pa.int64()) for x in (ranks, before)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), flat)]
+            yield pa.RecordBatch.from_arrays(cols, names=["chunk", "rest", "rank", "fulls", "doc_id", "n", "crcs", "ids"])
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(work, "chunk int, rest int, rank long, fulls long, doc_id long, n long, ids array<int>")
+    return rows.mapInArrow(work, "chunk int, rest int, rank long, fulls long, doc_id long, n long, crcs array<long>, ids array<int>")
 
 
 def combinations(present: np.ndarray, window: int, depth: int) -> np.ndarray:
@@ -338,7 +376,7 @@ def pack(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "tex
     read; no documents give no rows. Texts are encoded once, whole, and written; tasks hold
     one Arrow batch. Only the histogram (a window of counts) comes to the driver; ranks are
     counts by chunk and length, added up by a window over the chunks of each length."""
-    chunks = scratch.written(encoded(df, tokenizer, doc_id, text, window, end_id), "encoded")
+    chunks = scratch.written(encoded(df, tokenizer, doc_id, text, window, end_id, ids), "encoded")
     counts = scratch.written(chunks.groupBy("chunk", "rest").agg(F.count("*").alias("n")), "lengths")
     histogram = np.zeros(window, np.int64)
     for r in counts.groupBy("rest").agg(F.sum("n").alias("n"), F.count("*").alias("c")).collect():
@@ -347,24 +385,26 @@ def pack(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "tex
     earlier = Window.partitionBy("rest").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("chunk", "rest", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     starts = F.broadcast(starts) if counts.count() <= FEW else starts.hint("merge")
-    rows = chunks.join(starts, ["chunk", "rest"]).select("chunk", "rest", (F.col("first") + F.col("rank")).alias("rank"), "fulls", "doc_id", "n", "ids")
+    rows = chunks.join(starts, ["chunk", "rest"]).select("chunk", "rest", (F.col("first") + F.col("rank")).alias("rank"), "fulls", "doc_id", "n", "crcs", "ids")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for batch in batches:
-            chunk, rest, rank, fulls, doc, n = (batch.column(i).to_pylist() for i in range(6))
-            tokens = batch.column(6)
+            chunk, rest, rank, fulls, doc, n, crcs = (batch.column(i).to_pylist() for i in range(7))
+            tokens = batch.column(7)
             out, flat = [], []
             for i in range(batch.num_rows):
-                all_ids = tokens[i].values.to_numpy().astype("<u4")
-                whole = n[i] // window
+                mine = tokens[i].values.to_numpy().astype("<u4")
+                done = n[i] - rest[i]
                 first = FULL + (chunk[i] << 36) + fulls[i]
-                pieces = [(w * window, window, first + w, 0) for w in range(whole)]
-                if rest[i]:
-                    pieces += [(whole * window + a, size, seq, at) for a, size, seq, at in layout.place(rest[i], rank[i])]
-                for a, size, seq, at in pieces:
-                    part = all_ids[a : a + size]
-                    out.append((doc[i], a, size, zlib.crc32(part.tobytes()), n[i], seq, at))
+                for w, crc in enumerate(crcs[i]):
+                    out.append((doc[i], w * window, window, crc, n[i], first + w, 0))
+                    if ids:
+                        flat.append(mine[w * window : (w + 1) * window])
+                for a, size, seq, at in layout.place(rest[i], rank[i]) if rest[i] else ():
+                    a += len(mine) - rest[i]
+                    part = mine[a : a + size]
+                    out.append((doc[i], done + a - (len(mine) - rest[i]), size, zlib.crc32(part.tobytes()), n[i], seq, at))
                     if ids:
                         flat.append(part)
             cols = list(zip(*out, strict=True)) if out else [()] * 7

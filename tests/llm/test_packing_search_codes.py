@@ -35,7 +35,13 @@ def test_encoder_equals_the_library(tokenizer):
     encode = packing.Encoder(P.path("byte_bpe_50k.json"))
     want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [encode(t).tolist() for t in texts] == want
-    small = packing.Encoder(P.path("byte_bpe_50k.json"))
+    assert encode.quick is not None
+    texts += [" " * 2500 + "x" + "\n\t" * 3000, "plain words, don't stop. " * 40]
+    want += [e.ids for e in tokenizer.encode_batch(texts[-2:], add_special_tokens=False)]
+    assert [encode(t).tolist() for t in texts[-2:]] == want[-2:]
+    slow = packing.Encoder(P.path("byte_bpe_50k.json"), quick=False)
+    assert [slow(t).tolist() for t in texts] == want
+    small = packing.Encoder(P.path("byte_bpe_50k.json"), quick=False)
     small.KEEP, small.WINDOW = 5, 7  # an emptied table, and texts in many windows
     assert [small(t).tolist() for t in texts[:1500]] == want[:1500]
 
@@ -77,6 +83,8 @@ def test_packing(spark, tokenizer):
     pieces = packing.pack(df, P.path("byte_bpe_50k.json"), window=128).collect()
     assert check_pieces(pieces, want, 128) == 0
     once = {d: ids for d, ids in want if d not in (1, 5)}
+    bare = packing.pack(df, P.path("byte_bpe_50k.json"), window=128, ids=False)
+    assert sorted(map(str, bare.collect())) == sorted(map(str, spark.createDataFrame(pieces).drop("ids").collect()))
     by_doc = {}
     for r in pieces:
         if r["doc_id"] in once:
