@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .fixtures import table, with_views
 from .functions import textcols as tc
 from .operators import catalog, geo, ingest, merge, names, replies, search, snapshots, stats
+from .operators.textindex import GramIndex, TextIndex
 from .plans import work
 from .sources import tables
 from .streaming import monitors
@@ -182,6 +183,20 @@ def _postings(t):
     return search.build_postings(t("documents"), "doc_id", ["text"])
 
 
+_kept: dict[tuple, TextIndex] = {}
+
+
+def _index(t, kind=TextIndex, source: str = "documents", key: str = "doc_id", cols=("text",)) -> TextIndex:
+    """The index of a table, written once in a session and read by all its queries."""
+    df = t(source)
+    at = (df.sparkSession.sparkContext.applicationId, kind, source, *df.inputFiles()[:1])
+    if at not in _kept:
+        index = kind(*_place(t, "index"))
+        index.add(df, key, cols)
+        _kept[at] = index
+    return _kept[at]
+
+
 @query(f"""WITH {POSTINGS} SELECT term, count(*) AS n, count(DISTINCT key) AS docs FROM p GROUP BY term""")
 def fts_postings(t):
     return _postings(t).groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("key").alias("docs"))
@@ -189,17 +204,17 @@ def fts_postings(t):
 
 @query(f"""WITH {POSTINGS} SELECT key FROM p WHERE term IN ('the', 'thin') GROUP BY key HAVING count(DISTINCT term) = 2 UNION SELECT key FROM p WHERE term = 'clown'""")
 def fts_match(t):
-    return search.match(_postings(t), "text:the Thin", ["clown", "THE"], ["text"])
+    return _index(t).match("text:the Thin", ["clown", "THE"])
 
 
 @query(f"""WITH {POSTINGS} SELECT DISTINCT a.key FROM p a JOIN p b ON a.key = b.key AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'""")
 def fts_phrase(t):
-    return search.phrase(_postings(t), "of-the")
+    return search.phrase(_index(t).postings(["of", "the"]), "of-the")
 
 
 @query(f"""WITH {POSTINGS} SELECT count(DISTINCT key) AS matches FROM p WHERE term = 'with'""")
 def fts_match_count(t):
-    return search.match_count(search.match(_postings(t), "with"))
+    return search.match_count(_index(t).match("with"))
 
 
 @query(f"""
@@ -211,7 +226,7 @@ SELECT key AS doc_id, round(score, 6) AS score FROM (
   SELECT tf.key, -sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) AS score, count(*) AS c
   FROM tf JOIN df USING (term) JOIN len USING (key), s GROUP BY tf.key) WHERE c = 2""")
 def fts_bm25(t):
-    return search.bm25(_postings(t), "the with").select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+    return _index(t).ranked("the with").select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {POSTINGS} SELECT term, count(*) AS n, count(DISTINCT key) AS docs FROM p WHERE key % 4 <> 0 GROUP BY term""")
@@ -245,7 +260,53 @@ tf AS (SELECT key, count(*) AS tf FROM p WHERE term = 'from' GROUP BY key), df A
 SELECT key AS doc_id, lang FROM (SELECT tf.key, ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al)) AS score FROM tf JOIN len USING (key), s, df)
 JOIN documents ON doc_id = key ORDER BY score DESC, doc_id LIMIT 48""")
 def relevance_page(t):
-    return search.top_matches(t("documents"), _postings(t), "from", "doc_id").select("doc_id", "lang")
+    best, _ = _index(t).top("from", 48)
+    return t("documents").join(F.broadcast(best.withColumnRenamed("key", "doc_id")), "doc_id").orderBy("score", "doc_id").select("doc_id", "lang")
+
+
+@query(f"""WITH {POSTINGS}, len AS (SELECT count(DISTINCT key) AS docs, count(*) AS tokens FROM p WHERE key % 4 <> 0)
+SELECT state, term, count(*) AS n, count(DISTINCT key) AS docs, any_value(len.docs) AS live_docs, any_value(len.tokens) AS live_tokens
+FROM p, len, (VALUES ('segments'), ('compacted')) v(state) WHERE key % 4 <> 0 AND term IN ('the', 'with', 'old', 'clown') GROUP BY state, term""")
+def fts_segments(t):
+    """An index of three segments (rows with some old texts; new rows and new texts; deletions), read
+    for some words as it is and after compaction."""
+    d = t("documents")
+    old = d.where("doc_id % 4 <> 2").withColumn("text", F.when(F.col("doc_id") % 4 == 1, "old words").otherwise(F.col("text")))
+    index = TextIndex(*_place(t, "index"), buckets=16)
+    index.add(old, "doc_id", ["text"])
+    index.add(d.where("doc_id % 4 in (1, 2)"), "doc_id", ["text"])
+    index.add(None, "doc_id", ["text"], d.where("doc_id % 4 = 0"))
+
+    def shown(state: str) -> DataFrame:
+        live = index.segments()
+        counts = index.postings(["the", "with", "old", "clown"]).groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("key").alias("docs"))
+        return counts.select(F.lit(state).alias("state"), "term", "n", "docs", F.lit(sum(s["docs"] for s in live)).cast("long").alias("live_docs"), F.lit(sum(s["tokens"] for s in live)).cast("long").alias("live_tokens"))
+
+    before = shown("segments")
+    index.compact()
+    return before.unionByName(shown("compacted"))
+
+
+@query(f"""
+WITH {POSTINGS}, len AS (SELECT key, count(*) AS len FROM p GROUP BY key),
+s AS (SELECT count(*) AS n, avg(len) AS al FROM len),
+tf AS (SELECT key, term, count(*) AS tf FROM p WHERE term IN ('of', 'with') GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
+SELECT key AS doc_id, round(score, 6) AS score FROM (
+  SELECT tf.key, -sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) AS score, count(*) AS c
+  FROM tf JOIN df USING (term) JOIN len USING (key), s GROUP BY tf.key) WHERE c = 2 ORDER BY score, key LIMIT 20""")
+def fts_top_by_blocks(t):
+    """The best 20 of two words; blocks whose bound is below the twentieth are not read."""
+    best, _ = _index(t).top("of with", 20)
+    return best.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("""SELECT doc_id FROM documents WHERE text ILIKE '%ationth%' OR text ILIKE '%CLOWN%'""")
+def substring_by_grams(t):
+    """Two substrings by the gram index: grams narrow the rows, the texts decide."""
+    d, index = t("documents"), _index(t, GramIndex)
+    one, two = (index.substring(d, "doc_id", ["text"], x).select("doc_id") for x in ("ationth", "CLOWN"))
+    return one.unionByName(two).distinct()
 
 
 # --- summaries ---------------------------------------------------------------------
