@@ -28,8 +28,19 @@ VIEWS = {
        WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END AS state,
   CASE WHEN doc_id % 9 = 0 THEN '["description"]' ELSE '[]' END AS edited_fields,
   CASE WHEN doc_id % 6 < 3 THEN concat('Place ', CAST(doc_id % 40 AS VARCHAR(9))) END AS place_name,
-  CASE WHEN doc_id % 6 = 0 THEN 'manual' WHEN doc_id % 6 = 1 THEN 'apple' WHEN doc_id % 6 = 2 THEN 'nearby' END AS place_source
+  CASE WHEN doc_id % 6 = 0 THEN 'manual' WHEN doc_id % 6 = 1 THEN 'apple' WHEN doc_id % 6 = 2 THEN 'nearby' END AS place_source,
+  CASE WHEN doc_id % 6 = 1 THEN concat('Area ', CAST(doc_id % 4 AS VARCHAR(9))) END AS place_aoi,
+  CASE WHEN doc_id % 6 < 3 AND doc_id % 6 > 0 THEN concat('City ', CAST(doc_id % 20 AS VARCHAR(9))) END AS place_city,
+  CASE WHEN doc_id % 6 = 2 THEN concat('State ', CAST(doc_id % 8 AS VARCHAR(9))) END AS place_state,
+  CASE WHEN doc_id % 6 = 1 THEN concat('Country ', CAST(doc_id % 5 AS VARCHAR(9))) END AS place_country,
+  CASE WHEN doc_id % 6 = 1 THEN concat('C', CAST(doc_id % 5 AS VARCHAR(9))) END AS place_country_code
 FROM documents""",
+    "fx_corrections": """SELECT doc_id AS asset_id,
+  CASE WHEN doc_id % 8 = 1 THEN concat('["b","B"," ","  ', source, '   x "]') WHEN doc_id % 8 = 5 THEN '[]' END AS persons,
+  CASE WHEN doc_id % 3 = 1 THEN concat('["', lang, '","new   tag","NEW tag"]') END AS tags,
+  CASE WHEN doc_id % 5 = 0 THEN '   ' WHEN doc_id % 5 = 1 THEN concat('  ', text, ' ') END AS description,
+  CASE WHEN doc_id % 4 = 1 THEN concat('  New   Place ', CAST(doc_id % 9 AS VARCHAR(9)), ' ') WHEN doc_id % 4 = 3 THEN '  ' END AS place_name
+FROM documents WHERE doc_id % 2 = 1""",
     "fx_vocab": """SELECT DISTINCT concat('Person ', CAST(c_custkey % 15 AS VARCHAR(9))) AS name FROM customer""",
     "fx_cities": """SELECT n_nationkey AS city_id, n_name AS city, concat('C', CAST(n_regionkey AS VARCHAR(9))) AS cc,
   CAST((n_nationkey * 61) % 160 AS DOUBLE) - 80.0E0 AS lat,
@@ -37,7 +48,9 @@ FROM documents""",
 FROM nation""",
     "fx_places": """SELECT CASE WHEN doc_id % 50 = 0 THEN doc_id + 1000000 ELSE doc_id END AS asset_id,
   CASE WHEN doc_id % 8 = 0 THEN '' ELSE concat('Venue ', CAST(doc_id % 40 AS VARCHAR(9))) END AS name,
-  concat('C', CAST(doc_id % 5 AS VARCHAR(9))) AS cc
+  concat('C', CAST(doc_id % 5 AS VARCHAR(9))) AS cc,
+  CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE concat(' Town ', CAST(doc_id % 30 AS VARCHAR(9))) END AS city,
+  CASE WHEN doc_id % 5 > 1 THEN concat('Land ', CAST(doc_id % 5 AS VARCHAR(9))) END AS country
 FROM documents WHERE doc_id % 2 = 0""",
     "fx_results": """SELECT doc_id AS asset_id, concat('new description ', CAST(doc_id AS VARCHAR(20))) AS description,
   '["x","y","x"]' AS tags FROM documents WHERE doc_id % 5 = 0""",

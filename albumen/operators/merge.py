@@ -70,12 +70,24 @@ def place_status(base: DataFrame, dump: DataFrame, key: str) -> DataFrame:
     return dump.join(known, key, "left").withColumn("status", status).drop("__src", "__known")
 
 
-def merge_places(base: DataFrame, dump: DataFrame, key: str, source: str = "apple") -> DataFrame:
-    """Names of the dump on known rows that nobody set by hand; borrowed ones are replaced."""
-    good = place_status(base, dump, key).where("status = 'updated'").select(key, tc.blank_to_null(F.col("name")).alias("__name"))
+# The parts of a place in the catalogue, and their names in a dump.
+BREAKDOWN = {"place_aoi": "aoi", "place_city": "city", "place_state": "state", "place_country": "country", "place_country_code": "cc"}
+MAX_PLACE, MAX_DESCRIPTION = 240, 4000  # characters of a typed place and description
+
+
+def merge_places(base: DataFrame, dump: DataFrame, key: str, source: str = "apple", at: Column | None = None) -> DataFrame:
+    """Places of the dump on known rows that nobody set by hand; borrowed ones are replaced. The
+    whole breakdown that base has is replaced with the name: what the dump lacks or has
+    blank becomes null. at: the value of place_updated_at, where base has it."""
+    clean = lambda c: tc.blank_to_null(F.col(c))
+    parts = {c: (clean(d) if d in dump.columns else F.lit(None).cast("string")).alias(f"__{c}") for c, d in BREAKDOWN.items() if c in base.columns}
+    good = place_status(base, dump, key).where("status = 'updated'").select(key, clean("name").alias("__name"), *parts.values())
     out = base.join(good, key, "left")
     hit = F.col("__name").isNotNull()
-    return out.withColumns({"place_name": F.when(hit, F.col("__name")).otherwise(F.col("place_name")), "place_source": F.when(hit, F.lit(source)).otherwise(F.col("place_source"))}).drop("__name")
+    values = {"place_name": F.col("__name"), "place_source": F.lit(source)} | {c: F.col(f"__{c}") for c in parts}
+    if at is not None and "place_updated_at" in base.columns:
+        values["place_updated_at"] = at
+    return out.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()}).drop("__name", *[f"__{c}" for c in parts])
 
 
 def merge_enrichment(base: DataFrame, results: DataFrame, key: str, protected: Sequence[str], replaced: Mapping[str, Column], edited: str = "edited_fields") -> DataFrame:
@@ -114,11 +126,32 @@ def move_state(df: DataFrame, when: Column, frm: int, to: int, state: str = "sta
     return df.withColumn(state, F.when(when & (F.col(state) == frm), F.lit(to)).otherwise(F.col(state)))
 
 
-def apply_edits(base: DataFrame, edits: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(new snapshot, rejected edits). An edit row has null for what it doesn't touch; a
-    place edit takes the row from its source to manual (blank: hands it back); an edit whose
+def cleaned_edits(edits: DataFrame, lists: Sequence[str] = ("persons", "tags")) -> DataFrame:
+    """Edit rows as they are stored: lists (arrays, or their JSON) through the list rule and as
+    JSON, a description trimmed to 4,000 characters, a place with its white space collapsed
+    to 240, a date trimmed. What is blank stays given (an empty text)."""
+
+    def stored(c: str) -> Column:
+        if c in lists:
+            given = F.col(c) if dict(edits.dtypes)[c].startswith("array") else tc.json_list(F.col(c))
+            return F.when(F.col(c).isNotNull(), F.to_json(tc.clean_list(given)))
+        if c == "description":
+            return F.substring(tc.strip(F.col(c)), 1, MAX_DESCRIPTION)
+        if c == "place_name":
+            return F.substring(F.regexp_replace(tc.strip(F.col(c)), r"\s+", " "), 1, MAX_PLACE)
+        return tc.strip(F.col(c)) if c == "date" else F.col(c)
+
+    return edits.select(*[stored(c).alias(c) for c in edits.columns])
+
+
+def apply_edits(base: DataFrame, edits: DataFrame, key: str, lists: Sequence[str] = ("persons", "tags"), at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new snapshot, rejected edits). An edit row has null for what it doesn't touch, and its
+    values are cleaned (cleaned_edits); a blank description becomes null. A place edit replaces
+    the whole place: the breakdown of the old one becomes null, its source manual (a blank
+    place: null, which hands the row back), place_updated_at the value of at. An edit whose
     date isn't a date, or whose key is unknown, is rejected whole. Edited fields add up."""
-    bad = F.col("date").isNotNull() & ~tc.valid_date(F.col("date"))
+    edits = cleaned_edits(edits, lists)
+    bad = F.col("date").isNotNull() & ~tc.valid_date(F.col("date")) if "date" in edits.columns else F.lit(False)
     known = base.select(key, F.lit(True).alias("__known"))
     judged = edits.join(known, key, "left").withColumn("reason", F.when(F.col("__known").isNull(), "unknown key").when(bad, "bad date"))
     rejected = judged.where("reason is not null").drop("__known")
@@ -126,12 +159,16 @@ def apply_edits(base: DataFrame, edits: DataFrame, key: str) -> tuple[DataFrame,
     fields = [c for c in edits.columns if c != key]
     out = base.join(good, key, "left")
     touched = F.filter(F.array(*[F.when(F.col(f"__{c}").isNotNull(), F.lit(c)) for c in fields]), lambda x: x.isNotNull())
-    values = {c: F.coalesce(f"__{c}", c) for c in fields if c != "place_name"}
+    values = {c: F.coalesce(f"__{c}", c) for c in fields if c not in ("place_name", "description")}
+    if "description" in fields:
+        values["description"] = F.when(F.col("__description").isNotNull(), F.nullif("__description", F.lit(""))).otherwise(F.col("description"))
     if "place_name" in fields:
         given = F.col("__place_name").isNotNull()
         name = tc.blank_to_null(F.col("__place_name"))
-        values["place_name"] = F.when(given, name).otherwise(F.col("place_name"))
-        values["place_source"] = F.when(given, F.when(name.isNotNull(), "manual")).otherwise(F.col("place_source"))
+        place = {"place_name": name, "place_source": F.when(name.isNotNull(), "manual")} | {c: F.lit(None).cast("string") for c in BREAKDOWN if c in base.columns}
+        if at is not None and "place_updated_at" in base.columns:
+            place["place_updated_at"] = at
+        values |= {c: F.when(given, v).otherwise(F.col(c)) for c, v in place.items()}
     if "datetime_original" in base.columns and "date" in fields:
         values["datetime_original"] = F.when(F.col("__date").isNotNull(), F.coalesce(tc.retime_iso(F.col("datetime_original"), F.col("__date")), F.col("datetime_original"))).otherwise(F.col("datetime_original"))
     if "edited_fields" in base.columns:

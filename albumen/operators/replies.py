@@ -76,20 +76,21 @@ def salvage_json(df: DataFrame, col: str, parsed: str | None = None) -> DataFram
     return out.drop("__v", "__s")
 
 
-DEEP = 4  # objects inside objects that a text is looked for in
-
-
 def scalar_text(v: Column) -> Column:
     """A variant element as text: strings trimmed and numbers; an object by the first of its
-    known keys that is there, which may be an object again; true, false, null and the rest
-    dropped."""
+    known keys that is there, which may be an object again, however deep; true, false, null
+    and the rest dropped."""
 
     def inside(x: Column) -> Column:
         first = F.coalesce(*[F.try_variant_get(x, f"$.{k}", "variant") for k in TAG_KEYS])
         return F.when(F.schema_of_variant(x).startswith("OBJECT"), first).otherwise(x)
 
-    for _ in range(DEEP):  # a list of one binds the element, so that the expression stays small
-        v = F.try_element_at(F.transform(F.array(v), inside), F.lit(1))
+    def steps(x: Column) -> Column:  # an object holds no more objects than its text has brackets
+        text = F.to_json(x)
+        return F.when(F.schema_of_variant(x).startswith("OBJECT"), F.sequence(F.lit(1), F.length(text) - F.length(F.replace(text, F.lit("{")))))
+
+    none = F.array().cast("array<int>")
+    v = F.try_element_at(F.transform(F.array(v), lambda x: F.aggregate(F.coalesce(steps(x), none), x, lambda at, _: inside(at))), F.lit(1))
 
     def plain(x: Column) -> Column:
         kind = F.schema_of_variant(x)

@@ -607,9 +607,17 @@ def place_outcomes(t):
     return stats.run_counters(merge.place_status(t("fx_assets"), t("fx_places"), "asset_id"), "status")
 
 
-@query(f"WITH {PLACED} SELECT a.asset_id, coalesce(ps.name, a.place_name) AS place_name, CASE WHEN ps.name IS NOT NULL THEN 'apple' ELSE a.place_source END AS place_source FROM fx_assets a LEFT JOIN (SELECT * FROM ps WHERE status = 'updated') ps USING (asset_id)")
+PLACE = ["place_name", "place_source", "place_aoi", "place_city", "place_state", "place_country", "place_country_code"]
+
+
+@query(f"""WITH {PLACED} SELECT a.asset_id, coalesce(ps.name, a.place_name) AS place_name, CASE WHEN ps.name IS NOT NULL THEN 'apple' ELSE a.place_source END AS place_source,
+  CASE WHEN ps.name IS NULL THEN a.place_aoi END AS place_aoi, CASE WHEN ps.name IS NULL THEN a.place_city ELSE nullif(trim(ps.city), '') END AS place_city,
+  CASE WHEN ps.name IS NULL THEN a.place_state END AS place_state, CASE WHEN ps.name IS NULL THEN a.place_country ELSE ps.country END AS place_country,
+  CASE WHEN ps.name IS NULL THEN a.place_country_code ELSE ps.cc END AS place_country_code
+FROM fx_assets a LEFT JOIN (SELECT * FROM ps WHERE status = 'updated') ps USING (asset_id)""")
 def merge_places(t):
-    return merge.merge_places(t("fx_assets"), t("fx_places"), "asset_id").select("asset_id", "place_name", "place_source")
+    """The whole breakdown is replaced; what the dump lacks is null."""
+    return merge.merge_places(t("fx_assets"), t("fx_places"), "asset_id").select("asset_id", *PLACE)
 
 
 @query("""SELECT a.asset_id, CASE WHEN r.asset_id IS NOT NULL AND a.edited_fields = '[]' THEN r.description ELSE a.description END AS description, CASE WHEN r.asset_id IS NOT NULL THEN r.tags ELSE a.tags END AS tags, CASE WHEN r.asset_id IS NOT NULL THEN 1 ELSE a.state END AS state FROM fx_assets a LEFT JOIN fx_results r USING (asset_id)""")
@@ -655,6 +663,24 @@ def apply_edits(t):
     return good.select("asset_id", "date", "place_name", "place_source", "edited_fields")
 
 
+@query("""
+WITH c AS (SELECT *, nullif(trim(regexp_replace(place_name, '\\s+', ' ', 'g')), '') AS place FROM fx_corrections)
+SELECT a.asset_id, CASE WHEN a.asset_id % 2 = 1 AND a.asset_id % 8 = 1 THEN '["b","' || d.source || ' x"]' WHEN a.asset_id % 8 = 5 THEN '[]' ELSE a.persons END AS persons,
+  CASE WHEN c.tags IS NOT NULL THEN '["' || d.lang || '","new tag"]' ELSE a.tags END AS tags,
+  CASE WHEN c.description IS NULL THEN a.description ELSE nullif(substr(regexp_replace(c.description, '^\\s+|\\s+$', '', 'g'), 1, 4000), '') END AS description,
+  CASE WHEN c.place_name IS NOT NULL THEN c.place ELSE a.place_name END AS place_name,
+  CASE WHEN c.place_name IS NULL THEN a.place_source WHEN c.place IS NOT NULL THEN 'manual' END AS place_source,
+  CASE WHEN c.place_name IS NULL THEN a.place_aoi END AS place_aoi, CASE WHEN c.place_name IS NULL THEN a.place_city END AS place_city,
+  CASE WHEN c.place_name IS NULL THEN a.place_state END AS place_state, CASE WHEN c.place_name IS NULL THEN a.place_country END AS place_country,
+  CASE WHEN c.place_name IS NULL THEN a.place_country_code END AS place_country_code
+FROM fx_assets a JOIN documents d ON d.doc_id = a.asset_id LEFT JOIN c USING (asset_id)""")
+def apply_corrections(t):
+    """Edits of lists, descriptions and places: lists through the list rule, white space collapsed, blanks
+    to null, and no part of the old place left under a typed one."""
+    good, _ = merge.apply_edits(t("fx_assets"), t("fx_corrections"), "asset_id")
+    return good.select("asset_id", "persons", "tags", "description", *PLACE)
+
+
 @query("""SELECT asset_id, 'bad date' AS reason FROM fx_edits WHERE date = '2001-02-30'""")
 def rejected_edits(t):
     return merge.apply_edits(t("fx_assets"), t("fx_edits"), "asset_id")[1].select("asset_id", "reason")
