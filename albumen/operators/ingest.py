@@ -15,11 +15,16 @@ COORD_KEYS = ("Keys:GPSCoordinates", "UserData:GPSCoordinates")
 KEYWORD_KEYS = ("IPTC:Keywords", "XMP:Subject")
 
 
-def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
+#: What a file is called: the last part of its path.
+LAST_PART = r"([^/]*)$"
+
+
+def read_sidecars(spark: SparkSession, path: str, pattern: str = "*.json", called: str = LAST_PART) -> DataFrame:
     """(path, name, uuid, raw) of every JSON file below a folder; names without a UUID have
-    a null one. Hidden files are passed over by the reader."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1)
+    a null one. Hidden files are passed over by the reader. called: the part of the path that
+    is the name, for folders that hold one record each."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
+    name = F.regexp_extract(F.col("_metadata.file_path"), called, 1)
     return raw.select(F.col("_metadata.file_path").alias("path"), name.alias("name"), tc.uuid_of(name).alias("uuid"), F.col("value").alias("raw"))
 
 
@@ -83,12 +88,12 @@ def rejected(df: DataFrame) -> DataFrame:
     return df.withColumn("reason", why).where("reason is not null").select("path", "reason")
 
 
-def media_index(spark: SparkSession, path: str, keep: str = "*") -> DataFrame:
+def media_index(spark: SparkSession, path: str, keep: str = "*", called: str = LAST_PART) -> DataFrame:
     """(stem, path, length, modificationTime) of media files: JSON and hidden folders out, the
-    content never read."""
+    content never read. called: as in read_sidecars."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", keep).load(path).select("path", "length", "modificationTime")
     files = files.where(~F.lower("path").endswith(".json") & ~F.col("path").rlike(r"/\.[^/]+/"))
-    return files.withColumn("stem", F.upper(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)))
+    return files.withColumn("stem", F.upper(F.regexp_replace(F.regexp_extract("path", called, 1), r"\.[^.]*$", "")))
 
 
 def preferred_file(df: DataFrame, stem: str = "stem", path: str = "path") -> DataFrame:

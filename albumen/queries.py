@@ -15,6 +15,7 @@ from .operators import catalog, geo, ingest, merge, names, replies, search, snap
 from .operators.textindex import GramIndex, TextIndex
 from .plans import work
 from .sources import tables
+from .streaming import ingest as stream_ingest
 from .streaming import monitors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1403,3 +1404,147 @@ def stream_alerts(t):
     """The stream form sends what the batch form does."""
     out = _streamed(t, "alerts", lambda d: monitors.suppress_alerts(d.where("value is not null").withColumn("f", F.col("value") > 50), "user_id", "ts", "f", 86400, "90 days"))
     return out.select("key", F.unix_micros("ts").alias("us"))
+
+
+UUID = "'00000000-0000-0000-0000-' || lpad(CAST(s_suppkey AS VARCHAR), 12, '0')"
+SIDECAR = """'{"EXIF:DateTimeOriginal":"20' || lpad(CAST(s_suppkey % 30 AS VARCHAR), 2, '0') || ':01:02 03:04:05","XMP:PersonInImage":"' || s_name || '"}'"""
+FOLDERS = r"/name=([^/]*)/"
+
+
+def _exported(t, path: str, where: str) -> None:
+    """A folder for each supplier's record, as an export leaves them."""
+    s = t("supplier").where(where).withColumn("s_suppkey", F.col("s_suppkey").cast("string"))
+    uuid_, raw = F.expr(UUID.replace("VARCHAR", "STRING")), F.expr(SIDECAR.replace("VARCHAR", "STRING").replace("s_suppkey % 30", "CAST(s_suppkey AS INT) % 30"))
+    rows = s.select(raw.alias("value"), F.concat(uuid_, F.when(F.col("s_suppkey") % 4 == 0, ".mov.json").otherwise(".jpg.json")).alias("name"))
+    rows.repartition("name").write.partitionBy("name").mode("append").text(path)
+
+
+SIDECARS = f"SELECT {UUID} AS uuid, CASE WHEN s_suppkey % 4 = 0 THEN 'video' ELSE 'image' END AS media_type, '20' || lpad(CAST(s_suppkey % 30 AS VARCHAR), 2, '0') || '-01-02' AS date, s_name AS people FROM supplier"
+
+
+def _decoded(rows: DataFrame) -> DataFrame:
+    return ingest.decode_sidecars(ingest.with_record(rows)).select("uuid", "media_type", "date", joined("persons").alias("people"))
+
+
+@query(SIDECARS)
+def sidecar_folder(t):
+    """Records read from a folder of files."""
+    spark, path = _place(t, "sidecars")
+    _exported(t, path, "true")
+    return _decoded(ingest.read_sidecars(spark, path, "*.txt", FOLDERS))
+
+
+@query(f"""SELECT {UUID} AS stem, length({SIDECAR}) + 1 AS length FROM supplier WHERE s_suppkey % 4 = 0""")
+def media_folder(t):
+    """Files by stem and size, content unread: those with two endings keep the first."""
+    spark, path = _place(t, "media")
+    _exported(t, path, "s_suppkey % 4 = 0")
+    files = ingest.media_index(spark, path, called=FOLDERS)
+    return files.select(F.regexp_replace("stem", r"\.MOV$", "").alias("stem"), "length")
+
+
+@query(SIDECARS)
+def stream_ingest_once(t):
+    """A stream over a folder, stopped and started again when more has come; its first batch
+    is then replayed, which changes nothing."""
+    spark, path = _place(t, "ingest")
+    sink = stream_ingest.OnceSink(spark, f"{path}/table")
+    schema = "path string, name string, uuid string, raw string"
+    for where in ("s_suppkey % 3 = 0", "s_suppkey % 3 <> 0"):
+        _exported(t, f"{path}/in", where)
+        stream = stream_ingest.sidecar_stream(spark, f"{path}/in", "*.txt", called=FOLDERS)
+        stream_ingest.run_stream(stream, sink.write, f"{path}/checkpoint").awaitTermination()
+    first = sink.read(schema)
+    sink.write(first, 0)
+    return _decoded(sink.read(schema))
+
+
+COMPANIONS = "CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 DAY * CAST((o_orderkey * 7) % 81 - 40 AS INT)"
+
+
+@query(f"""WITH l AS (SELECT o_orderkey, {COMPANIONS} AS file_at FROM orders WHERE o_orderkey % 4 <> 3)
+SELECT o.o_orderkey, epoch_us(file_at) // 86400000000 AS file_day FROM orders o LEFT JOIN l ON l.o_orderkey = o.o_orderkey
+  AND file_at BETWEEN CAST(o_orderdate AS TIMESTAMP) - INTERVAL 30 DAYS AND CAST(o_orderdate AS TIMESTAMP) + INTERVAL 30 DAYS""")
+def stream_late_companions(t):
+    """Orders and the files that belong to them as two streams: files come before, after, or
+    not within 30 days. A last row on both sides moves the watermarks past all waiting."""
+    spark, path = _place(t, "companions")
+    end = F.lit("2100-01-01").cast("timestamp")
+    orders = t("orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+    files = t("orders").where("o_orderkey % 4 <> 3").select("o_orderkey", F.expr(COMPANIONS).alias("file_at"))
+    for name, df, c in (("orders", orders, "at"), ("files", files, "file_at")):
+        for low, high in (("1900", "1994"), ("1994", "1996"), ("1996", "2100")):
+            df.where((F.col(c) >= low) & (F.col(c) < high)).coalesce(1).write.mode("append").parquet(f"{path}/{name}")
+        spark.range(1).select(F.lit(-1).cast("long").alias("o_orderkey"), end.alias(c)).coalesce(1).write.mode("append").parquet(f"{path}/{name}")
+    read = lambda name, c: spark.readStream.schema(f"o_orderkey long, {c} timestamp").option("maxFilesPerTrigger", 1).parquet(f"{path}/{name}")
+    out = stream_ingest.late_companions(read("orders", "at"), read("files", "file_at"), "o_orderkey", "at", "file_at", "30 days")
+    out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.schema("o_orderkey long, at timestamp, file_at timestamp").parquet(f"{path}/out").where("o_orderkey >= 0")
+    return done.select("o_orderkey", F.floor(F.unix_micros("file_at") / 86400000000).cast("long").alias("file_day"))
+
+
+@query("""SELECT c_custkey, CASE WHEN row_number() OVER (ORDER BY c_custkey) <= 3 * ((SELECT count(*) FROM customer WHERE c_custkey % 3 <> 0) // 5 + 1) THEN 1 ELSE 2 END AS run
+FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 0 FROM customer WHERE c_custkey % 3 = 0""")
+def queue_until_deadline(t):
+    """A queue taken in batches: a run stops at its deadline after three, the rest stays pending
+    and a second run drains it. Each batch commits a new version of the table."""
+    spark, path = _place(t, "queue")
+    start = t("customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, 0).alias("run"))
+    stream_ingest.refresh(start, path)
+    pending = lambda: snapshots.read_snapshot(spark, path).where("run is null").select("c_custkey").orderBy("c_custkey")
+    size = pending().count() // 5 + 1
+
+    def work(number: int):
+        def run(rows: DataFrame) -> None:
+            now = snapshots.read_snapshot(spark, path)
+            done = rows.withColumn("__run", F.lit(number))
+            stream_ingest.refresh(now.join(done, "c_custkey", "left").select("c_custkey", F.coalesce("run", "__run").alias("run")), path)
+
+        return run
+
+    taken = iter(range(10))
+    assert replies.enrich_until(pending, work(1), size, lambda: next(taken) == 3) == 3
+    stream_ingest.drain(pending, work(2), size)
+    return snapshots.read_snapshot(spark, path)
+
+
+@query("""SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1""")
+def refreshed_table(t):
+    """A derived table made anew: readers see the newest version that was promoted, not one
+    that is only written."""
+    spark, path = _place(t, "refresh")
+    counts = t("orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    stream_ingest.refresh(counts.limit(1), path)
+    assert stream_ingest.refresh(counts, path) == 2
+    snapshots.write_snapshot(counts.limit(0), path)
+    return snapshots.read_snapshot(spark, path)
+
+
+@query("""SELECT l_orderkey AS album, l_partkey AS asset, count(*) AS n FROM lineitem GROUP BY 1, 2""")
+def discovered_links(t):
+    """The link table is found among the session's by the form of its name and the parts of its
+    columns' names."""
+    spark = t("nation").sparkSession
+    tag = uuid.uuid4().hex[:8]
+    for name, source in ((f"z_{tag}_12links", "lineitem"), (f"z_{tag}_3links", "nation"), (f"z_{tag}_links", "lineitem")):
+        t(source).createOrReplaceTempView(name)
+    found, (album, asset) = tables.catalog_links(spark, f"z_{tag}*", rf"z_{tag}_\d+links", ["orderkey", "PARTKEY"])
+    out = spark.table(found).groupBy(F.col(album).alias("album"), F.col(asset).alias("asset")).agg(F.count("*").alias("n"))
+    for t_ in (f"z_{tag}_12links", f"z_{tag}_3links", f"z_{tag}_links"):
+        spark.catalog.dropTempView(t_)
+    return out
+
+
+@query("""SELECT 'orders' AS name, count(*) AS n, NULL AS missing FROM orders UNION ALL SELECT 'customer', count(*), 'c_birthday' FROM customer""")
+def guarded_schemas(t):
+    """Counts behind a guard of what they need: it passes one table, and names what another lacks."""
+    out = None
+    for name, needs in (("orders", ["o_orderkey", "o_orderdate"]), ("customer", ["c_custkey", "c_birthday"])):
+        df, missing = t(name), None
+        try:
+            tables.assert_schema({name: df}, {name: needs})
+        except ValueError as e:
+            missing = next(c for c in needs if c in str(e))
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n", F.lit(missing).cast("string").alias("missing"))
+        out = one if out is None else out.unionByName(one)
+    return out

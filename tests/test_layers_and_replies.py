@@ -51,3 +51,64 @@ def test_deep_scalar(spark):
         deep = {"tag": deep}
     df = spark.createDataFrame([(json.dumps(deep),)], "j string")
     assert df.select(replies.scalar_text(F.parse_json("j"))).first()[0] == "sea"
+
+
+# --- streams that must not count twice, or lose what comes late ------------------
+
+
+def test_a_batch_that_dies_is_written_once(spark, tmp_path):
+    from albumen.streaming import ingest
+
+    folder, sink = tmp_path / "in", ingest.OnceSink(spark, str(tmp_path / "table"))
+    folder.mkdir()
+    (folder / "a.json").write_text("1")
+    died = []
+
+    def apply(batch, number):
+        if number == 1 and not died:  # rows are there, their mark isn't
+            died.append(True)
+            batch.unionByName(batch).write.mode("overwrite").parquet(f"{sink.path}/data/batch={number}")
+            raise RuntimeError("lost")
+        sink.write(batch, number)
+
+    def run():
+        ingest.run_stream(ingest.sidecar_stream(spark, str(folder)), apply, str(tmp_path / "cp")).awaitTermination()
+
+    schema = "path string, name string, uuid string, raw string"
+    assert sink.read(schema).count() == 0
+    run()
+    (folder / "b.json").write_text("2")
+    with pytest.raises(Exception, match="lost"):
+        run()
+    assert [r["raw"] for r in sink.read(schema).collect()] == ["1"]
+    run()
+    assert sorted(r["raw"] for r in sink.read(schema).collect()) == ["1", "2"]
+    run()
+    sink.write(sink.read(schema), 1)
+    assert sorted(r["raw"] for r in sink.read(schema).collect()) == ["1", "2"] and sink.committed() == [0, 1]
+
+
+def test_late_early_and_missing_companions(spark, tmp_path):
+    from albumen.streaming import ingest
+
+    def put(name, rows, column):
+        spark.createDataFrame(rows, f"k long, {column} string").withColumn(column, F.col(column).cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    day = lambda n: f"2024-01-{n:02d}"
+    put("records", [(1, day(1)), (2, day(2)), (3, day(3)), (None, day(3))], "at")
+    put("files", [(1, day(1)), (4, day(3)), (None, day(3))], "file_at")
+    read = lambda name, c: spark.readStream.schema(f"k long, {c} timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+
+    def run():
+        out = ingest.late_companions(read("records", "at"), read("files", "file_at"), "k", "at", "file_at", "5 days")
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.schema("k long, at timestamp, file_at timestamp").parquet(str(tmp_path / "out"))
+        return sorted(((r["k"], r["file_at"] and r["file_at"].day) for r in got.collect()), key=str)
+
+    assert run() == [(1, 1)]
+    put("records", [(4, day(5))], "at")  # its file was there before
+    put("files", [(2, day(6)), (2, day(7)), (3, day(9))], "file_at")  # late, a second one, and one that is too late
+    assert run() == [(1, 1), (2, 6), (2, 7), (4, 3)]
+    put("records", [(9, day(30))], "at")
+    put("files", [(8, day(30))], "file_at")
+    assert run() == [(1, 1), (2, 6), (2, 7), (3, None), (4, 3), (None, None)]  # 3 and the row without a key never had one
