@@ -52,6 +52,10 @@ FROM nation""",
   CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE concat(' Town ', CAST(doc_id % 30 AS VARCHAR(9))) END AS city,
   CASE WHEN doc_id % 5 > 1 THEN concat('Land ', CAST(doc_id % 5 AS VARCHAR(9))) END AS country
 FROM documents WHERE doc_id % 2 = 0""",
+    "fx_more_places": """SELECT doc_id AS asset_id, CASE WHEN doc_id % 8 = 0 THEN '' ELSE concat('Spot ', CAST(doc_id % 40 AS VARCHAR(9))) END AS name,
+  concat('D', CAST(doc_id % 5 AS VARCHAR(9))) AS cc, CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE concat('Town ', CAST(doc_id % 30 AS VARCHAR(9))) END AS city,
+  CASE WHEN doc_id % 5 > 1 THEN concat('Land ', CAST(doc_id % 5 AS VARCHAR(9))) END AS country
+FROM documents WHERE doc_id % 7 < 5""",
     "fx_results": """SELECT doc_id AS asset_id, concat('new description ', CAST(doc_id AS VARCHAR(20))) AS description,
   '["x","y","x"]' AS tags FROM documents WHERE doc_id % 5 = 0""",
     "fx_edits": """SELECT doc_id AS asset_id,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .fixtures import table, with_views
 from .functions import textcols as tc
-from .operators import catalog, geo, ingest, merge, names, replies, search, snapshots, stats
+from .operators import catalog, geo, ingest, layers, merge, names, replies, search, snapshots, stats
 from .operators.textindex import GramIndex, TextIndex
 from .plans import work
 from .sources import tables
@@ -682,6 +682,46 @@ def apply_corrections(t):
     return good.select("asset_id", "persons", "tags", "description", *PLACE)
 
 
+@query("""
+WITH e AS (SELECT asset_id, CASE WHEN tags IS NOT NULL THEN '["' || d.lang || '","new tag"]' END AS tags, description, place_name,
+    nullif(trim(regexp_replace(place_name, '\\s+', ' ', 'g')), '') AS place FROM fx_corrections JOIN documents d ON d.doc_id = asset_id),
+x AS (SELECT a.*, e.asset_id IS NOT NULL AS has_edit, e.tags AS e_tags, e.description AS e_desc, coalesce(e.place_name IS NOT NULL, false) AS e_given, e.place AS e_place, r.asset_id IS NOT NULL AS has_result, r.description AS r_desc, r.tags AS r_tags,
+    p.name AS p_name, nullif(trim(p.city), '') AS p_city, p.country AS p_country, p.cc AS p_cc FROM fx_assets a LEFT JOIN e USING (asset_id) LEFT JOIN fx_results r USING (asset_id)
+    LEFT JOIN (SELECT * FROM fx_more_places WHERE name <> '') p USING (asset_id)),
+y AS (SELECT *, e_place IS NOT NULL AS typed, p_name IS NOT NULL AND CASE WHEN e_given THEN e_place IS NULL AND asset_id % 3 = 0 ELSE place_source IS DISTINCT FROM 'manual' END AS dumped FROM x)
+SELECT v.arrival, asset_id, CASE WHEN e_tags IS NOT NULL THEN e_tags WHEN has_result THEN r_tags ELSE tags END AS tags,
+  CASE WHEN e_desc IS NOT NULL THEN nullif(substr(regexp_replace(e_desc, '^\\s+|\\s+$', '', 'g'), 1, 4000), '') WHEN has_result AND edited_fields = '[]' THEN r_desc ELSE description END AS description,
+  CASE WHEN has_result THEN 1 ELSE state END AS state,
+  CASE WHEN typed THEN e_place WHEN dumped THEN p_name WHEN NOT e_given THEN place_name END AS place_name, CASE WHEN typed THEN 'manual' WHEN dumped THEN 'apple' WHEN NOT e_given THEN place_source END AS place_source,
+  CASE WHEN NOT typed AND NOT dumped AND NOT e_given THEN place_aoi END AS place_aoi, CASE WHEN typed THEN NULL WHEN dumped THEN p_city WHEN NOT e_given THEN place_city END AS place_city,
+  CASE WHEN NOT typed AND NOT dumped AND NOT e_given THEN place_state END AS place_state, CASE WHEN typed THEN NULL WHEN dumped THEN p_country WHEN NOT e_given THEN place_country END AS place_country,
+  CASE WHEN typed THEN NULL WHEN dumped THEN p_cc WHEN NOT e_given THEN place_country_code END AS place_country_code
+FROM y, (VALUES ('edits first'), ('edits last, compacted between')) v(arrival)""")
+def layered_state(t):
+    """A base with results, two place dumps and edits as deltas, merged when read. The same deltas
+    arrive in two orders, once with a compaction between; the later dump is newer than the edits
+    for a third of the rows."""
+    a = t("fx_assets")
+    stamp = lambda day: F.lit(f"2024-05-{day:02d}")
+    edits = t("fx_corrections").select("asset_id", "tags", "description", "place_name", stamp(10).alias("at"))
+    results = t("fx_results").withColumn("at", stamp(20))
+    old = t("fx_more_places").withColumns({"name": F.concat(F.lit("older "), F.col("name")), "at": stamp(1)})
+    new = t("fx_more_places").withColumn("at", F.when(F.col("asset_id") % 3 == 0, stamp(15)).otherwise(stamp(5)))
+    out = None
+    for arrival in ("edits first", "edits last, compacted between"):
+        spark, path = _place(t, "layers")
+        table_ = layers.LayeredTable(spark, path, "asset_id")
+        table_.create(a)
+        adds = [lambda x=table_: x.add_edits(edits), lambda x=table_: x.add_places(new), lambda x=table_: x.add_results(results), lambda x=table_: x.add_places(old.where("name <> 'older '"))]
+        for i, add in enumerate(adds if arrival == "edits first" else adds[::-1]):
+            add()
+            if i == 2 and arrival != "edits first":
+                table_.compact()
+        now = table_.read().select(F.lit(arrival).alias("arrival"), "asset_id", "tags", "description", "state", *PLACE)
+        out = now if out is None else out.unionByName(now)
+    return out
+
+
 @query("""SELECT asset_id, 'bad date' AS reason FROM fx_edits WHERE date = '2001-02-30'""")
 def rejected_edits(t):
     return merge.apply_edits(t("fx_assets"), t("fx_edits"), "asset_id")[1].select("asset_id", "reason")

@@ -112,3 +112,79 @@ def test_late_early_and_missing_companions(spark, tmp_path):
     put("records", [(9, day(30))], "at")
     put("files", [(8, day(30))], "file_at")
     assert run() == [(1, 1), (2, 6), (2, 7), (3, None), (4, 3), (None, None)]  # 3 and the row without a key never had one
+
+
+# --- a table that is merged when it is read ---------------------------------------
+
+
+COLS = "k long, description string, tags string, persons string, date string, state int, place_name string, place_source string, place_city string, edited_fields string"
+
+
+def replayed(base, events):
+    """One row after its events in the order of their time, by plain rules."""
+    row = dict(base)
+    protected = set(json.loads(row["edited_fields"]))
+    for at, kind, values in sorted(events, key=lambda e: e[0]):
+        if kind == "edit":
+            for f, v in values.items():
+                if v is None:
+                    continue
+                row[f] = v or None if f in ("description", "place_name") else v
+                if f == "place_name":
+                    row["place_source"], row["place_city"] = ("manual" if v else None), None
+                protected.add(f)
+        elif kind == "dump" and row["place_source"] != "manual" and values["name"]:
+            row["place_name"], row["place_source"], row["place_city"] = values["name"], "apple", values["city"]
+        elif kind == "result":
+            row["state"] = 1
+            row |= {f: v for f, v in values.items() if f not in protected}
+    row["edited_fields"] = json.dumps(sorted(protected), separators=(",", ":")) if protected != set(json.loads(base["edited_fields"])) else base["edited_fields"]
+    return row
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_layers_in_any_order(spark, tmp_path, seed):
+    from albumen.operators.layers import LayeredTable
+
+    rng = random.Random(seed)
+    names = [c.split()[0] for c in COLS.split(", ")]
+    base = [(k, f"d{k}", '["t"]', "[]", "2000-01-01", 0, "Old", rng.choice(["manual", "nearby", None]), "Town", rng.choice(["[]", '["description"]'])) for k in range(40)]
+    times = iter(rng.sample(range(1000), 400))
+    at = lambda n: f"2024-01-01 00:{n // 60:02d}:{n % 60:02d}"
+    events = []
+    for k in range(45):  # the last five aren't in the base
+        for _ in range(rng.randint(0, 6)):
+            n, kind = next(times), rng.choice(["edit", "dump", "result"])
+            if kind == "edit":
+                values = {"description": rng.choice([None, "", f"typed {n}"]), "tags": rng.choice([None, f'["e{n}"]']), "place_name": rng.choice([None, "", f"P {n}"]), "date": rng.choice([None, "2001-02-03"])}
+            elif kind == "dump":
+                values = {"name": rng.choice(["", f"D {n}"]), "city": rng.choice([None, f"C {n}"])}
+            else:
+                values = {"description": f"model {n}", "tags": f'["m{n}"]'}
+            events.append((k, n, kind, values))
+    rng.shuffle(events)
+    table = LayeredTable(spark, str(tmp_path / "t"), "k")
+    table.create(spark.createDataFrame(base, COLS))
+
+    def deliver(part):
+        for kind, add, schema in (("edit", table.add_edits, "k long, at string, description string, tags string, place_name string, date string"), ("dump", table.add_places, "k long, at string, name string, city string"), ("result", table.add_results, "k long, at string, description string, tags string")):
+            rows = [(k, at(n), *v.values()) for k, n, kd, v in part if kd == kind]
+            if rows:
+                add(spark.createDataFrame(rows, schema))
+
+    deliver(events[:60])
+    table.compact()
+    deliver(events[60:])
+    deliver(events[:80])  # some come twice
+    want = {}
+    for r in base:
+        row = replayed(dict(zip(names, r, strict=True)), [(n, kd, v) for k, n, kd, v in events if k == r[0]])
+        want[r[0]] = tuple(row[c] for c in names)
+    shown = lambda: {r["k"]: tuple(r) for r in table.read().collect()}
+    assert shown() == want
+    table.compact()
+    assert shown() == want and not table._delta_paths()
+    late = (41, f"d{41}", "[]", "[]", "2000-01-01", 0, None, None, None, "[]")
+    table.add_rows(spark.createDataFrame([late, (0, *late[1:])], COLS))
+    row = replayed(dict(zip(names, late, strict=True)), [(n, kd, v) for k, n, kd, v in events if k == 41])
+    assert shown() == want | {41: tuple(row[c] for c in names)}  # what waited applies; a known key stays
