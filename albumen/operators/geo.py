@@ -1,13 +1,16 @@
-"""Nearest-neighbour and gazetteer place resolution on grids, and location summaries."""
+"""Nearest-neighbour and gazetteer place resolution on grids and trees, and location summaries."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import textcols as tc
+from .spatial import KdTree
 
 GRID = 0.01
 METRES_PER_DEGREE = 111320.0
@@ -58,42 +61,42 @@ def revert_nearby(df: DataFrame) -> DataFrame:
     return df.withColumns({"place_name": F.when(~borrowed, F.col("place_name")), "place_source": F.when(~borrowed, F.col("place_source"))})
 
 
-def nearest_lookup(points: DataFrame, gazetteer: DataFrame, lat: str, lon: str, carried: list[str], sizes: tuple[float, ...] = (1.0, 8.0, 32.0)) -> DataFrame:
+#: Gazetteer entries whose tree is broadcast at once; a larger one is looked through in parts.
+ENTRIES = 1_000_000
+
+
+def nearest_lookup(points: DataFrame, gazetteer: DataFrame, lat: str, lon: str, carried: list[str], entries: int = ENTRIES) -> DataFrame:
     """points with the nearest gazetteer entry of each distinct coordinate, by great-circle
-    distance. Cells are cubes of the unit sphere's space, so nothing ends at the poles or at
-    180 degrees; a ring is a spot's cube and those around it. Rings of `sizes` degrees widen:
-    an answer stands where it is nearer than anything outside the ring can be; the last
-    ring holds the whole sphere and is asked only by spots with nothing nearer.
-    gazetteer: lat, lon and the carried columns, of which the first breaks ties."""
-    spots = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(lat).alias("a"), F.col(lon).alias("o")).distinct()
-    entry = F.struct(*[F.col(c).alias(f"v_{c}") for c in carried]).alias("e")
-    towns = gazetteer.select(F.col("lat").alias("ta"), F.col("lon").alias("to"), entry)
-
-    def arc() -> Column:
-        d = lambda c: F.radians(c)
-        h = F.pow(F.sin(d(F.col("ta") - F.col("a")) / 2), 2) + F.cos(d(F.col("a"))) * F.cos(d(F.col("ta"))) * F.pow(F.sin(d(F.col("to") - F.col("o")) / 2), 2)
-        return 2 * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
-
-    def cube(a: str, o: str, side: float) -> list[Column]:
-        up, along = F.radians(F.col(a)), F.radians(F.col(o))
-        return [F.floor(v / side).cast("long").alias(n) for n, v in (("x", F.cos(up) * F.cos(along)), ("y", F.cos(up) * F.sin(along)), ("z", F.sin(up)))]
-
-    state = spots
-    for side in (*(2 * math.sin(math.radians(min(s, 180.0)) / 2) for s in sizes), 2.0):
-        mine = cube("a", "o", side)
-        steps = F.array(*[F.struct(*[(c + d).alias(n) for c, d, n in zip(mine, (i, j, k), "xyz", strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-        new = F.when(F.col("d").isNotNull(), F.struct("d", "e"))
-        if "sure" in state.columns:
-            # Spots that are sure keep their answer; they ask for a cube that doesn't exist.
-            none = F.struct(F.xxhash64("a", "o").alias("x"), F.lit(1 << 40).alias("y"), F.lit(0).cast("long").alias("z"))
-            steps = F.when(F.col("sure"), F.array(none)).otherwise(steps)
-            new = F.when(F.col("sure"), F.col("b")).otherwise(new)
-        asked = state.withColumn("r", F.explode(steps)).select(*state.columns, "r.x", "r.y", "r.z")
-        best = asked.join(towns.select("*", *cube("ta", "to", side)), ["x", "y", "z"], "left").withColumn("d", arc())
-        # Anything outside the ring is farther than a side away, in a straight line.
-        near = 2 * F.sin(F.col("b.d") / 2) <= side * (1 - 1e-9)
-        state = best.groupBy("a", "o").agg(F.min(new).alias("b")).withColumn("sure", F.coalesce(near, F.lit(False)))
-    found = state.where("b is not null").select(F.col("a").alias(lat), F.col("o").alias(lon), *[F.col(f"b.e.v_{c}").alias(c) for c in carried])
+    distance, at the poles and across 180 degrees too. gazetteer: lat, lon and the carried
+    columns, which break ties in their order; entries without a coordinate are left out.
+
+    The gazetteer becomes a k-d tree of the sphere's points, broadcast to the tasks, which
+    search it for a batch of spots at once. One of over `entries` rows is split by a hash, one
+    tree after the other, and the nearest of all stands: spots meet no other rows than those
+    that a tree can't rule out."""
+    spark = points.sparkSession
+    spots = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(lat).cast("double").alias("a"), F.col(lon).cast("double").alias("o")).distinct()
+    towns = gazetteer.where("lat is not null and lon is not null").select(F.col("lat").cast("double").alias("__lat"), F.col("lon").cast("double").alias("__lon"), *carried)
+    parts = max(1, -(-towns.count() // entries))
+    found = None
+    for i in range(parts):
+        part = towns if parts == 1 else towns.where(F.pmod(F.xxhash64("__lat", "__lon", *carried), F.lit(parts)) == i)
+        held = part.orderBy(*carried, "__lat", "__lon").toArrow()
+        tree = spark.sparkContext.broadcast(KdTree(held.column("__lat").to_numpy(), held.column("__lon").to_numpy()))
+
+        def search(batches: Iterator[pa.RecordBatch], tree=tree) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, far = tree.value.nearest(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at), pa.array(far)], names=["a", "o", "i", "far"])
+
+        numbered = held.drop_columns(["__lat", "__lon"]).append_column("__i", pa.array(range(held.num_rows), pa.int64()))
+        names = spark.createDataFrame(numbered).withColumnsRenamed({c: f"v_{c}" for c in carried})
+        one = spots.mapInArrow(search, "a double, o double, i long, far double").join(F.broadcast(names), F.col("i") == F.col("__i")).select("a", "o", "far", *[f"v_{c}" for c in carried])
+        found = one if found is None else found.unionByName(one)
+    if parts > 1:
+        best = F.min(F.struct("far", *[f"v_{c}" for c in carried])).alias("b")
+        found = found.groupBy("a", "o").agg(best).select("a", "o", "b.*")
+    found = found.select(F.col("a").alias(lat), F.col("o").alias(lon), *[F.col(f"v_{c}").alias(c) for c in carried])
     return points.join(found, [lat, lon], "left")
 
 
