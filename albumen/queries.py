@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .fixtures import table, with_views
 from .functions import textcols as tc
-from .operators import catalog, geo, ingest, layers, merge, names, replies, search, snapshots, stats
+from .operators import catalog, geo, ingest, kept, layers, merge, names, replies, search, snapshots, stats
 from .operators.textindex import GramIndex, TextIndex
 from .plans import work
 from .sources import tables
@@ -168,6 +168,18 @@ def detail_by_key(t):
     return search.by_key(t("fx_assets"), "asset_id", 42).select("asset_id", "state", "persons")
 
 
+LINES = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+
+
+@query(f"""SELECT {', '.join(LINES)} FROM lineitem ORDER BY l_shipdate DESC, {', '.join(LINES[1:])} LIMIT 20 OFFSET ((SELECT count(*) FROM lineitem) // 30) * 20""")
+def deep_page(t):
+    """A page two thirds into the table, found by the counts of its ranges."""
+    order = [F.col("l_shipdate").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in LINES[1:]]]
+    kept_ = kept.OrderedTable(*_place(t, "ordered"), order)
+    kept_.write(t("lineitem").select(*LINES), 50)
+    return kept_.page(kept_.total() // 30 + 1, 20)[0]
+
+
 @query("""SELECT asset_id FROM fx_assets WHERE gps_lat IS NULL ORDER BY asset_id LIMIT 50""")
 def missing_coordinates(t):
     return t("fx_assets").where(~search.has_coordinates()).select("asset_id").orderBy("asset_id").limit(50)
@@ -547,6 +559,19 @@ def _old_new(t):
 DIFF = "d AS (SELECT n.o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'new' ELSE 'changed' END AS kind, strftime(n.o_orderdate, '%Y') AS year FROM orders n LEFT JOIN fx_orders_old o USING (o_orderkey) WHERE o.o_orderkey IS NULL OR n.o_orderstatus IS DISTINCT FROM o.o_orderstatus OR n.o_custkey IS DISTINCT FROM o.o_custkey)"
 
 
+@query(f"WITH {DIFF} SELECT o_orderkey, kind FROM d UNION ALL SELECT o_orderkey, 'reverted' FROM orders WHERE o_orderkey % 1000 = 1")
+def diff_by_digests(t):
+    """Snapshots in buckets: the older diff, and one of few rows, for which few buckets are read."""
+    old, new = _old_new(t)
+    new = new.select("o_orderkey", "changekey")
+    spark, tag = new.sparkSession, f"albumen_{uuid.uuid4().hex}"
+    later = new.withColumn("changekey", F.when(F.col("o_orderkey") % 1000 == 1, "other").otherwise(F.col("changekey")))
+    for name, df in (("old", old), ("new", new), ("later", later)):
+        kept.write_bucketed(df, f"{tag}_{name}", "o_orderkey", buckets=32)
+    few = kept.diff_bucketed(spark, f"{tag}_new", f"{tag}_later", "o_orderkey").where("kind = 'changed'").select("o_orderkey", F.lit("reverted").alias("kind"))
+    return kept.diff_bucketed(spark, f"{tag}_old", f"{tag}_new", "o_orderkey").unionByName(few)
+
+
 @query("""SELECT o.o_orderkey, strftime(o_orderdate, '%Y') AS year, coalesce(n, 0) AS lines, coalesce(r, 0) AS returns FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1) l ON l.l_orderkey = o.o_orderkey""")
 def build_manifest(t):
     li = t("lineitem")
