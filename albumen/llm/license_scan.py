@@ -19,7 +19,6 @@ from .license_texts import NOTICES, VARIANTS
 COVERAGE = 0.9
 STRETCH = 1.5  # a match may lie in at most so many template lengths of text
 SHORT = 40  # words of a template up to which every place of its first words is tried
-GAP = 4096  # cells of a gap without anchors that is still aligned
 RUN = 1 << 20
 
 
@@ -50,8 +49,8 @@ def _grams(x: list[int], size: int) -> list[tuple[int, ...]]:
 
 def _anchors(text: list[int], notice: list[int]) -> list[tuple[int, int]]:
     """Longest increasing sequence of places of words that occur once in both; where no
-    word does, of runs of two or three words; in a small gap without those either, the
-    longest common subsequence."""
+    word does, of runs of two or three words; in a gap without those either, the longest common
+    subsequence."""
     for size in (1, 2, 3):
         t, n = _grams(text, size), _grams(notice, size)
         once, mine = Counter(t), Counter(n)
@@ -64,24 +63,32 @@ def _anchors(text: list[int], notice: list[int]) -> list[tuple[int, int]]:
                 if p > out[-1][0] and q > out[-1][1]:
                     out.append((p, q))
             return out
-    return _common(text, notice) if len(text) * len(notice) <= GAP else []
+    return _common(text, notice)
 
 
 def _common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
+    """A longest common subsequence. A row of the table is one integer, whose bit j is 0 where
+    b[j] makes the subsequence of a's words so far one longer: a row costs a few operations
+    on all bits at once, so gaps of thousands of words need no bound."""
+    where: dict[int, int] = {}
+    for j, w in enumerate(b):
+        where[w] = where.get(w, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    rows, row = [], full
+    for w in a:
+        hit = row & where.get(w, 0)
+        row = ((row + hit) | (row - hit)) & full
+        rows.append(row)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
         else:
-            j += 1
-    return out
+            i -= 1
+            if not (i and not rows[i - 1] >> (j - 1) & 1):
+                j -= 1
+                out.append((i, j))
+    return out[::-1]
 
 
 def align(text: list[int], notice: list[int]) -> list[tuple[int, int]]:
@@ -193,7 +200,8 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", notices: tup
     0 where none does), begin_word and end_word of the place, n_licenses (by name).
 
     Words are ASCII letters and digits and all else beyond ASCII, in lower case. Whole texts
-    are read. Each place where a notice may begin is aligned on its own, so a notice that is
+    are read. Each place where a notice may begin is aligned on its own (for notices of up to SHORT
+    words, every place of their first words; a match lies in at most STRETCH times a notice's words), so a notice that is
     repeated, or lies in a long text, is found as in a short one. A notice's numbers and the
     words that tell its variants apart must all be found, and none of another variant may
     lie between. Null and empty texts have no license; a null doc_id stays null; rows that
