@@ -101,7 +101,7 @@ def fit(docs: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, n_grades
     """Full-batch Adam on the weighted log-likelihood of the cumulative-link model. Grades
     without documents leave their threshold at its prior place; without documents at all
     the model gives every text the same score. Words of fewer than least_docs documents
-    have no weight, unless the sample is small. Every text has its shape features."""
+    have no weight, at every size of the sample. Every text has its shape features."""
     size = _SHAPE + _SHAPES * _BUCKETS
     w = np.zeros(size)
     step = np.full(n_grades - 1, 1.0)  # gaps of the thresholds, kept positive through exp
@@ -109,9 +109,8 @@ def fit(docs: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, n_grades
     step[1:] = 0.0
     if not len(docs):
         return Ordinal(w, np.concatenate(([step[0]], step[0] + np.cumsum(np.exp(step[1:])))))
-    if len(docs) >= 20 * least_docs:
-        common = np.bincount(np.concatenate(docs), minlength=size) >= least_docs
-        docs = [np.append(d[common[d] & (d < _SHAPE)], d[d >= _SHAPE]) for d in docs]
+    common = np.bincount(np.concatenate(docs), minlength=size) >= least_docs
+    docs = [np.append(d[common[d] & (d < _SHAPE)], d[d >= _SHAPE]) for d in docs]
     flat = np.concatenate(docs)
     at = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
     row = np.repeat(np.arange(len(docs)), np.diff(at))
