@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .fixtures import table, with_views
 from .functions import textcols as tc
-from .operators import catalog, geo, ingest, kept, layers, merge, names, replies, search, snapshots, stats
+from .operators import catalog, clusters, geo, ingest, kept, layers, merge, names, replies, search, snapshots, stats
 from .operators.textindex import GramIndex, TextIndex
 from .plans import work
 from .sources import tables
@@ -845,6 +845,13 @@ def cluster_points(t):
     return geo.cluster_points(t("fx_assets"), 4).select("gx", "gy", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "size")
 
 
+@query()
+def map_clusters(t):
+    """Greedy clusters from zoom 18 up to 4; beyond SQL, and tested against a plain loop."""
+    out = clusters.map_clusters(t("fx_assets"), "asset_id", 4, _place(t, "clusters")[1])
+    return out.select("id", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), "n", "size")
+
+
 # --- relational catalogue ----------------------------------------------------------------
 
 
