@@ -6,9 +6,12 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,57 @@ from . import search
 from .snapshots import _fs
 
 LENGTH_CLASSES = 16
+_POSTINGS = "term string, col string, block int, n int, most int, least int, keys array<{kind}>, lens array<int>, places array<array<int>>"
+
+
+def _starts(columns: list[pa.Array]) -> np.ndarray:
+    """Rows at which one of the columns differs from the row before."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        a, b = c.slice(1), c.slice(0, len(c) - 1)
+        differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+        new[1:] |= differ | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+    return np.flatnonzero(new)
+
+
+def _posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens in the order of (bucket, term, col, block, key, pos) as rows of one block each. The last
+    block of a batch waits for the next one; a block is bounded, so this holds little."""
+
+    def lists(starts: np.ndarray, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
+
+    def rows(t: dict[str, pa.Array], groups: np.ndarray) -> pa.RecordBatch:
+        ones = np.union1d(_starts([t["key"]]), groups)
+        first = np.searchsorted(ones, groups)
+        tf = np.diff(np.append(ones, len(t["key"]))).astype(np.int32)
+        keys, lens = t["key"].take(pa.array(ones)), t["len"].take(pa.array(ones))
+        heads = {c: t[c].take(pa.array(groups)) for c in ("term", "col", "block", "bucket")}
+        out = {
+            "term": heads["term"], "col": heads["col"], "block": heads["block"],
+            "n": pa.array(np.diff(np.append(first, len(ones))), pa.int32()),
+            "most": pa.array(np.maximum.reduceat(tf, first)),
+            "least": pa.array(np.minimum.reduceat(lens.to_numpy(), first)),
+            "keys": lists(first, keys), "lens": lists(first, lens), "places": lists(first, lists(ones, t["pos"])),
+            "bucket": heads["bucket"],
+        }
+        return pa.RecordBatch.from_pydict(out)
+
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+        columns = {c: table.column(c).chunk(0) for c in table.column_names}
+        groups = _starts([columns[c] for c in ("bucket", "term", "col", "block")])
+        end = int(groups[-1])
+        if end:
+            yield rows({c: x.slice(0, end) for c, x in columns.items()}, groups[:-1])
+        held = table.slice(end)
+    if held is not None:
+        yield rows({c: x.chunk(0) if x.num_chunks == 1 else x.combine_chunks() for c, x in zip(held.column_names, held.columns, strict=True)}, np.zeros(1, np.int64))
 
 
 class TextIndex:
@@ -61,8 +115,7 @@ class TextIndex:
 
     def _read(self, segment: dict, table: str) -> DataFrame:
         kind = segment["type"]
-        lists = f"term string, col string, block int, n int, most int, least int, keys array<{kind}>, lens array<int>, places array<array<int>>, bucket int"
-        schema = {"docs": f"key {kind}, len int", "gone": f"key {kind}", "postings": lists}[table]
+        schema = {"docs": f"key {kind}, len int", "gone": f"key {kind}", "postings": _POSTINGS.format(kind=kind) + ", bucket int"}[table]
         return self.spark.read.schema(schema).parquet(f"{self.path}/segments/{segment['name']}/{table}")
 
     # --- writing
@@ -110,12 +163,10 @@ class TextIndex:
 
         bucket, shard = self._bucket(F.col("term")), F.pmod("block", F.lit(self.shards))
         rows = tokens(block).withColumns({"bucket": bucket, "shard": shard}).repartition("bucket", "shard")
-        one = ["bucket", "shard", "term", "col", "block"]
-        rows = rows.groupBy(*one, "key").agg(F.array_sort(F.collect_list("pos")).alias("places"), F.first("len").alias("len"))
-        rows = rows.groupBy(*one).agg(F.array_sort(F.collect_list(F.struct("key", "len", "places"))).alias("p"))
-        lists = {"keys": F.col("p.key"), "lens": F.col("p.len"), "places": F.col("p.places")}
-        rows = rows.select(*one, F.size("p").alias("n"), F.array_max(F.transform("p", lambda x: F.size(x["places"]))).alias("most"), F.array_min("p.len").alias("least"), *[v.alias(k) for k, v in lists.items()])
-        rows.drop("shard").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{at}/postings")
+        rows = rows.sortWithinPartitions("bucket", "term", "col", "block", "key", "pos").select("bucket", "term", "col", "block", "key", "pos", "len")
+        kind = dict(kept.dtypes)["key"]
+        rows = rows.mapInArrow(_posting_rows, _POSTINGS.format(kind=kind) + ", bucket int")
+        rows.write.partitionBy("bucket").parquet(f"{at}/postings")
         return {"name": name, "docs": size["docs"], "tokens": size["tokens"], "blocks": each * LENGTH_CLASSES, "type": dict(kept.dtypes)["key"]}
 
     def compact(self) -> None:
@@ -231,7 +282,8 @@ class TextIndex:
         least = [r["score"] for r in best.collect()]
         floor = -least[-1] if len(least) == size else 0.0
         rest = bounds.where(F.col("bound") >= floor).join(F.broadcast(named(lead)), ["segment", "block"], "left_anti").select("segment", "block")
-        count, more = bounds.count(), rest.count()
+        count, reach = bounds.agg(F.count("*"), F.count_if(F.col("bound") >= floor)).first()
+        more = reach - sum(r["bound"] >= floor for r in lead)
         if more:
             best = best.unionByName(self._ranked(segments, words, rest, known)).orderBy("score", "key").limit(size)
         return best, {"blocks": count, "read": len(lead) + more}
