@@ -114,7 +114,10 @@ class Codebooks:
 
 def _matrix(column: pa.Array, kind=np.int64) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(kind).reshape(len(column), len(flat) // max(1, len(column)))
+    width = len(flat) // max(1, len(column))
+    if (np.diff(column.offsets.to_numpy()) != width).any():
+        raise ValueError("vectors must have one length")
+    return flat.astype(kind).reshape(len(column), width)
 
 
 def integer_vectors(df: DataFrame, vec_id: str, vector: str, label: str | None, scale: int, parts: int) -> DataFrame:
@@ -153,6 +156,8 @@ def _search(books: list[np.ndarray]):
     width = books[0].shape[1]
 
     def assign(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if v.shape[1] != width * len(books):
+            raise ValueError("vectors must have one length")
         found = [t.nearest(v[:, p * width : (p + 1) * width]) for p, t in enumerate(trees)]
         return np.stack([f[0] for f in found], axis=1), np.stack([f[1] for f in found], axis=1)
 

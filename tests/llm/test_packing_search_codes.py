@@ -291,3 +291,37 @@ def test_vector_codes_of_few_rows(spark):
     assert [r["code"] for r in vector_codes.compress(empty)[0].collect()] == ["00" * 8] * 2
     with pytest.raises(Exception, match="one length"):
         vector_codes.compress(spark.createDataFrame([(1, 1, [0.5] * 8), (2, 1, [0.5] * 7)], schema))
+    with pytest.raises(Exception, match="one length"):  # each in a batch of its own
+        vector_codes.compress(spark.createDataFrame([(1, 1, [0.5] * 8), (2, 1, [0.5] * 16)], schema).repartition(2, "vec_id"))[0].count()
+
+
+# --- the registered queries ------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op12_ranked_search", "op13_vector_codes"])
+def test_query_equals_sql(spark, data, name):
+    import os
+
+    import duckdb
+
+    from albumen.llm import queries
+
+    c = duckdb.connect()
+    for f in os.listdir(data):
+        c.sql(f"create view {f.removesuffix('.parquet')} as select * from '{data}/{f}'")
+    got = queries.queries()[name](spark, data)
+    want = c.sql(queries.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_packing_query(spark, data, tokenizer):
+    docs = {r["doc_id"]: [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    rows = packing.op11_packing(spark, data).collect()
+    sized = [r.asDict() | {"ids": docs[r["doc_id"]][r["start"] : r["start"] + r["length"]]} for r in rows]
+    assert check_pieces(sized, list(docs.items()), 1024) == 0
+    assert all(r["doc_tokens"] == len(docs[r["doc_id"]]) for r in rows)
+    covered = Counter()
+    for r in sorted(rows, key=lambda r: r["start"]):
+        assert r["start"] == covered[r["doc_id"]]
+        covered[r["doc_id"]] += r["length"]
