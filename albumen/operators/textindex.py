@@ -181,6 +181,19 @@ class TextIndex:
         docs.select("key").limit(0).write.parquet(f"{self.path}/segments/{name}/gone")
         self._commit([segment | {"key": old[-1]["key"], "cols": old[-1]["cols"], "replaces": False}])
 
+    def vacuum(self) -> int:
+        """Remove what the last commit doesn't list: earlier commits and their segments, and
+        segments of writers that died. Not beside a writer or a reader of an earlier commit.
+        Returns how many segments went."""
+        live = {s["name"] for s in self.segments()}
+        fs, p, _ = _fs(self.spark, f"{self.path}/segments")
+        old = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName() not in live] if fs.exists(p) else []
+        for n in self._commits()[:-1]:
+            fs.delete(_fs(self.spark, f"{self.path}/commits/{n}")[1], False)
+        for path in old:
+            fs.delete(path, True)
+        return len(old)
+
     # --- reading
 
     def _bucket(self, term: Column) -> Column:

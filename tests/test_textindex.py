@@ -64,6 +64,8 @@ def test_compaction_and_a_single_segment(spark, changed_index, tmp_path):
     assert len(index.segments()) == 1 and not index.segments()[0]["replaces"]
     assert rows(index.postings()) == rows(alone.postings())
     assert [(k, round(s, 9)) for k, s in rows(index.ranked("w0 w1"))] == [(k, round(s, 9)) for k, s in before]
+    assert index.vacuum() == 3 and index.vacuum() == 0
+    assert rows(index.postings()) == rows(alone.postings())
     keep = {k: index.segments()[0][k] for k in ("docs", "tokens", "blocks")}
     assert keep == {k: alone.segments()[0][k] for k in ("docs", "tokens", "blocks")}
 
