@@ -171,6 +171,8 @@ def train(rows: DataFrame, parts: int = 8, entries: int = 16, rounds: int = 6) -
     first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries).collect()
     if not first:
         return None
+    if len({len(r["v"]) for r in first}) > 1:
+        raise ValueError("vectors must have one length")
     seeds = np.array([r["v"] for r in first], dtype=np.int64)
     width = seeds.shape[1] // parts
     books = [seeds[:, p * width : (p + 1) * width].copy() for p in range(parts)]
@@ -268,7 +270,7 @@ def compress(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", l
     parts stay. Rows with a null or a repeated vec_id, and repeated rows, are rows like all
     others; null labels are one label. Other columns are not read. No rows give none, and
     no codebooks. Vectors of several lengths, of a length that parts don't divide, and
-    components too large for 64-bit distances are refused with a ValueError in the task.
+    components too large for 64-bit distances are refused with a ValueError.
 
     The integers are written once; each round reads them, and shuffles entries x width sums a
     task. Tasks hold one Arrow batch."""
