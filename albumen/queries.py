@@ -204,7 +204,7 @@ def _index(t, kind=TextIndex, source: str = "documents", key: str = "doc_id", co
     df = t(source)
     at = (df.sparkSession.sparkContext.applicationId, kind, source, *df.inputFiles()[:1])
     if at not in _kept:
-        index = kind(*_place(t, "index"))
+        index = kind(*_place(t, "index"), buckets=16)
         index.add(df, key, cols)
         _kept[at] = index
     return _kept[at]
