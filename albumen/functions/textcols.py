@@ -3,7 +3,7 @@ built-in expressions, so they stay inside generated code and fold into scans."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -141,16 +141,21 @@ def one_or_many(json: Column, path: str) -> Column:
     return F.filter(F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>")), lambda x: x.isNotNull())
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once a row: what stands outside of a function of elements
+    is worked out anew for each element."""
+    return F.transform(F.array(c), f)[0]
+
+
 def ordered_ci_distinct(a: Column) -> Column:
     """First spelling of each value, compared in lower case, order kept."""
-    low = F.transform(a, F.lower)
-    return F.filter(a, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    return once(a, lambda a: once(F.transform(a, F.lower), lambda low: F.filter(a, lambda x, i: low[i].isNotNull() & (F.array_position(low, low[i]) == i + 1))))
 
 
 def minus_ci(a: Column, gone: Column) -> Column:
     """Values whose trimmed lower case is not in gone; duplicates and spelling stay."""
     low = F.transform(gone, lambda x: F.lower(strip(x)))
-    return F.filter(a, lambda x: ~F.array_contains(low, F.lower(strip(x))))
+    return once(low, lambda low: F.filter(a, lambda x: ~F.array_contains(low, F.lower(strip(x)))))
 
 
 def clean_list(a: Column) -> Column:
