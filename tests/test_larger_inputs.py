@@ -2,9 +2,15 @@
 
 import time
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from albumen.functions import textcols as tc
+from albumen.queries import ORACLES, QUERIES
+
+from .test_oracles import rows
+
 
 def test_lists_take_time_by_their_length(spark):
     """What is taken away, and the lower-case list, are worked out once a row, not for each word."""
@@ -17,7 +23,32 @@ def test_lists_take_time_by_their_length(spark):
     assert got["clean"] == [f"Word{i}" for i in range(60)]
     assert time.time() - began < 20
 
+
 def test_lists_with_nulls(spark):
     df = spark.createDataFrame([(1, ["B", None, "b", "c"], ["C "]), (2, None, ["x"]), (3, ["x"], None)], "k int, a array<string>, gone array<string>")
     got = {r["k"]: (r["d"], r["m"]) for r in df.select("k", tc.ordered_ci_distinct(F.col("a")).alias("d"), tc.minus_ci(F.col("a"), F.col("gone")).alias("m")).collect()}
     assert got == {1: (["B", "c"], ["B", "b"]), 2: (None, None), 3: (["x"], [])}
+
+
+def against_sql(spark, folder, name):
+    """A query and its SQL on the tables of a folder."""
+    duck = duckdb.connect()
+    for f in folder.iterdir():
+        duck.sql(f"create view {f.name.removesuffix('.parquet')} as select * from '{f}/*.parquet'")
+    got, want = QUERIES[name](spark, str(folder)).toPandas(), duck.sql(ORACLES[name]).df()
+    assert rows(got) == rows(want)
+    return got
+
+
+@pytest.mark.parametrize(("n", "hidden"), [(50_000, True), (50_200, False)])
+def test_rows_without_a_file(spark, tmp_path, n, hidden):
+    """Up to 500 are hidden, more are shown."""
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), *[F.lit("x").alias(c) for c in ("text", "lang", "source")])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(against_sql(spark, tmp_path, "hide_few_rows_without_file")) == (n - 500 if hidden else n)
+
+
+def test_years_after_9999(spark, tmp_path):
+    events = spark.range(3_000_000, 3_000_020).select(F.col("id").alias("event_id"), F.lit('{"k": 1}').alias("props"))
+    events.unionByName(events.withColumn("event_id", F.col("event_id") % 100)).write.parquet(f"{tmp_path}/events.parquet")
+    assert set(against_sql(spark, tmp_path, "scalar_json_epoch")["year"]) == {"2001", "10214"}
