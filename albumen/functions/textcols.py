@@ -202,7 +202,10 @@ def seconds_2001(x: Column) -> Column:
 
 
 def year_2001(x: Column) -> Column:
-    return F.coalesce(F.date_format(seconds_2001(x), "yyyy"), F.lit("unknown"))
+    """Four digits, as many as it takes after 9999 (where the format would add a plus)."""
+    at = seconds_2001(x)
+    year = F.when(F.year(at) > 9999, F.year(at).cast("string")).otherwise(F.date_format(at, "yyyy"))
+    return F.coalesce(year, F.lit("unknown"))
 
 
 def change_key(*cols: Column) -> Column:
