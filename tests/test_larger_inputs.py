@@ -52,3 +52,20 @@ def test_years_after_9999(spark, tmp_path):
     events = spark.range(3_000_000, 3_000_020).select(F.col("id").alias("event_id"), F.lit('{"k": 1}').alias("props"))
     events.unionByName(events.withColumn("event_id", F.col("event_id") % 100)).write.parquet(f"{tmp_path}/events.parquet")
     assert set(against_sql(spark, tmp_path, "scalar_json_epoch")["year"]) == {"2001", "10214"}
+
+
+def test_an_export_is_cut_by_its_files(spark, tmp_path):
+    """2,000 small files: not one task, and no process started for each."""
+    from albumen import queries
+
+    rows_ = spark.range(2000).select(F.col("id").alias("s_suppkey"), F.concat(F.lit("Größe "), F.col("id").cast("string")).alias("s_name"))
+    rows_.write.parquet(f"{tmp_path}/supplier.parquet")
+    table = lambda t: spark.read.parquet(f"{tmp_path}/{t}.parquet")
+    began = time.time()
+    queries._exported(table, f"file:{tmp_path}/a b", "true")
+    assert time.time() - began < 30
+    found = {f.parent.name: f.read_bytes() for f in (tmp_path / "a b").rglob("*") if f.is_file()}
+    assert len(found) == 2000
+    assert found["name=00000000-0000-0000-0000-000000000008.mov.json"].decode() == '{"EXIF:DateTimeOriginal":"2008:01:02 03:04:05","XMP:PersonInImage":"Größe 8"}\n'
+    got = queries._decoded(queries.ingest.read_sidecars(spark, f"file:{tmp_path}/a b", "*.txt", queries.FOLDERS)).count()
+    assert got == 2000
