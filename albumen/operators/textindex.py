@@ -6,7 +6,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -72,6 +72,62 @@ def _posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield rows({c: x.chunk(0) if x.num_chunks == 1 else x.combine_chunks() for c, x in zip(held.column_names, held.columns, strict=True)}, np.zeros(1, np.int64))
 
 
+Split = tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]
+
+
+def _words(lists: pa.ListArray) -> Split:
+    """Of lists of terms: each term's row, its place there, its code, and the terms by code."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    row = np.repeat(np.arange(len(lists)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    coded = lists.flatten().dictionary_encode()
+    return row, place.astype(np.int32), coded.indices.to_numpy(), coded.dictionary
+
+
+def _grams(texts: pa.Array) -> Split:
+    """The distinct grams of three characters of each text, in the same form; they have no places."""
+    each = []
+    for text in texts.to_pylist():
+        c = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.int64)
+        each.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]))
+    row = np.repeat(np.arange(len(each)), [len(g) for g in each])
+    found, code = np.unique(np.concatenate(each), return_inverse=True)
+    terms = ["".join(map(chr, (g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF))) for g in found.tolist()]
+    return row, np.zeros(len(row), np.int32), code, pa.array(terms, pa.string())
+
+
+def _block_rows(batches: Iterator[pa.RecordBatch], cols: Sequence[str], split: Callable[[pa.Array], Split]) -> Iterator[pa.RecordBatch]:
+    """Documents (key, len, block, t0, t1, ...) in the order of (block, key) as posting rows. A block that
+    lies in two batches has two rows a term; all that is read of them is added up."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block, lens = batch.column("block").to_numpy(), batch.column("len").to_numpy()
+        for i, col in enumerate(cols):
+            row, place, code, terms = split(batch.column(f"t{i}"))
+            if not len(row):
+                continue
+            order = np.argsort(code, kind="stable")
+            row, place, code = row[order], place[order], code[order]
+            change = np.ones(len(row), dtype=bool)
+            change[1:] = (code[1:] != code[:-1]) | (block[row[1:]] != block[row[:-1]])
+            groups = np.flatnonzero(change)
+            change[1:] |= row[1:] != row[:-1]
+            ones = np.flatnonzero(change)
+            first = np.searchsorted(ones, groups)
+            tf, held = np.diff(np.append(ones, len(row))).astype(np.int32), lens[row[ones]]
+            ends = pa.array(np.append(first, len(ones)), pa.int32())
+            places = pa.ListArray.from_arrays(pa.array(np.append(ones, len(row)), pa.int32()), pa.array(place))
+            out = {
+                "term": terms.take(pa.array(code[groups])), "col": pa.array([col]).take(pa.array(np.zeros(len(groups), np.int32))), "block": pa.array(block[row[groups]]),
+                "n": pa.array(np.diff(np.append(first, len(ones))), pa.int32()),
+                "most": pa.array(np.maximum.reduceat(tf, first)), "least": pa.array(np.minimum.reduceat(held, first)),
+                "keys": pa.ListArray.from_arrays(ends, batch.column("key").take(pa.array(row[ones]))),
+                "lens": pa.ListArray.from_arrays(ends, pa.array(held)), "places": pa.ListArray.from_arrays(ends, places),
+            }
+            yield pa.RecordBatch.from_pydict(out)
+
+
 class TextIndex:
     """An index below a folder that all executors share.
 
@@ -89,9 +145,17 @@ class TextIndex:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64, shards: int = 4, block: int = 128):
         self.spark, self.path, self.buckets, self.shards, self.block = spark, path.rstrip("/"), buckets, shards, block
 
+    TOKENS_A_TASK = 4_000_000
+    _split = staticmethod(_words)
+
     def _terms(self, c: Column) -> Column:
+        """What _split takes."""
         return search.terms(c)
 
+    def _size(self, terms: Column) -> Column:
+        """How much of a document's length _terms of one column are."""
+        return F.size(terms)
+
     # --- commits
 
     def _commits(self) -> list[int]:
@@ -116,7 +180,8 @@ class TextIndex:
     def _read(self, segment: dict, table: str) -> DataFrame:
         kind = segment["type"]
         schema = {"docs": f"key {kind}, len int", "gone": f"key {kind}", "postings": _POSTINGS.format(kind=kind) + ", bucket int"}[table]
-        return self.spark.read.schema(schema).parquet(f"{self.path}/segments/{segment['name']}/{table}")
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/segments/{segment['name']}/{table}")
+        return rows.where("len > 0") if table == "docs" else rows
 
     # --- writing
 
@@ -132,10 +197,16 @@ class TextIndex:
         gone = self.spark.read.parquet(f"{self.path}/segments/{name}/gone")
         if changed is None:
             changed = deleted.limit(0).select(F.col(key), *[F.lit("").alias(c) for c in cols])
-        size = reduce(lambda a, b: a + b, [F.coalesce(F.size(self._terms(F.col(c))), F.lit(0)) for c in cols]).cast("int")
-        sized = changed.withColumn("__len", size)
-        tokens = lambda docs: docs.select(F.col(key).alias("key"), F.col("__len").alias("len"), "block", F.explode(F.array(*[F.struct(F.lit(c).alias("col"), self._terms(F.col(c)).alias("terms")) for c in cols])).alias("c")).select("key", "len", "block", "c.col", F.posexplode("c.terms").alias("pos", "term"))
-        segment = self._segment(name, sized.select(F.col(key).alias("key"), F.col("__len").alias("len")), lambda block: tokens(sized.where("__len > 0").withColumn("block", block(F.col(key), F.col("__len")))))
+        names, split, kind = list(cols), self._split, dict(changed.dtypes)[key]
+        cells = changed.select(F.col(key).alias("key"), *[self._terms(F.col(c)).alias(f"t{i}") for i, c in enumerate(names)])
+        length = reduce(lambda a, b: a + b, [F.coalesce(self._size(F.col(f"t{i}")), F.lit(0)) for i in range(len(names))]).cast("int")
+        cells = cells.withColumn("len", length)
+
+        def rows(block, parts: int) -> DataFrame:
+            blocks = cells.withColumn("block", block(F.col("key"), F.col("len"))).repartition(parts, "block").sortWithinPartitions("block", "key")
+            return blocks.mapInArrow(lambda batches: _block_rows(batches, names, split), _POSTINGS.format(kind=kind))
+
+        segment = self._segment(name, cells.select("key", "len"), rows)
         segment |= {"key": key, "cols": list(cols), "replaces": not gone.isEmpty()}
         if segment["replaces"]:
             before = self._without(before, gone)
@@ -147,12 +218,13 @@ class TextIndex:
         lost = {r["segment"]: r for r in live.join(gone, "key", "left_semi").groupBy("segment").agg(F.count("*").alias("docs"), F.sum("len").alias("tokens")).collect()}
         return [s | {c: s[c] - (lost[i][c] if i in lost else 0) for c in ("docs", "tokens")} for i, s in enumerate(segments)]
 
-    def _segment(self, name: str, docs: DataFrame, tokens) -> dict:
-        """Write docs and postings; tokens(block) gives (key, len, block, col, pos, term), where
-        block(key, len) is the column of a document's block."""
+    def _segment(self, name: str, docs: DataFrame, rows) -> dict:
+        """Write docs and postings; rows(block, parts) gives the posting rows from that many tasks, where
+        block(key, len) is the column of a document's block. Documents, not their tokens, are dealt
+        to the tasks, by blocks; the tasks grow in number with the tokens."""
         at = f"{self.path}/segments/{name}"
-        docs.where("len > 0").write.parquet(f"{at}/docs")
-        kept = self.spark.read.parquet(f"{at}/docs")
+        docs.write.parquet(f"{at}/docs")
+        kept = self.spark.read.parquet(f"{at}/docs").where("len > 0")
         size = kept.agg(F.count("*").alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens")).first()
         cuts = kept.approxQuantile("len", [i / LENGTH_CLASSES for i in range(1, LENGTH_CLASSES)], 0.01) if size["docs"] else []
         each = -(-size["docs"] // (self.block * LENGTH_CLASSES)) or 1
@@ -161,13 +233,11 @@ class TextIndex:
             above = reduce(lambda a, b: a + b, [(length > c).cast("int") for c in cuts], F.lit(0))
             return above * each + F.pmod(F.xxhash64(key), F.lit(each)).cast("int")
 
-        bucket, shard = self._bucket(F.col("term")), F.pmod("block", F.lit(self.shards))
-        rows = tokens(block).withColumns({"bucket": bucket, "shard": shard}).repartition("bucket", "shard")
-        rows = rows.sortWithinPartitions("bucket", "term", "col", "block", "key", "pos").select("bucket", "term", "col", "block", "key", "pos", "len")
-        kind = dict(kept.dtypes)["key"]
-        rows = rows.mapInArrow(_posting_rows, _POSTINGS.format(kind=kind) + ", bucket int")
-        rows.write.partitionBy("bucket").parquet(f"{at}/postings")
-        return {"name": name, "docs": size["docs"], "tokens": size["tokens"], "blocks": each * LENGTH_CLASSES, "type": dict(kept.dtypes)["key"]}
+        blocks = each * LENGTH_CLASSES
+        parts = min(blocks, max(self.shards, -(-size["tokens"] // self.TOKENS_A_TASK)))
+        out = rows(block, parts).withColumn("bucket", self._bucket(F.col("term"))).sortWithinPartitions("bucket", "term", "col", "block")
+        out.write.partitionBy("bucket").parquet(f"{at}/postings")
+        return {"name": name, "docs": size["docs"], "tokens": size["tokens"], "blocks": blocks, "type": dict(kept.dtypes)["key"]}
 
     def compact(self) -> None:
         """Commit one segment of what is live, from the postings themselves: texts aren't read."""
@@ -175,9 +245,16 @@ class TextIndex:
         if not old:
             return
         docs, words = self._docs(old), self._live(old, None, ("keys", "lens", "places"))
-        tokens = lambda block: words.select("key", "len", block(F.col("key"), F.col("len")).alias("block"), "col", F.explode("places").alias("pos"), "term")
+        order = ["bucket", "term", "col", "block", "key", "pos"]
+        kind = _POSTINGS.format(kind=dict(docs.dtypes)["key"]) + ", bucket int"
+
+        def rows(block, parts: int) -> DataFrame:
+            lists = words.withColumn("block", block(F.col("key"), F.col("len"))).repartition(parts, "block")
+            tokens = lists.select(self._bucket(F.col("term")).alias("bucket"), "term", "col", "block", "key", F.explode("places").alias("pos"), "len")
+            return tokens.sortWithinPartitions(*order).mapInArrow(_posting_rows, kind).drop("bucket")
+
         name = uuid.uuid4().hex
-        segment = self._segment(name, docs.select("key", "len"), tokens)
+        segment = self._segment(name, docs.select("key", "len"), rows)
         docs.select("key").limit(0).write.parquet(f"{self.path}/segments/{name}/gone")
         self._commit([segment | {"key": old[-1]["key"], "cols": old[-1]["cols"], "replaces": False}])
 
@@ -242,7 +319,10 @@ class TextIndex:
         """search.match over the words' own buckets."""
         segments = self.segments()
         words = sorted({w for t in (q.split(), expand) for x in t for w in search._tokens(x) + search._tokens(x.partition(":")[2])})
-        return search.match(self.postings(words), q, expand, segments[-1]["cols"], aliases)
+        texts = [t for _, t in search.parse_query(q, segments[-1]["cols"], aliases)] + list(expand)
+        phrases = any(len(search._tokens(t)) > 1 for t in texts)
+        rows = self.postings(words) if phrases else self._live(segments, words, ("keys",)).select("key", "col", "term")
+        return search.match(rows, q, expand, segments[-1]["cols"], aliases)
 
     def _statistics(self, segments: list[dict], words: list[str]) -> tuple[int, float, dict[str, int]]:
         """Documents, their average length, and documents by word. Where nothing was replaced and
@@ -308,9 +388,13 @@ class GramIndex(TextIndex):
 
     GRAM, RAREST = 3, 4
 
+    _split = staticmethod(_grams)
+
     def _terms(self, c: Column) -> Column:
-        grams = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"(?s)(?=({'.' * self.GRAM}))"), F.lit(1)))
-        return F.when(c.isNotNull(), grams)
+        return F.lower(c)
+
+    def _size(self, terms: Column) -> Column:
+        return F.greatest(F.length(terms) - (self.GRAM - 1), F.lit(0))
 
     def grams_of(self, text: str) -> list[str]:
         """The grams that a row must hold: those of the parts between wildcards and escapes."""

@@ -118,3 +118,20 @@ def grams(spark, tmp_path_factory):
     index.add(df.where("id % 2 = 0"), "id", ["title", "body"])
     index.add(df.where("id % 2 = 1 or id < 20"), "id", ["title", "body"])
     return index, df
+
+
+def test_tasks_grow_with_the_tokens(spark, tmp_path):
+    """More tasks than buckets times shards, and blocks that arrive in several batches."""
+    df = spark.createDataFrame(texts(400, 9), "id long, title string, body string")
+    index = TextIndex(spark, str(tmp_path), buckets=1, shards=2, block=8)
+    index.TOKENS_A_TASK = 500
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        index.add(df, "id", ["title", "body"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    built = search.build_postings(df, "id", ["title", "body"])
+    assert len(list(tmp_path.glob("segments/*/postings/bucket=0/*.parquet"))) > 8
+    assert rows(index.postings()) == rows(built.select("key", "col", "pos", "term"))
+    want = sorted((round(s, 9), k) for k, s in rows(search.bm25(built, "w0 w1")))[:9]
+    assert [(round(r["score"], 9), r["key"]) for r in index.top("w0 w1", 9, first=1)[0].collect()] == want
