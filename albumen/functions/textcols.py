@@ -95,23 +95,24 @@ def ref_letter(value: Column, positive: str, negative: str) -> Column:
 
 def _decimal(c: Column) -> Column:
     """A sign, digits and perhaps a fraction as a number; null for any other form."""
-    bare = F.when(F.substring(c, 1, 1).isin("+", "-"), F.substring(c, 2, 1 << 30)).otherwise(c)
-    dot = F.instr(bare, ".")
-    fits = (F.translate(bare, "0123456789", "").isin("", ".")) & (bare != "") & (dot != 1) & (dot < F.length(bare))
-    return F.when(fits, c.try_cast("double"))
+    return F.when(c.rlike(r"\A[+-]?[0-9]+(\.[0-9]+)?\z"), c.try_cast("double"))
 
 
 def _coord(text: Column) -> Column:
     """Two or three numbers with white space between, or each with its sign and nothing
     between (a slash may end those)."""
-    t = strip(text)
-    signed = F.substring(t, 1, 1).isin("+", "-") & ~t.rlike(r"\s")
-    spread = strip(F.regexp_replace(F.when(t.endswith("/"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t), "([+-])", " $1"))
-    parts = F.split(F.when(signed, spread).otherwise(t), r"\s+")
-    numbers = F.transform(parts, _decimal)
-    lat, lon = (F.try_element_at(numbers, F.lit(i)) for i in (1, 2))
-    ok = F.size(parts).between(2, 3) & ~F.exists(numbers, lambda x: x.isNull()) & lat.between(-90, 90) & lon.between(-180, 180) & ~((lat == 0) & (lon == 0))
-    return F.when(ok, F.struct(lat.alias("lat"), lon.alias("lon")))
+
+    def parts(t: Column) -> Column:
+        signed = F.substring(t, 1, 1).isin("+", "-") & ~t.rlike(r"\s")
+        spread = strip(F.regexp_replace(F.when(t.endswith("/"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t), "([+-])", " $1"))
+        return F.split(F.when(signed, spread).otherwise(t), r"\s+")
+
+    def spot(numbers: Column) -> Column:
+        lat, lon = (F.try_element_at(numbers, F.lit(i)) for i in (1, 2))
+        ok = F.size(numbers).between(2, 3) & ~F.exists(numbers, lambda x: x.isNull()) & lat.between(-90, 90) & lon.between(-180, 180) & ~((lat == 0) & (lon == 0))
+        return F.when(ok, F.struct(lat.alias("lat"), lon.alias("lon")))
+
+    return once(once(strip(text), lambda t: F.transform(parts(t), _decimal)), spot)
 
 
 def parse_coord_text(*cols: Column) -> Column:
@@ -148,8 +149,16 @@ def once(c: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def ordered_ci_distinct(a: Column) -> Column:
-    """First spelling of each value, compared in lower case, order kept."""
-    return once(a, lambda a: once(F.transform(a, F.lower), lambda low: F.filter(a, lambda x, i: low[i].isNotNull() & (F.array_position(low, low[i]) == i + 1))))
+    """First spelling of each value, compared in lower case, order kept. By sorting: array_position
+    looks through the list for each value, and ends each search by an exception."""
+
+    def kept(a: Column) -> Column:
+        at = F.filter(F.transform(a, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"))), lambda p: p["low"].isNotNull())
+        first = lambda s: F.filter(s, lambda p, k: (k == 0) | (p["low"] != F.get(s, k - 1)["low"]))
+        places = F.sort_array(F.transform(once(F.sort_array(at), first), lambda p: p["i"]))
+        return F.transform(places, lambda i: a[i])
+
+    return once(a, kept)
 
 
 def minus_ci(a: Column, gone: Column) -> Column:

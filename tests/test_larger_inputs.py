@@ -69,3 +69,33 @@ def test_an_export_is_cut_by_its_files(spark, tmp_path):
     assert found["name=00000000-0000-0000-0000-000000000008.mov.json"].decode() == '{"EXIF:DateTimeOriginal":"2008:01:02 03:04:05","XMP:PersonInImage":"Größe 8"}\n'
     got = queries._decoded(queries.ingest.read_sidecars(spark, f"file:{tmp_path}/a b", "*.txt", queries.FOLDERS)).count()
     assert got == 2000
+
+
+def test_records_take_one_pass(spark, tmp_path):
+    """96,000 records in one task, the same rows as the SQL; no list is looked through once for each of its words."""
+    spark.range(100_000).coalesce(1).select(F.col("id").alias("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    began = time.time()
+    against_sql(spark, tmp_path, "decode_sidecars")
+    assert time.time() - began < 55
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(99_999)), lambda i: F.concat(F.lit("Word"), i.cast("string"))).alias("a"))
+    began = time.time()
+    assert long.select(F.size(tc.ordered_ci_distinct(F.concat("a", F.reverse("a")))).alias("n")).first()["n"] == 100_000
+    assert time.time() - began < 20
+
+
+def test_records_of_odd_shapes(spark):
+    """Other JSON than an object or a list of them is no record; a key of another kind than it should be is null, and
+    takes no other key with it."""
+    from albumen.operators import ingest
+
+    raws = ["[]", "[null]", "[[{}]]", "3", "null", '"{}"', "{", "", None, '[1, {"a": 1}]']
+    odd = '{"EXIF:GPSLatitude": "12.5", "EXIF:GPSLatitudeRef": 3, "EXIF:GPSLongitude": {"a": 1}, "XMP:PersonInImage": [null, 5, "Bo"], "IPTC:Keywords": [], "XMP:Subject": 7, "XMP-mwg-rs:RegionInfo": [1], "Keys:GPSCoordinates": ["1 2"], "UserData:GPSCoordinates": " -1 +2.5 "}'
+    faces = '[{"XMP-mwg-rs:RegionInfo": {"RegionList": [{"Type": "Face", "Name": 4}, 3, {"Type": "Face", "Name": "A", "Area": {"X": "x", "Y": 2}}]}, "EXIF:CreateDate": "2020:02:30 01:02:03"}, 1]'
+    df = spark.createDataFrame([(f"/{i}", "U", "u.jpg.json", r) for i, r in enumerate([*raws, odd, faces, "{}"])], "path string, uuid string, name string, raw string")
+    got = {r["sidecar_path"]: r for r in ingest.decode_sidecars(ingest.with_record(df)).collect()}
+    assert set(got) == {"/10", "/11", "/12"}
+    a, b, c = got["/10"], got["/11"], got["/12"]
+    assert (a["gps_lat"], a["gps_lon"], a["gps_lat_ref"], a["gps_lon_ref"]) == (-1, 2.5, "S", "E")
+    assert (a["persons"], a["scene_labels"], a["face_regions"]) == (["5", "Bo"], ["7"], [])
+    assert [(f["name"], f["area"]) for f in b["face_regions"]] == [("4", None), ("A", {"X": None, "Y": 2.0})]
+    assert (b["datetime_original"], c["gps_lat"], c["persons"], c["face_regions"]) == (None, None, [], [])
