@@ -71,6 +71,23 @@ def late_companions(records: DataFrame, files: DataFrame, key: str, at: str, fil
     return left.join(right, (F.col(key) == F.col("__key")) & near, "left_outer").drop("__key")
 
 
+#: Rows of a stream, over all of its time, for a partition of its state.
+STATE_ROWS = 1_000_000
+
+
+def start_sized(writer, spark: SparkSession, rows: int):
+    """Start a stream with state, cut by how many rows it will see and at least once a core: each
+    partition opens and writes its stores in every batch, however little is in them. A checkpoint
+    keeps the number of its first start."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(spark.sparkContext.defaultParallelism, -(-rows // STATE_ROWS))))
+    try:
+        return writer.start()  # the stream takes its own copy of the session
+    finally:
+        spark.conf.set(name, before)
+
+
 def held_back(batch: DataFrame, held: DataFrame | None, files: DataFrame, key: str = "uuid") -> tuple[DataFrame, DataFrame]:
     """(ready, still held): records, with those held before, whose media file is there, and
     the others, which the next batch gets again."""

@@ -99,3 +99,25 @@ def test_records_of_odd_shapes(spark):
     assert (a["persons"], a["scene_labels"], a["face_regions"]) == (["5", "Bo"], ["7"], [])
     assert [(f["name"], f["area"]) for f in b["face_regions"]] == [("4", None), ("A", {"X": None, "Y": 2.0})]
     assert (b["datetime_original"], c["gps_lat"], c["persons"], c["face_regions"]) == (None, None, [], [])
+
+
+@pytest.mark.parametrize("low", ["1992", "1997"])
+def test_late_companions_in_batches_of_several_files(spark, tmp_path, monkeypatch, low):
+    """Batches of 7 files each, also where all orders are of one of the three times; the state is not cut by
+    the session's number of partitions, which stays as it was."""
+    from albumen import queries
+
+    monkeypatch.setattr(queries, "ROWS_A_BATCH_TASK", 300, raising=False)
+    orders = spark.range(2000).select(F.col("id").alias("o_orderkey"), F.expr(f"cast(date_add(date'{low}-01-01', cast(id * 37 % 600 as int)) as timestamp_ntz)").alias("o_orderdate"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(1).write.parquet(f"{tmp_path}/nation.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        began = time.time()
+        got = against_sql(spark, tmp_path, "stream_late_companions")
+        assert time.time() - began < 45
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got["file_day"].notna().any() and got["file_day"].isna().any()
