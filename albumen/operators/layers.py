@@ -17,6 +17,7 @@ LISTS = ("persons", "tags")
 ENRICHED = ("description", "tags")  # what a model's result sets, unless it was edited
 EDITED = ("persons", "tags", "description", "date", "place_name")
 PLACE = ("place_name", *merge.BREAKDOWN)
+CODEC = "zstd"  # most of what a table writes is texts, written again by each compaction
 
 
 class LayeredTable:
@@ -60,11 +61,11 @@ class LayeredTable:
         self._promoted(base)
 
     def _promoted(self, base: DataFrame) -> None:
-        promote(self.spark, f"{self.path}/base", write_snapshot(base, f"{self.path}/base"))
+        promote(self.spark, f"{self.path}/base", write_snapshot(base, f"{self.path}/base", CODEC))
 
     def _append(self, registers: DataFrame) -> None:
         """A delta is there when its job has succeeded (_SUCCESS)."""
-        registers.write.parquet(f"{self.path}/deltas/{uuid.uuid4().hex}")
+        registers.write.parquet(f"{self.path}/deltas/{uuid.uuid4().hex}", compression=CODEC)
 
     def add_edits(self, edits: DataFrame, at: str = "at") -> None:
         """Edits (key, at, and fields that are null where untouched), cleaned; with a date that isn't

@@ -73,12 +73,13 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(make(f"{path}/{n}/_PROMOTED")))
 
 
-def write_snapshot(df: DataFrame, path: str) -> int:
-    """Write the next version; readers don't see it until promote()."""
+def write_snapshot(df: DataFrame, path: str, compression: str | None = None) -> int:
+    """Write the next version; readers don't see it until promote(). compression: a codec of Parquet
+    in place of the session's."""
     fs, p, _ = _fs(df.sparkSession, path)
     names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
     n = max([int(x[2:]) for x in names if x.startswith("v=")], default=0) + 1
-    df.write.mode("errorifexists").parquet(f"{path}/v={n}")
+    df.write.mode("errorifexists").parquet(f"{path}/v={n}", compression=compression)
     return n
 
 

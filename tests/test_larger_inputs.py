@@ -121,3 +121,21 @@ def test_late_companions_in_batches_of_several_files(spark, tmp_path, monkeypatc
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got["file_day"].notna().any() and got["file_day"].isna().any()
+
+
+def test_layers_write_few_bytes(spark, tmp_path):
+    """Texts are most of a layered table: its base, its deltas and what a compaction writes take less than in the session's codec."""
+    from albumen.operators.layers import LayeredTable
+
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("word"), ((F.col("k") * 7919 + i * i) % 5003).cast("string"))))
+    rows_ = spark.range(3000).coalesce(1).withColumnRenamed("id", "k").withColumn("description", words)
+    size = lambda folder: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    rows_.write.parquet(f"{tmp_path}/plain", compression="snappy")
+    table = LayeredTable(spark, str(tmp_path / "t"), "k")
+    table.create(rows_)
+    assert size(tmp_path / "t" / "base" / "v=1") < 0.8 * size(tmp_path / "plain")
+    table.add_edits(rows_.withColumn("at", F.lit("2024-01-01")))
+    assert size(tmp_path / "t" / "deltas") < 0.8 * size(tmp_path / "plain")
+    table.compact()
+    assert size(tmp_path / "t" / "base" / "v=2") < 1.6 * size(tmp_path / "plain")
+    assert table.read().exceptAll(rows_).count() == 0 and table.read().count() == 3000
